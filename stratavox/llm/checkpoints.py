@@ -1,0 +1,15 @@
+"""Lineage cuts in the folder that the session names in spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there; tests without that setting get a folder of their own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint()

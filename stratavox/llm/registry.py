@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from . import quality_classifier, quality_rules
+from . import packing, quality_classifier, quality_rules
 
-_MODULES = [quality_rules, quality_classifier]
+_MODULES = [quality_rules, quality_classifier, packing]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in getattr(m, "ORACLE_SQL", {}).items()}
