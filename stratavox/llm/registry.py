@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, packing, pii, quality_classifier, quality_rules, url_filters
+from . import decontaminate, ngram_join, packing, pii, quality_classifier, quality_rules, url_filters
 
-_MODULES = [quality_rules, quality_classifier, packing, url_filters, decontaminate, pii]
+_MODULES = [quality_rules, quality_classifier, packing, url_filters, decontaminate, pii, ngram_join]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in getattr(m, "ORACLE_SQL", {}).items()}
