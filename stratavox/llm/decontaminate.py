@@ -43,7 +43,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return starts.select("item_id", F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("window"), "length").distinct()
 
 
-def _sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it is small enough."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -51,7 +51,7 @@ def _sized(df: DataFrame) -> DataFrame:
 def prefix_index(docs: DataFrame, distinct_windows: DataFrame) -> DataFrame:
     """Rows (token, at, window, length): each window under its rarest word and that word's place in it."""
     parts = distinct_windows.select("window", "length", F.posexplode(F.split("window", " ")).alias("at", "w")).withColumn("token", F.lower("w"))
-    vocabulary = _sized(parts.select("token").distinct())
+    vocabulary = sized(parts.select("token").distinct())
     # full lower-casing joins at least the words that are equal by A-Z alone; the exact comparison comes later
     seen = docs.select(F.explode(words(F.col("text"))).alias("w")).select(F.lower("w").alias("token"))
     counts = seen.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
@@ -66,7 +66,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tu
     key tells rows of one doc_id with different texts apart.
     """
     found = windows(benchmark, size)
-    index = _sized(prefix_index(docs, found.select("window", "length").distinct()))
+    index = sized(prefix_index(docs, found.select("window", "length").distinct()))
     placed = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("words")).select("doc_id", "key", "words", F.posexplode("words").alias("pos", "w"))
     candidates = placed.join(index, F.lower("w") == F.col("token")).withColumn("start", F.col("pos") - F.col("at"))
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("words")))
@@ -83,7 +83,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     hits, items = occurrences(docs, benchmark, size)
     by_doc = hits.groupBy("doc_id", "key", "window", "length").agg(F.collect_set("start").alias("starts"))
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1)))
-    joined = by_doc.join(_sized(items.groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))), "window")
+    joined = by_doc.join(sized(items.groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))), "window")
     per_doc = joined.select("doc_id", "key", covered.alias("at"), "item_ids").groupBy("doc_id", "key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")
     )
