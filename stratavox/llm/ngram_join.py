@@ -13,7 +13,8 @@ split by size into blocks, and each pair of blocks with matching sizes is a task
 First each class is looked at in one bucket only; then, once linked classes are components, buckets within one component are dropped and
 the others are walked whole. Every link between different texts is found or implied by others.
 
-Identity of words and n-grams is a 64-bit hash. n-grams travel from the counting scan packed, grouped by class, in binary rows by hash range.
+Identity of words is a 64-bit hash and that of n-grams its lower 48 bits, so two texts of a thousand n-grams seem to share one that they
+don't share in one of 10**8 comparisons. n-grams travel from the counting scan packed, grouped by class, in binary rows by hash range.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer words than an
 n-gram is one n-gram of all its words; rows that share a doc_id are one document with several texts, which joins their classes;
@@ -38,11 +39,12 @@ WIDTH, PERCENT = 4, 85
 #: Classes of a bucket that one task walks against each other, and about how many n-grams one range of hashes has.
 BLOCK, RANGE_GRAMS = 4000, 2_000_000
 #: Bytes of text that the counting scan packs together.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 10 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = np.uint64((1 << 48) - 1)
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -50,19 +52,30 @@ def gram_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]
     data = _LOWER[data]
     start, end, first = spans(~IS_SPACE[data], off)
     words = span_hash(data, start, end)
-    grams = gram_hash(words, width)
+    grams = gram_hash(words, width) & _BITS
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
             x = np.sort(grams[a : b - width + 1])
             out.append(x[np.r_[True, x[1:] != x[:-1]]])
         elif b > a:
-            out.append(mix(gram_hash(words[a:b], b - a) + np.uint64(b - a)))
+            out.append(mix(gram_hash(words[a:b], b - a) + np.uint64(b - a)) & _BITS)
         else:
             out.append(grams[:0])
     return out
 
 
+def six_bytes(grams: np.ndarray) -> bytes:
+    """48-bit hashes in six bytes each."""
+    return np.ascontiguousarray(grams.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def class_key(grams: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name a set, as signed longs."""
     keys = np.array([mix(grams).sum(dtype=np.uint64), mix(grams * _ODD + np.uint64(1)).sum(dtype=np.uint64)], dtype=np.uint64)
@@ -104,7 +117,7 @@ def _pack(at: np.ndarray, f: np.ndarray, n: np.ndarray, h: np.ndarray, df: np.nd
         cols["f"].append(f[a:b][own[:-1]].tobytes())
         cols["n"].append(n[a:b][own[:-1]].astype("<u4").tobytes())
         cols["count"].append(np.diff(own).astype("<u4").tobytes())
-        cols["hash"].append(h[a:b].tobytes())
+        cols["hash"].append(six_bytes(h[a:b]))
         cols["df"].append(df[a:b].astype("<u2").tobytes())
     return pa.RecordBatch.from_arrays([pa.array(cols["at"], pa.int64()), *(pa.array(cols[k], pa.binary()) for k in ("f", "n", "count", "hash", "df"))], names=list(cols))
 
@@ -112,7 +125,7 @@ def _pack(at: np.ndarray, f: np.ndarray, n: np.ndarray, h: np.ndarray, df: np.nd
 def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     join = lambda k, kind: np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=kind)
     count = join("count", "<u4").astype(np.int64)
-    return np.repeat(join("f", "<u8"), count), np.repeat(join("n", "<u4"), count), join("hash", "<u8"), join("df", "<u2")
+    return np.repeat(join("f", "<u8"), count), np.repeat(join("n", "<u4"), count), from_six_bytes(b"".join(t.column("hash").to_pylist())), join("df", "<u2")
 
 
 def packed_grams(docs: DataFrame, width: int, ranges: int) -> DataFrame:
@@ -271,7 +284,7 @@ def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         side, cid, label = (np.asarray(t.column(k).combine_chunks()) for k in ("side", "cid", "label"))
-        sets = [np.frombuffer(x, dtype="<u8") for x in t.column("grams").to_pylist()]
+        sets = [from_six_bytes(x) for x in t.column("grams").to_pylist()]
         order = sorted(range(len(sets)), key=lambda k: (side[k], len(sets[k]), cid[k]))
         left, right = [k for k in order if side[k] == 0], [k for k in order if side[k] == 1]
         done = left + right
@@ -306,7 +319,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
             for _, _, sets in _sets(b, width):
                 hit = [k for k, x in enumerate(sets) if class_key(x) == (f[at + k], f2[at + k])]
                 rows_at = pa.array([at + k for k in hit], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), b.column("cid").take(rows_at), pa.array([sets[k].astype("<u8").tobytes() for k in hit], pa.binary())], names=["f", "cid", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), b.column("cid").take(rows_at), pa.array([six_bytes(sets[k]) for k in hit], pa.binary())], names=["f", "cid", "grams"])
                 at += len(sets)
 
     texts = docs.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id").select("f", "f2", F.col("doc_id").alias("cid"), "text")
