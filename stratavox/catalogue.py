@@ -294,7 +294,7 @@ def depth(spark, sf_dir):
 @query()
 def geodesic(spark, sf_dir):
     filled = _filled(spark, sf_dir)
-    return distance.geodesic(filled.where("x = 0 and y < 4 and z < 4"), filled, most=30)
+    return distance.geodesic(filled.where("x = 0 and y < 4 and z < 4"), filled, most=18)
 
 
 # Components
@@ -437,29 +437,34 @@ def protrusion_area(spark, sf_dir):
 # Shape
 
 
+def _solids(spark, sf_dir):
+    """Balls around some objects' voxels."""
+    return stencils.stamp_balls(labels(spark, sf_dir).where("v in (7, 8)"), GRID, 3)
+
+
 @query()
 def skeleton(spark, sf_dir):
-    return thinning.thin(_filled(spark, sf_dir), GRID)
+    return thinning.thin(_solids(spark, sf_dir), GRID)
 
 
 @query()
 def medial_surface(spark, sf_dir):
-    return thinning.thin(_filled(spark, sf_dir), GRID, surface=True)
+    return thinning.thin(_solids(spark, sf_dir), GRID, surface=True)
 
 
 @query()
 def planarity(spark, sf_dir):
-    return curvature.planarity(_filled(spark, sf_dir), GRID, 4)
+    return curvature.planarity(_solids(spark, sf_dir), GRID, 4)
 
 
 @query()
 def mean_curvature(spark, sf_dir):
-    return curvature.surface_curvature(_filled(spark, sf_dir), GRID)
+    return curvature.surface_curvature(_solids(spark, sf_dir), GRID)
 
 
 @query()
 def gaussian_curvature(spark, sf_dir):
-    return curvature.surface_curvature(_filled(spark, sf_dir), GRID, kind="gaussian")
+    return curvature.surface_curvature(_solids(spark, sf_dir), GRID, kind="gaussian")
 
 
 EDGES = "+b AS (SELECT x, y, z, x // 16 + 1 AS v, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 40), e AS (SELECT p.v AS obj, p.id AS u, q.id AS v, round(sqrt(d2), 9) AS w FROM b p JOIN o ON d2 BETWEEN 1 AND 3 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.v = q.v AND p.id < q.id) "

@@ -20,44 +20,56 @@ _PLACES = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)
 _DIRECTIONS = [(0, 0, -1), (0, 0, 1), (0, -1, 0), (0, 1, 0), (-1, 0, 0), (1, 0, 0)]
 
 
-def _parts(places: list[tuple[int, int, int]], faces: bool) -> list[set]:
-    left, out = set(places), []
-    while left:
-        part, edge = set(), [left.pop()]
-        while edge:
-            p = edge.pop()
-            part.add(p)
-            near = [q for q in left if (sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 if faces else max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1)]
-            left.difference_update(near)
-            edge += near
-        out.append(part)
-    return out
+def _mask(keep) -> int:
+    return sum(1 << k for k, p in enumerate(_PLACES) if keep(p))
+
+
+_CENTRE = _mask(lambda p: p == (0, 0, 0))
+_FACES = _mask(lambda p: sum(map(abs, p)) == 1)
+_NEAREST_18 = _mask(lambda p: 0 < sum(map(abs, p)) <= 2)
+_BY_FACE = [_mask(lambda q, p=p: sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1) for p in _PLACES]
+_BY_ANY = [_mask(lambda q, p=p: max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1) for p in _PLACES]
+_OCTANTS = [(sx, sy, sz) for sx in (-1, 1) for sy in (-1, 1) for sz in (-1, 1)]
+_OCTANT = [_mask(lambda p, s=s: all(c * d >= 0 for c, d in zip(p, s, strict=True))) for s in _OCTANTS]
+#: Flat sheets of four voxels through the centre, by octant: on an axis plane, or on a diagonal plane.
+_SHEETS = [
+    {_mask(lambda p, s=s, m=m, a=a: m >> _PLACES.index(p) & 1 and p[a] == 0) for a in range(3)} | {_mask(lambda p, s=s, m=m, a=a, b=b: m >> _PLACES.index(p) & 1 and abs(p[a]) == abs(p[b])) for a in range(3) for b in range(a)}
+    for s, m in zip(_OCTANTS, _OCTANT, strict=True)
+]
+
+
+def _part(seed: int, within: int, near: list[int]) -> int:
+    """All of within that is connected to the seed."""
+    part, edge = seed, seed
+    while edge:
+        k = (edge & -edge).bit_length() - 1
+        edge &= edge - 1
+        new = near[k] & within & ~part
+        part |= new
+        edge |= new
+    return part
 
 
 @lru_cache(maxsize=1 << 18)
 def is_simple(code: int) -> bool:
     """Whether removing the centre keeps topology: one object part around it, and one background part among the faces within the 18 nearest."""
-    set_ = [p for k, p in enumerate(_PLACES) if code >> k & 1 and p != (0, 0, 0)]
-    if len(_parts(set_, False)) != 1:
+    around = code & ~_CENTRE
+    if not around or _part(around & -around, around, _BY_ANY) != around:
         return False
-    empty = [p for k, p in enumerate(_PLACES) if not code >> k & 1 and p != (0, 0, 0) and sum(map(abs, p)) <= 2]
-    return sum(any(sum(map(abs, p)) == 1 for p in part) for part in _parts(empty, True)) == 1
+    empty = ~code & _NEAREST_18
+    faces = empty & _FACES
+    return bool(faces) and _part(faces & -faces, empty, _BY_FACE) & faces == faces
 
 
 @lru_cache(maxsize=1 << 18)
 def is_end(code: int, surface: bool) -> bool:
-    """An end point of a curve has one neighbour; that of a surface has, in each octant with neighbours, no more than a flat sheet."""
-    set_ = [p for k, p in enumerate(_PLACES) if code >> k & 1 and p != (0, 0, 0)]
+    """An end point of a curve has one neighbour; that of a surface has in each octant under four voxels, itself included, or a flat sheet."""
     if not surface:
-        return len(set_) == 1
-    if len(set_) <= 1:
-        return True
-    for ox in (-1, 1):
-        for oy in (-1, 1):
-            for oz in (-1, 1):
-                own = [p for p in set_ if p[0] * ox >= 0 and p[1] * oy >= 0 and p[2] * oz >= 0]
-                if len(own) > 3 or len(own) == 3 and not any(len({p[a] for p in [*own, (0, 0, 0)]}) == 1 for a in range(3)) and not any(p[a] == p[b] for a in range(3) for b in range(a) for p in own if len({q[a] == q[b] for q in own}) == 1 and all(q[a] == q[b] for q in own)):
-                    return False
+        return (code & ~_CENTRE).bit_count() == 1
+    for octant, sheets in zip(_OCTANT, _SHEETS, strict=True):
+        own = (code | _CENTRE) & octant
+        if own.bit_count() > 4 or own.bit_count() == 4 and own not in sheets:
+            return False
     return True
 
 
