@@ -486,7 +486,7 @@ def degree_classes(spark, sf_dir):
 
 @query()
 def longest_path(spark, sf_dir):
-    lines = _segmented(spark, sf_dir, around=True).select(*XYZ, F.col("component").alias("v"))
-    lines = lines.where((F.col("x") + F.col("y") + F.col("z")) % 5 == 0)
-    vertices = lines.select(F.col("v").alias("obj"), GRID.index().alias("node"), F.lit(1.0).alias("radius"))
-    return skeletons.length_and_thickness(vertices, skeletons.skeleton_edges(lines, GRID), 4.0)
+    lines = thinning.thin(_solids(spark, sf_dir), GRID)
+    radius = distance.depth(_solids(spark, sf_dir), GRID, 8).select(*XYZ, F.sqrt("v").alias("radius"))
+    vertices = lines.join(radius, XYZ).select(F.col("v").alias("obj"), GRID.index().alias("node"), "radius")
+    return skeletons.length_and_thickness(vertices, skeletons.skeleton_edges(lines, GRID), 4.0, 2.0)
