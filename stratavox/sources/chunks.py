@@ -63,8 +63,14 @@ def read_volume(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 
 def _attributes(spark: SparkSession, path: str, name: str) -> dict:
-    found = spark.read.format("binaryFile").load(f"{path}/{name}").select("content").first()
-    return json.loads(bytes(found[0]).decode())
+    """A small metadata file, through Spark's file systems; its readers skip names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def grid_of(attributes: dict) -> Grid:
