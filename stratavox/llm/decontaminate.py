@@ -6,7 +6,8 @@ bounds place the window in the document, and the words there are compared exactl
 united per document.
 
 Texts are never shuffled: two scans explode words within a task (frequencies, then candidates), and only matches and word counts move. The
-index and the vocabulary are broadcast while they have at most ``BROADCAST_ROWS`` rows; beyond that Spark joins them by shuffle.
+index and the vocabulary are broadcast while they have at most ``BROADCAST_ROWS`` rows; beyond that words are joined by shuffle, one
+by one without their texts, and the candidates meet the texts afterwards.
 
 Everything is DataFrame operations. Defined results: null or empty texts have no words and no hits; null item texts have no
 windows; a null item_id can be hit but isn't listed; repeated rows have equal results; an empty table on either side gives
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 WINDOW = 10
 BROADCAST_ROWS = 200_000
 #: Separators before A-Z are lower-cased.
@@ -43,9 +46,13 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return starts.select("item_id", F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("window"), "length").distinct()
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def sized(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def prefix_index(docs: DataFrame, distinct_windows: DataFrame) -> DataFrame:
@@ -66,9 +73,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tu
     key tells rows of one doc_id with different texts apart.
     """
     found = windows(benchmark, size)
-    index = sized(prefix_index(docs, found.select("window", "length").distinct()))
-    placed = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("words")).select("doc_id", "key", "words", F.posexplode("words").alias("pos", "w"))
-    candidates = placed.join(index, F.lower("w") == F.col("token")).withColumn("start", F.col("pos") - F.col("at"))
+    index = cut(prefix_index(docs, found.select("window", "length").distinct()))
+    keyed = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("words"))
+    places = [F.posexplode("words").alias("pos", "w")]
+    if is_small(index):
+        placed = keyed.select("doc_id", "key", "words", *places).join(F.broadcast(index), F.lower("w") == F.col("token"))
+        candidates = placed.withColumn("start", F.col("pos") - F.col("at"))
+    else:  # words are moved one by one without their text, and only candidates meet the texts again
+        moved = keyed.select("doc_id", "key", *places).join(index, F.lower("w") == F.col("token"))
+        asked = moved.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("pos") - F.col("at")).alias("start"), "length", "window").distinct()
+        candidates = keyed.join(asked, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("words")))
     exact = lowered(F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ")) == F.col("window")
     return candidates.where(exact).select("doc_id", "key", "start", "length", "window"), found.select("item_id", "window")
