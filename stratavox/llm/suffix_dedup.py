@@ -42,7 +42,10 @@ NULL_ID = -(1 << 63)
 ALL = b"*"
 _PLACE = np.uint64((1 << 28) - 1)
 
+#: at is a range of sample hashes; at -1 - k stand ranges of part k of the documents: start in sample, tie in place, end in content.
 RUNS = "at long, sample binary, doc binary, place binary, content binary"
+#: By part of the documents: ranges (a to b), or wanted runs (a is the start, b the number of strings), in packed columns.
+PARTS = "part long, doc binary, tie binary, a binary, b binary, sample binary"
 RANGES = "doc long, tie int, ranges binary"
 
 
@@ -117,6 +120,29 @@ def _range_rows(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.nda
     )
 
 
+def _united(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, tie, start, end) of each document's united ranges."""
+    order = np.lexsort((tie, doc))
+    doc, tie, start, end = doc[order], tie[order], start[order], end[order]
+    number = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    own, a, b = _join_ranges(number, start, end)
+    return doc[first][own], tie[first][own], a, b
+
+
+def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(parts: int, doc: np.ndarray, *cols: np.ndarray) -> list[list]:
+    """Lists of parts, and of the bytes of doc and cols by part."""
+    part = _part_of(doc, parts)
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(doc) else np.zeros(1, np.int64)
+    packed = [[np.asarray(c)[order][i:j].astype("<i8").tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)] for c in (doc, *cols)]
+    return [part[order][edge[:-1]].tolist(), *packed]
+
+
 def _place(start: np.ndarray, strings: np.ndarray, tie: np.ndarray) -> np.ndarray:
     """start, strings and tie in one long; starts may have 33 bits."""
     return (start.astype(np.int64) << 31) | (strings.astype(np.int64) << 24) | tie.astype(np.int64)
@@ -151,9 +177,9 @@ def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
             found.append((doc[text + i], tie[text + i], start, strings, sample, content))
         d, t, start, strings, sample, content = (np.concatenate(x) for x in zip(*found, strict=True))
         first = _firsts((content, sample), d, t, start)
-        local = _range_rows(d[~first], t[~first], start[~first], start[~first] + strings[~first] + LENGTH - 1)
-        if len(local):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), -1)), local.column("ranges"), *(pa.array([b"%d" % x for x in local.column(c).to_pylist()], pa.binary()) for c in ("doc", "tie")), pa.array([b""] * len(local), pa.binary())], names=["at", "sample", "doc", "place", "content"])
+        again_doc, *again = _united(d[~first], t[~first], start[~first], (start + strings + LENGTH - 1)[~first])
+        part, own, tied, a, z = _by_part(ranges, again_doc, *again)
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - k for k in part], pa.int64()), *(pa.array(c, pa.binary()) for c in (a, own, tied, z))], names=["at", "sample", "doc", "place", "content"])
         at = (sample[first] % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         cols = [x[first][order] for x in (sample, d, _place(start, strings, t), content)]
@@ -186,48 +212,68 @@ def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, RUNS)
 
 
-def repeated_runs(packed: DataFrame) -> DataFrame:
-    """Rows (doc, tie, ranges, wanted): ranges of runs that occur earlier as they are, and the runs whose bytes are wanted."""
+def repeated_runs(packed: DataFrame, parts: int) -> DataFrame:
+    """Packed rows by part of the documents: with an empty sample, ranges of runs that occur earlier as they are; else the runs whose bytes are wanted."""
 
     def meet(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=kind)
-        sample, doc, content = join("sample", "<u8"), join("doc", "<i8"), join("content", "<u8")
-        start, strings, tie = _placed(join("place", "<i8"))
+        join = lambda c, kind="<i8": np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=kind)
+        at = t.column("at")[0].as_py()
+        if at < 0:  # ranges that packs knew
+            out = [[-1 - at], *([c.tobytes()] for c in _united(join("doc"), join("place"), join("sample"), join("content")))]
+            return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in [*out[1:], [b""]])], strict=True)))
+        sample, doc, content = join("sample", "<u8"), join("doc"), join("content", "<u8")
+        start, strings, tie = _placed(join("place"))
         first = _firsts((content, sample), doc, tie, start)
-        again = _range_rows(doc[~first], tie[~first], start[~first], (start + strings + LENGTH - 1)[~first])
+        again_doc, *again = _united(doc[~first], tie[~first], start[~first], (start + strings + LENGTH - 1)[~first])
+        rows = [x + [[b""] * len(x[0])] for x in [_by_part(parts, again_doc, *again)]][0]
         sample, doc, start, strings, tie = (x[first] for x in (sample, doc, start, strings, tie))
         order = np.argsort(sample, kind="stable")
         same = np.zeros(len(sample) + 1, dtype=bool)
         same[1:-1] = sample[order][1:] == sample[order][:-1]
-        keep = np.zeros(len(sample), dtype=bool)
-        keep[order] = same[1:] | same[:-1]
-        sample, doc, start, strings, tie = (x[keep] for x in (sample, doc, start, strings, tie))
-        order = np.lexsort((start, tie, doc))
-        sample, doc, start, strings, tie = (x[order] for x in (sample, doc, start, strings, tie))
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]) if len(doc) else np.zeros(0, np.int64)
-        rows = np.column_stack([sample.view(np.int64), start, strings]).astype("<i8")
-        wanted = [rows[a:b].tobytes() for a, b in zip(new, [*new[1:], len(doc)], strict=True)]
-        return pa.table({
-            "doc": pa.concat_arrays([again.column("doc"), pa.array(doc[new])]), "tie": pa.concat_arrays([again.column("tie"), pa.array(tie[new].astype(np.int32))]),
-            "ranges": pa.concat_arrays([again.column("ranges"), pa.nulls(len(new), pa.binary())]), "wanted": pa.concat_arrays([pa.nulls(len(again), pa.binary()), pa.array(wanted, pa.binary())]),
-        })
-
-    return packed.where("at >= 0").groupBy("at").applyInArrow(meet, f"{RANGES}, wanted binary")
+        keep = order[same[1:] | same[:-1]]
+        wanted = _by_part(parts, doc[keep], tie[keep], start[keep], strings[keep], sample[keep].view(np.int64))
+        return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(x + y, pa.int64() if k == 0 else pa.binary()) for k, (x, y) in enumerate(zip(rows, wanted, strict=True))], strict=True)))
+
+    return packed.groupBy("at").applyInArrow(meet, PARTS)
+
+
+def ranges_by_document(parted: DataFrame) -> DataFrame:
+    """Rows (doc, tie, ranges), one a document, from packed ranges."""
+
+    def unite(t: pa.Table) -> pa.Table:
+        join = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype="<i8")
+        return pa.Table.from_batches([_range_rows(join("doc"), join("tie"), join("a"), join("b"))])
+
+    return parted.groupBy("part").applyInArrow(unite, RANGES)
+
+
+def wanted_by_document(parted: DataFrame) -> DataFrame:
+    """Rows (doc, tie, wanted), one a document: (sample, start, strings) of each wanted run."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        join = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype="<i8")
+        doc, tie = join("doc"), join("tie")
+        order = np.lexsort((join("a"), tie, doc))
+        doc, tie = doc[order], tie[order]
+        rows = np.column_stack([join("sample"), join("a"), join("b")])[order]
+        edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]), True]) if len(doc) else np.zeros(1, np.int64)
+        return pa.table({"doc": pa.array(doc[edge[:-1]]), "tie": pa.array(tie[edge[:-1]].astype(np.int32)), "wanted": pa.array([rows[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+
+    return parted.groupBy("part").applyInArrow(gather, "doc long, tie int, wanted binary")
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
     """Rows (at, sample, doc, place, bytes): the bytes of wanted runs."""
-    asked = wanted.groupBy("doc", "tie").agg(F.collect_list("wanted").alias("wanted"))
-    joined = docs.join(asked, ["doc", "tie"])
+    joined = docs.join(wanted, ["doc", "tie"])
 
     def run(batches):
         for b in batches:
             data, off = flat(b.column("text"))
             docs_, ties = b.column("doc").to_pylist(), b.column("tie").to_pylist()
             cols: list[list] = [[], [], [], []]
-            for k, blobs in enumerate(b.column("wanted").to_pylist()):
+            for k, blob in enumerate(b.column("wanted").to_pylist()):
                 raw = data[off[k] : off[k + 1]].tobytes()
-                rows = np.frombuffer(b"".join(blobs), dtype="<i8").reshape(-1, 3)
+                rows = np.frombuffer(blob, dtype="<i8").reshape(-1, 3)
                 cols[0] += rows[:, 0].tolist()
                 cols[1] += [docs_[k]] * len(rows)
                 cols[2] += _place(rows[:, 1], rows[:, 2], np.full(len(rows), ties[k])).tolist()
@@ -239,8 +285,8 @@ def run_bytes(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
     return joined.select("doc", "tie", "text", "wanted").mapInArrow(run, "at long, sample long, doc long, place long, bytes binary")
 
 
-def repeated_strings(contexts: DataFrame) -> DataFrame:
-    """Rows (doc, tie, ranges): the strings in the runs' bytes that start earlier in document order."""
+def repeated_strings(contexts: DataFrame, parts: int) -> DataFrame:
+    """Packed ranges by part of the documents: the strings in the runs' bytes that start earlier in document order."""
 
     def meet(t: pa.Table) -> pa.Table:
         data, off = flat(t.column("bytes"))
@@ -268,9 +314,11 @@ def repeated_strings(contexts: DataFrame) -> DataFrame:
             out.append((d[late], ti[late], st[late], st[late] + LENGTH))
             i = j
         d, ti, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.Table.from_batches([_range_rows(d, ti, a, b)])
+        again, *rest = _united(d, ti, a, b)
+        out = _by_part(parts, again, *rest)
+        return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in [*out[1:], [b""] * len(out[0])])], strict=True)))
 
-    return contexts.groupBy("at").applyInArrow(meet, RANGES)
+    return contexts.groupBy("at").applyInArrow(meet, PARTS)
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
@@ -281,12 +329,10 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     least = cut(digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1"))
     copies = digests.where(F.col("bytes") >= LENGTH).join(least, "digest").where(F.col("doc") > F.col("least"))
     whole = copies.select("doc", "tie", F.lit(bytearray(ALL)).alias("ranges"))
-    packed = cut(sampled_runs(docs, ranges))
-    local = packed.where("at = -1").select(F.col("doc").cast("string").cast("long").alias("doc"), F.col("place").cast("string").cast("int").alias("tie"), F.col("sample").alias("ranges"))
-    met = cut(repeated_runs(packed))
-    again = met.where(F.col("ranges").isNotNull()).select("doc", "tie", "ranges")
-    contexts = run_bytes(docs, met.where(F.col("wanted").isNotNull()).select("doc", "tie", "wanted"), ranges)
-    return local.unionByName(whole).unionByName(again).unionByName(repeated_strings(contexts))
+    met = cut(repeated_runs(sampled_runs(docs, ranges), ranges))
+    wanted = wanted_by_document(met.where(F.octet_length("sample") > 0))
+    strings = repeated_strings(run_bytes(docs, wanted, ranges), ranges)
+    return whole.unionByName(ranges_by_document(met.where(F.octet_length("sample") == 0).unionByName(strings)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
