@@ -490,3 +490,37 @@ def longest_path(spark, sf_dir):
     radius = distance.depth(_solids(spark, sf_dir), GRID, 8).select(*XYZ, F.sqrt("v").alias("radius"))
     vertices = lines.join(radius, XYZ).select(F.col("v").alias("obj"), GRID.index().alias("node"), "radius")
     return skeletons.length_and_thickness(vertices, skeletons.skeleton_edges(lines, GRID), 4.0, 2.0)
+
+
+# Compositions
+
+
+@query("SELECT * FROM l WHERE x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 62 AND z BETWEEN 1 AND 30")
+def edge_voxels_removed(spark, sf_dir):
+    return pointwise.remove_edge_voxels(labels(spark, sf_dir), GRID)
+
+
+@query("+out AS (SELECT DISTINCT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z FROM l JOIN o ON d2 <= 4 WHERE l.v = 9) SELECT box.x, box.y, box.z, CAST(1 AS BIGINT) AS v FROM box ANTI JOIN (SELECT * FROM l WHERE v <= 20) USING (x, y, z) ANTI JOIN out USING (x, y, z) SEMI JOIN s USING (x, y, z)")
+def cell_interior(spark, sf_dir):
+    vol = labels(spark, sf_dir)
+    outside = distance.edt_bounded(vol.where("v = 9"), GRID, 4)
+    return pointwise.cell_interior(box(spark), vol.where("v <= 20"), outside, scores(spark, sf_dir), 2.0)
+
+
+@query("+f AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.x AS x0, a.y AS y0, a.z AS z0, a.v FROM (SELECT * FROM l WHERE v <= 3) a JOIN o ON greatest(abs(dx), abs(dy), abs(dz)) <= 2), m AS (SELECT x0, y0, z0, f.v, avg(f.x - x0) AS mx, avg(f.y - y0) AS my, avg(f.z - z0) AS mz FROM f JOIN l USING (x, y, z) WHERE f.v = l.v GROUP BY x0, y0, z0, f.v) SELECT x0 AS x, y0 AS y, z0 AS z, v, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mx / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nx, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN my / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS ny, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mz / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nz FROM m")
+def surface_normals(spark, sf_dir):
+    vol = labels(spark, sf_dir)
+    found = stencils.surface_normals(vol, vol.where("v <= 3"), 2)
+    return found.withColumns({f"n{c}": F.round(f"n{c}", 6) + 0.0 for c in XYZ})
+
+
+@query()
+def ribosome_centres(spark, sf_dir):
+    return stencils.nonoverlapping(stencils.local_maxima(scores(spark, sf_dir), 2).where("v >= 45"), GRID, 2.0, 3)
+
+
+@query()
+def contact_sheetness(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    valued = scores(spark, sf_dir).select(*XYZ, (F.col("v") / 50).alias("value"))
+    return objects.contact_sheetness(cc.contacts_overlap(a, b, GRID, 4.0), valued, stencils.exposed_faces(labels(spark, sf_dir), GRID), GRID)

@@ -117,3 +117,8 @@ def compare(a: DataFrame, b: DataFrame, nonzero_only: bool = False) -> DataFrame
     va, vb = F.coalesce("va", F.lit(0)), F.coalesce("vb", F.lit(0))
     differs = ((va != 0) != (vb != 0)) if nonzero_only else (va != vb)
     return left.join(right, XYZ, "full_outer").agg(F.count("*").alias("voxels"), F.coalesce(F.sum(differs.cast("long")), F.lit(0)).alias("mismatches")).withColumn("equal", F.col("mismatches") == 0)
+
+
+def remove_edge_voxels(volume: DataFrame, grid: Grid) -> DataFrame:
+    """Without the voxels on the volume's faces."""
+    return volume.where(" and ".join(f"{c} between 1 and {d - 2}" for c, d in zip(XYZ, grid.dim, strict=True)))

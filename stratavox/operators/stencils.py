@@ -122,3 +122,31 @@ def sphereness(volume: DataFrame, centres: DataFrame, radius: int, at_least: int
     out = met.agg(F.count("*").alias("all"), F.count("hit").alias("n"), *moments)
     off = F.sqrt(sum(F.col(f"m{c}") * F.col(f"m{c}") for c in XYZ))
     return out.select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v", (F.col("n") / F.col("all")).alias("fraction"), F.coalesce(off, F.lit(float(radius))).alias("offset"))
+
+
+def nonoverlapping(points: DataFrame, grid: Grid, radius: float, separation: int) -> DataFrame:
+    """Points chosen greedily by residue class of their coordinates (then by voxel id) so that all are farther apart than separation.
+
+    A point is decided once no undecided point nearby comes before it, so each round decides many; the choice is that of the sequential greedy.
+    """
+    from stratavox.plans.checkpoints import cut
+
+    k = round(radius) + 1
+    order = F.struct((F.col("x") % k + F.col("y") % k * k + F.col("z") % k * k * k).alias("part"), grid.index().alias("id"))
+    left = cut(points.select(*XYZ, "v").withColumn("rank", order))
+    near = f"d2 > 0 and d2 <= {separation * separation}"
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        waits = stencil(left.select(*XYZ, "rank"), near, separation).join(left.select(*XYZ, F.col("rank").alias("other")), XYZ).where("other < rank")
+        won = cut(left.join(waits.select(*(F.col(f"{c}0").alias(c) for c in XYZ)).distinct(), XYZ, "left_anti"))
+        out = stencil(won.select(*XYZ, "rank"), f"d2 <= {separation * separation}", separation).select(*XYZ).distinct()
+        left, chosen = cut(left.join(out, XYZ, "left_anti")), chosen.unionByName(won)
+    return chosen.select(*XYZ, "v")
+
+
+def surface_normals(volume: DataFrame, surface: DataFrame, radius: int) -> DataFrame:
+    """Rows (x, y, z, v, nx, ny, nz): the unit vector from each surface voxel to the centre of mass of its object within a cube."""
+    near = stencil(surface.select(*XYZ, "v"), "true", radius).join(volume.select(*XYZ, F.col("v").alias("other")), XYZ).where("v = other")
+    moments = near.groupBy("x0", "y0", "z0", "v").agg(*(F.avg(F.col(c) - F.col(f"{c}0")).alias(f"m{c}") for c in XYZ))
+    length = F.sqrt(sum(F.col(f"m{c}") * F.col(f"m{c}") for c in XYZ))
+    return moments.select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v", *(F.when(length > 0, F.col(f"m{c}") / length).otherwise(0.0).alias(f"n{c}") for c in XYZ))

@@ -214,3 +214,14 @@ def test_internal_gradient_and_compare(spark):
 def test_blocks_cover_the_grid(spark):
     rows = volume.blocks(spark, SMALL).collect()
     assert len(rows) == 27 and sum(r.dx * r.dy * r.dz for r in rows) == 12**3
+
+
+def test_nonoverlapping_equals_sequential_greedy(spark, noise):
+    k, separation = 3, 3
+    order = sorted(map(tuple, np.argwhere(noise).tolist()), key=lambda p: (p[0] % k + p[1] % k * k + p[2] % k * k * k, p[0] + 12 * p[1] + 144 * p[2]))
+    chosen = []
+    for p in order:
+        if all(sum((a - b) ** 2 for a, b in zip(p, q)) > separation**2 for q in chosen):
+            chosen.append(p)
+    got = stencils.nonoverlapping(sparse(spark, noise), SMALL, 2.0, separation)
+    assert sorted((r.x, r.y, r.z) for r in got.collect()) == sorted(chosen)
