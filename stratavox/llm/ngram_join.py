@@ -196,19 +196,32 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
 # Signature trees
 
 
+def bitmap(grams: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    b = (grams % np.uint64(bits)).astype(np.int64)
+    np.bitwise_or.at(out, b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+    return out
+
+
+def width_of(n: int, times: int) -> int:
+    """Bits of a bitmap for n n-grams: a power of two, at least times as many."""
+    return 1 << max(8, math.ceil(math.log2(max(1, times * n))))
+
+
+def folded(maps: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmaps (one a row) brought to fewer bits."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, bits // 64), axis=1)
+
+
 class Tree:
     """Classes sorted by size; each level ORs the bitmaps of FAN nodes below and keeps their size range."""
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sizes = np.array([len(x) for x in sets])
-        maps = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        for k, x in enumerate(sets):
-            b = (x % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(maps[k], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
-        slack = self.sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
-        self.levels = [(maps, self.sizes, self.sizes, slack)]
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
+        self.sizes = sizes
+        slack = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
+        self.levels = [(maps, sizes, sizes, slack)]
         while len(self.levels[-1][0]) > 1:
             m, least, most, slack = self.levels[-1]
             cuts = np.arange(0, len(m), self.FAN)
@@ -232,46 +245,89 @@ def _may_link(a: Tree, la: int, i: np.ndarray, b: Tree, lb: int, j: np.ndarray,
     return fits & ((100 + percent) * most >= percent * (min_a[:, None] + min_b[None]))
 
 
-def links(a: list[np.ndarray], label_a: np.ndarray, b: list[np.ndarray] | None, label_b: np.ndarray | None, percent: int) -> np.ndarray:
-    """Labels after all links within a (b None) or between a and b are united; sets must be sorted by size."""
-    both = [*a, *(b or [])]
-    labels = np.concatenate([label_a, label_b]) if b else label_a.copy()
-    bits = 1 << max(8, math.ceil(math.log2(4 * max(len(x) for x in both))))
-    ta = Tree(a, bits)
-    tb, shift = (Tree(b, bits), len(a)) if b else (ta, 0)
+def walk(ta: Tree, tb: Tree, percent: int, done, meet) -> None:
+    """Visits the pairs of leaves that may link, within one tree (tb is ta) or between two.
+
+    done(a0, a1, b0, b1) tells that nothing is to be found between leaves a0 to a1 and b0 to b1; meet(i, j) gets each pair left.
+    """
     stack = [(len(ta.levels) - 1, 0, len(tb.levels) - 1, 0)]
     while stack:
         la, i, lb, j = stack.pop()
-        a0, a1 = ta.leaves(la, i)
-        b0, b1 = tb.leaves(lb, j)
-        here = labels[a0:a1]
-        if (here == here[0]).all() and (labels[b0 + shift : b1 + shift] == here[0]).all():
+        if done(*ta.leaves(la, i), *tb.leaves(lb, j)):
             continue
         if la == 0 and lb == 0:
-            x, y = both[a0], both[b0 + shift]
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            at = np.searchsorted(large, small)
-            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                p, q = labels[a0], labels[b0 + shift]
-                labels[labels == max(p, q)] = min(p, q)
+            meet(i, j)
             continue
         down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
         ia = ta.below(la, i) if down_a else np.array([i])
         jb = tb.below(lb, j) if down_b else np.array([j])
         ok = _may_link(ta, la - down_a, ia, tb, lb - down_b, jb, percent)
-        if b is None and la == lb and i == j and down_a:
-            ok &= ia[:, None] <= jb[None]
-            if la == 1:
-                ok &= ia[:, None] < jb[None]
+        if tb is ta and la == lb and i == j and down_a:
+            ok &= (ia[:, None] < jb[None]) if la == 1 else (ia[:, None] <= jb[None])
         stack += [(la - down_a, int(ia[p]), lb - down_b, int(jb[q])) for p, q in zip(*np.nonzero(ok), strict=True)]
+
+
+def links(a: list[np.ndarray], label_a: np.ndarray, b: list[np.ndarray] | None, label_b: np.ndarray | None, percent: int) -> np.ndarray:
+    """Labels after all links within a (b None) or between a and b are united; sets must be sorted by size."""
+    both = [*a, *(b or [])]
+    labels = np.concatenate([label_a, label_b]) if b else label_a.copy()
+    bits = width_of(max(len(x) for x in both), 4)
+    tree = lambda sets: Tree(np.array([len(x) for x in sets]), np.stack([bitmap(x, bits) for x in sets]))
+    ta = tree(a)
+    tb, shift = (tree(b), len(a)) if b else (ta, 0)
+
+    def done(a0, a1, b0, b1):
+        here = labels[a0:a1]
+        return (here == here[0]).all() and (labels[b0 + shift : b1 + shift] == here[0]).all()
+
+    def meet(i, j):
+        x, y = both[i], both[j + shift]
+        small, large = (x, y) if len(x) < len(y) else (y, x)
+        at = np.searchsorted(large, small)
+        common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+        if 100 * common >= percent * (len(x) + len(y) - common):
+            p, q = labels[i], labels[j + shift]
+            labels[labels == max(p, q)] = min(p, q)
+
+    walk(ta, tb, percent, done, meet)
     return labels
 
 
+def candidates(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which classes may link with one of another label (and, if there are two sides, of the other side), by bitmaps alone.
+
+    There is a tree for each width of bitmaps; between widths the larger is folded.
+    """
+    found = np.zeros(len(sizes), dtype=bool)
+    groups = {}
+    for k in np.lexsort((sizes, side)):
+        groups.setdefault((int(side[k]), 64 * len(maps[k])), []).append(int(k))
+    keys = sorted(groups)
+    two = len({s for s, _ in keys}) == 2
+    for p, ka in enumerate(keys):
+        for kb in keys[p:]:
+            if two and ka[0] == kb[0]:
+                continue
+            bits, own, other = min(ka[1], kb[1]), np.array(groups[ka]), np.array(groups[kb])
+            ta = Tree(sizes[own], folded(np.stack([maps[k] for k in own]), bits))
+            tb = ta if ka == kb else Tree(sizes[other], folded(np.stack([maps[k] for k in other]), bits))
+
+            def done(a0, a1, b0, b1, own=own, other=other):
+                x, y = own[a0:a1], other[b0:b1]
+                return (found[x].all() and found[y].all()) or ((labels[x] == labels[x[0]]).all() and (labels[y] == labels[x[0]]).all())
+
+            def meet(i, j, own=own, other=other):
+                found[[own[i], other[j]]] = True
+
+            walk(ta, tb, percent, done, meet)
+    return found
+
+
 def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between components, from rows (g, f, label, n); store has (f, cid, grams).
+    """Edges (u, v) between components, from rows (g, f, label, n); store has (f, cid, bitmap, grams).
 
-    Buckets of more than BLOCK classes become pairs of blocks of sizes that can match.
+    Buckets of more than BLOCK classes become pairs of blocks of sizes that can match. Bitmaps alone go to every bucket first; whole sets
+    follow only for the classes that may have a partner there.
     """
     by_size = Window.partitionBy("g").orderBy("n", "f")
     blocked = cut(rows.withColumn("b", F.floor((F.row_number().over(by_size) - 1) / BLOCK)))
@@ -280,7 +336,15 @@ def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
     pairs = ranges.join(other, "g").where((F.col("b") <= F.col("b2")) & (100 * F.col("most") >= percent * F.col("least2"))).select("g", F.col("b").alias("b1"), "b2")
     first = blocked.join(pairs.withColumn("b", F.col("b1")), ["g", "b"]).withColumn("side", F.lit(0))
     second = blocked.join(pairs.where("b1 < b2").withColumn("b", F.col("b2")), ["g", "b"]).withColumn("side", F.lit(1))
-    task = first.unionByName(second).select("g", "b1", "b2", "side", "f", "label").join(store, "f")
+    task = first.unionByName(second).select("g", "b1", "b2", "side", "f", "label", "n")
+
+    def sift(t: pa.Table) -> pa.Table:
+        size, label, side = (np.asarray(t.column(k).combine_chunks()) for k in ("n", "label", "side"))
+        maps = [np.frombuffer(x, dtype="<u8") for x in t.column("bitmap").to_pylist()]
+        return t.filter(pa.array(candidates(size, maps, label, side, percent))).select(["g", "b1", "b2", "side", "f", "label"])
+
+    marked = task.join(store.select("f", "bitmap"), "f")
+    task = marked.groupBy("g", "b1", "b2").applyInArrow(sift, "g long, b1 long, b2 long, side int, f long, label long").join(store.select("f", "cid", "grams"), "f")
 
     def run(t: pa.Table) -> pa.Table:
         side, cid, label = (np.asarray(t.column(k).combine_chunks()) for k in ("side", "cid", "label"))
@@ -319,11 +383,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
             for _, _, sets in _sets(b, width):
                 hit = [k for k, x in enumerate(sets) if class_key(x) == (f[at + k], f2[at + k])]
                 rows_at = pa.array([at + k for k in hit], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), b.column("cid").take(rows_at), pa.array([six_bytes(sets[k]) for k in hit], pa.binary())], names=["f", "cid", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), b.column("cid").take(rows_at), pa.array([bitmap(sets[k], width_of(len(sets[k]), 2)).tobytes() for k in hit], pa.binary()), pa.array([six_bytes(sets[k]) for k in hit], pa.binary())], names=["f", "cid", "bitmap", "grams"])
                 at += len(sets)
 
     texts = docs.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id").select("f", "f2", F.col("doc_id").alias("cid"), "text")
-    store = cut(texts.mapInArrow(gather, "f long, cid long, grams binary").dropDuplicates(["f", "cid"]))
+    store = cut(texts.mapInArrow(gather, "f long, cid long, bitmap binary, grams binary").dropDuplicates(["f", "cid"]))
     owners = store.select("f", "cid")
 
     same_doc = keys.where("n > 0 and doc_id is not null").join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
