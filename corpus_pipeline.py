@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import checkpoints, decontaminate, ngram_join, packing, pii, quality_rules
+from stratavox.llm import decontaminate, ngram_join, packing, pii, quality_rules
+from stratavox.plans import checkpoints
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
