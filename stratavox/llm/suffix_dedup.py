@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from stratavox.plans.checkpoints import cut
 from .textbatch import BYTE_VALUE, flat, mix, powers, slices
 
 LENGTH, K = 100, 24
@@ -366,3 +366,27 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+
+ORACLE_SQL = {
+    "op1_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(generate_series(0, n - 100)) AS s FROM d WHERE n >= 100)
+), late AS (
+  SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM late
+), numbered AS (
+  SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM (SELECT * FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d)
+), kept AS (
+  SELECT d.doc_id, any_value(n) AS n, string_agg(substring(h, 2 * p.a + 1, 2 * (coalesce(p.z, n) - p.a)), '' ORDER BY p.a) AS kept, count(*) - 1 AS n_spans
+  FROM d JOIN pieces p ON p.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - length(kept) // 2 AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM kept
+"""
+}
