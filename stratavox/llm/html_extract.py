@@ -1,11 +1,13 @@
 """HTML extraction with removal of site templates.
 
-A page is read once, tag by tag. Subtrees outside the article are hashed by tag and text; Spark counts in how many pages of its host
-each subtree occurs, and those in at least ``MANY`` pages and ``SHARE`` of the host's pages are the host's template, which is at most subtrees per page / SHARE
-hashes for a host. Pages meet their host's template in a join that is salted by page, so a frequent host is spread over tasks.
+A page is read tag by tag. Subtrees are hashed by tag and text, inside the article only those of containers (``PROSE`` stays there). Spark counts in how many
+different pages of its host each subtree occurs, and those in at least ``MANY`` are the host's template. Pages whose texts are equal before templates go are
+copies of each other and count once, so what recurs only in copies stays; pages that differ in any kept block are different pages.
+Each page meets only those of its own subtrees that are template. Subtrees and pages with ``HOT`` rows or more meet by broadcasts and salts, so a frequent host,
+menu or copy is spread over tasks.
 
 The text is that of the article (the longest ``article``, else ``main``, else the body), without elements that are never
-content, elements whose class, id or role names a menu, notice, advert and the like, and template subtrees.
+content, containers with a whole class, id or role that names a menu, notice, advert and the like, and template subtrees.
 White space inside a block becomes one space; blocks are joined by one newline.
 
 Defined results: a null or empty page has an empty text; a null URL, or one without a host, belongs to the host ""; unclosed elements end with their parent; repeated rows
@@ -22,8 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MANY, SHARE = 5, 0.05
-SALTS = 64
+from stratavox.plans import checkpoints
+
+#: Different pages of a host that a template subtree is in, and rows of a subtree or page that don't meet in one task.
+MANY, HOT = 5, 1000
 
 # What HTML elements are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,11 +35,13 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("nav footer aside form head button select option datalist input dialog menu object canvas audio video label script style textarea title noscript template iframe svg math noframes".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus replies reply respond related recommended recommendations widget toolbar pagination pager skip complementary contentinfo search".split())
+PLACES = frozenset("site main global top bottom left right primary secondary".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption legend summary".split())
+CONTAINERS = BLOCK - frozenset("h1 h2 h3 h4 h5 h6 hr html body article main".split())
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]++|<", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HOST = re.compile(r"^.*?://([^/?#]*)", re.S)
 
 
@@ -44,21 +50,28 @@ def host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a whole name is one of ``NAMES``, or is put together of those and places only (cookie-banner, site-header)."""
+    parts = set(name.replace("_", "-").split("-"))
+    return name in NAMES or (not parts.isdisjoint(NAMES) and parts <= NAMES | PLACES)
+
+
 def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROP or (tag == "header" and not inside):
         return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for m in _NAMED.finditer(attributes):
-            if not NAMES.isdisjoint(_WORD.findall(m[1].lower())):
-                return True
-    return tag == "article" and any(w.startswith("comment") for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1].lower()))
+    if not attributes or not (tag in CONTAINERS or tag == "article"):
+        return False
+    names = [name for m in _NAMED.finditer(attributes) for name in m[1].strip("\"'").lower().split()]
+    if tag == "article":
+        return any(name in ("comment", "comments") or name.startswith("comment-") for name in names)
+    return any(map(_names_boilerplate, names))
 
 
 class Page:
     """One reading of a page: blocks of text, and the elements that span them.
 
     ``blocks`` has (text, dropped); ``roots`` has (tag, first block, end block) of articles and mains; ``subtrees`` has
-    (hash, first block, end block) of block elements outside of those.
+    (hash, first block, end block) of block elements outside of those, and of containers inside.
     """
 
     def __init__(self, html: str):
@@ -143,7 +156,7 @@ class Page:
         self._inside -= root
         if root:
             self.roots.append((tag, first, len(self.blocks)))
-        elif tag in BLOCK and not self._inside and tag not in ("html", "body") and first < len(self.blocks):
+        elif tag in BLOCK and not (self._inside and tag in PROSE) and tag not in ("html", "body") and first < len(self.blocks):
             words = "\n".join([tag, *(text for text, _ in self.blocks[first:])])
             self.subtrees.append((xxhash.xxh64_intdigest(words.encode("utf-8", "replace")) - (1 << 63), first, len(self.blocks)))
 
@@ -161,31 +174,42 @@ class Page:
         return "\n".join(text for (text, _), k in zip(self.blocks, keep, strict=True) if k)
 
 
-def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """Rows (host, template): the hashes of each host's recurring subtrees, where it has any."""
+def templates(keyed: DataFrame, many: int = MANY) -> tuple[DataFrame, DataFrame]:
+    """(key, template) of the pages (key, host, html) that have template subtrees, by their hashes; and (key, copies) of the pages with ``HOT`` rows or more."""
 
     def read(batches):
         for b in batches:
-            hosts, hashes, keys = [], [], []
-            for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                own = host(url)
-                found = {h for h, _, _ in Page(html or "").subtrees}
-                hosts += [own] * (len(found) + 1)
-                hashes += [None, *found]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
-
-    counted = pages.select("url", "html").mapInArrow(read, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    size = counted.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counted.where("hash is not null").where(F.col("n") >= many).join(size, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
-
-
-def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+            contents, hashes = [], []
+            for html in b.column("html").to_pylist():
+                page = Page(html or "")
+                contents.append(xxhash.xxh64_intdigest(page.text(frozenset()).encode("utf-8", "replace")) - (1 << 63))
+                hashes.append(list({h for h, _, _ in page.subtrees}))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("host"), pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "content", "hashes"])
+
+    seen = checkpoints.cut(keyed.mapInArrow(read, "key long, host string, content long, hashes array<long>"))
+    subtrees = seen.select("key", "host", "content", F.explode("hashes").alias("hash")).select("key", "content", "hash", F.xxhash64("host", "hash").alias("subtree"))
+    tally = subtrees.groupBy("subtree", "content").agg(F.count("*").alias("n")).groupBy("subtree").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
+    tally = checkpoints.cut(tally.where((F.col("pages") >= many) | (F.col("n") >= HOT)))
+    hot = tally.where(F.col("n") >= HOT).select("subtree", (F.col("pages") >= many).alias("often"))
+    met = subtrees.select("key", "hash", "subtree").join(F.broadcast(hot), "subtree", "left")
+    cold = met.where(F.col("often").isNull()).join(tally.where(F.col("n") < HOT).select("subtree"), "subtree", "left_semi")
+    found = met.where("often").select("key", "hash").unionByName(cold.select("key", "hash"))
+    copies = seen.groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") >= HOT)
+    return found.groupBy("key").agg(F.collect_set("hash").alias("template")), copies
+
+
+def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     """The rows of pages (url, html, ...) with text and n_chars in place of html."""
-    pages = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars", "__host", "__salt")))
-    known = templates(pages, many, share).withColumnRenamed("host", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars", "__key", "__row", "__salt", "__salts")))
     own_host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    joined = pages.withColumns({"__host": own_host, "__salt": F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")}).join(known, ["__host", "__salt"], "left").drop("__host", "__salt")
+    key = F.xxhash64(own_host, "html")
+    known, copies = templates(pages.select(key.alias("key"), own_host.alias("host"), "html"), many)
+    salts = copies.select(F.col("key").alias("__key"), (F.floor(F.col("copies") / HOT) + 1).alias("__salts"))
+    known = known.withColumnRenamed("key", "__key").join(F.broadcast(salts), "__key", "left")
+    known = known.select("__key", "template", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)).alias("__salt"))
+    salted = pages.withColumns({"__key": key, "__row": F.monotonically_increasing_id()}).join(F.broadcast(salts), "__key", "left")
+    salted = salted.withColumn("__salt", F.pmod("__row", F.coalesce("__salts", F.lit(1)))).drop("__row", "__salts")
+    joined = salted.join(known, ["__key", "__salt"], "left").drop("__key", "__salt")
     rest = [c for c in pages.columns if c != "html"]
     schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")
 

@@ -158,6 +158,27 @@ def test_html_templates(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_template(spark):
+    """Pages copied under several URLs keep their text; menus go on hosts of any size, inside the article too."""
+    story = "<div id='story'><p>Once upon a time.</p><p>The end.</p></div>"
+    rows = [(k, f"http://mirror.example/{k}", f"<head><title>{k}</title></head><body>{story}</body>") for k in range(9)]
+    rows += [(10 + k, f"http://mirror.example/p{k}", f"<body><div>Own {k}</div></body>") for k in range(20)]
+    rows += [(100 + k, "http://big.example/", f"<body>{'<div>Menu</div>' if k < 6 else ''}<div>Text {k}</div></body>") for k in range(200)]
+    rows += [(400 + k, "http://in.example/", f"<article><p>Said</p><div>More on this</div><p>Text {k}</p></article>") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hot in (html_extract.HOT, 3):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(html_extract, "HOT", hot)
+            got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+        assert len(got) == len(rows) and all(got[k] == "Once upon a time.\nThe end." for k in range(9)) and all(got[10 + k] == f"Own {k}" for k in range(20))
+        assert all(got[100 + k] == f"Text {k}" for k in range(200)) and all(got[400 + k] == f"Said\nText {k}" for k in range(6))
+
+
+def test_html_whole_names():
+    page = html_extract.Page("<body><div class='post no-sidebar'><h2 class='header'>A</h2><p class='lead social-history'>b</p></div><div class='x Cookie-Banner'>c</div><ul id=site-nav><li>d</ul></body>")
+    assert page.text(set()) == "A\nb"
+
+
 def test_html_articles_of_the_tables():
     """Blocks of the article, taken out by patterns that fit only these pages."""
     from html import unescape
