@@ -101,6 +101,24 @@ def test_license_differences():
         assert s.rank(t)[0][0] >= license_scan.GAIN
 
 
+def test_license_notices_in_prose_and_wrapped():
+    """Every notice in prose of any length, hard-wrapped in comments, in capitals, and several in one line."""
+    import textwrap
+
+    r, s = random.Random(8), license_scan.Scanner()
+    prose = lambda n: " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    for name, t in license_scan.TEMPLATES:
+        for n in (5, 40, 200):
+            before = prose(n)
+            assert s.scan(f"{before} {t} {prose(n)}") == [(len(before) + 1, name, 1.0, "")]
+        for sign in ("# ", " * ", "// ", "dnl ", ""):
+            assert [x[1] for x in s.scan("\n".join(sign + line for line in textwrap.wrap(f"{prose(9)}. {t} {prose(9)}", 60)))] == [name]
+        assert [x[1] for x in s.scan(t.upper())] == [name]
+        assert [x[1] for x in s.scan(f"{t} {t} All rights reserved.")] == [name, name, "Proprietary"]
+    assert [x[1] for x in s.scan("Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0. Released under the MIT License.")] == ["CC-BY-SA-4.0", "CC-BY-4.0", "MIT"]
+    assert s.scan("the license " * 3000) == [] and s.scan("all rights\n" + " " * 100000) == []
+
+
 # op 3
 
 
