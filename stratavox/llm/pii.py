@@ -3,7 +3,8 @@
 Base spans come from fixed patterns. The field segments the stretches of words around characters that personal data and secrets have:
 each candidate segment of at most ``MOST_WORDS`` words has features of the whole span (composition, checks such as Luhn, lead words), and dynamic
 programming over bounded segments chooses boundaries and types together. Its spans are added where they don't
-overlap a base span; base spans stay.
+overlap a base span; base spans stay. Addresses with a bracketed or spelled "at" or "dot" and access keys are found by their form, wherever they stand.
+Words with punctuation inside (minified JSON, query strings, texts without spaces) are segmented again by their pieces, at whatever length.
 
 The field is trained here, on generated examples with distractors, from a fixed seed; the model is a small matrix. Each text is one task's work;
 nothing is shuffled. Scans are linear in the text: every pattern consumes a run once.
@@ -17,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -77,9 +79,20 @@ _SECRET_WORDS = frozenset("password passwd pwd secret token key apikey api_key a
 _LEAD_WORDS = frozenset("mail email e-mail phone tel call mobile card visa ip address host contact".split())
 _STRIP = ".,;:!?\"'()[]{}<>"
 _WORD = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@=]")
+_TRIGGER = re.compile(rf"[0-9@=]|AKIA|(?<![A-Za-z])(?i:{'|'.join(sorted(_SECRET_WORDS))})(?![A-Za-z])")
 _AT, _DOT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+", re.I), re.compile(r"\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+", re.I)
 
+#: Addresses with a bracketed or spelled "at" or "dot"; a spelled "at" counts only with a "dot" that isn't a plain point.
+_SPELLS = re.compile(r"[\[(]\s*at\s*[\])]|[\[(\s]dot[\])\s]|[\[(]\s+dot", re.I)
+_BRACKET_DOT = r"(?:\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
+_SPELLED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s*[\[(]\s*at\s*[\])]\s*[A-Za-z0-9-]++(?:(?:\.|" + _BRACKET_DOT + r")[A-Za-z0-9-]++)++"
+    r"|(?:\s+at\s+|@)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+" + _BRACKET_DOT + r"[A-Za-z0-9-]++(?:(?:\.|" + _BRACKET_DOT + r")[A-Za-z0-9-]++)*+)", re.I)
+#: Pieces of words between punctuation, and punctuation inside a word.
+_PIECE, _INNER = re.compile(r"[^\s\"'`{}\[\]()<>,;:&?|/\\#!*]+"), re.compile(r"[A-Za-z0-9_=][\"'`{}\[\]()<>,;:&?|/\\#!*]+[A-Za-z0-9_=]")
+_AKIA, _SPLIT = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), re.compile(r"[{}<>,;&?|\"]")
+_NON_ASCII = re.compile(r"[^\x00-\x7F]+|[\x00-\x7F]+")
+
 
 def _trim(s: str) -> tuple[int, int]:
     """Where the span stands without the punctuation around it; an opening bracket or quote that closes inside stays."""
@@ -134,9 +147,9 @@ def _segments(text: str, words: list[tuple[int, int]]) -> np.ndarray:
     for j in range(n):
         for size in range(1, min(MOST_WORDS, j + 1) + 1):
             i = j - size + 1
-            if words[j][1] - words[i][0] <= 200 or size == 1:
-                lead = text[words[i - 1][0] : words[i - 1][1]] if i else ""
-                x[j, size - 1] = features(text[words[i][0] : min(words[j][1], words[i][0] + 200)], lead[-40:])
+            lead = text[max(words[i - 1][0], words[i - 1][1] - 40) : words[i - 1][1]] if i else ""
+            judge = features if words[j][1] - words[i][0] <= 200 else features.__wrapped__  # long spans aren't kept
+            x[j, size - 1] = judge(text[words[i][0] : words[j][1]], lead)
     return x
 
 
@@ -279,14 +292,73 @@ def train(seed: int = 7, rounds: int = 10, rate: float = 0.3, decay: float = 1e-
     return model
 
 
+def _units(text: str) -> tuple[list[tuple[int, int]], dict[int, tuple[str, int]]]:
+    """Words, with each spelled address and access key as one, and (kind, end) of those by start."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    fixed = {m.start(): ("email", m.end()) for m in _SPELLED.finditer(text)} if _SPELLS.search(text) else {}
+    if "AKIA" in text:
+        fixed |= {m.start(): ("secret", m.end()) for m in _AKIA.finditer(text) if not any(a <= m.start() < e for a, (_, e) in fixed.items())}
+    if not fixed:
+        return words, fixed
+    marks, out, k = sorted((a, e) for a, (_, e) in fixed.items()), [], 0
+    for a, b in words:
+        while a < b:
+            while k < len(marks) and marks[k][1] <= a:
+                k += 1
+            x, y = marks[k] if k < len(marks) else (b, b)
+            if x >= b:
+                out.append((a, b))
+                break
+            if a < x:
+                out.append((a, x))
+            if a <= x:
+                out.append((x, y))
+            a = y
+    return out, fixed
+
+
+def _pieces(text: str, words: list[tuple[int, int]], fixed: dict[int, tuple[str, int]]) -> list[tuple[int, int]]:
+    """The words split at punctuation and, where they are long, between ASCII and other letters."""
+    out = []
+    for a, b in words:
+        if a in fixed:
+            out.append((a, b))
+            continue
+        for m in _PIECE.finditer(text, a, b):
+            out += [m.span()] if b - a <= 60 else [n.span() for n in _NON_ASCII.finditer(text, *m.span())]
+    return out
+
+
 def added_spans(model: dict, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The field's spans that don't overlap a base span."""
-    if not _TRIGGER.search(text):
+    """The field's spans that don't overlap a base span: of words first, then of words split at punctuation where they don't overlap those."""
+    if not _TRIGGER.search(text) and not _SPELLS.search(text):
         return []
-    words = [m.span() for m in _WORD.finditer(text)]
+    words, fixed = _units(text)
     taken = sorted((a, b) for _, a, b in base)
-    hot = [i for i, (a, b) in enumerate(words) if _TRIGGER.search(text, a, b)]
-    out, k = [], 0
+    sure = [(kind, a, e) for a, (kind, e) in fixed.items() if not any(x < e and a < y for x, y in _near(taken, a, e))]
+    taken = sorted([*taken, *((a, b) for _, a, b in sure)])
+    runs = list(_stretches(text, words, fixed))
+    out = _free(model, text, runs, taken)
+    inner = []
+    for run in runs:
+        if any(b - a >= 8 and a not in fixed and _TRIGGER.search(text, a, b) and (_INNER.search(text, a, b) or b - a > 60) for a, b in run):
+            inner += _stretches(text, _pieces(text, run, fixed), fixed)
+    # Of a span with separators inside, the piece that is meant; a long one without such a piece, or a rest beside a sure span, is no single datum.
+    wide = [x for x in out if _SPLIT.search(text, x[1], x[2]) or x[2] - x[1] > 60]
+    out = [x for x in out if x not in wide]
+    fine = [x for x in _free(model, text, inner, sorted([*taken, *((a, b) for _, a, b in out)])) if _TRIGGER.search(text, x[1], x[2]) and (x[0] != "email" or "@" in text[x[1] : x[2]])]
+    starts, edges = sorted(a for _, a, _ in [*fine, *sure]), {x for _, a, b in sure for x in (a, b)}
+    wide = [x for x in wide if x[2] - x[1] <= 200 and bisect_left(starts, x[1]) == bisect_left(starts, x[2]) and edges.isdisjoint(x[1:])]
+    out = [x for x in out if edges.isdisjoint(x[1:])]
+    held = sorted((a, b) for _, a, b in wide)
+    out += [*wide, *(x for x in fine if not any(a < x[2] and x[1] < b for a, b in _near(held, x[1], x[2])))]
+    return [*sure, *out]
+
+
+def _stretches(text: str, words: list[tuple[int, int]], fixed: dict[int, tuple[str, int]]):
+    """The stretches of words around triggers."""
+    hot = [i for i, (a, b) in enumerate(words) if a in fixed or _TRIGGER.search(text, a, b)]
+    k = 0
     while k < len(hot):
         first = max(0, hot[k] - BESIDE)
         last = hot[k] + BESIDE
@@ -294,7 +366,14 @@ def added_spans(model: dict, text: str, base: list[tuple[str, int, int]]) -> lis
             k += 1
             last = hot[k] + BESIDE
         k += 1
-        for kind, a, b in segment(model, text, words[first : last + 1]):
+        yield words[first : last + 1]
+
+
+def _free(model: dict, text: str, runs, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The field's spans over the runs that don't overlap those taken or each other."""
+    out: list[tuple[str, int, int]] = []
+    for run in runs:
+        for kind, a, b in segment(model, text, run):
             if b > a and not any(x < b and a < y for x, y in _near(taken, a, b)) and not any(x < b and a < y for _, x, y in out[-8:]):
                 out.append((kind, a, b))
     return out
@@ -302,8 +381,6 @@ def added_spans(model: dict, text: str, base: list[tuple[str, int, int]]) -> lis
 
 def _near(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
     """The base spans that may overlap [a, b): spans of several kinds may overlap each other, so a few before are looked at."""
-    from bisect import bisect_left
-
     return taken[max(0, bisect_left(taken, (a, a)) - 8) : bisect_left(taken, (b, b))]
 
 
