@@ -5,28 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: greater neighbours of u point to u's least neighbour; small star: lesser neighbours and u itself do."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both if large else both.where(F.col("v") < F.col("u"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least, "u")
-    moved = joined.where(F.col("v") > F.col("u")) if large else joined.where(F.col("v") != F.col("m")).unionByName(least.select("u", F.col("u").alias("v"), "m"))
+    """Large star: greater neighbours of u point to u's least neighbour; small star: lesser neighbours and u itself do.
+
+    Least neighbours are partial aggregates; the join back on nodes with very many neighbours is split by adaptive execution. In a large star only
+    neighbours greater than u move.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    if large:
+        moved = both.where(F.col("v") > F.col("u")).join(least, "u")
+    else:
+        moved = both.join(least, "u").where(F.col("v") != F.col("m")).select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Rows (node, component) for each node with an edge; the component is its least node. edges: (u, v), longs."""
+    """Rows (node, component) for each node with an edge; the component is its least node. edges: (u, v), longs.
+
+    Edges are kept as (greater, lesser). Rounds grow with the logarithm of the longest chain.
+    """
     edges = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == mark:
+        moved = cut(_star(_star(edges, True), False))
+        drop(edges)
+        edges = moved
+        # done once every node hangs from one root: steps keep connection, so such stars are the components
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        if ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child + parent > 1").isEmpty():
             break
-        mark = (row[0], row[1])
-    roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
