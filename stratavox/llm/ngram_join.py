@@ -11,14 +11,15 @@ threshold, or when all below is linked already; what is left is compared by whol
 split by size into blocks, and each pair of blocks with matching sizes is a task's work of its own, so no task holds an unbounded group.
 
 First each class is looked at in one bucket only; then, once linked classes are components, buckets within one component are dropped and
-the others are walked whole. Every link between different texts is found or implied by others.
+the others are walked whole. Every link between different texts is found or implied by others. The first walk looks only at neighbouring blocks, so its work is linear in a bucket's
+size; the second leaves out pairs of blocks that are one component already.
 
-Identity of words is a 64-bit hash and that of n-grams its lower 48 bits, so two texts of a thousand n-grams seem to share one that they
-don't share in one of 10**8 comparisons. n-grams travel from the counting scan packed, grouped by class, in binary rows by hash range.
+Words and n-grams are compared by 64-bit hashes. While n-grams are counted and buckets made, the lower 48 bits stand for them, which can only add candidates.
+n-grams travel from the counting scan packed, grouped by class, in binary rows by hash range. Classes are named by a 64-bit sum over their n-grams.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer words than an
 n-gram is one n-gram of all its words; rows that share a doc_id are one document with several texts, which joins their classes;
-a null doc_id takes the least doc_id of its component, or null.
+a null doc_id takes the least doc_id of its component, or null; texts without a doc_id link others like any text.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from stratavox.plans.checkpoints import cut
 from stratavox.plans.graph import connected_components
+from stratavox.plans.skew import attach
 from .textbatch import IS_SPACE, flat, gram_hash, mix, slices, span_hash, spans
 
 WIDTH, PERCENT = 4, 85
@@ -44,7 +46,6 @@ PACK_BYTES = 10 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BITS = np.uint64((1 << 48) - 1)
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -52,14 +53,14 @@ def gram_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]
     data = _LOWER[data]
     start, end, first = spans(~IS_SPACE[data], off)
     words = span_hash(data, start, end)
-    grams = gram_hash(words, width) & _BITS
+    grams = gram_hash(words, width)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
             x = np.sort(grams[a : b - width + 1])
             out.append(x[np.r_[True, x[1:] != x[:-1]]])
         elif b > a:
-            out.append(mix(gram_hash(words[a:b], b - a) + np.uint64(b - a)) & _BITS)
+            out.append(mix(gram_hash(words[a:b], b - a) + np.uint64(b - a)))
         else:
             out.append(grams[:0])
     return out
@@ -89,15 +90,15 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, f1, f2): the set's size and key for each row of docs."""
+    """Rows (doc_id, t, n, f1, f2): the text's hash, and the set's size and key, for each row of docs (doc_id, t, text)."""
 
     def run(batches):
         for b in batches:
             for i, j, sets in _sets(b, width):
                 keys = np.array([class_key(x) for x in sets], dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "t", "n", "f1", "f2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, f1 long, f2 long")
 
 
 # Packed n-grams: each row has a key (a range of hashes, or of classes) and, grouped by class, the class keys, sizes, counts and hashes.
@@ -323,17 +324,31 @@ def candidates(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, si
     return found
 
 
-def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between components, from rows (g, f, label, n); store has (f, cid, bitmap, grams).
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (g, n, f, ...) with their block b: ascending by size n within a bucket g, of about BLOCK rows.
 
-    Buckets of more than BLOCK classes become pairs of blocks of sizes that can match. Bitmaps alone go to every bucket first; whole sets
-    follow only for the classes that may have a partner there.
+    Places come from counts by bucket and size; rows of one size are dealt to blocks by hash, so no task sorts a bucket.
     """
-    by_size = Window.partitionBy("g").orderBy("n", "f")
-    blocked = cut(rows.withColumn("b", F.floor((F.row_number().over(by_size) - 1) / BLOCK)))
-    ranges = blocked.groupBy("g", "b").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = ranges.select("g", F.col("b").alias("b2"), F.col("least").alias("least2"))
-    pairs = ranges.join(other, "g").where((F.col("b") <= F.col("b2")) & (100 * F.col("most") >= percent * F.col("least2"))).select("g", F.col("b").alias("b1"), "b2")
+    before = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut(rows.groupBy("g", "n").agg(F.count("*").alias("own")).withColumn("start", F.coalesce(F.sum("own").over(before), F.lit(0))))
+    placed = attach(rows, cells, ["g", "n"], "own")
+    return placed.withColumn("b", F.floor(F.col("start") / BLOCK) + F.pmod(F.xxhash64("f"), F.ceil(F.col("own") / BLOCK))).drop("own", "start")
+
+
+def walk_buckets(rows: DataFrame, store: DataFrame, percent: int, all_blocks: bool) -> DataFrame:
+    """Edges (u, v) between components, from rows (g, f, label, n), a cut; store has (f, bitmap, grams).
+
+    Buckets of more than BLOCK classes become pairs of blocks of sizes that can match: each with itself and the next, or all that aren't one component.
+    Bitmaps alone go to every bucket first; whole sets follow only for the classes that may have a partner there.
+    """
+    blocked = cut(in_blocks(rows))
+    ranges = cut(blocked.groupBy("g", "b").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")))
+    other = ranges.select("g", *(F.col(c).alias(f"{c}2") for c in ("b", "least", "lo", "hi")))
+    if all_blocks:
+        met = ranges.join(other, "g").where("b <= b2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    else:
+        met = ranges.withColumn("b2", F.explode(F.array("b", F.col("b") + 1))).join(other, ["g", "b2"])
+    pairs = cut(met.where(100 * F.col("most") >= percent * F.col("least2")).select("g", F.col("b").alias("b1"), "b2"))
     first = blocked.join(pairs.withColumn("b", F.col("b1")), ["g", "b"]).withColumn("side", F.lit(0))
     second = blocked.join(pairs.where("b1 < b2").withColumn("b", F.col("b2")), ["g", "b"]).withColumn("side", F.lit(1))
     task = first.unionByName(second).select("g", "b1", "b2", "side", "f", "label", "n")
@@ -344,12 +359,12 @@ def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
         return t.filter(pa.array(candidates(size, maps, label, side, percent))).select(["g", "b1", "b2", "side", "f", "label"])
 
     marked = task.join(store.select("f", "bitmap"), "f")
-    task = marked.groupBy("g", "b1", "b2").applyInArrow(sift, "g long, b1 long, b2 long, side int, f long, label long").join(store.select("f", "cid", "grams"), "f")
+    task = marked.groupBy("g", "b1", "b2").applyInArrow(sift, "g long, b1 long, b2 long, side int, f long, label long").join(store.select("f", "grams"), "f")
 
     def run(t: pa.Table) -> pa.Table:
-        side, cid, label = (np.asarray(t.column(k).combine_chunks()) for k in ("side", "cid", "label"))
-        sets = [from_six_bytes(x) for x in t.column("grams").to_pylist()]
-        order = sorted(range(len(sets)), key=lambda k: (side[k], len(sets[k]), cid[k]))
+        side, f, label = (np.asarray(t.column(k).combine_chunks()) for k in ("side", "f", "label"))
+        sets = [np.frombuffer(x, dtype="<u8") for x in t.column("grams").to_pylist()]
+        order = sorted(range(len(sets)), key=lambda k: (side[k], len(sets[k]), f[k]))
         left, right = [k for k in order if side[k] == 0], [k for k in order if side[k] == 1]
         done = left + right
         if len(done) < 2:
@@ -364,17 +379,18 @@ def walk_buckets(rows: DataFrame, store: DataFrame, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs (doc_id long, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     keys = cut(keyed(docs, width))
-    classes = cut(keys.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid")))
+    # a class is named by f; one of its texts stands for it, found by hash and doc_id (which may be null)
+    classes = cut(keys.where("n > 0").groupBy(F.col("f1").alias("f"), "f2", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct("t", "doc_id")).alias("own")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = shared_grams(packed_grams(docs, width, 1 + total // RANGE_GRAMS), 1 + total // RANGE_GRAMS)
-    of_gram = Window.partitionBy("s")
-    name = lambda salt: F.sum(F.xxhash64(F.col("f"), F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))).over(of_gram)
-    bucketed = prefixes(shared, percent).withColumns({"g": F.xxhash64(name(1), name(2)), "c": F.count("*").over(of_gram)})  # buckets with the same members are one
-    rows = cut(bucketed.where("c > 1").select("g", "c", "f", "n").distinct())
-    named = classes.where(F.col("cid").isNotNull()).select(F.col("f1").alias("f"), "f2", "cid")
-    wanted = rows.select("f").distinct().join(named, "f").select("f", "f2", "cid")
+    prefix = cut(prefixes(shared, percent))
+    member = lambda salt: F.bit_xor(F.xxhash64("f", F.lit(salt)))
+    grams = prefix.groupBy("s").agg(member(1).alias("one"), member(2).alias("two"), F.count("*").alias("c")).where("c > 1")
+    grams = cut(grams.select("s", F.xxhash64("one", "two", "c").alias("g"), "c"))  # buckets with the same members are one
+    rows = cut(attach(prefix, grams, ["s"], "c").select("g", "c", "f", "n").distinct())
+    wanted = rows.select("f").distinct().join(classes, "f").select("f", "f2", F.col("own.t").alias("own_t"), F.col("own.doc_id").alias("own_id"))
 
     def gather(batches):
         for b in batches:
@@ -383,28 +399,28 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
             for _, _, sets in _sets(b, width):
                 hit = [k for k, x in enumerate(sets) if class_key(x) == (f[at + k], f2[at + k])]
                 rows_at = pa.array([at + k for k in hit], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), b.column("cid").take(rows_at), pa.array([bitmap(sets[k], width_of(len(sets[k]), 2)).tobytes() for k in hit], pa.binary()), pa.array([six_bytes(sets[k]) for k in hit], pa.binary())], names=["f", "cid", "bitmap", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column("f").take(rows_at), pa.array([bitmap(sets[k], width_of(len(sets[k]), 2)).tobytes() for k in hit], pa.binary()), pa.array([sets[k].astype("<u8").tobytes() for k in hit], pa.binary())], names=["f", "bitmap", "grams"])
                 at += len(sets)
 
-    texts = docs.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id").select("f", "f2", F.col("doc_id").alias("cid"), "text")
-    store = cut(texts.mapInArrow(gather, "f long, cid long, bitmap binary, grams binary").dropDuplicates(["f", "cid"]))
-    owners = store.select("f", "cid")
+    texts = docs.join(wanted, (F.col("t") == F.col("own_t")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("f", "f2", "text")
+    store = cut(texts.mapInArrow(gather, "f long, bitmap binary, grams binary").dropDuplicates(["f"]))
 
-    same_doc = keys.where("n > 0 and doc_id is not null").join(classes, ["f1", "f2", "n"]).select(F.col("cid").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
-    several = same_doc.join(named.select(F.col("cid").alias("v")).distinct(), "v", "left_semi").select("u", "v")  # a doc_id of two classes
+    several = cut(keys.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("u"), F.max("f1").alias("most")).where("u < most").select("doc_id", "u"))
+    same_doc = keys.where("n > 0").join(several, "doc_id").select("u", F.col("f1").alias("v")).where("u <> v").distinct()  # a doc_id of several classes
     largest = rows.join(rows.groupBy("f").agg(F.max_by("g", F.struct("c", "g")).alias("g")), ["f", "g"])
-    started = largest.join(owners, "f").select("g", "f", "n", F.col("cid").alias("label"))
-    edges = cut(walk_buckets(started, store, percent).unionByName(several))
+    edges = cut(walk_buckets(cut(largest.select("g", "f", "n", F.col("f").alias("label"))), store, percent, False).unionByName(same_doc))
     labels = cut(connected_components(edges))
 
-    labelled = rows.join(owners, "f").join(labels, F.col("cid") == F.col("node"), "left").select("g", "f", "n", F.coalesce("component", "cid").alias("label"))
-    in_bucket = Window.partitionBy("g")
-    open_rows = labelled.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket)}).where("lo < hi").select("g", "f", "n", "label")
-    more = cut(walk_buckets(open_rows, store, percent))
+    labelled = cut(rows.join(labels, F.col("f") == F.col("node"), "left").select("g", "f", "n", F.coalesce("component", "f").alias("label")))
+    open_buckets = cut(labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("own")).where("lo < hi").select("g", "own"))
+    more = cut(walk_buckets(cut(attach(labelled, open_buckets, ["g"], "own").drop("own")), store, percent, True))
     labels = cut(connected_components(edges.unionByName(more)))
 
-    out = keys.join(classes, ["f1", "f2", "n"], "left").join(labels, F.col("cid") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+    named = cut(classes.join(labels, F.col("f") == F.col("node"), "left").select(F.col("f").alias("f1"), "f2", "n", "least", F.coalesce("component", "f").alias("label")))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_class = cut(named.join(least, "label").select("f1", "f2", "n", "component_id"))
+    out = keys.join(of_class, ["f1", "f2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -415,6 +415,8 @@ def test_ngram_join(spark, texts, width, percent, block, monkeypatch):
         base[r.randrange(80)] = f"new{k}"
         chain.append((700 + k, " ".join(base)))
     rows = texts + chain
+    if width == 1:
+        rows += [(900 + k, " ".join(f"v{(7 * k + j) % 90}" for j in range(70))) for k in range(60)]  # a bucket of one size in many blocks
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.components(frame(spark, rows, True), width, percent).collect()}
     assert got == linked_by_force(rows, width, percent)
 
@@ -425,6 +427,19 @@ def test_ngram_join_edges(spark):
     assert ngram_join.components(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_links_through_null_ids(spark):
+    """A text without an id between two with one, near copies without any id, and a doc_id of two texts."""
+    r = random.Random(12)
+    chain = [words_of(r, 60, 500).split()]
+    for k in range(3):
+        chain.append([*chain[-1][: 20 * k], f"new{k}", *chain[-1][20 * k + 1 :]])
+    other, last = words_of(r, 60, 500).split(), words_of(r, 60, 500)
+    rows = [(9, chain[0]), (None, chain[1]), (None, chain[1]), (None, chain[2]), (4, chain[3]), (None, other), (None, [*other[:-1], "end"])]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(70, last), (70, " ".join(chain[0])), (71, last)]
+    got = sorted((x.doc_id or -1, x.component_id or -1) for x in ngram_join.components(frame(spark, rows)).collect())
+    assert got == [(-1, -1)] * 2 + [(-1, 4)] * 3 + [(4, 4), (9, 4), (70, 4), (70, 4), (71, 4)]
+
+
 # op 10
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
