@@ -372,13 +372,88 @@ def test_url_rules(spark):
     assert url_filters.judge(df.limit(0), none).count() == 0
 
 
+def tokens_by_force(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    h = m[1].lower() if m else ""
+    if not h:
+        return frozenset()
+    labels = h.split(".")
+    out = {f"host:{h}", "domain:" + ".".join(labels[-2:]), *(f"label:{x}" for x in labels[:-2])}
+    out |= {f"path:{w}" for w in re.split("[/._-]+", m[2]) if w and not w.isdigit()}
+    q = re.match(r"(?s)^[^?#]*\?([^#]*)", url)
+    out |= {f"query:{k}" for k in (x.split("=")[0] for x in q[1].split("&")) if k} if q else set()
+    return frozenset(out | ({"fragment"} if "#" in url else set()))
+
+
+def mined_by_force(rows, support, confidence, deviations):
+    """All token sets of up to four tokens, and the rules among them that no shorter one covers."""
+    from itertools import combinations
+
+    baskets = [(tokens_by_force(u), bad) for u, bad in rows]
+    base = sum(b for _, b in baskets) / len(baskets)
+    n, n_bad = {}, {}
+    for t, bad in baskets:
+        for size in (1, 2, 3, 4):
+            for c in combinations(sorted(t), size):
+                n[c] = n.get(c, 0) + 1
+                n_bad[c] = n_bad.get(c, 0) + bad
+    rules = {c: n_bad[c] / n[c] for c in n if n_bad[c] >= support * len(rows) and n_bad[c] / n[c] >= confidence and n_bad[c] / n[c] - base >= deviations * (base * (1 - base) / n[c]) ** 0.5}
+    return {c: p for c, p in rules.items() if not any(set(d) < set(c) and q >= p for d, q in rules.items())}
+
+
 def test_url_rules_learned(spark):
-    rows = [(f"http://s{k % 7}.ex.org/{'casino' if k % 5 == 0 else 'news'}/{k}", k % 5 == 0) for k in range(200)]
-    rules = url_filters.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 0.8)
-    found = {tuple(r.antecedent) for r in rules.collect()}
-    assert ("path:casino",) in found and all("path:casino" in a for a in found)
-    pages = spark.createDataFrame([(1, "http://new.ex.org/casino/9"), (2, "http://s1.ex.org/news/9"), (1, "http://new.ex.org/casino/9")], "page_id long, url string")
-    assert sorted((r.page_id, r.verdict) for r in url_filters.judge(pages, rules).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+    """Mining and matching against brute force: URLs with digits in words, many labels and very many words, noise, and tokens that stand together."""
+    r = random.Random(4)
+    urls = []
+    for k in range(400):
+        bad = r.random() < (0.95 if k % 5 == 0 else 0.5 if k % 7 == 0 else 0.1)
+        words = ["casino7" if k % 5 == 0 else "news", *(["free", "win365"] if k % 7 == 0 else []), r.choice("abc"), str(k)]
+        urls.append((f"http://{'a.b.c.' if k % 3 else ''}s{k % 7}.ex.org/{'/'.join(words)}" + ("?id=1&q#x" if k % 11 == 0 else ""), bad))
+    rules = url_filters.mine(spark.createDataFrame(urls, "url string, bad boolean"), 0.02, 0.5, 3.0)
+    got = {tuple(x.antecedent): x.confidence for x in rules.collect()}
+    want = mined_by_force(urls, 0.02, 0.5, 3.0)
+    # of tokens that always stand together one stands for all, so each rule here covers the same rows as one found by force, and the other way round
+    rows_of = lambda c: frozenset(k for k, (u, _) in enumerate(urls) if set(c) <= tokens_by_force(u))
+    assert ("path:casino7",) in got and {rows_of(c): pytest.approx(p) for c, p in got.items()} == {rows_of(c): p for c, p in want.items()}
+    long = "http://" + ".".join(f"l{k}" for k in range(40)) + ".ex.org/" + "/".join(f"w{k}x" for k in range(3000)) + "/casino7"
+    pages = [(k, u) for k, (u, _) in enumerate(urls[:60])] + [(900, long), (900, long), (901, None), (902, "nothing")]
+    for limit in (20_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(url_filters, "BROADCAST_RULES", limit)
+            out = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
+        assert len(out) == len(pages)
+        for x in out:
+            own = tokens_by_force(dict(pages)[x.page_id])
+            assert (x.verdict == "block") == any(set(c) <= own for c in got)
+            assert x.learned is None or got[tuple(x.learned.split("\x1f"))] == max(p for c, p in got.items() if set(c) <= own)
+
+
+def test_url_noise_makes_no_rule(spark):
+    r = random.Random(5)
+    rows = [(f"http://s{k % 9}.ex.org/{r.choice('abcdef')}/{r.choice('uvwxyz')}/{k}", r.random() < 0.4) for k in range(500)]
+    assert url_filters.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.005).count() == 0
+    assert url_filters.mine(spark.createDataFrame([], "url string, bad boolean")).count() == 0
+
+
+RULE_SQL = r"""
+WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS m FROM pages),
+u AS (SELECT page_id, translate(m.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, m.p AS path FROM p),
+r(say, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || r.p, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS rule, arg_max(say, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS said
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id
+"""
+
+
+def test_url_rules_equal_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = {x[0]: x[1:] for x in c.execute(RULE_SQL).fetchall()}
+    for x in url_filters.op8_url_filters(spark, "/root/testdata/sf0.01").collect():
+        h, p, rule, said = want[x.page_id]
+        assert (x.host, x.path, x.rule) == (h, p, rule) and x.verdict in (said, "allow" if said is None and x.learned is None else "block" if said is None else said)
 
 
 # op 9
