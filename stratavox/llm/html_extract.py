@@ -2,16 +2,19 @@
 
 A page is read tag by tag. Subtrees are hashed by tag and text, inside the article only those of containers (``PROSE`` stays there). Spark counts in how many
 different pages of its host each subtree occurs, and those in at least ``MANY`` are the host's template. Pages whose texts are equal before templates go are
-copies of each other and count once, so what recurs only in copies stays; pages that differ in any kept block are different pages.
-Each page meets only those of its own subtrees that are template. Subtrees and pages with ``HOT`` rows or more meet by broadcasts and salts, so a frequent host,
-menu or copy is spread over tasks.
+copies of each other and count once, so what recurs only in copies stays. Near copies of a page differ in some block; where templates would take all prose
+of a page and little else, it stays.
+
+Templates of proven number are broadcast as 64-bit ids and pages are read again where they lie; more meet the pages by shuffles, in which subtrees and
+pages with ``HOT`` rows or more are broadcast or salted, so a frequent host, menu or copy is spread over tasks.
 
 The text is that of the article (the longest ``article``, else ``main``, else the body), without elements that are never
-content, containers with a whole class, id or role that names a menu, notice, advert and the like, and template subtrees.
+content, containers with a whole class, id or role that names a menu, notice, advert and the like, and template subtrees. A container that is so
+named stays if it holds the page's title or nearly all of the text. A dropped element inside a sentence doesn't split it.
 White space inside a block becomes one space; blocks are joined by one newline.
 
 Defined results: a null or empty page has an empty text; a null URL, or one without a host, belongs to the host ""; unclosed elements end with their parent; repeated rows
-are extracted alike and count as one page of their host; an empty table gives an empty result.
+are extracted alike and count as one page of their host; an empty table gives an empty result; columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.plans import checkpoints
 
 #: Different pages of a host that a template subtree is in, and rows of a subtree or page that don't meet in one task.
 MANY, HOT = 5, 1000
+#: Templates that are broadcast (eight bytes each), and the part of a text that counts as nearly all of it.
+BROADCAST_TEMPLATES, NEARLY_ALL = 1_000_000, 0.9
 
 # What HTML elements are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,12 +48,6 @@ IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]++|<", re.S)
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HOST = re.compile(r"^.*?://([^/?#]*)", re.S)
-
-
-def host(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
 
 
 def _names_boilerplate(name: str) -> bool:
@@ -56,32 +56,36 @@ def _names_boilerplate(name: str) -> bool:
     return name in NAMES or (not parts.isdisjoint(NAMES) and parts <= NAMES | PLACES)
 
 
-def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROP or (tag == "header" and not inside):
-        return True
-    if not attributes or not (tag in CONTAINERS or tag == "article"):
-        return False
-    names = [name for m in _NAMED.finditer(attributes) for name in m[1].strip("\"'").lower().split()]
+def _names(attributes: str) -> list[str]:
+    return [name for m in _NAMED.finditer(attributes) for name in m[1].strip("\"'").lower().split()]
+
+
+def _never_content(tag: str, attributes: str, inside: bool) -> bool:
+    """Elements that are out by their tag, and articles that are comments."""
     if tag == "article":
-        return any(name in ("comment", "comments") or name.startswith("comment-") for name in names)
-    return any(map(_names_boilerplate, names))
+        return any(name in ("comment", "comments") or name.startswith("comment-") for name in _names(attributes))
+    return tag in DROP or (tag == "header" and not inside)
 
 
 class Page:
     """One reading of a page: blocks of text, and the elements that span them.
 
-    ``blocks`` has (text, dropped); ``roots`` has (tag, first block, end block) of articles and mains; ``subtrees`` has
-    (hash, first block, end block) of block elements outside of those, and of containers inside.
+    ``blocks`` has (text, dropped, prose); ``roots`` has (tag, first block, end block) of articles and mains by number, in the order of their starts; ``named`` has (first
+    block, end block, whether a title is in it, number of the root around it) of containers with a name of boilerplate; ``subtrees`` has (hash, first block, end block) of block elements
+    outside of roots, and of containers inside.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool]] = []
-        self.roots: list[tuple[str, int, int]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
+        self.roots: dict[int, tuple[str, int, int]] = {}
+        self.named: list[tuple[int, int, bool, int]] = []
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
-        self._open: list[list] = []  # tag, first block, drops, root
+        self._aside: list[list[str]] = []  # sentences around open inline elements that are dropped
+        self._open: list[list] = []  # tag, first block, drops, root, named, titles before
+        self._within = [0]  # numbers of the open roots; 0 is the page
         self._count: dict[str, int] = {}
-        self._drops = self._inside = 0
+        self._drops = self._inside = self._prose = self._titles = self._numbered = 0
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() < at:
@@ -106,7 +110,7 @@ class Page:
         text = " ".join(unescape("".join(self._text)).split())
         self._text = []
         if text:
-            self.blocks.append((text, self._drops > 0))
+            self.blocks.append((text, self._drops > 0, self._prose > 0))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
@@ -120,14 +124,21 @@ class Page:
             self._text.append(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             return
-        drops = _is_boilerplate(tag, attributes, self._inside > 0)
-        if drops and not self._drops:
-            self._flush()
+        drops = _never_content(tag, attributes, self._inside > 0)
+        if drops and tag not in BLOCK:
+            self._aside.append(self._text)
+            self._text = []
+        named = bool(attributes) and not drops and tag in CONTAINERS and any(map(_names_boilerplate, _names(attributes)))
         root = tag in ("article", "main") and not drops and not self._drops
-        self._open.append([tag, len(self.blocks), drops, root])
+        self._open.append([tag, len(self.blocks), drops, root, named, self._titles])
         self._count[tag] = self._count.get(tag, 0) + 1
         self._drops += drops
         self._inside += root
+        if root:
+            self._within.append(self._numbered + 1)
+            self._numbered += 1
+        self._prose += tag in PROSE
+        self._titles += tag == "h1" and not self._drops
 
     def _end_to(self, tag: str, fences: frozenset) -> None:
         """Ends the nearest open element of that tag, unless a fence stands before it."""
@@ -148,77 +159,129 @@ class Page:
             self._close()
 
     def _close(self) -> None:
-        tag, first, drops, root = self._open.pop()
+        tag, first, drops, root, named, titles = self._open.pop()
         if tag in BLOCK or drops:
             self._flush()
         self._count[tag] -= 1
         self._drops -= drops
         self._inside -= root
+        self._prose -= tag in PROSE
+        if drops and tag not in BLOCK:
+            self._text = [*self._aside.pop(), " "]
+        if named:
+            self.named.append((first, len(self.blocks), self._titles > titles, self._within[-1]))
         if root:
-            self.roots.append((tag, first, len(self.blocks)))
+            self.roots[self._within.pop()] = (tag, first, len(self.blocks))
         elif tag in BLOCK and not (self._inside and tag in PROSE) and tag not in ("html", "body") and first < len(self.blocks):
-            words = "\n".join([tag, *(text for text, _ in self.blocks[first:])])
-            self.subtrees.append((xxhash.xxh64_intdigest(words.encode("utf-8", "replace")) - (1 << 63), first, len(self.blocks)))
-
-    def text(self, template: frozenset[int] | set[int]) -> str:
-        keep = [not dropped for _, dropped in self.blocks]
-        for h, a, b in self.subtrees:
-            if h in template:
-                keep[a:b] = [False] * (b - a)
-        size = lambda r: sum(len(self.blocks[k][0]) for k in range(r[1], r[2]) if keep[k])
+            words = "\n".join([tag, *(block[0] for block in self.blocks[first:])])
+            self.subtrees.append((xxhash.xxh64_intdigest(words.encode("utf-8", "replace")), first, len(self.blocks)))
+
+    def ids(self, host: str) -> list[int]:
+        """Of the subtrees on a host, as signed longs, in their order."""
+        salt = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
+        return [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=salt) - (1 << 63) for h, _, _ in self.subtrees]
+
+    def text(self, template: frozenset[int] | set[int] = frozenset(), host: str = "") -> str:
+        keep = [not dropped for _, dropped, _ in self.blocks]
+        size = lambda a, b: sum(len(self.blocks[k][0]) for k in range(a, b) if keep[k])
+        if template:
+            self._without(keep, [(a, b) for h, (_, a, b) in zip(self.ids(host), self.subtrees, strict=True) if h in template])
+        scopes = {0: ("", 0, len(keep)), **self.roots}
+        whole = {k: size(a, b) for k, (_, a, b) in scopes.items()}
+        named = [(a, b, k) for a, b, title, k in self.named if not title and size(a, b) < NEARLY_ALL * whole[k]]
+        roots = [r for k, r in self.roots.items() if not any(a <= r[1] and r[2] <= b and k > own for a, b, own in named)]
+        for a, b, _ in named:
+            keep[a:b] = [False] * (b - a)
         for tag in ("article", "main"):
-            found = [r for r in self.roots if r[0] == tag]
+            found = [r for r in roots if r[0] == tag]
             if found:
-                _, a, b = max(found, key=lambda r: (size(r), -r[1]))
+                _, a, b = max(found, key=lambda r: (size(r[1], r[2]), -r[1]))
                 return "\n".join(self.blocks[k][0] for k in range(a, b) if keep[k])
-        return "\n".join(text for (text, _), k in zip(self.blocks, keep, strict=True) if k)
+        return "\n".join(block[0] for block, k in zip(self.blocks, keep, strict=True) if k)
+
+    def _without(self, keep: list[bool], spans: list[tuple[int, int]]) -> None:
+        """Drops template subtrees, but not all prose of a page if it is more than half of what would be dropped."""
+        gone = {k for a, b in spans for k in range(a, b) if keep[k]}
+        prose = {k for k in gone if self.blocks[k][2]}
+        length = lambda ks: sum(len(self.blocks[k][0]) for k in ks)
+        if 2 * length(prose) > length(gone) and not any(keep[k] and self.blocks[k][2] for k in range(len(keep)) if k not in gone):
+            gone -= prose
+        for k in gone:
+            keep[k] = False
+
 
+def own_host() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
-def templates(keyed: DataFrame, many: int = MANY) -> tuple[DataFrame, DataFrame]:
-    """(key, template) of the pages (key, host, html) that have template subtrees, by their hashes; and (key, copies) of the pages with ``HOT`` rows or more."""
+
+def page_subtrees(keyed: DataFrame) -> DataFrame:
+    """Rows (key, content, subtrees) of pages (key, host, html): a hash of the text before templates go, and the distinct ids of the subtrees."""
 
     def read(batches):
         for b in batches:
-            contents, hashes = [], []
-            for html in b.column("html").to_pylist():
+            contents, ids = [], []
+            for html, of in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), strict=True):
                 page = Page(html or "")
-                contents.append(xxhash.xxh64_intdigest(page.text(frozenset()).encode("utf-8", "replace")) - (1 << 63))
-                hashes.append(list({h for h, _, _ in page.subtrees}))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("host"), pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "content", "hashes"])
-
-    seen = checkpoints.cut(keyed.mapInArrow(read, "key long, host string, content long, hashes array<long>"))
-    subtrees = seen.select("key", "host", "content", F.explode("hashes").alias("hash")).select("key", "content", "hash", F.xxhash64("host", "hash").alias("subtree"))
-    tally = subtrees.groupBy("subtree", "content").agg(F.count("*").alias("n")).groupBy("subtree").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
-    tally = checkpoints.cut(tally.where((F.col("pages") >= many) | (F.col("n") >= HOT)))
+                contents.append(xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace")) - (1 << 63))
+                ids.append(list(set(page.ids(of))))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(contents, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["key", "content", "subtrees"])
+
+    return keyed.mapInArrow(read, "key long, content long, subtrees array<long>")
+
+
+def tally_of(seen: DataFrame) -> DataFrame:
+    """Rows (subtree, pages, n): the different pages and the rows that have a subtree."""
+    each = seen.select("content", F.explode("subtrees").alias("subtree")).groupBy("subtree", "content").agg(F.count("*").alias("n"))
+    return each.groupBy("subtree").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
+
+
+def templates_of_pages(seen: DataFrame, tally: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """(key, template) of the pages that have template subtrees; and (key, copies) of the pages with ``HOT`` rows or more."""
+    subtrees = seen.select("key", F.explode("subtrees").alias("subtree"))
     hot = tally.where(F.col("n") >= HOT).select("subtree", (F.col("pages") >= many).alias("often"))
-    met = subtrees.select("key", "hash", "subtree").join(F.broadcast(hot), "subtree", "left")
-    cold = met.where(F.col("often").isNull()).join(tally.where(F.col("n") < HOT).select("subtree"), "subtree", "left_semi")
-    found = met.where("often").select("key", "hash").unionByName(cold.select("key", "hash"))
+    met = subtrees.join(hot, "subtree", "left")
+    cold = met.where(F.col("often").isNull()).join(tally.where((F.col("n") < HOT) & (F.col("pages") >= many)).select("subtree"), "subtree", "left_semi")
+    found = met.where("often").select("key", "subtree").unionByName(cold.select("key", "subtree"))
     copies = seen.groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") >= HOT)
-    return found.groupBy("key").agg(F.collect_set("hash").alias("template")), copies
+    return found.groupBy("key").agg(F.collect_set("subtree").alias("template")), copies
 
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     """The rows of pages (url, html, ...) with text and n_chars in place of html."""
-    pages = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars", "__key", "__row", "__salt", "__salts")))
-    own_host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    key = F.xxhash64(own_host, "html")
-    known, copies = templates(pages.select(key.alias("key"), own_host.alias("host"), "html"), many)
-    salts = copies.select(F.col("key").alias("__key"), (F.floor(F.col("copies") / HOT) + 1).alias("__salts"))
-    known = known.withColumnRenamed("key", "__key").join(F.broadcast(salts), "__key", "left")
-    known = known.select("__key", "template", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)).alias("__salt"))
-    salted = pages.withColumns({"__key": key, "__row": F.monotonically_increasing_id()}).join(F.broadcast(salts), "__key", "left")
-    salted = salted.withColumn("__salt", F.pmod("__row", F.coalesce("__salts", F.lit(1)))).drop("__row", "__salts")
-    joined = salted.join(known, ["__key", "__salt"], "left").drop("__key", "__salt")
+    pages = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars", "__key", "__host", "__row", "__salt", "__salts")))
+    key = F.xxhash64(own_host(), "html")
+    seen = checkpoints.cut(page_subtrees(pages.select(key.alias("key"), own_host().alias("host"), "html")))
+    tally = checkpoints.cut(tally_of(seen).where((F.col("pages") >= many) | (F.col("n") >= HOT)))
+    often = tally.where(F.col("pages") >= many).select("subtree")
     rest = [c for c in pages.columns if c != "html"]
     schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")
 
-    def run(batches):
+    def out(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+
+    if often.count() <= BROADCAST_TEMPLATES:
+        known = pages.sparkSession.sparkContext.broadcast(np.array([r.subtree for r in often.collect()], dtype=np.int64).tobytes())
+
+        def run(batches):
+            template = set(np.frombuffer(known.value, dtype=np.int64).tolist())
+            for b in batches:
+                yield out(b, [Page(html or "").text(template, of) for html, of in zip(b.column("html").to_pylist(), b.column("__host").to_pylist(), strict=True)])
+
+        return pages.select(*rest, "html", own_host().alias("__host")).mapInArrow(run, schema)
+
+    known, copies = templates_of_pages(seen, tally, many)
+    salts = checkpoints.cut(copies.select(F.col("key").alias("__key"), (F.floor(F.col("copies") / HOT) + 1).alias("__salts")))
+    known = known.withColumnRenamed("key", "__key").join(salts, "__key", "left")
+    known = known.select("__key", "template", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)).alias("__salt"))
+    salted = pages.withColumns({"__key": key, "__host": own_host(), "__row": F.monotonically_increasing_id()}).join(salts, "__key", "left")
+    salted = salted.withColumn("__salt", F.pmod("__row", F.coalesce("__salts", F.lit(1)))).drop("__row", "__salts")
+    joined = salted.join(known, ["__key", "__salt"], "left")
+
+    def run_joined(batches):
         for b in batches:
-            texts = [Page(html or "").text(set(template or ())) for html, template in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            yield out(b, [Page(html or "").text(set(template or ()), of) for html, template, of in zip(*(b.column(c).to_pylist() for c in ("html", "template", "__host")), strict=True)])
 
-    return joined.select(*rest, "html", "template").mapInArrow(run, schema)
+    return joined.select(*rest, "html", "template", "__host").mapInArrow(run_joined, schema)
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -184,12 +184,56 @@ def test_html_copies_are_no_template(spark):
     rows += [(100 + k, "http://big.example/", f"<body>{'<div>Menu</div>' if k < 6 else ''}<div>Text {k}</div></body>") for k in range(200)]
     rows += [(400 + k, "http://in.example/", f"<article><p>Said</p><div>More on this</div><p>Text {k}</p></article>") for k in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for hot in (html_extract.HOT, 3):
+    near = "<div id='tale'><p>Far away lived a fox.</p><p>It was old.</p></div>"
+    rows += [(500 + k, f"http://near.example/{k}", f"<body><div>Advert {k}</div>{near}</body>") for k in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hot, limit in ((html_extract.HOT, 1_000_000), (html_extract.HOT, 0), (3, 0)):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(html_extract, "HOT", hot)
+            m.setattr(html_extract, "BROADCAST_TEMPLATES", limit)
             got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
         assert len(got) == len(rows) and all(got[k] == "Once upon a time.\nThe end." for k in range(9)) and all(got[10 + k] == f"Own {k}" for k in range(20))
         assert all(got[100 + k] == f"Text {k}" for k in range(200)) and all(got[400 + k] == f"Said\nText {k}" for k in range(6))
+        assert all("Far away lived a fox.\nIt was old." in got[500 + k] for k in range(7))
+
+
+def template_texts_by_force(rows, many=5):
+    """Texts without the subtrees that occur in many different pages of a host, counted plainly; for pages without an article."""
+    seen = {}
+    for _, url, html in rows:
+        page = html_extract.Page(html)
+        for h, _, _ in page.subtrees:
+            seen.setdefault((url.split("/")[2], h), set()).add(page.text())
+    out = {}
+    for i, url, html in rows:
+        page = html_extract.Page(html)
+        gone = {k for h, a, b in page.subtrees if len(seen[url.split("/")[2], h]) >= many for k in range(a, b)}
+        out[i] = "\n".join(x[0] for k, x in enumerate(page.blocks) if k not in gone)
+    return out
+
+
+def test_html_templates_by_force(spark):
+    """Hosts with menus, notices and footers that recur in some pages; the templates alone decide, as no name or tag tells them."""
+    r = random.Random(3)
+    rows = []
+    for k in range(150):
+        of = r.choice(["a.example", "b.example"])
+        parts = [f"<div><p>Story {r.randrange(90)} {words_of(r, 30)}</p></div>", *(f"<div>{w}</div>" for w in r.sample(["Home", "Imprint", "Log on", "We use it", "Rare"], r.randrange(4)))]
+        r.shuffle(parts)
+        rows.append((k, f"http://{of}/{k}", f"<body>{''.join(parts)}</body>"))
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as text", "1 as __key")).collect()}
+    assert got == template_texts_by_force(rows) and sum(got[i] != html_extract.Page(h).text() for i, _, h in rows) > 50
+    long = "<body><div>" + "<p>one two</p>" * 200_000 + "</div></body>"
+    out = html_extract.extract(spark.createDataFrame([(1, "http://l.example/", long), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.n_chars for x in out} == {1: 200_000 * 8 - 1, 2: 0}
+
+
+def test_html_names_leave_titles_and_texts():
+    text = lambda h: html_extract.Page(h).text()
+    assert text("<article><div class='header'><h1>Title</h1></div><p>Words</p></article>") == "Title\nWords"
+    assert text("<main><div class='sidebar'>All of the words are here</div></main>") == "All of the words are here"
+    assert text("<article><p>Press <button>Go</button> to start</p><div class=share>Tell</div></article>") == "Press to start"
+    assert text("<div>Some words of the page</div><section id=comments><article><p>Much longer words of a reader of the page</p></article></section>") == "Some words of the page"
 
 
 def test_html_whole_names():
@@ -207,7 +251,7 @@ def test_html_articles_of_the_tables():
     for html in t["html"]:
         inside = re.search("<article>(.*?)</article>", html, re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]+>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in re.split("</?(?:p|h1)>", inside)]
-        assert html_extract.Page(html).text(set()) == "\n".join(b for b in blocks if b)
+        assert html_extract.Page(html).text() == "\n".join(b for b in blocks if b)
 
 
 # op 5 and 7
