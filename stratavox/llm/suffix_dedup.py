@@ -14,6 +14,8 @@ run's place and a common-content value; the strings of a run are induced from it
 Copies of whole texts are found by digest; only the smallest doc_id of a digest takes part, any other is removed whole. Tasks work on packs of bounded
 size and never hold the texts of a shard at once.
 
+Long texts are sampled in pieces of ``SLICE`` bytes, which overlap so that each string is whole in one.
+
 Equality is that of 64-bit hashes twice over (the sample's and the run's or string's). Defined results: a null text is empty; texts under
 100 bytes lose nothing; a null doc_id stands before all others; rows that share a doc_id and text are one document with equal results, and
 rows that share a doc_id with different texts are ordered by a checksum of the text.
@@ -91,6 +93,12 @@ def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, start - off[text], stop - start, h[sampled[start]], content
 
 
+def pieces(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, bytes) of a long text's parts; each string is whole in just one, so a run that is parted counts as two."""
+    for at in range(0, max(len(text) - LENGTH + 1, 1), SLICE):
+        yield at, text[at : at + SLICE + LENGTH - 1]
+
+
 def _join_ranges(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unites overlapping or touching ranges of each text."""
     if not len(text):
@@ -173,8 +181,9 @@ def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
         doc, tie = np.array([d for d, _, _ in held], np.int64), np.array([t for _, t, _ in held], np.int64)
         found = []
         for i, j in slices(off, SLICE):
-            text, start, strings, sample, content = runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            found.append((doc[text + i], tie[text + i], start, strings, sample, content))
+            for at, piece in pieces(data[off[i] : off[j]]) if j == i + 1 else [(0, data[off[i] : off[j]])]:
+                text, start, strings, sample, content = runs(piece, off[i : j + 1] - off[i] if j > i + 1 else np.array([0, len(piece)]))
+                found.append((doc[text + i], tie[text + i], start + at, strings, sample, content))
         d, t, start, strings, sample, content = (np.concatenate(x) for x in zip(*found, strict=True))
         first = _firsts((content, sample), d, t, start)
         again_doc, *again = _united(d[~first], t[~first], start[~first], (start + strings + LENGTH - 1)[~first])
