@@ -77,6 +77,16 @@ def test_suffix_dedup_over_slices(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     r = random.Random(4)
     rows = [(k, "".join(r.choice("abc") for _ in range(150)) + "z" * r.randrange(150)) for k in range(20)]
+    long = [(k, "".join(r.choice("ab") for _ in range(400)) + rows[k][1] * (k % 3) + "q" * r.randrange(900)) for k in range(12)]
+    docs = suffix_dedup.sampled_runs(spark.createDataFrame(long, "doc long, text string").coalesce(1), 1)
+    starts = {(d, p >> 31): (p >> 24) & 127 for x in docs.where("at >= 0").collect() for d, p in zip(np.frombuffer(x.doc, "<i8").tolist(), np.frombuffer(x.place, "<i8").tolist())}
+    assert all(0 < m <= 77 for m in starts.values()) and max(p for _, p in starts) > 300
+    monkeypatch.setattr(suffix_dedup, "slices", lambda off, most: ((k, k + 1) for k in range(len(off) - 1)))  # tasks read the module afresh, so pieces are met here
+    for _, t in long:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        covered = sorted(s + at + k for at, piece in suffix_dedup.pieces(raw) for _, s, m, _, _ in zip(*suffix_dedup.runs(piece, np.array([0, len(piece)]))) for k in range(m))
+        assert covered == list(range(len(raw) - 99))
+    monkeypatch.setattr(suffix_dedup, "slices", textbatch.slices)
     data, off = textbatch.flat(__import__("pyarrow").array([t for _, t in rows]))
     whole = suffix_dedup.runs(data, off)
     parts = [suffix_dedup.runs(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in textbatch.slices(off, 300)]
@@ -87,7 +97,7 @@ def test_suffix_dedup_over_slices(spark, monkeypatch):
 
 
 def test_license_scan(spark):
-    rows = [(1, "Foo.\nLicensed under CC BY-NC 4.0.\nbar"), (2, "Licensed under CC BY 4.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, "no licence here"), (5, None), (6, ""), (7, "x " * 5000 + "Released under the MIT License. " + "y " * 5000), (8, "Released under the MIT License.\nReleased under the MIT License.")]
+    rows = [(1, "Foo.\nLicensed under CC BY-NC 4.0.\nbar"), (2, "Licensed under CC BY 4.0."), (3, "This work is licensed under the GNU General Public License, version 1."), (4, "no licence here"), (5, None), (6, ""), (7, "x " * 5000 + "Released under the MIT License. " + "y " * 5000), (8, "Released under the MIT License.\nReleased under the MIT License.")]
     got = {r.doc_id: (r.n_blocks, r.licenses) for r in license_scan.scan_licenses(frame(spark, rows, True)).collect()}
     assert got == {1: (1, "CC-BY-NC-4.0"), 2: (1, "CC-BY-4.0"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (0, ""), 7: (1, "MIT"), 8: (2, "MIT")}
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
@@ -108,14 +118,23 @@ def test_license_notices_in_prose_and_wrapped():
     r, s = random.Random(8), license_scan.Scanner()
     prose = lambda n: " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n))
     for name, t in license_scan.TEMPLATES:
-        for n in (5, 40, 200):
+        for n in (5, 200):
             before = prose(n)
             assert s.scan(f"{before} {t} {prose(n)}") == [(len(before) + 1, name, 1.0, "")]
-        for sign in ("# ", " * ", "// ", "dnl ", ""):
-            assert [x[1] for x in s.scan("\n".join(sign + line for line in textwrap.wrap(f"{prose(9)}. {t} {prose(9)}", 60)))] == [name]
+        for sign, width in (("# ", 60), (" * ", 79), ("// ", 100), ("dnl ", 60), ("", 79)):
+            assert [x[1] for x in s.scan("\n".join(sign + line for line in textwrap.wrap(f"{prose(9)}. {t} {prose(9)}", width)))] == [name]
         assert [x[1] for x in s.scan(t.upper())] == [name]
         assert [x[1] for x in s.scan(f"{t} {t} All rights reserved.")] == [name, name, "Proprietary"]
     assert [x[1] for x in s.scan("Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0. Released under the MIT License.")] == ["CC-BY-SA-4.0", "CC-BY-4.0", "MIT"]
+    listed = next(t for n, t in license_scan.TEMPLATES if n == "BSD-2-Clause").replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    assert [x[1] for x in s.scan(listed)] == ["BSD-2-Clause"]
+    assert [x[1] for x in s.scan("Licensed under CC BY-SA 3.0. SPDX-License-Identifier: GPL-2.0-or-later\n")] == ["CC-BY-SA-3.0", "GPL-2.0-or-later"]
+    for k, (name, t) in enumerate(license_scan.TEMPLATES):  # against all windows of a short text
+        text = f"{prose(6)} {t} {prose(6)}"
+        have = [w for w, _, _ in license_scan.words(text)]
+        n = len(s.words[k])
+        best = max((s.saved(have[a : a + n], k), -a) for a in range(len(have) - n + 1))
+        assert s.scan(text)[0][1] == name and have[-best[1] : n - best[1]] == s.words[k]
     assert s.scan("the license " * 3000) == [] and s.scan("all rights\n" + " " * 100000) == []
 
 
