@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 MOST_WORDS = 4
+#: Words whose features are held at a time.
+AT_ONCE = 256
 #: Words beside a trigger that belong to the same stretch.
 BESIDE = 2
 
@@ -140,16 +142,16 @@ N_FEATURES = len(features("a", ""))
 _TYPES = ["other", *KINDS]
 
 
-def _segments(text: str, words: list[tuple[int, int]]) -> np.ndarray:
-    """Features [end, length - 1] of the segments of each length that end at each word."""
-    n = len(words)
-    x = np.zeros((n, MOST_WORDS, N_FEATURES))
-    for j in range(n):
+def _segments(text: str, words: list[tuple[int, int]], first: int = 0, end: int | None = None) -> np.ndarray:
+    """Features [end - first, length - 1] of the segments of each length that end at each word, or at those from first to end."""
+    end = len(words) if end is None else end
+    x = np.zeros((end - first, MOST_WORDS, N_FEATURES))
+    for j in range(first, end):
         for size in range(1, min(MOST_WORDS, j + 1) + 1):
             i = j - size + 1
             lead = text[max(words[i - 1][0], words[i - 1][1] - 40) : words[i - 1][1]] if i else ""
             judge = features if words[j][1] - words[i][0] <= 200 else features.__wrapped__  # long spans aren't kept
-            x[j, size - 1] = judge(text[words[i][0] : words[j][1]], lead)
+            x[j - first, size - 1] = judge(text[words[i][0] : words[j][1]], lead)
     return x
 
 
@@ -167,17 +169,19 @@ def _logsum(a: np.ndarray) -> float:
 
 
 def segment(model: dict, text: str, words: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """The best segmentation's spans, trimmed."""
-    s, move = _scores(model, _segments(text, words)), model["moves"]
-    n, k = len(words), len(_TYPES)
+    """The best segmentation's spans, trimmed. Features are made for ``AT_ONCE`` words at a time, so long stretches are segmented whole."""
+    move, n, k = model["moves"], len(words), len(_TYPES)
     best = np.full((n + 1, k), -np.inf)
     best[0, 0] = 0
     back = {}
     for j in range(1, n + 1):
+        at = (j - 1) % AT_ONCE
+        if not at:
+            s = _scores(model, _segments(text, words, j - 1, min(n, j - 1 + AT_ONCE)))
         for size in range(1, min(MOST_WORDS, j) + 1):
             into = best[j - size][:, None] + move
             prev = into.argmax(0)
-            value = into.max(0) + s[j - 1, size - 1]
+            value = into.max(0) + s[at, size - 1]
             for t in np.flatnonzero(value > best[j]):
                 best[j, t], back[j, t] = value[t], (j - size, prev[t])
     j, t, out = n, int(best[n].argmax()), []
@@ -362,7 +366,7 @@ def _stretches(text: str, words: list[tuple[int, int]], fixed: dict[int, tuple[s
     while k < len(hot):
         first = max(0, hot[k] - BESIDE)
         last = hot[k] + BESIDE
-        while k + 1 < len(hot) and hot[k + 1] - BESIDE <= last + 1 and hot[k + 1] - first < 200:
+        while k + 1 < len(hot) and hot[k + 1] - BESIDE <= last + 1:
             k += 1
             last = hot[k] + BESIDE
         k += 1

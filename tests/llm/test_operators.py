@@ -383,6 +383,14 @@ def test_field_without_digits_and_inside_long_words():
     assert found("meet at " * 3000 + "a [at] " * 3000 + "x" * 100000) == []
 
 
+def test_field_over_long_stretches():
+    """Entities stand anywhere in thousands of words that are all near triggers; none is cut."""
+    model = pii.train()
+    for n in (195, 198, 201, 254, 256, 258, 3000):
+        text = "x1 " * n + "call (269) 555-3296 now " + "x1 " * 300
+        assert [(k, text[a:b]) for k, a, b in pii.added_spans(model, text, pii.base_spans(text))] == [("phone", "(269) 555-3296")], n
+
+
 def test_segmentation_is_the_best_one():
     """Against all segmentations of a short stretch."""
     model = pii.train()
@@ -404,6 +412,9 @@ def test_segmentation_is_the_best_one():
 
     go(0, 0, 0.0, [])
     found = pii.segment(model, text, words)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "AT_ONCE", 2)
+        assert pii.segment(model, text, words) == found
     assert [k for k, _, _ in found] == [k for k, _, _ in best[1]] and "email" in [k for k, _, _ in found]
 
 
