@@ -6,12 +6,16 @@ volume's definition in a common table expression.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratavox.operators import components as cc
 from stratavox.operators import curvature, distance, objects, pointwise, renumber, skeletons, stencils, thinning, volume
 from stratavox.operators.volume import XYZ
-from stratavox.sources import chunks
+from stratavox.plans import checkpoints
+from stratavox.plans.checkpoints import cut
+from stratavox.sources import chunks, datasets
 from stratavox.sources.tables import GRID, box, labels, scores
 
 QUERIES = {}
@@ -154,6 +158,29 @@ def chunk_round_trip(spark, sf_dir):
     return chunks.from_chunks(chunks.to_chunks(scores(spark, sf_dir), GRID, "s", "uint16"))
 
 
+def _store(spark) -> datasets.Store:
+    return datasets.Store(spark, f"{checkpoints.folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("SELECT x, y, z, CAST(floor(v / 7.0) AS BIGINT) AS v, 'copy' AS name, 'uint64' AS dtype FROM s WHERE floor(v / 7.0) > 0")
+def dataset_copy(spark, sf_dir):
+    """A float dataset made like another one, and copied as 64-bit integers."""
+    store = _store(spark)
+    store.create("plain", GRID, "uint8")
+    store.create("real", like="plain", dtype="float32")
+    store.write("real", scores(spark, sf_dir).withColumn("v", F.col("v") / 7))
+    store.copy("real", "copy")
+    return store.read("copy").withColumns({"name": F.lit(store.names()[0]), "dtype": F.lit(store.describe("copy")[1])})
+
+
+@query("SELECT name, '64x64x32' AS dim, dtype FROM (VALUES ('a', 'uint8'), ('b', 'float32')) t(name, dtype)")
+def dataset_list(spark, sf_dir):
+    store = _store(spark)
+    store.create("a", GRID, "uint8")
+    store.create("b", like="a", dtype="float32")
+    return store.datasets().select("name", F.array_join("dim", "x").alias("dim"), "dtype")
+
+
 @query("SELECT 4096 * z + 64 * y + x + 1 AS id, x * 4.0 AS x_nm, y * 4.0 AS y_nm, z * 4.0 AS z_nm FROM l")
 def voxel_ids(spark, sf_dir):
     back = labels(spark, sf_dir).select(GRID.index().alias("id"))
@@ -175,12 +202,12 @@ def surface_voxels_26(spark, sf_dir):
 
 @query("SELECT DISTINCT a.v AS a, b.v AS b FROM l a JOIN o ON d2 BETWEEN 1 AND 3 JOIN l b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.v < b.v")
 def touching_objects(spark, sf_dir):
-    return stencils.touching_objects(labels(spark, sf_dir))
+    return stencils.touching_objects(labels(spark, sf_dir), GRID)
 
 
 @query("SELECT a.v, min(b.v) AS number FROM s a JOIN o ON d2 = 3 AND abs(dx) = 1 AND abs(dy) = 1 JOIN s b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.v % 4 <> 0 AND b.v % 4 = 0 GROUP BY a.v")
 def adjacent_ids(spark, sf_dir):
-    return stencils.adjacent_kept(scores(spark, sf_dir), spark.range(0, 51, 4).select(F.col("id").alias("v")))
+    return stencils.adjacent_kept(scores(spark, sf_dir), spark.range(0, 51, 4).select(F.col("id").alias("v")), GRID)
 
 
 @query("SELECT x, y, z, sum(w * v) AS g FROM (SELECT x - 1 AS x, y, z, v, 0.5 AS w FROM s UNION ALL SELECT x + 1, y, z, v, -0.5 FROM s) GROUP BY x, y, z HAVING sum(w * v) <> 0")
@@ -204,7 +231,7 @@ def gauss(spark, sf_dir):
 
 @query("+m AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, max(v) AS most FROM s, o WHERE d2 BETWEEN 1 AND 4 GROUP BY 1, 2, 3) SELECT s.* FROM s LEFT JOIN m USING (x, y, z) WHERE coalesce(most, 0) <= v")
 def ribosome_maxima(spark, sf_dir):
-    return stencils.local_maxima(scores(spark, sf_dir), 2)
+    return stencils.local_maxima(scores(spark, sf_dir), GRID, 2)
 
 
 @query("SELECT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z, max(v) AS v FROM l JOIN o ON d2 <= 4 WHERE " + INSIDE.format("l") + " GROUP BY 1, 2, 3")
@@ -212,14 +239,14 @@ def stamp_balls(spark, sf_dir):
     return stencils.stamp_balls(labels(spark, sf_dir), GRID, 2)
 
 
-@query()
+@query("+c AS (SELECT a.x, a.y, a.z, a.v, count(*) AS n FROM l a JOIN o ON greatest(abs(dx), abs(dy), abs(dz)) <= 2 JOIN l b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL) SELECT x, y, z, v FROM c WHERE n < 125")
 def internal_gradient(spark, sf_dir):
     return stencils.internal_gradient(labels(spark, sf_dir), GRID, 2)
 
 
 @query()
 def sphereness(spark, sf_dir):
-    return stencils.sphereness(scores(spark, sf_dir), labels(spark, sf_dir).where("v = 7"), 2, 20)
+    return stencils.sphereness(scores(spark, sf_dir), labels(spark, sf_dir), GRID, 2, 20)
 
 
 # Distances. SURFACE is the 26-surface of l.
@@ -237,7 +264,7 @@ def contact_halo(spark, sf_dir):
     return distance.contact_halo(labels(spark, sf_dir), GRID, 6.0)
 
 
-@query(SURFACE + ", byl AS (SELECT x, y, z, v, min(d2) AS d2 FROM near WHERE d2 <= 4 GROUP BY x, y, z, v), r AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY d2, v) AS k FROM byl) SELECT p.x, p.y, p.z, least(p.v, q.v) AS a, greatest(p.v, q.v) AS b FROM r p JOIN r q USING (x, y, z) WHERE p.k = 1 AND q.k = 2")
+@query(SURFACE + ", byl AS (SELECT x, y, z, v, min(d2) AS d2 FROM near WHERE d2 <= 4 GROUP BY x, y, z, v), r AS (SELECT x, y, z, list(v ORDER BY d2, v) AS vs FROM byl GROUP BY x, y, z) SELECT x, y, z, least(vs[1], vs[2]) AS a, greatest(vs[1], vs[2]) AS b FROM r WHERE len(vs) > 1")
 def self_pair_halo(spark, sf_dir):
     return distance.self_pairs(labels(spark, sf_dir), GRID, 4.0)
 
@@ -281,53 +308,59 @@ def expand_and_mask(spark, sf_dir):
     return distance.expand_and_apply_mask(scores(spark, sf_dir), labels(spark, sf_dir), GRID, 6.0)
 
 
-@query("+t AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.v, d2 FROM l a JOIN o ON d2 <= 9 WHERE a.v = 11 AND " + INSIDE.format("a") + ") SELECT x, y, z, v FROM (SELECT x, y, z, arg_min(v, struct_pack(d2 := d2, v := v)) AS v, min(d2) AS d2 FROM t GROUP BY x, y, z) WHERE d2 > 2")
+@query("+t AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.v, d2 FROM l a JOIN o ON d2 <= 9 WHERE " + INSIDE.format("a") + ") SELECT x, y, z, v FROM (SELECT x, y, z, arg_min(v, struct_pack(d2 := d2, v := v)) AS v, min(d2) AS d2 FROM t GROUP BY x, y, z) WHERE d2 > 2")
 def filament_tubes(spark, sf_dir):
-    return distance.filament_tubes(labels(spark, sf_dir).where("v = 11"), GRID, 12.5, 6.0)
+    return distance.filament_tubes(labels(spark, sf_dir), GRID, 12.5, 6.0)
 
 
-@query()
+@query("+f AS (SELECT x, y, z, CAST(1 AS BIGINT) AS v FROM box ANTI JOIN (SELECT * FROM s WHERE v >= 48) USING (x, y, z)), g AS MATERIALIZED (SELECT x AS p, y AS q, z AS r FROM s WHERE v >= 48), m AS (SELECT x, y, z, min((x - p) ** 2 + (y - q) ** 2 + (z - r) ** 2) AS d2 FROM f, g GROUP BY x, y, z) SELECT x, y, z, v, CAST(least(coalesce(d2, 1e9), (x + 1) ** 2, (64 - x) ** 2, (y + 1) ** 2, (64 - y) ** 2, (z + 1) ** 2, (32 - z) ** 2) AS DOUBLE) AS d2 FROM f LEFT JOIN m USING (x, y, z)")
 def depth(spark, sf_dir):
-    return distance.depth(_filled(spark, sf_dir), GRID, 8)
+    return distance.depth(_filled(spark, sf_dir), GRID)
+
+
+@query()
+def expand_far(spark, sf_dir):
+    """A radius of more than half a block runs over lines."""
+    return distance.expand(scores(spark, sf_dir).where("v >= 50"), GRID, 80.0)
 
 
 @query()
 def geodesic(spark, sf_dir):
-    filled = _filled(spark, sf_dir)
-    return distance.geodesic(filled.where("x = 0 and y < 4 and z < 4"), filled, most=18)
+    return distance.geodesic(labels(spark, sf_dir), _filled(spark, sf_dir), GRID)
 
 
 # Components
 
-CC = "+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 35), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), r AS (SELECT id, id AS root FROM b UNION SELECT e.w, r.root FROM r JOIN e ON r.id = e.u), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), n AS (SELECT component, count(*) AS n FROM c GROUP BY component) "
+LABELS = "c(id, root) USING KEY (id) AS (SELECT id, id FROM b UNION SELECT e.w, min(r.root) FROM c r JOIN e ON e.u = r.id JOIN recurring.c k ON k.id = e.w WHERE r.root < k.root GROUP BY e.w)"
+CC = "+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 35), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + ", cc AS (SELECT id, root AS component FROM c), n AS (SELECT component, count(*) AS n FROM cc GROUP BY component) "
 
 
 def _segmented(spark, sf_dir, around=False):
     return cc.components(pointwise.binarize(pointwise.threshold(scores(spark, sf_dir), 35)), GRID, around)
 
 
-@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN c USING (id)", recursive=True)
+@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN cc USING (id)", recursive=True)
 def components_6(spark, sf_dir):
     return _segmented(spark, sf_dir).select(*XYZ, "component")
 
 
-@query("+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM l WHERE v % 2 = 0), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 BETWEEN 1 AND 3 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), r AS (SELECT id, id AS root FROM b UNION SELECT e.w, r.root FROM r JOIN e ON r.id = e.u) SELECT x, y, z, min(root) AS component FROM b JOIN r USING (id) GROUP BY x, y, z", recursive=True)
+@query("+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM l), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 BETWEEN 1 AND 3 AND greatest(abs(dx), abs(dy), abs(dz)) = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + " SELECT x, y, z, root AS component FROM b JOIN c USING (id)", recursive=True)
 def components_26(spark, sf_dir):
-    return cc.components(pointwise.binarize(labels(spark, sf_dir).where("v % 2 = 0")), GRID, around=True).select(*XYZ, "component")
+    return cc.components(pointwise.binarize(labels(spark, sf_dir)), GRID, around=True).select(*XYZ, "component")
 
 
-@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN c USING (id) JOIN n USING (component) WHERE n = (SELECT max(n) FROM n)", recursive=True)
+@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n = (SELECT max(n) FROM n)", recursive=True)
 def largest_component(spark, sf_dir):
     return cc.largest(_segmented(spark, sf_dir)).select(*XYZ, "component")
 
 
-@query(CC.format("d2 = 1") + ", k AS (SELECT component, row_number() OVER (ORDER BY component) AS number FROM n WHERE n > 2 AND n <= 9) SELECT x, y, z, number AS v FROM b JOIN c USING (id) JOIN k USING (component)", recursive=True)
+@query(CC.format("d2 = 1") + ", k AS (SELECT component, row_number() OVER (ORDER BY component) AS number FROM n WHERE n > 2 AND n <= 9) SELECT x, y, z, number AS v FROM b JOIN cc USING (id) JOIN k USING (component)", recursive=True)
 def component_renumber(spark, sf_dir):
     kept = cc.keep_sizes(_segmented(spark, sf_dir), 2, 9).select(*XYZ, F.col("component").alias("v"))
     return renumber.apply_numbers(kept, renumber.dense_numbers(kept.select("v")))
 
 
-@query(CC.format("d2 = 1") + ", k AS (SELECT x, y, z, component AS v FROM b JOIN c USING (id) JOIN n USING (component) WHERE n > 2), f AS (SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM k a JOIN o ON d2 = 1 LEFT JOIN k q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL) SELECT v AS id, count(*) * 64.0 AS volume, sum(faces) * 16.0 AS area, round(4.0 * sum(x) / count(*), 6) AS com_x, round(4.0 * sum(y) / count(*), 6) AS com_y, round(4.0 * sum(z) / count(*), 6) AS com_z, min(x) * 4.0 AS min_x, min(y) * 4.0 AS min_y, min(z) * 4.0 AS min_z, max(x) * 4.0 AS max_x, max(y) * 4.0 AS max_y, max(z) * 4.0 AS max_z FROM f GROUP BY v", recursive=True)
+@query(CC.format("d2 = 1") + ", k AS (SELECT x, y, z, component AS v FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n > 2), f AS (SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM k a JOIN o ON d2 = 1 LEFT JOIN k q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL) SELECT v AS id, count(*) * 64.0 AS volume, sum(faces) * 16.0 AS area, round(4.0 * sum(x) / count(*), 6) AS com_x, round(4.0 * sum(y) / count(*), 6) AS com_y, round(4.0 * sum(z) / count(*), 6) AS com_z, min(x) * 4.0 AS min_x, min(y) * 4.0 AS min_y, min(z) * 4.0 AS min_z, max(x) * 4.0 AS max_x, max(y) * 4.0 AS max_y, max(z) * 4.0 AS max_z FROM f GROUP BY v", recursive=True)
 def object_info(spark, sf_dir):
     info = objects.object_info(cc.segment(scores(spark, sf_dir), GRID, 35, 2 * 64.0), GRID)
     return info.withColumns({f"com_{c}": F.round(f"com_{c}", 6) for c in XYZ})
@@ -338,32 +371,43 @@ def object_counts(spark, sf_dir):
     return objects.object_counts({"s": scores(spark, sf_dir), "l": labels(spark, sf_dir)})
 
 
-HOLES = "+f AS (SELECT x, y, z, x // 16 + 1 AS v FROM box ANTI JOIN (SELECT * FROM s WHERE v >= 46) USING (x, y, z)), b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 46), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), r AS (SELECT id, id AS root FROM b UNION SELECT e.w, r.root FROM r JOIN e ON r.id = e.u), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), h AS (SELECT b.*, component FROM b JOIN c USING (id)), own AS (SELECT component, min(f.v) AS v FROM h JOIN o ON d2 = 1 JOIN f ON f.x = h.x + dx AND f.y = h.y + dy AND f.z = h.z + dz GROUP BY component HAVING count(DISTINCT f.v) = 1), edge AS (SELECT DISTINCT component FROM h WHERE x IN (0, 63) OR y IN (0, 63) OR z IN (0, 31)) SELECT x, y, z, v FROM f UNION ALL SELECT x, y, z, v FROM h JOIN own USING (component) ANTI JOIN edge USING (component)"
+HOLES = "+f AS (SELECT x, y, z, x // 16 + 1 AS v FROM box ANTI JOIN (SELECT * FROM s WHERE v >= 46) USING (x, y, z)), b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 46), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + ", h AS (SELECT b.*, root AS component FROM b JOIN c USING (id)), own AS (SELECT component, min(f.v) AS v FROM h JOIN o ON d2 = 1 JOIN f ON f.x = h.x + dx AND f.y = h.y + dy AND f.z = h.z + dz GROUP BY component HAVING count(DISTINCT f.v) = 1), edge AS (SELECT DISTINCT component FROM h WHERE x IN (0, 63) OR y IN (0, 63) OR z IN (0, 31)), filled AS (SELECT x, y, z, v FROM f UNION ALL SELECT x, y, z, v FROM h JOIN own USING (component) ANTI JOIN edge USING (component)) "
 
 
-@query(HOLES, recursive=True)
+@query(HOLES + "SELECT * FROM filled", recursive=True)
 def fill_holes(spark, sf_dir):
+    return cc.fill_holes(_slabs(spark, sf_dir), box(spark), GRID)
+
+
+@query(HOLES + ", k AS (SELECT v, row_number() OVER (ORDER BY v) AS number FROM filled GROUP BY v HAVING count(*) > 30000) SELECT x, y, z, number AS v FROM filled JOIN k USING (v)", recursive=True)
+def fill_and_filter(spark, sf_dir):
+    return cc.fill_and_filter(_slabs(spark, sf_dir), box(spark), GRID, 30000 * 64.0)
+
+
+def _slabs(spark, sf_dir):
     high = scores(spark, sf_dir).where("v >= 46")
-    objects_ = box(spark).join(high, XYZ, "left_anti").withColumn("v", F.floor(F.col("x") / 16) + 1)
-    return cc.fill_holes(objects_, box(spark), GRID)
+    return box(spark).join(high, XYZ, "left_anti").withColumn("v", F.floor(F.col("x") / 16) + 1)
 
 
 def _two(spark, sf_dir):
+    """Two volumes: the lower and the upper half of the labels."""
     vol = labels(spark, sf_dir)
-    return vol.where("v <= 6"), vol.where("v between 21 and 26")
+    return vol.where("v <= 20"), vol.where("v > 20")
 
 
-CONTACTS = "+va AS (SELECT * FROM l WHERE v <= 6), vb AS (SELECT * FROM l WHERE v BETWEEN 21 AND 26), " + ", ".join(
+BY_ANY = "d2 BETWEEN 1 AND 3 AND greatest(abs(dx), abs(dy), abs(dz)) = 1"
+FACES = "(SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM {0} a JOIN o ON d2 = 1 LEFT JOIN {0} q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL)"
+CONTACTS = "+va AS (SELECT * FROM l WHERE v <= 20), vb AS (SELECT * FROM l WHERE v > 20), " + ", ".join(
     f"f{n} AS (SELECT DISTINCT a.x, a.y, a.z, a.v FROM v{n} a JOIN o ON d2 BETWEEN 1 AND 3 LEFT JOIN v{n} b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE coalesce(b.v, 0) <> a.v AND {INSIDE.format('a')}), n{n} AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, arg_min(a.v, struct_pack(d2 := d2, v := a.v)) AS v FROM f{n} a JOIN o ON d2 <= 4 WHERE {INSIDE.format('a')} GROUP BY 1, 2, 3), h{n} AS (SELECT * FROM n{n} ANTI JOIN v{n} USING (x, y, z) UNION ALL SELECT * FROM f{n})" for n in "ab"
-) + ", b AS (SELECT x, y, z, ha.v AS a, hb.v AS b, 4096 * z + 64 * y + x + 1 AS id FROM ha JOIN hb USING (x, y, z)), e AS (SELECT p.id AS u, q.id AS w, p.a, p.b FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz AND q.a = p.a AND q.b = p.b), r AS (SELECT id, a, b, id AS root FROM b UNION SELECT e.w, e.a, e.b, r.root FROM r JOIN e ON r.id = e.u AND r.a = e.a AND r.b = e.b) SELECT x, y, z, b.a, b.b, min(root) AS component FROM b JOIN r ON b.id = r.id AND b.a = r.a AND b.b = r.b GROUP BY x, y, z, b.a, b.b"
+) + ", b AS MATERIALIZED (SELECT x, y, z, ha.v AS a, hb.v AS b, 4096 * z + 64 * y + x + 1 AS id FROM ha JOIN hb USING (x, y, z)), e AS (SELECT p.id AS u, q.id AS w, p.a, p.b FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz AND q.a = p.a AND q.b = p.b), r AS (SELECT id, a, b, id AS root FROM b UNION SELECT e.w, e.a, e.b, r.root FROM r JOIN e ON r.id = e.u AND r.a = e.a AND r.b = e.b), sites AS MATERIALIZED (SELECT x, y, z, b.a, b.b, min(root) AS component FROM b JOIN r ON b.id = r.id AND b.a = r.a AND b.b = r.b GROUP BY x, y, z, b.a, b.b) "
 
 
-@query(CONTACTS.format("d2 = 1"), recursive=True)
+@query(CONTACTS.format("d2 = 1") + "SELECT * FROM sites", recursive=True)
 def contacts_lm(spark, sf_dir):
     return cc.contacts_overlap(*_two(spark, sf_dir), GRID, 4.0)
 
 
-@query(CONTACTS.format("d2 BETWEEN 1 AND 3"), recursive=True)
+@query(CONTACTS.format(BY_ANY) + "SELECT * FROM sites", recursive=True)
 def contacts_naive(spark, sf_dir):
     return cc.contacts_overlap(*_two(spark, sf_dir), GRID, 4.0, around=True)
 
@@ -373,18 +417,39 @@ def contacts_em(spark, sf_dir):
     return cc.contacts_sight(*_two(spark, sf_dir), GRID, 4.0)
 
 
-@query()
+@query(
+    CONTACTS.format(BY_ANY) + ", w AS (SELECT x, y, z, component AS v FROM sites), f AS " + FACES.format("w") + ", own AS (SELECT DISTINCT component AS v, a, b FROM sites), "
+    + ", ".join(f"g{n} AS {FACES.format(f'v{n}')}, t{n} AS (SELECT component AS v, sum(faces) * 16.0 AS area FROM sites JOIN g{n} ON g{n}.x = sites.x AND g{n}.y = sites.y AND g{n}.z = sites.z AND g{n}.v = sites.{n} GROUP BY component)" for n in "ab")
+    + " SELECT f.v AS id, a, b, count(*) * 64.0 AS volume, sum(faces) * 16.0 AS area, " + ", ".join(f"round(4.0 * sum({c}) / count(*), 6) AS com_{c}, min({c}) * 4.0 AS min_{c}, max({c}) * 4.0 AS max_{c}" for c in "xyz")
+    + ", coalesce(any_value(ta.area), 0.0) AS area_a, coalesce(any_value(tb.area), 0.0) AS area_b FROM f JOIN own ON own.v = f.v LEFT JOIN ta ON ta.v = f.v LEFT JOIN tb ON tb.v = f.v GROUP BY f.v, a, b",
+    recursive=True,
+)
 def contact_objects(spark, sf_dir):
     a, b = _two(spark, sf_dir)
-    return objects.contact_info(cc.contacts_overlap(a, b, GRID, 4.0, around=True), a, b, GRID)
+    info = objects.contact_info(cc.contacts_overlap(a, b, GRID, 4.0, around=True), a, b, GRID)
+    return info.withColumns({f"com_{c}": F.round(f"com_{c}", 6) for c in XYZ})
+
+
+@query()
+def contact_sites_all(spark, sf_dir):
+    """All pairs of three volumes by lines of sight, and each volume's objects with each other."""
+    a, b = _two(spark, sf_dir)
+    return cc.contact_sites({"a": a, "b": b, "high": pointwise.binarize(scores(spark, sf_dir).where("v >= 48"))}, GRID, 4.0, self_pairs=True)
+
+
+@query()
+def light_contacts(spark, sf_dir):
+    """Channels of float predictions."""
+    s = scores(spark, sf_dir)
+    return cc.light_contacts({"red": s.withColumn("v", F.col("v") / 50), "green": s.withColumn("v", 1 - F.col("v") / 50)}, GRID, {"red": 0.9, "green": 0.9})
 
 
 # Renumbering
 
 
-@query("SELECT v, row_number() OVER (ORDER BY v) AS number FROM (SELECT DISTINCT v * 3 AS v FROM l WHERE v % 3 <> 0)")
+@query("SELECT v, row_number() OVER (ORDER BY v) AS number FROM (SELECT DISTINCT v * 3 AS v FROM l)")
 def renumber_dense(spark, sf_dir):
-    return renumber.dense_numbers(labels(spark, sf_dir).where("v % 3 <> 0").withColumn("v", F.col("v") * 3))
+    return renumber.dense_numbers(labels(spark, sf_dir).withColumn("v", F.col("v") * 3))
 
 
 @query("+c AS (SELECT l.v, s.v AS other, count(*) AS n FROM l JOIN s USING (x, y, z) GROUP BY 1, 2) SELECT v, other AS number FROM c QUALIFY row_number() OVER (PARTITION BY v ORDER BY n DESC, other) = 1")
@@ -438,8 +503,8 @@ def protrusion_area(spark, sf_dir):
 
 
 def _solids(spark, sf_dir):
-    """Balls around some objects' voxels."""
-    return stencils.stamp_balls(labels(spark, sf_dir).where("v in (7, 8)"), GRID, 3)
+    """Balls around the objects' voxels."""
+    return cut(stencils.stamp_balls(labels(spark, sf_dir), GRID, 2))
 
 
 @query()
@@ -454,7 +519,28 @@ def medial_surface(spark, sf_dir):
 
 @query()
 def planarity(spark, sf_dir):
-    return curvature.planarity(_solids(spark, sf_dir), GRID, 4)
+    return curvature.planarity(_solids(spark, sf_dir), GRID)
+
+
+def _medial(spark, sf_dir):
+    """Solids, and their medial surfaces with depth and planarity."""
+    solids = _solids(spark, sf_dir)
+    medial = cut(thinning.thin(solids, GRID, surface=True))
+    value = curvature.planarity(solids, GRID, at=medial).withColumnRenamed("v", "value")
+    valued = medial.join(distance.depth(solids, GRID).select(*XYZ, "d2"), XYZ).join(value, XYZ, "left").select(*XYZ, "v", "d2", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return solids, cut(valued)
+
+
+@query()
+def medial_planarity(spark, sf_dir):
+    """Each object voxel's mean planarity of its nearest medial voxels, by bins with object volume and surface."""
+    solids, medial = _medial(spark, sf_dir)
+    return objects.value_histogram(objects.nearest_medial(solids, medial, GRID), solids, GRID)
+
+
+@query()
+def planarity_thickness(spark, sf_dir):
+    return objects.planarity_thickness(_medial(spark, sf_dir)[1], GRID)
 
 
 @query()
@@ -484,14 +570,27 @@ def degree_classes(spark, sf_dir):
     return skeletons.degrees(skeletons.skeleton_edges(_strips(spark, sf_dir), GRID))
 
 
-@query()
-def longest_path(spark, sf_dir):
-    lines = thinning.thin(_solids(spark, sf_dir), GRID)
-    radius = distance.depth(_solids(spark, sf_dir), GRID, 8).select(*XYZ, F.sqrt("v").alias("radius"))
+def _paths(spark, sf_dir):
+    solids = _solids(spark, sf_dir)
+    lines = cut(thinning.thin(solids, GRID))
+    radius = distance.depth(solids, GRID).select(*XYZ, F.sqrt("d2").alias("radius"))
     vertices = lines.join(radius, XYZ).select(F.col("v").alias("obj"), GRID.index().alias("node"), "radius")
     return skeletons.length_and_thickness(vertices, skeletons.skeleton_edges(lines, GRID), 4.0, 2.0)
 
 
+@query()
+def longest_path(spark, sf_dir):
+    return _paths(spark, sf_dir)
+
+
+@query()
+def painted_paths(spark, sf_dir):
+    """Longest paths (1) and the rest of the pruned skeletons (2) by object."""
+    found = cut(_paths(spark, sf_dir))
+    paths = skeletons.paint(found, GRID).withColumn("part", F.lit(1))
+    return paths.unionByName(skeletons.paint(found, GRID, "pruned").join(paths, [*XYZ, "v"], "left_anti").withColumn("part", F.lit(2)))
+
+
 # Compositions
 
 
@@ -500,27 +599,34 @@ def edge_voxels_removed(spark, sf_dir):
     return pointwise.remove_edge_voxels(labels(spark, sf_dir), GRID)
 
 
-@query("+out AS (SELECT DISTINCT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z FROM l JOIN o ON d2 <= 4 WHERE l.v = 9) SELECT box.x, box.y, box.z, CAST(1 AS BIGINT) AS v FROM box ANTI JOIN (SELECT * FROM l WHERE v <= 20) USING (x, y, z) ANTI JOIN out USING (x, y, z) SEMI JOIN s USING (x, y, z)")
+@query("+out AS (SELECT DISTINCT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z FROM (SELECT * FROM s WHERE v >= 49) l JOIN o ON d2 <= 4) SELECT box.x, box.y, box.z, CAST(1 AS BIGINT) AS v FROM box ANTI JOIN l USING (x, y, z) ANTI JOIN out USING (x, y, z) SEMI JOIN s USING (x, y, z)")
 def cell_interior(spark, sf_dir):
     vol = labels(spark, sf_dir)
-    outside = distance.edt_bounded(vol.where("v = 9"), GRID, 4)
-    return pointwise.cell_interior(box(spark), vol.where("v <= 20"), outside, scores(spark, sf_dir), 2.0)
+    outside = distance.edt_bounded(scores(spark, sf_dir).where("v >= 49"), GRID, 4)
+    return pointwise.cell_interior(box(spark), vol, outside, scores(spark, sf_dir), 2.0)
+
 
+@query("+out AS (SELECT DISTINCT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z FROM (SELECT * FROM s WHERE v >= 49) l JOIN o ON d2 <= 4), b AS (SELECT box.x, box.y, box.z, 4096 * box.z + 64 * box.y + box.x + 1 AS id FROM box ANTI JOIN l USING (x, y, z) ANTI JOIN out USING (x, y, z) SEMI JOIN s USING (x, y, z)), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + " SELECT x, y, z, root AS v FROM b JOIN c USING (id)", recursive=True)
+def cell_volume(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return cc.cell_volume(box(spark), labels(spark, sf_dir), s.where("v >= 49"), s, GRID, 2.0)
 
-@query("+f AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.x AS x0, a.y AS y0, a.z AS z0, a.v FROM (SELECT * FROM l WHERE v <= 3) a JOIN o ON greatest(abs(dx), abs(dy), abs(dz)) <= 2), m AS (SELECT x0, y0, z0, f.v, avg(f.x - x0) AS mx, avg(f.y - y0) AS my, avg(f.z - z0) AS mz FROM f JOIN l USING (x, y, z) WHERE f.v = l.v GROUP BY x0, y0, z0, f.v) SELECT x0 AS x, y0 AS y, z0 AS z, v, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mx / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nx, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN my / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS ny, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mz / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nz FROM m")
+
+@query("+f AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.x AS x0, a.y AS y0, a.z AS z0, a.v FROM l a JOIN o ON greatest(abs(dx), abs(dy), abs(dz)) <= 2), m AS (SELECT x0, y0, z0, f.v, avg(f.x - x0) AS mx, avg(f.y - y0) AS my, avg(f.z - z0) AS mz FROM f JOIN l USING (x, y, z) WHERE f.v = l.v GROUP BY x0, y0, z0, f.v) SELECT x0 AS x, y0 AS y, z0 AS z, v, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mx / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nx, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN my / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS ny, round(CASE WHEN mx * mx + my * my + mz * mz > 0 THEN mz / sqrt(mx * mx + my * my + mz * mz) ELSE 0.0 END, 6) + 0.0 AS nz FROM m")
 def surface_normals(spark, sf_dir):
     vol = labels(spark, sf_dir)
-    found = stencils.surface_normals(vol, vol.where("v <= 3"), 2)
+    found = stencils.surface_normals(vol, vol, GRID, 2)
     return found.withColumns({f"n{c}": F.round(f"n{c}", 6) + 0.0 for c in XYZ})
 
 
 @query()
 def ribosome_centres(spark, sf_dir):
-    return stencils.nonoverlapping(stencils.local_maxima(scores(spark, sf_dir), 2).where("v >= 45"), GRID, 2.0, 3)
+    return stencils.nonoverlapping(stencils.local_maxima(scores(spark, sf_dir), GRID, 2).where("v >= 45"), GRID, 2.0, 3)
 
 
-@query()
+@query(CONTACTS.format("d2 = 1") + ", f AS " + FACES.format("l") + " SELECT component, round((avg(CAST(ceil(254 * (s.v / 50)) + 1 AS BIGINT)) - 1) / 255 + 0.5 / 255, 9) AS sheetness, sum(faces) * 16.0 AS area FROM sites JOIN s USING (x, y, z) JOIN f ON f.x = s.x AND f.y = s.y AND f.z = s.z WHERE faces > 0 GROUP BY component", recursive=True)
 def contact_sheetness(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     valued = scores(spark, sf_dir).select(*XYZ, (F.col("v") / 50).alias("value"))
-    return objects.contact_sheetness(cc.contacts_overlap(a, b, GRID, 4.0), valued, stencils.exposed_faces(labels(spark, sf_dir), GRID), GRID)
+    found = objects.contact_sheetness(cc.contacts_overlap(a, b, GRID, 4.0), valued, stencils.exposed_faces(labels(spark, sf_dir), GRID), GRID)
+    return found.withColumn("sheetness", F.round("sheetness", 9))

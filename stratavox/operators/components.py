@@ -14,7 +14,7 @@ from stratavox.plans.checkpoints import cut
 from stratavox.plans.graph import connected_components
 
 from .stencils import AROUND, FACES, HALF
-from .volume import XYZ, Grid, map_blocks, stencil
+from .volume import XYZ, Block, Grid, over_blocks, stencil, united
 
 
 def label_block(dense: np.ndarray, around: bool) -> np.ndarray:
@@ -44,27 +44,30 @@ def label_block(dense: np.ndarray, around: bool) -> np.ndarray:
 def _contracted(volume: DataFrame, grid: Grid, around: bool) -> DataFrame:
     """Rows (x, y, z, v, root): the least voxel id of each voxel's component within its block."""
 
-    def kernel(dense: np.ndarray, corner: tuple[int, int, int]) -> np.ndarray:
+    def kernel(b: Block) -> dict[str, np.ndarray]:
         # flat order x fastest, so that the first voxel of a component has its least id
-        local = label_block(dense.transpose(2, 1, 0), around).transpose(2, 1, 0)
-        at = np.nonzero(local)
-        k = local[at] - 1
-        nx, ny, _ = dense.shape
-        x, y, z = k % nx + corner[0], k // nx % ny + corner[1], k // (nx * ny) + corner[2]
-        out = np.zeros(dense.shape, np.int64)
-        out[at] = grid.dim[0] * grid.dim[1] * z + grid.dim[0] * y + x + 1
-        return out
+        local = label_block(b["v"].transpose(2, 1, 0), around).transpose(2, 1, 0)
+        nx, ny, _ = b.shape
+        k = np.maximum(local - 1, 0)
+        x, y, z = k % nx + b.corner[0], k // nx % ny + b.corner[1], k // (nx * ny) + b.corner[2]
+        return b.rows(local > 0, v=b["v"], root=grid.dim[0] * grid.dim[1] * z + grid.dim[0] * y + x + 1)
 
-    roots = map_blocks(volume, grid, 0, kernel).withColumnRenamed("v", "root")
-    return volume.where("v <> 0").join(roots, XYZ)
+    return over_blocks(volume.where("v <> 0").select(*XYZ, "v"), grid, 0, kernel, "x long, y long, z long, v long, root long")
 
 
 def components(volume: DataFrame, grid: Grid, around: bool = False) -> DataFrame:
-    """Rows (x, y, z, v, component): neighbours (6, or 26 with around) with equal values are one component."""
+    """Rows (x, y, z, v, component): neighbours (6, or 26 with around) with equal values are one component.
+
+    Only voxels on block faces are joined with each other.
+    """
     local = cut(_contracted(volume, grid, around))
-    near = stencil(local, f"{AROUND if around else FACES} and {HALF}")
+    low = local.where(" or ".join(f"{c} % {b} = 0" for c, b in zip(XYZ, grid.block, strict=True)))
+    high = local.where(" or ".join(f"{c} % {b} = {b - 1}" for c, b in zip(XYZ, grid.block, strict=True)))
+    face = low.unionByName(high).distinct() if around else high
+    near = stencil(face, f"{AROUND if around else FACES} and {HALF}")
     crossing = near.where(" or ".join(f"floor({c} / {b}) <> floor({c}0 / {b})" for c, b in zip(XYZ, grid.block, strict=True)))
-    met = crossing.join(local.select(*XYZ, F.col("v").alias("other"), F.col("root").alias("to")), XYZ).where("v = other and root <> to")
+    other = (face if around else low).select(*XYZ, F.col("v").alias("other"), F.col("root").alias("to"))
+    met = crossing.join(other, XYZ).where("v = other and root <> to")
     merged = connected_components(met.select(F.col("root").alias("u"), F.col("to").alias("v")).distinct())
     return local.join(merged, F.col("root") == F.col("node"), "left").select(*XYZ, "v", F.coalesce("component", "root").alias("component"))
 
@@ -139,22 +142,79 @@ def line_voxels(dx: int, dy: int, dz: int) -> list[tuple[int, int, int]]:
 def contacts_sight(a: DataFrame, b: DataFrame, grid: Grid, nm: float) -> DataFrame:
     """Contact sites of surface voxels within nm / resolution + 1 whose line of sight crosses background only: all voxels of those lines.
 
-    Pairs meet in an equi-join over the ball's offsets; each offset's line is a constant.
+    Blocks have a halo of the reach and one more, so that both surfaces and all lines that start in a block lie in it.
     """
-    from .stencils import surface_voxels
+    from .stencils import surface
 
     most = int((grid.voxels(nm) + 1) ** 2)
     radius = int(np.sqrt(most) + 1e-9)
-    left, right = surface_voxels(a, grid).withColumnRenamed("v", "a"), surface_voxels(b, grid)
-    near = stencil(left, f"d2 <= {most}", radius).join(right.select(*XYZ, F.col("v").alias("b")), XYZ)
-    offset = [(F.col(c) - F.col(f"{c}0")).alias(f"d{c}") for c in XYZ]
-    sight = near.select(*(f"{c}0" for c in XYZ), "a", "b", *offset)
     span = range(-radius, radius + 1)
-    lines = [(x, y, z, line_voxels(x, y, z)) for x in span for y in span for z in span if x * x + y * y + z * z <= most]
-    table = sight.sparkSession.createDataFrame(lines, "dx long, dy long, dz long, line array<struct<x: long, y: long, z: long>>")
-    on_line = sight.join(F.broadcast(table), ["dx", "dy", "dz"]).select(F.struct("x0", "y0", "z0", "dx", "dy", "dz").alias("pair"), "a", "b", F.posexplode("line").alias("k", "p"), F.size("line").alias("n"))
-    on_line = on_line.select("pair", "a", "b", "k", "n", *((F.col(f"pair.{c}0") + F.col(f"p.{c}")).alias(c) for c in XYZ))
-    filled = a.where("v > 0").select(*XYZ).unionByName(b.where("v > 0").select(*XYZ)).distinct()
-    blocked = on_line.where("k > 0 and k < n - 1").join(filled, XYZ, "left_semi").select("pair", "a", "b").distinct()
-    seen = on_line.join(blocked, ["pair", "a", "b"], "left_anti").select(*XYZ, "a", "b").distinct()
+    lines = [line_voxels(x, y, z) for x in span for y in span for z in span if x * x + y * y + z * z <= most]
+
+    def kernel(k: Block) -> dict[str, np.ndarray]:
+        own = surface(k, k["a"])
+        mask = np.zeros(k.shape, bool)
+        mask[k.core] = own[k.core]
+        other, free = surface(k, k["b"]), (k["a"] == 0) & (k["b"] == 0)
+        found = []
+        for line in lines:
+            seen = mask & k.moved(other, line[-1], False)
+            for step in line[1:-1]:
+                seen &= k.moved(free, step, False)
+            at = np.argwhere(seen)
+            if len(at):
+                pair = np.column_stack([k["a"][seen], k["b"][tuple((at + line[-1]).T)]])
+                found += [np.column_stack([at + np.array(step) + np.array(k.corner), pair]) for step in line]
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 5), np.int64)
+        return {c: rows[:, i] for i, c in enumerate([*XYZ, "a", "b"])}
+
+    both = united(a=a.where("v > 0"), b=b.where("v > 0"))
+    seen = over_blocks(both, grid, radius + 1, kernel, "x long, y long, z long, a long, b long").distinct()
     return pair_components(cut(seen), grid, around=True)
+
+
+def contact_sites(volumes: dict[str, DataFrame], grid: Grid, nm: float, pairs: list[tuple[str, str]] | None = None, self_pairs: bool = False) -> DataFrame:
+    """Rows (contact, x, y, z, a, b, component) over all pairs of volumes, or those named; contact is "<first>_to_<second>".
+
+    With a distance of 0 the halos' overlap counts, else lines of sight. With self_pairs a volume's objects also meet each other.
+    """
+    from .distance import self_pairs as own_pairs
+
+    names = list(volumes)
+    pairs = pairs or [(m, n) for i, m in enumerate(names) for n in names[i + (not self_pairs) :]]
+    out = None
+    for m, n in pairs:
+        if m == n:
+            sites = pair_components(cut(own_pairs(volumes[m], grid, nm)), grid, around=True)
+        else:
+            sites = (contacts_overlap if nm == 0 else contacts_sight)(volumes[m], volumes[n], grid, nm)
+        sites = sites.select(F.lit(f"{m}_to_{n}").alias("contact"), *XYZ, "a", "b", "component")
+        out = sites if out is None else out.unionByName(sites)
+    return out
+
+
+# Workflows
+
+
+def fill_and_filter(volume: DataFrame, box: DataFrame, grid: Grid, more_than_nm3: float, at_most_nm3: float | None = None) -> DataFrame:
+    """Holes are filled, and then objects outside the sizes go; the others are renumbered."""
+    from .pointwise import volume_filter
+
+    filled = cut(fill_holes(volume, box, grid))
+    return volume_filter(filled, grid.volume_voxels(more_than_nm3), None if at_most_nm3 is None else grid.volume_voxels(at_most_nm3))
+
+
+def cell_volume(box: DataFrame, membrane: DataFrame, outside: DataFrame, mask: DataFrame, grid: Grid, beyond: float = 3.0, more_than_nm3: float = 0.0) -> DataFrame:
+    """Rows (x, y, z, v): components of what lies inside the mask, isn't membrane, and is farther than beyond voxels from the outside (x, y, z, v)."""
+    from .distance import edt_bounded
+    from .pointwise import cell_interior
+
+    inner = cell_interior(box, membrane, edt_bounded(outside, grid, int(beyond * beyond)), mask, beyond)
+    found = components(inner, grid)
+    return keep_sizes(found, float(np.ceil(grid.volume_voxels(more_than_nm3)))).select(*XYZ, F.col("component").alias("v"))
+
+
+def light_contacts(predictions: dict[str, DataFrame], grid: Grid, at_least: dict[str, float], more_than_nm3: float = 0.0) -> DataFrame:
+    """Contact sites of light-microscopy channels: threshold, components, and overlap of halos at distance 0 for all pairs of channels."""
+    segmented = {name: cut(segment(p, grid, at_least[name], more_than_nm3)) for name, p in predictions.items()}
+    return contact_sites(segmented, grid, 0.0)

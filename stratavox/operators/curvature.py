@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .stencils import gaussian_weights
-from .volume import Grid, map_blocks
+from .volume import XYZ, Block, Grid, map_blocks, over_blocks, united
 
 
 def sigma_series(scales: int = 12, per_octave: int = 2) -> list[float]:
@@ -18,7 +20,7 @@ def smooth(dense: np.ndarray, sigma: float) -> np.ndarray:
     w = gaussian_weights(sigma)
     for axis in range(3):
         moved = np.moveaxis(dense, axis, -1)
-        padded = np.pad(moved, [(0, 0), (0, 0), (len(w) - 1,) * 2], mode="reflect" if moved.shape[-1] >= len(w) else "edge")
+        padded = np.pad(moved, [(0, 0), (0, 0), (len(w) - 1,) * 2], mode="reflect" if moved.shape[-1] > 1 else "edge")
         n = moved.shape[-1]
         out = w[0] * padded[..., len(w) - 1 : len(w) - 1 + n]
         for k in range(1, len(w)):
@@ -27,14 +29,6 @@ def smooth(dense: np.ndarray, sigma: float) -> np.ndarray:
     return dense
 
 
-def hessian_eigenvalues(dense: np.ndarray, sigma: float) -> np.ndarray:
-    """Eigenvalues of the scale-normalised Hessian, by absolute value."""
-    first = [np.gradient(dense, axis=a) * sigma for a in range(3)]
-    h = np.stack([np.stack([np.gradient(f, axis=b) * sigma for b in range(3)], -1) for f in first], -2)
-    values = np.linalg.eigvalsh((h + h.swapaxes(-1, -2)) / 2)
-    return np.take_along_axis(values, np.abs(values).argsort(-1), -1)
-
-
 def shape_measures(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(planarity, sphereness) of bright structures: plates have one large negative eigenvalue, blobs three."""
     l1, l2, l3 = (np.abs(values[..., k]) for k in range(3))
@@ -47,19 +41,53 @@ def shape_measures(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, np.nan_to_num(planarity), 0), np.where(ok, np.nan_to_num(sphere), 0)
 
 
-def planarity(volume: DataFrame, grid: Grid, scales: int = 6, measure: str = "planarity") -> DataFrame:
-    """Rows (x, y, z, v double): the greatest measure over scales at object voxels."""
-    sigmas = sigma_series(scales)
-    halo = int(3 * sigmas[-1]) + 3
+def increments(sigmas: list[float]) -> list[float]:
+    """What each scale adds to the smoothing before it, so that scales accumulate; the image itself has the first one's sharpness."""
+    return [0.0] + [math.sqrt(b * b - a * a) for a, b in zip(sigmas, sigmas[1:])]
 
-    def kernel(dense: np.ndarray, corner) -> np.ndarray:
-        best = np.zeros(dense.shape)
-        for s in sigmas:
-            found = shape_measures(hessian_eigenvalues(smooth((dense > 0).astype(float), s), s))
-            best = np.maximum(best, found[measure != "planarity"])
-        return np.where(dense > 0, best, 0)
 
-    return map_blocks(volume, grid, halo, kernel, "double")
+def eigenvalues_at(dense: np.ndarray, sigma: float, at: np.ndarray) -> np.ndarray:
+    """Eigenvalues, by absolute value, of the scale-normalised Hessian at some places; differences are central and the edge repeats."""
+    f = np.pad(dense, 2, mode="edge")
+    p = at + 2
+
+    def value(*steps):
+        return f[tuple((p + np.array(steps)).T)]
+
+    h = np.zeros((len(at), 3, 3))
+    for i in range(3):
+        for j in range(i + 1):
+            ei, ej = np.eye(3, dtype=int)[[i, j]]
+            h[:, i, j] = h[:, j, i] = sigma * sigma * sum(s * t * value(*(s * ei + t * ej)) for s in (-1, 1) for t in (-1, 1)) / 4
+    values = np.linalg.eigvalsh(h)
+    return np.take_along_axis(values, np.abs(values).argsort(-1), -1)
+
+
+def planarity(volume: DataFrame, grid: Grid, scales: int = 12, measure: str = "planarity", at: DataFrame | None = None) -> DataFrame:
+    """Rows (x, y, z, v double): the greatest measure over scales at object voxels, or at those of another volume (a medial surface) only.
+
+    Smoothing accumulates from scale to scale within a window of three times the greatest scale, cut off at the volume and mirrored there. The Hessian is made
+    only where it is asked for.
+    """
+    sigmas = sigma_series(scales)
+    halo = int(3 * sigmas[-1]) + 3
+    rows = united(v=volume.where("v > 0"), on=(volume if at is None else at).where("v > 0"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        low = [max(0, -o) for o in b.corner]
+        high = [min(n, d - o) for n, d, o in zip(b.shape, b.dim, b.corner, strict=True)]
+        f = (b["v"] > 0)[tuple(slice(p, q) for p, q in zip(low, high, strict=True))].astype(float)
+        out = b.rows((b["on"] > 0) & (b["v"] > 0))
+        places = np.stack([out[c] - o - p for c, o, p in zip(XYZ, b.corner, low, strict=True)], 1)
+        best = np.zeros(len(places))
+        for sigma, more in zip(sigmas, increments(sigmas), strict=True):
+            if not len(places):
+                break
+            f = smooth(f, more) if more else f
+            best = np.maximum(best, shape_measures(eigenvalues_at(f, sigma, places))[measure != "planarity"])
+        return {c: a[best > 0] for c, a in (out | {"v": best}).items()}
+
+    return over_blocks(rows, grid, halo, kernel, "x long, y long, z long, v double")
 
 
 def surface_curvature(volume: DataFrame, grid: Grid, sigma: float = 2.0, kind: str = "mean") -> DataFrame:

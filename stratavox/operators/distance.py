@@ -1,67 +1,216 @@
-"""Bounded distances, dilation, erosion and nearest labels.
+"""Distance transforms, nearest labels, expansion, erosion and geodesic distance.
 
-Within a radius, a distance transform is a join with the lattice offsets of a ball and a minimum; ties go to the smallest label. Only
-surface voxels of an object can be nearest to a place outside, so only they are moved.
+Squared distances are exact and separable: along each axis in turn, a place takes the least of its line's values plus the squared step. Ties go to
+the smaller label, since distance and label travel in one ordered key. A bounded transform whose radius is at most half a block runs in blocks with
+a halo of that radius, one exchange. Any other runs over bundles of whole lines, one exchange an axis: no halo has to be guessed or grown, memory is a
+bundle's, and places out of reach are never made.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stencils import surface_voxels
-from .volume import XYZ, Grid, map_blocks, stencil
+from .volume import XYZ, Block, Grid, over_blocks, stencil
+
+_FAR = 1 << 61
+#: Lines in a bundle along each of the two other axes.
+BUNDLE = 16
 
 
-def _near(sources: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
-    """Rows (x, y, z, v, d2): places within the distance of a source voxel, once for each source."""
-    radius = int(np.sqrt(most_d2) + 1e-9)
-    return stencil(sources, f"d2 <= {most_d2}", radius).where(grid.inside()).select(*XYZ, "v", "d2")
+# Nearest labels. A key is d2 * (labels + 1) + the label's rank.
 
 
-def edt_bounded(volume: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
-    """Rows (x, y, z, d2): squared distance to the nearest set voxel, up to most_d2."""
-    outside = _near(surface_voxels(volume, grid), grid, most_d2).groupBy(*XYZ).agg(F.min("d2").alias("d2"))
-    inner = volume.where("v > 0").select(*XYZ, F.lit(0).cast("long").alias("zero"))
-    return outside.join(inner, XYZ, "full_outer").select(*XYZ, F.coalesce("zero", "d2").alias("d2"))
+def _sweep(key: np.ndarray, radius: int, times: int, axis: int) -> np.ndarray:
+    """Keys after steps of up to radius along an axis."""
+    key = np.moveaxis(key, axis, -1)
+    best = key.copy()
+    for k in range(1, min(radius, key.shape[-1] - 1) + 1):
+        np.minimum(best[..., k:], key[..., :-k] + k * k * times, out=best[..., k:])
+        np.minimum(best[..., :-k], key[..., k:] + k * k * times, out=best[..., :-k])
+    return np.moveaxis(np.minimum(best, _FAR), -1, axis)
+
+
+def _two_least(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], times: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two least keys of different labels, from two such pairs."""
+    first = np.minimum(a[0], b[0])
+    rank = first % times
+    other = [np.where((x >= _FAR) | (x % times == rank), _FAR, x) for x in (np.maximum(a[0], b[0]), a[1], b[1])]
+    return first, np.minimum.reduce(other)
+
+
+def _sweep_two(keys: tuple[np.ndarray, np.ndarray], radius: int, times: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = tuple(np.moveaxis(k, axis, -1) for k in keys)
+    best = tuple(k.copy() for k in keys)
+    for k in range(1, min(radius, keys[0].shape[-1] - 1) + 1):
+        for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+            new = _two_least(tuple(b[..., here] for b in best), tuple(np.minimum(x[..., there] + k * k * times, _FAR) for x in keys), times)
+            for b, x in zip(best, new, strict=True):
+                b[..., here] = x
+    return tuple(np.moveaxis(b, -1, axis) for b in best)
+
+
+def _over_lines(rows: DataFrame, grid: Grid, axis: int, kernel, schema: str) -> DataFrame:
+    """Runs kernel(columns, places, shape) on bundles of lines along an axis; places are dense indices with that axis last."""
+    others = [c for k, c in enumerate(XYZ) if k != axis]
+    keyed = rows.select("*", *(F.floor(F.col(c) / BUNDLE).alias(f"b{c}") for c in others))
+    n = grid.dim[axis]
+
+    def run(t: pa.Table) -> pa.Table:
+        col = {c: np.asarray(t.column(c).combine_chunks()) for c in t.column_names}
+        corner = [int(col[f"b{c}"][0]) * BUNDLE for c in others]
+        done, at = kernel(col, tuple(col[c] - o for c, o in zip(others, corner, strict=True)) + (col[XYZ[axis]],), (BUNDLE, BUNDLE, n))
+        out = {c: (a + o).astype(np.int64) for c, a, o in zip([*others, XYZ[axis]], at, [*corner, 0], strict=True)} | done
+        return pa.table(out).select([f.split()[0] for f in schema.split(", ")])
+
+    return keyed.groupBy(*(f"b{c}" for c in others)).applyInArrow(run, schema)
+
+
+def nearest_labels(sources: DataFrame, grid: Grid, most_d2: int, second: bool = False) -> DataFrame:
+    """Rows (x, y, z, v, d2): the nearest label within the distance, the smaller on ties; with second also v2, the nearest other label within it, or 0."""
+    radius = math.isqrt(most_d2)
+    names = ["v", "d2"] + (["v2", "d22"] if second else [])
+    schema = ", ".join(f"{c} long" for c in [*XYZ, *names])
+
+    def keys_of(label: np.ndarray, d2: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        return d2 * (len(ranks) + 1) + np.searchsorted(ranks, label)
+
+    def columns(keys: tuple[np.ndarray, ...], ranks: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for key, v, d2 in zip(keys, names[::2], names[1::2], strict=False):
+            far = key // (len(ranks) + 1) > most_d2
+            out |= {v: np.where(far, 0, np.append(ranks, 0)[np.where(far, len(ranks), key % (len(ranks) + 1))]), d2: np.where(far, most_d2 + 1, key // (len(ranks) + 1))}
+        return out
+
+    def sweep(keys: tuple[np.ndarray, ...], times: int, axis: int) -> tuple[np.ndarray, ...]:
+        return _sweep_two(keys, radius, times, axis) if second else (_sweep(keys[0], radius, times, axis),)
+
+    if 2 * radius <= min(grid.block):
+
+        def in_block(b: Block) -> dict[str, np.ndarray]:
+            ranks = np.unique(b["v"][b["v"] != 0])
+            keys = (np.where(b["v"] != 0, keys_of(b["v"], np.zeros(b.shape, np.int64), ranks), _FAR),)
+            keys += (np.full(b.shape, _FAR),) if second else ()
+            for axis in range(3):
+                keys = sweep(keys, len(ranks) + 1, axis)
+            found = columns(keys, ranks)
+            return b.rows((found["d2"] <= most_d2) & b.inside(), **found)
+
+        return over_blocks(sources.select(*XYZ, "v"), grid, radius, in_block, schema)
+
+    rows = sources.select(*XYZ, F.col("v").cast("long").alias("v"), F.lit(0).cast("long").alias("d2"), *([F.lit(0).cast("long").alias("v2"), F.lit(most_d2 + 1).cast("long").alias("d22")] if second else []))
+
+    def in_lines(col, at, shape):
+        ranks = np.unique(np.concatenate([col[c] for c in names[::2]]))
+        ranks = ranks[ranks != 0]
+        keys = ()
+        for v, d2 in zip(names[::2], names[1::2], strict=True):
+            key = np.full(shape, _FAR)
+            key[at] = np.where(col[d2] <= most_d2, keys_of(col[v], col[d2], ranks), _FAR)
+            keys += (key,)
+        found = columns(sweep(keys, len(ranks) + 1, 2), ranks)
+        at = np.nonzero(found["d2"] <= most_d2)
+        return {c: a[at] for c, a in found.items()}, at
+
+    for axis in (2, 1, 0):
+        rows = _over_lines(rows, grid, axis, in_lines, schema)
+    return rows.where(grid.inside())
+
+
+# Depth: distance to the background.
+
+
+def _lower(f: np.ndarray, weight: float) -> np.ndarray:
+    """The least of each line's values plus the weighted squared step, until no longer step can lower any."""
+    best = f.copy()
+    some = np.isfinite(f).any(-1, keepdims=True)
+    for k in range(1, f.shape[-1]):
+        step = (weight * k) ** 2
+        if not (np.where(some, best, 0) > step).any():
+            break
+        np.minimum(best[..., k:], f[..., :-k] + step, out=best[..., k:])
+        np.minimum(best[..., :-k], f[..., k:] + step, out=best[..., :-k])
+    return best
+
+
+def edt_kernel(inside: np.ndarray, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
+    """Exact squared distances of a whole array to the nearest False, axis by axis; infinite where there is none."""
+    out = np.where(inside, np.inf, 0.0)
+    for axis, w in enumerate(weights):
+        out = np.moveaxis(_lower(np.moveaxis(out, axis, -1), w), -1, axis)
+    return out
+
+
+def depth(volume: DataFrame, grid: Grid, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), beyond_is_background: bool = True) -> DataFrame:
+    """Rows (x, y, z, v, d2 double): the exact squared distance of each object voxel to the background, however deep it lies.
+
+    Places beyond the volume count as background or not at all; voxels without any background have an infinite distance. Weights are the lengths of
+    a voxel along the axes.
+    """
+    schema = "x long, y long, z long, v long, d2 double"
+    rows = volume.where("v > 0").select(*XYZ, F.col("v").cast("long").alias("v"), F.lit(float("inf")).alias("d2"))
+
+    def along(weight: float):
+        def kernel(col, at, shape):
+            f = np.zeros((*shape[:2], shape[2] + 2))
+            if not beyond_is_background:
+                f[..., [0, -1]] = np.inf
+            moved = (at[0], at[1], at[2] + 1)
+            f[moved] = col["d2"]
+            return {"v": col["v"], "d2": _lower(f, weight)[moved]}, at
+
+        return kernel
+
+    for axis in (2, 1, 0):
+        rows = _over_lines(rows, grid, axis, along(weights[axis]), schema)
+    return rows
 
 
 def depth_bounded(volume: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
     """Rows (x, y, z, v, d2): set voxels within most_d2 of background in the volume."""
-    shell = stencil(volume.where("v > 0"), "d2 = 1").where(grid.inside()).select(*XYZ).distinct().join(volume.where("v > 0").select(*XYZ), XYZ, "left_anti")
-    reached = _near(shell.withColumn("v", F.lit(0)), grid, most_d2).groupBy(*XYZ).agg(F.min("d2").alias("d2"))
-    return volume.where("v > 0").join(reached, XYZ).select(*XYZ, "v", "d2")
+    radius = math.isqrt(most_d2)
+    if 2 * radius > min(grid.block):
+        return depth(volume, grid, beyond_is_background=False).where(F.col("d2") <= most_d2).withColumn("d2", F.col("d2").cast("long"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        key = np.where((b["v"] == 0) & b.inside(), 0, _FAR)
+        for axis in range(3):
+            key = _sweep(key, radius, 1, axis)
+        return b.rows((b["v"] > 0) & (key <= most_d2), v=b["v"], d2=key)
+
+    return over_blocks(volume.where("v > 0").select(*XYZ, "v"), grid, radius, kernel, "x long, y long, z long, v long, d2 long")
 
 
-def nearest_labels(sources: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
-    """Rows (x, y, z, v, d2): the nearest label within the distance, the smaller on ties."""
-    best = _near(sources, grid, most_d2).groupBy(*XYZ).agg(F.min(F.struct("d2", "v")).alias("b"))
-    return best.select(*XYZ, F.col("b.v").alias("v"), F.col("b.d2").alias("d2"))
+# Operators
+
+
+def edt_bounded(volume: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
+    """Rows (x, y, z, d2): squared distance to the nearest set voxel, up to most_d2."""
+    return nearest_labels(volume.where("v > 0"), grid, most_d2).select(*XYZ, "d2")
 
 
 def contact_halo(volume: DataFrame, grid: Grid, nm: float) -> DataFrame:
     """Rows (x, y, z, v): places outside objects within nm / resolution + 1 voxels, by nearest label, and the objects' surface voxels."""
     most = int((grid.voxels(nm) + 1) ** 2)
-    surface = surface_voxels(volume, grid)
-    around = nearest_labels(surface, grid, most).join(volume.where("v > 0").select(*XYZ), XYZ, "left_anti")
-    return around.select(*XYZ, "v").unionByName(surface.select(*XYZ, "v"))
+    around = nearest_labels(volume.where("v > 0"), grid, most).where("d2 > 0")
+    return around.select(*XYZ, "v").unionByName(surface_voxels(volume, grid))
 
 
 def self_pairs(volume: DataFrame, grid: Grid, nm: float) -> DataFrame:
     """Rows (x, y, z, a, b), a < b: halo places with a second label within the distance: the nearest label and the nearest other one."""
     most = int((grid.voxels(nm) + 1) ** 2)
-    surface = surface_voxels(volume, grid)
-    by_label = _near(surface, grid, most).groupBy(*XYZ, "v").agg(F.min("d2").alias("d2"))
-    best = by_label.groupBy(*XYZ).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "v"))), 1, 2).alias("two")).where("size(two) = 2")
-    return best.select(*XYZ, F.least(F.col("two")[0]["v"], F.col("two")[1]["v"]).alias("a"), F.greatest(F.col("two")[0]["v"], F.col("two")[1]["v"]).alias("b"))
+    best = nearest_labels(surface_voxels(volume, grid), grid, most, second=True).where("v2 <> 0")
+    return best.select(*XYZ, F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"))
 
 
 def expand(volume: DataFrame, grid: Grid, nm: float, value: int | None = None) -> DataFrame:
     """Labels grown into the background by nm, or all of it as one value."""
-    most = int(grid.voxels(nm) ** 2)
-    around = nearest_labels(surface_voxels(volume, grid), grid, most).join(volume.where("v > 0").select(*XYZ), XYZ, "left_anti")
-    out = around.select(*XYZ, "v").unionByName(volume.where("v > 0").select(*XYZ, "v"))
+    out = nearest_labels(volume.where("v > 0"), grid, int(grid.voxels(nm) ** 2)).select(*XYZ, "v")
     return out if value is None else out.withColumn("v", F.lit(value).cast("long"))
 
 
@@ -97,39 +246,62 @@ def filament_tubes(centreline: DataFrame, grid: Grid, outer_nm: float = 12.5, in
     return outer.where(F.col("d2") > int(grid.voxels(inner_nm) ** 2)).select(*XYZ, "v")
 
 
-def edt_kernel(inside: np.ndarray, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
-    """Exact squared distances to the nearest False, axis by axis; far beyond the array where there is none."""
-    far = float(sum((w * n) ** 2 for w, n in zip(weights, inside.shape, strict=True)) * 4 + 1)
-    out = np.where(inside, far, 0.0)
-    for axis, w in enumerate(weights):
-        n = out.shape[axis]
-        moved = np.moveaxis(out, axis, -1)
-        gap = (w * (np.arange(n)[:, None] - np.arange(n)[None])) ** 2
-        best = np.full_like(moved, np.inf)
-        for k in range(n):
-            np.minimum(best, moved[..., k : k + 1] + gap[k], out=best)
-        out = np.moveaxis(np.minimum(best, far), -1, axis)
-    return out
+# Geodesic distance
 
+#: Chamfer steps to face, edge and corner neighbours.
+_CHAMFER = {1: 3, 2: 4, 3: 5}
 
-def depth(volume: DataFrame, grid: Grid, halo: int = 16) -> DataFrame:
-    """Rows (x, y, z, v double): squared depth of object voxels, exact up to the halo; places beyond the volume count as background."""
-    return map_blocks(volume, grid, halo, lambda dense, corner: np.where(dense > 0, edt_kernel(dense > 0), 0), "double")
 
+def _relax(b: Block, inside: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Distances within a block and its halo of one, until no step lowers any."""
+    steps = [((x, y, z), _CHAMFER[abs(x) + abs(y) + abs(z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0)]
+    while True:
+        best = d
+        for step, cost in steps:
+            best = np.where(inside, np.minimum(best, b.moved(best, step, _FAR) + cost), _FAR)
+        if (best == d).all():
+            return d
+        d = best
 
-def geodesic(seeds: DataFrame, mask: DataFrame, most: float = 1e18) -> DataFrame:
-    """Rows (x, y, z, d): chamfer distance (3, 4, 5 for faces, edges and corners) from the seeds within the mask.
 
-    Frontier relaxation: only places that got nearer in the last round are moved.
+def geodesic(seeds: DataFrame, mask: DataFrame, grid: Grid, most: int = _FAR - 1) -> DataFrame:
+    """Rows (x, y, z, d): chamfer distance (3, 4, 5 for faces, edges and corners) from the seeds within the mask, up to most; labels of the mask don't bound it.
+
+    Each block relaxes to its own fixed point; only blocks whose neighbours' faces got nearer run again.
     """
+    from stratavox.plans.checkpoints import cut, drop
+
+    schema = "x long, y long, z long, d long, nearer boolean"
+    inside = mask.where("v <> 0").select(*XYZ, F.lit(True).alias("inside")).distinct()
+    start = seeds.select(*XYZ, F.lit(1).cast("long").alias("after")).distinct()
+    known = cut(inside.join(start, XYZ, "left").withColumn("after", F.coalesce("after", F.lit(0).cast("long"))))
+    active = spread_keys(known.where("after > 0"), grid)
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        before = np.where(b["after"] > 0, b["after"] - 1, _FAR)  # one more, as 0 means unknown
+        d = _relax(b, b["inside"], before)
+        d = np.where(d <= most, d, _FAR)
+        return b.rows(b["inside"], d=np.where(d < _FAR, d + 1, 0), nearer=d < before)
+
+    while not active.isEmpty():
+        run = over_blocks(known, grid, 1, kernel, schema, only=active).withColumnRenamed("d", "after")
+        rest = known.select(*XYZ, "after", *grid.block_key()).join(active, ["bx", "by", "bz"], "left_anti")
+        new = cut(run.select(*XYZ, "after", "nearer").unionByName(rest.select(*XYZ, "after", F.lit(False).alias("nearer"))))
+        active = spread_keys(new.where("nearer"), grid)
+        drop(known)
+        known = cut_path(new, new.select(*XYZ, F.lit(True).alias("inside"), "after"))
+    return known.where("after > 0").select(*XYZ, (F.col("after") - 1).alias("d"))
+
+
+def cut_path(of: DataFrame, df: DataFrame) -> DataFrame:
+    df.cut_path = of.cut_path
+    return df
+
+
+def spread_keys(rows: DataFrame, grid: Grid) -> DataFrame:
+    """The blocks (bx, by, bz) that the rows are in or next to, a cut: a row for each such block."""
     from stratavox.plans.checkpoints import cut
 
-    inside = cut(mask.where("v <> 0").select(*XYZ))
-    known = cut(seeds.select(*XYZ).join(inside, XYZ, "left_semi").distinct().withColumn("d", F.lit(0).cast("long")))
-    frontier = known
-    while not frontier.isEmpty():
-        step = stencil(frontier.select(*XYZ, "d"), "d2 > 0").join(inside, XYZ, "left_semi").groupBy(*XYZ).agg(F.min(F.col("d") + F.col("d2") + 2).alias("new"))
-        joined = known.join(step.where(F.col("new") <= most), XYZ, "full_outer")
-        merged = cut(joined.select(*XYZ, F.least("d", "new").alias("d"), (F.col("new") < F.coalesce("d", F.lit(1 << 60))).alias("nearer")))
-        known, frontier = merged.select(*XYZ, "d"), merged.where("nearer").select(*XYZ, "d")
-    return known
+    from .volume import spread_to_blocks
+
+    return cut(spread_to_blocks(rows.select(*XYZ), grid, 1).select("bx", "by", "bz").distinct())

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.plans.checkpoints import cut
+
+from .distance import geodesic
 from .stencils import exposed_faces
 from .volume import XYZ, Grid, stencil
 
@@ -22,7 +25,7 @@ def object_info(volume: DataFrame, grid: Grid) -> DataFrame:
 
 def contact_info(contacts: DataFrame, a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
     """object_info of contact sites (x, y, z, a, b, component) with their pair and each side's surface area within the site."""
-    sites = contacts.select(*XYZ, F.col("component").alias("v"), "a", "b")
+    sites = cut(contacts.select(*XYZ, F.col("component").alias("v"), "a", "b"))
     info = object_info(sites.select(*XYZ, "v").distinct(), grid)
     own = sites.select("v", "a", "b").distinct()
     side = lambda volume, name: sites.join(exposed_faces(volume, grid).select(*XYZ, F.col("v").alias(name), "faces"), [*XYZ, name]).groupBy("v").agg((F.sum("faces") * grid.resolution[0] ** 2).alias(f"area_{name}"))
@@ -64,6 +67,33 @@ def value_histogram(valued: DataFrame, volume: DataFrame, grid: Grid) -> DataFra
     return by_bin.select("bin", bin_centre(F.col("bin")).alias("centre"), "volume", "area")
 
 
+def planarity_thickness(medial: DataFrame, grid: Grid, bins: int = 100, width_nm: float = 8.0) -> DataFrame:
+    """Rows (bin, thickness, count): medial voxels (d2, value) by planarity bin and thickness in steps of width_nm, the last bin open."""
+    nm = 2 * F.sqrt("d2") * grid.resolution[0]
+    return medial.groupBy(unit_bin(F.col("value")).alias("bin"), F.least(F.floor(nm / width_nm), F.lit(bins - 1)).cast("long").alias("thickness")).agg(F.count("*").alias("count"))
+
+
+def nearest_medial(volume: DataFrame, medial: DataFrame, grid: Grid) -> DataFrame:
+    """Rows (x, y, z, v, value): each object voxel's mean value over all medial voxels (x, y, z, value) that are nearest to it within the objects.
+
+    Nearness is chamfer distance. The nearest medial voxels of a place are those of the neighbours from which an exact step leads to it, so sets of them
+    spread outwards one step a round, each pair of a place and a medial voxel once.
+    """
+    known = cut(geodesic(medial, volume, grid))
+    step = F.when(F.col("d2") == 1, 3).when(F.col("d2") == 2, 4).otherwise(5)
+    there = known.select(*XYZ, F.col("d").alias("to"))
+    exact = stencil(known, "d2 > 0").join(there, XYZ).where(F.col("d") + step == F.col("to"))
+    exact = cut(exact.select(*(F.col(f"{c}0").alias(f"from_{c}") for c in XYZ), *XYZ))
+    frontier = cut(medial.join(known.where("d = 0").select(*XYZ), XYZ).select(*XYZ, grid.index().alias("source"), "value"))
+    met = frontier
+    while not frontier.isEmpty():
+        moved = frontier.select(*(F.col(c).alias(f"from_{c}") for c in XYZ), "source", "value").join(exact, [f"from_{c}" for c in XYZ]).select(*XYZ, "source", "value").distinct()
+        frontier = cut(moved.join(met.select(*XYZ, "source"), [*XYZ, "source"], "left_anti"))
+        met = met.unionByName(frontier)
+    mean = met.groupBy(*XYZ).agg(F.avg("value").alias("value"))
+    return volume.where("v > 0").join(mean, XYZ).select(*XYZ, "v", "value")
+
+
 def contact_sheetness(contacts: DataFrame, valued: DataFrame, surface: DataFrame, grid: Grid) -> DataFrame:
     """Rows (component, sheetness, area): mean bin centre of contact-site surface voxels, and their area."""
     met = contacts.select(*XYZ, "component").join(valued.select(*XYZ, "value"), XYZ).join(surface.select(*XYZ, "faces"), XYZ).where("faces > 0").withColumn("bin", unit_bin(F.col("value")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavox.plans.checkpoints import cut
+
 from .volume import XYZ
 
 
@@ -14,7 +16,7 @@ def dense_numbers(ids: DataFrame) -> DataFrame:
     Ids are sorted by range over all tasks; each partition is numbered by itself and shifted by what the ones before hold, a
     table with a row for each partition.
     """
-    placed = ids.select("v").distinct().repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    placed = cut(ids.select("v").distinct().repartitionByRange("v").withColumn("part", F.spark_partition_id()))  # parts are read twice, so they are fixed first
     placed = placed.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("v")))
     before = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(before.select("part", "before")), "part").select("v", (F.col("own") + F.col("before")).cast("long").alias("number"))

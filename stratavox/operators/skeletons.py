@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,86 +29,111 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("obj", "node").agg(F.count("*").alias("degree")).withColumn("kind", kind)
 
 
-def shortest_paths(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs' distances and the next hop of each path, by relaxing through one node at a time."""
-    n = len(nodes)
-    d, hop = np.full((n, n), np.inf), np.full((n, n), -1)
-    np.fill_diagonal(d, 0)
-    i, j = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
-    d[i, j] = d[j, i] = w
-    hop[i, j], hop[j, i] = j, i
-    for k in range(n):
-        through = d[:, k : k + 1] + d[k]
-        nearer = through < d
-        d = np.where(nearer, through, d)
-        hop = np.where(nearer, hop[:, k : k + 1], hop)
-    return d, hop
-
-
-def path(hop: np.ndarray, a: int, b: int) -> list[int]:
-    out = [a]
-    while a != b:
-        a = int(hop[a, b])
-        out.append(a)
+class Graph:
+    """An object's skeleton graph: neighbours of each node in arrays, nodes in the order of their ids."""
+
+    def __init__(self, nodes: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        self.nodes = np.sort(nodes)
+        i, j = np.searchsorted(self.nodes, np.r_[u, v]), np.searchsorted(self.nodes, np.r_[v, u])
+        order = np.lexsort((j, i))
+        self.to, self.length = j[order].tolist(), np.r_[w, w][order].tolist()
+        self.start = np.searchsorted(i[order], np.arange(len(nodes) + 1)).tolist()
+        self.degree = np.diff(self.start)
+
+    def distances(self, sources: list[int]) -> tuple[np.ndarray, list[int]]:
+        """Distance to the nearest source, infinite beyond its part of the graph, and the node before on that path, -1 at sources."""
+        d, before, heap = [math.inf] * len(self.nodes), [-1] * len(self.nodes), [(0.0, s) for s in sources]
+        for s in sources:
+            d[s] = 0.0
+        while heap:
+            at, node = heapq.heappop(heap)
+            if at > d[node]:
+                continue
+            for k in range(self.start[node], self.start[node + 1]):
+                new = at + self.length[k]
+                if new < d[self.to[k]] - 1e-9:
+                    d[self.to[k]], before[self.to[k]] = new, node
+                    heapq.heappush(heap, (new, self.to[k]))
+        return np.array(d), before
+
+    def longest(self) -> tuple[int, int, float]:
+        """(start, end, length) of the longest shortest path, end <= start, the first pair in that order.
+
+        Bounds of each node's farthest distance shrink with every node looked at; a node is looked at only while it may still be an end of a path as long as the
+        longest one found, so most never are.
+        """
+        n = len(self.nodes)
+        most, best = np.full(n, np.inf), (0, 0, 0.0)
+        left, high = np.ones(n, bool), True
+        while left.any():
+            # in turn the node that may reach farthest, and a node near the middle, which bounds all others
+            node = int(np.where(left, most, -1).argmax()) if high else int(np.where(left, most, np.inf).argmin())
+            high = not high
+            d, _ = self.distances([node])
+            reached = np.isfinite(d)
+            far = float(d[reached].max())
+            ends = np.flatnonzero(reached & (d >= far - 1e-9))
+            start, end = min((max(node, int(e)), min(node, int(e))) for e in ends)
+            if far > best[2] + 1e-9 or (far > best[2] - 1e-9 and (start, end) < best[:2]):
+                best = (start, end, max(far, best[2]))
+            most[reached] = np.minimum(most[reached], d[reached] + far)
+            left[node] = False
+            left &= most >= best[2] - 1e-9
+        return best
+
+
+def path(before: list[int], end: int) -> list[int]:
+    """From an end back to the source of a search."""
+    out = [end]
+    while before[out[-1]] >= 0:
+        out.append(before[out[-1]])
     return out
 
 
-def longest(d: np.ndarray) -> tuple[int, int, float]:
-    """(start, end, length) of the longest shortest path, the first in (start, end <= start) order."""
-    low = np.tril(np.where(np.isfinite(d), d, -1))
-    a, b = np.unravel_index(int(low.argmax()), low.shape)
-    return int(a), int(b), float(d[a, b])
-
-
 def prune(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Without branches from an end to its nearest branch point of at most ``least``, while the longest path is over three times that."""
     while True:
-        d, hop = shortest_paths(nodes, u, v, w)
-        _, _, length = longest(d)
-        degree = np.bincount(np.r_[np.searchsorted(nodes, u), np.searchsorted(nodes, v)], minlength=len(nodes))
-        ends, branches = np.flatnonzero(degree == 1), np.flatnonzero(degree >= 3)
-        if length <= 3 * least or not len(branches) or not len(ends):
+        graph = Graph(nodes, u, v, w)
+        nodes = graph.nodes
+        ends, branches = np.flatnonzero(graph.degree == 1), np.flatnonzero(graph.degree >= 3)
+        if not len(branches) or not len(ends):
             return nodes, u, v, w
-        near = d[np.ix_(ends, branches)]
-        at = int(near.min(1).argmin())
-        if near[at].min() > least:
+        d, before = graph.distances(branches.tolist())
+        at = int(ends[d[ends].argmin()])
+        if d[at] > least or graph.longest()[2] <= 3 * least:
             return nodes, u, v, w
-        gone = nodes[path(hop, int(ends[at]), int(branches[int(near[at].argmin())]))[:-1]]
+        gone = nodes[path(before, at)[:-1]]
         stay = ~np.isin(u, gone) & ~np.isin(v, gone)
         nodes, u, v, w = nodes[~np.isin(nodes, gone)], u[stay], v[stay], w[stay]
 
 
 def length_and_thickness(vertices: DataFrame, edges: DataFrame, resolution: float, least: float = 0.0) -> DataFrame:
-    """Rows (obj, length_nm, radius_mean_nm, radius_sd_nm, path): along each object's longest shortest path after pruning.
+    """Rows (obj, length_nm, radius_mean_nm, radius_sd_nm, path, pruned): along each object's longest shortest path after pruning; pruned has all nodes left.
 
-    vertices: (obj, node, radius). An object's graph is one group, as long as its skeleton is.
+    vertices: (obj, node, radius). A task holds one object's skeleton, a few numbers a node; objects meet it by a shuffle on their ids.
     """
-    listed = edges.groupBy("obj").agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
-    nodes = vertices.groupBy("obj").agg(F.collect_list(F.struct("node", "radius")).alias("nodes")).join(listed, "obj", "left")
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for obj, own, e in zip(frame["obj"], frame["nodes"], frame["edges"], strict=True):
-                own = sorted((int(r["node"]), float(r["radius"])) for r in own)
-                node = np.array([n for n, _ in own])
-                radius = dict(own)
-                e = [] if e is None else list(e)
-                u, v, w = (np.array([r[c] for r in e]) for c in ("u", "v", "w"))
-                if len(e):
-                    node, u, v, w = prune(node, u, v, w, least)
-                    d, hop = shortest_paths(node, u, v, w)
-                    a, b, length = longest(d)
-                    at = node[path(hop, a, b)].tolist()
-                else:
-                    at, length = node[:1].tolist(), 0.0
-                r = np.array([radius[n] for n in at]) * resolution
-                rows.append((obj, length * resolution, r.mean(), r.std(ddof=1) if len(r) > 1 else float("nan"), at))
-            yield pd.DataFrame(rows, columns=["obj", "length_nm", "radius_mean_nm", "radius_sd_nm", "path"])
-
-    return nodes.mapInPandas(run, "obj long, length_nm double, radius_mean_nm double, radius_sd_nm double, path array<long>")
-
-
-def paint_paths(paths: DataFrame, grid: Grid) -> DataFrame:
-    """Rows (x, y, z, v): the longest paths as a volume."""
-    return paths.select(F.col("obj").alias("v"), F.explode("path").alias("node")).select(*(c.alias(k) for k, c in grid.position(F.col("node")).items()), "v")
+    rows = vertices.select("obj", "node", "radius").unionByName(edges.select("obj", "u", "v", "w"), allowMissingColumns=True)
+
+    def run(t: pa.Table) -> pa.Table:
+        points, lines = t.filter(pc.is_valid(t["node"])), t.filter(pc.is_valid(t["u"]))
+        col = lambda of, c: np.asarray(of.column(c).combine_chunks())
+        node, first = np.unique(col(points, "node"), return_index=True)
+        radius = col(points, "radius")[first]
+        u, v, w = (col(lines, c) for c in ("u", "v", "w"))
+        left, length, at = node, 0.0, node[:1]
+        if len(u):
+            left, u, v, w = prune(node, u, v, w, least)
+            graph = Graph(left, u, v, w)
+            start, end, length = graph.longest()
+            at = graph.nodes[path(graph.distances([end])[1], start)]
+        r = radius[np.searchsorted(node, at)] * resolution
+        sd = float(r.std(ddof=1)) if len(r) > 1 else float("nan")
+        mean = float(r.mean()) if len(r) else float("nan")
+        return pa.table({"obj": t.column("obj")[:1], "length_nm": [length * resolution], "radius_mean_nm": [mean], "radius_sd_nm": [sd], "path": pa.array([at.tolist()], pa.list_(pa.int64())), "pruned": pa.array([left.tolist()], pa.list_(pa.int64()))})
+
+    return rows.groupBy("obj").applyInArrow(run, "obj long, length_nm double, radius_mean_nm double, radius_sd_nm double, path array<long>, pruned array<long>")
+
+
+def paint(paths: DataFrame, grid: Grid, column: str = "path") -> DataFrame:
+    """Rows (x, y, z, v): the longest paths, or with "pruned" the pruned skeletons, as a volume."""
+    return paths.select(F.col("obj").alias("v"), F.explode(column).alias("node")).select(*(c.alias(k) for k, c in grid.position(F.col("node")).items()), "v")

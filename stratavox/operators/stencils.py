@@ -1,13 +1,16 @@
-"""Neighbourhood operators: each voxel meets its neighbours in an equi-join on the moved coordinates."""
+"""Neighbourhood operators: numpy kernels over blocks with halos, so a neighbourhood costs one exchange whatever its size."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .volume import XYZ, Grid, map_blocks, stencil
+from .volume import XYZ, Block, Grid, map_blocks, over_blocks, stencil, united
 
+_LEAST = -(1 << 62)
 FACES = "d2 = 1"
 AROUND = "d2 > 0"
 CORNERS = "d2 = 3"
@@ -15,15 +18,7 @@ CORNERS = "d2 = 3"
 HALF = "(dz > 0 or dz = 0 and (dy > 0 or dy = 0 and dx > 0))"
 
 
-def neighbours(volume: DataFrame, keep: str, radius: int = 1) -> DataFrame:
-    """Rows (x, y, z, x0, y0, z0, v, d2, other): each voxel (at x0...) with each neighbour place and the value there, 0 if none."""
-    other = volume.select(*XYZ, F.col("v").alias("other"))
-    return stencil(volume, keep, radius).join(other, XYZ, "left").withColumn("other", F.coalesce("other", F.lit(0)))
-
-
-def pairs(volume: DataFrame, keep: str) -> DataFrame:
-    """Pairs of set voxels that are neighbours by keep."""
-    return stencil(volume, keep).join(volume.select(*XYZ, F.col("v").alias("other")), XYZ)
+_AROUND = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0)]
 
 
 def exposed_faces(volume: DataFrame, grid: Grid, count_edge: bool = False, against_background: bool = False) -> DataFrame:
@@ -31,30 +26,61 @@ def exposed_faces(volume: DataFrame, grid: Grid, count_edge: bool = False, again
 
     Faces on the volume's edge count only with count_edge.
     """
-    near = neighbours(volume.where("v > 0"), FACES)
-    differs = (F.col("other") == 0) if against_background else (F.col("other") != F.col("v"))
-    if not count_edge:
-        differs &= grid.inside()
-    return near.groupBy("x0", "y0", "z0", "v").agg(F.sum(differs.cast("long")).alias("faces")).select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v", "faces")
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        v, inside = b["v"], b.inside()
+        faces = np.zeros(v.shape, np.int64)
+        for step in (s for s in _AROUND if sum(map(abs, s)) == 1):
+            other = b.moved(v, step)
+            differs = other == 0 if against_background else other != v
+            faces += differs if count_edge else differs & b.moved(inside, step, False)
+        return b.rows(v > 0, v=v, faces=faces)
+
+    return over_blocks(volume.where("v > 0").select(*XYZ, "v"), grid, 1, kernel, "x long, y long, z long, v long, faces long")
+
+
+def surface(b: Block, v: np.ndarray) -> np.ndarray:
+    """Which set voxels have a different value among the 26 neighbours in the volume."""
+    inside, out = b.inside(), np.zeros(v.shape, bool)
+    for step in _AROUND:
+        out |= (b.moved(v, step) != v) & b.moved(inside, step, False)
+    return out & (v > 0)
 
 
 def surface_voxels(volume: DataFrame, grid: Grid) -> DataFrame:
     """Set voxels of which any of the 26 neighbours in the volume differs."""
-    near = neighbours(volume.where("v > 0"), AROUND).where(grid.inside())
-    return near.groupBy("x0", "y0", "z0", "v").agg(F.max((F.col("other") != F.col("v")).cast("int")).alias("surface")).where("surface = 1").select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v")
+    return over_blocks(volume.where("v > 0").select(*XYZ, "v"), grid, 1, lambda b: b.rows(surface(b, b["v"]), v=b["v"]), "x long, y long, z long, v long")
 
 
-def touching_objects(volume: DataFrame) -> DataFrame:
+def touching_objects(volume: DataFrame, grid: Grid) -> DataFrame:
     """Rows (a, b), a < b: objects with voxels that are 26-neighbours."""
-    met = pairs(volume.where("v > 0"), AROUND).where("v < other")
-    return met.select(F.col("v").alias("a"), F.col("other").alias("b")).distinct()
 
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        v, found = b["v"], []
+        for step in _AROUND:
+            own, other = v[b.core], b.moved(v, step)[b.core]
+            met = (own > 0) & (own < other)
+            found.append(np.column_stack([own[met], other[met]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"a": pairs[:, 0], "b": pairs[:, 1]}
 
-def adjacent_kept(volume: DataFrame, kept: DataFrame) -> DataFrame:
+    return over_blocks(volume.where("v > 0").select(*XYZ, "v"), grid, 1, kernel, "a long, b long").distinct()
+
+
+def adjacent_kept(volume: DataFrame, kept: DataFrame, grid: Grid) -> DataFrame:
     """Rows (v, number): for objects not in kept (v), the smallest kept object at a corner neighbour."""
     mark = volume.where("v > 0").join(kept.select("v").distinct().withColumn("kept", F.lit(True)), "v", "left").select(*XYZ, "v", F.coalesce("kept", F.lit(False)).alias("kept"))
-    near = stencil(mark.where("not kept"), CORNERS).join(mark.where("kept").select(*XYZ, F.col("v").alias("other")), XYZ)
-    return near.groupBy("v").agg(F.min("other").alias("number"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        v, found = b["v"], []
+        loose = ((v > 0) & ~b["kept"])[b.core]
+        for step in (s for s in _AROUND if sum(map(abs, s)) == 3):
+            met = loose & b.moved(b["kept"], step, False)[b.core]
+            found.append(np.column_stack([v[b.core][met], b.moved(v, step)[b.core][met]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"v": pairs[:, 0], "number": pairs[:, 1]}
+
+    return over_blocks(mark, grid, 1, kernel, "v long, number long").groupBy("v").agg(F.min("number").alias("number"))
 
 
 def gradient(volume: DataFrame, axis: str, sigma: float = 1.0, central: bool = True) -> DataFrame:
@@ -89,16 +115,37 @@ def gaussian(volume: DataFrame, grid: Grid, sigma: float) -> DataFrame:
     return out
 
 
-def local_maxima(volume: DataFrame, radius: int) -> DataFrame:
+def ball_max(b: Block, a: np.ndarray, radius: int, low) -> np.ndarray:
+    """The greatest value in the ball around each place: running maxima along z, then a shift for each column of the ball."""
+    along, out = [a], np.full_like(a, low)
+    for k in range(1, radius + 1):
+        along.append(np.maximum(along[-1], np.maximum(b.moved(a, (0, 0, k), low), b.moved(a, (0, 0, -k), low))))
+    for dx in range(-radius, radius + 1):
+        for dy in range(-radius, radius + 1):
+            rest = radius * radius - dx * dx - dy * dy
+            if rest >= 0:
+                out = np.maximum(out, b.moved(along[math.isqrt(rest)], (dx, dy, 0), low))
+    return out
+
+
+def local_maxima(volume: DataFrame, grid: Grid, radius: int) -> DataFrame:
     """Voxels with no strictly greater value within a ball."""
-    near = stencil(volume, f"d2 > 0 and d2 <= {radius * radius}", radius).join(volume.select(*XYZ, F.col("v").alias("other")), XYZ)
-    beaten = near.where("other > v").select(*(F.col(f"{c}0").alias(c) for c in XYZ)).distinct()
-    return volume.join(beaten, XYZ, "left_anti")
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        v = b["v"]
+        return b.rows((v != 0) & (ball_max(b, np.where(v != 0, v, _LEAST), radius, _LEAST) <= v), v=v)
+
+    return over_blocks(volume.select(*XYZ, "v"), grid, radius, kernel, "x long, y long, z long, v long")
 
 
 def stamp_balls(points: DataFrame, grid: Grid, radius: int) -> DataFrame:
     """The union of balls around voxels; the greatest value wins."""
-    return stencil(points, f"d2 <= {radius * radius}", radius).where(grid.inside()).groupBy(*XYZ).agg(F.max("v").alias("v"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        best = ball_max(b, np.where(b["v"] != 0, b["v"], _LEAST), radius, _LEAST)
+        return b.rows((best > _LEAST) & b.inside(), v=best)
+
+    return over_blocks(points.select(*XYZ, "v"), grid, radius, kernel, "x long, y long, z long, v long")
 
 
 def internal_gradient(volume: DataFrame, grid: Grid, half: int) -> DataFrame:
@@ -114,14 +161,32 @@ def internal_gradient(volume: DataFrame, grid: Grid, half: int) -> DataFrame:
     return map_blocks(volume, grid, half, kernel)
 
 
-def sphereness(volume: DataFrame, centres: DataFrame, radius: int, at_least: int = 127) -> DataFrame:
-    """Rows (x, y, z, v, fraction, offset): how much of the ball around each centre is set, and how far its centre of mass is off."""
-    ball = stencil(centres.select(*XYZ, "v"), f"d2 <= {radius * radius}", radius)
-    met = ball.join(volume.where(F.col("v") >= at_least).select(*XYZ, F.lit(1).alias("hit")), XYZ, "left").groupBy("x0", "y0", "z0", "v")
-    moments = [F.avg(F.when(F.col("hit") == 1, F.col(c) - F.col(f"{c}0"))).alias(f"m{c}") for c in XYZ]
-    out = met.agg(F.count("*").alias("all"), F.count("hit").alias("n"), *moments)
-    off = F.sqrt(sum(F.col(f"m{c}") * F.col(f"m{c}") for c in XYZ))
-    return out.select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v", (F.col("n") / F.col("all")).alias("fraction"), F.coalesce(off, F.lit(float(radius))).alias("offset"))
+def sphereness(volume: DataFrame, centres: DataFrame, grid: Grid, radius: int, at_least: int = 127) -> DataFrame:
+    """Rows (x, y, z, v, fraction, offset, score): how much of the ball around each centre is set and in its sight, and how far that part's centre of mass is off.
+
+    A place is in sight if every voxel of the lattice line to it reaches at_least. Score: fraction + 1 - offset / radius. Places beyond the volume aren't set.
+    """
+    from .components import line_voxels
+
+    span = range(-radius, radius + 1)
+    ball = [(x, y, z) for x in span for y in span for z in span if x * x + y * y + z * z <= radius * radius]
+    lines = np.array([(line + [line[-1]] * radius)[: radius + 1] for line in (line_voxels(*p) for p in ball)])  # [place, step, axis]
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        set_ = b["v"] >= at_least
+        rows = b.rows(b["centre"] != 0, v=b["centre"])
+        at = np.stack([rows[c] - o for c, o in zip(XYZ, b.corner, strict=True)], 1)
+        n, moment = np.zeros(len(at), np.int64), np.zeros((len(at), 3), np.int64)
+        for place, line in zip(np.array(ball), lines, strict=True):
+            seen = np.logical_and.reduce([set_[tuple((at + step).T)] for step in np.unique(line, axis=0)])
+            n += seen
+            moment += seen[:, None] * place
+        with np.errstate(divide="ignore", invalid="ignore"):
+            offset = np.where(n > 0, np.sqrt((moment**2).sum(1)) / n, float(radius))
+        fraction = n / len(ball)
+        return rows | {"fraction": fraction, "offset": offset, "score": fraction + 1 - offset / radius}
+
+    return over_blocks(united(v=volume, centre=centres), grid, radius, kernel, "x long, y long, z long, v long, fraction double, offset double, score double")
 
 
 def nonoverlapping(points: DataFrame, grid: Grid, radius: float, separation: int) -> DataFrame:
@@ -144,9 +209,34 @@ def nonoverlapping(points: DataFrame, grid: Grid, radius: float, separation: int
     return chosen.select(*XYZ, "v")
 
 
-def surface_normals(volume: DataFrame, surface: DataFrame, radius: int) -> DataFrame:
-    """Rows (x, y, z, v, nx, ny, nz): the unit vector from each surface voxel to the centre of mass of its object within a cube."""
-    near = stencil(surface.select(*XYZ, "v"), "true", radius).join(volume.select(*XYZ, F.col("v").alias("other")), XYZ).where("v = other")
-    moments = near.groupBy("x0", "y0", "z0", "v").agg(*(F.avg(F.col(c) - F.col(f"{c}0")).alias(f"m{c}") for c in XYZ))
-    length = F.sqrt(sum(F.col(f"m{c}") * F.col(f"m{c}") for c in XYZ))
-    return moments.select(*(F.col(f"{c}0").alias(c) for c in XYZ), "v", *(F.when(length > 0, F.col(f"m{c}") / length).otherwise(0.0).alias(f"n{c}") for c in XYZ))
+def surface_normals(volume: DataFrame, surface: DataFrame, grid: Grid, radius: int) -> DataFrame:
+    """Rows (x, y, z, v, nx, ny, nz): the unit vector from each surface voxel to the centre of mass of its object within a cube.
+
+    Sums over cubes are differences of running sums, so the work doesn't grow with the cube.
+    """
+
+    def box_sums(a: np.ndarray) -> np.ndarray:
+        for axis in range(3):
+            c = np.pad(np.cumsum(a, axis=axis), [(radius + 1, radius) if k == axis else (0, 0) for k in range(3)], mode="constant")
+            n = a.shape[axis]
+            c = np.moveaxis(c, axis, 0)
+            c[n + radius + 1 :] = c[n + radius]
+            a = np.moveaxis(c[2 * radius + 1 : 2 * radius + 1 + n] - c[:n], 0, axis)
+        return a
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        rows = b.rows(b["on"] != 0, v=b["on"])
+        at = np.stack([rows[c] - o for c, o in zip(XYZ, b.corner, strict=True)], 1)
+        sums = np.zeros((len(at), 4), np.int64)
+        place = np.indices(b.shape)
+        for label in np.unique(rows["v"]):
+            own, same = rows["v"] == label, (b["v"] == label).astype(np.int64)
+            for k, a in enumerate([same, *(same * place[axis] for axis in range(3))]):
+                sums[own, k] = box_sums(a)[tuple(at[own].T)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(sums[:, :1] > 0, (sums[:, 1:] - sums[:, :1] * at) / sums[:, :1], 0.0)
+            length = np.sqrt((mean**2).sum(1))[:, None]
+            unit = np.where(length > 0, mean / length, 0.0)
+        return rows | {f"n{c}": unit[:, k] for k, c in enumerate(XYZ)}
+
+    return over_blocks(united(v=volume, on=surface), grid, radius, kernel, "x long, y long, z long, v long, nx double, ny double, nz double")

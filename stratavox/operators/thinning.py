@@ -1,7 +1,7 @@
 """Topological thinning to skeletons or medial surfaces.
 
 Blocks with a halo are thinned in numpy: six border directions in turn, eight parity subfields in each, simple points
-re-examined one by one. Passes repeat until nothing changes anywhere; only blocks near a change are read again.
+re-examined in their subfield. Passes repeat until nothing changes anywhere; only blocks near a change run again.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.plans.checkpoints import cut
+from stratavox.plans.checkpoints import cut, drop
 
-from .volume import XYZ, Grid, map_blocks
+from .volume import XYZ, Block, Grid, over_blocks
 
 _PLACES = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 _DIRECTIONS = [(0, 0, -1), (0, 0, 1), (0, -1, 0), (0, 1, 0), (-1, 0, 0), (1, 0, 0)]
@@ -73,6 +73,12 @@ def is_end(code: int, surface: bool) -> bool:
     return True
 
 
+def _deletable(codes: np.ndarray, surface: bool) -> np.ndarray:
+    """Which neighbourhoods let their centre go; each different one is judged once."""
+    different, which = np.unique(codes, return_inverse=True)
+    return np.array([not is_end(c, surface) and is_simple(c) for c in different.tolist()], bool)[which]
+
+
 def thin_pass(label: np.ndarray, corner: tuple[int, int, int], surface: bool) -> np.ndarray:
     """One pass over a dense array; labels are thinned apart from each other. Parity counts in the volume's coordinates."""
     out = np.pad(label, 1)
@@ -88,30 +94,37 @@ def thin_pass(label: np.ndarray, corner: tuple[int, int, int], surface: bool) ->
                 continue
             own = inner[tuple(at.T)]
             near = np.stack([out[tuple((at + 1 + p).T)] == own for p in _PLACES], 1)
-            codes = near @ weights
-            for (x, y, z), code in zip(at.tolist(), codes.tolist(), strict=True):
-                if not is_end(code, surface) and is_simple(code):
-                    # voxels of one subfield aren't neighbours, so the code still holds
-                    out[x + 1, y + 1, z + 1] = 0
+            # voxels of one subfield aren't neighbours, so all may go at once
+            gone = at[_deletable(near @ weights, surface)]
+            out[tuple((gone + 1).T)] = 0
     return out[1:-1, 1:-1, 1:-1]
 
 
-def thin(volume: DataFrame, grid: Grid, surface: bool = False, halo: int = 8, most_passes: int = 1000) -> DataFrame:
-    """The skeleton, or with surface the medial surface, of each object."""
-    # a voxel depends on others up to 12 places away in one pass: six directions of two parities
-    reach = max(halo, 12)
+def thin(volume: DataFrame, grid: Grid, surface: bool = False) -> DataFrame:
+    """The skeleton, or with surface the medial surface, of each object: passes until none changes anything.
+
+    A block runs again only if it or a block that it can see into changed in the last pass; blocks that are finished lie still.
+    """
+    reach = 12  # a voxel depends on others up to 12 places away in one pass: six directions of two parities
     current = cut(volume.where("v > 0").select(*XYZ, "v"))
-    n = current.count()
-    for _ in range(most_passes):
-        current = cut(map_blocks(current, grid, reach, lambda dense, corner: thin_pass(dense, corner, surface)))
-        before, n = n, current.count()
-        if n == before:
-            break
+    active = cut(current.select(*grid.block_key()).distinct())
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        done = thin_pass(b["v"], b.corner, surface)
+        return b.rows(b["v"] > 0, v=done)
+
+    while not active.isEmpty():
+        done = over_blocks(current, grid, reach, kernel, "x long, y long, z long, v long", only=active)
+        rest = current.select(*XYZ, "v", *grid.block_key()).join(active, ["bx", "by", "bz"], "left_anti")
+        both = cut(done.unionByName(rest.select(*XYZ, "v")))
+        changed = both.where("v = 0").select(*grid.block_key()).distinct()
+        drop(active)
+        for c, b in zip(XYZ, grid.block, strict=True):
+            far = -(-reach // b)
+            changed = changed.withColumn(f"b{c}", F.explode(F.sequence(F.col(f"b{c}") - far, F.col(f"b{c}") + far)))
+        active = cut(changed.distinct())
+        new = cut(both.where("v > 0"))
+        drop(both)
+        drop(current)
+        current = new
     return current
-
-
-def touching_apart(volume: DataFrame) -> DataFrame:
-    """Objects are thinned by label, so touching objects never merge; this names the pairs that touch."""
-    from .stencils import touching_objects
-
-    return touching_objects(volume).where(F.col("a") < F.col("b"))

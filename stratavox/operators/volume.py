@@ -95,30 +95,96 @@ def stencil(volume: DataFrame, keep: str, radius: int = 1) -> DataFrame:
     return out.select(*((F.col(f"{c}0") + F.col(f"d{c}")).alias(c) for c in XYZ), *(f"{c}0" for c in XYZ), *names, "d2")
 
 
-def map_blocks(volume: DataFrame, grid: Grid, halo: int, kernel: Callable[[np.ndarray, tuple[int, int, int]], np.ndarray], out: str = "long", dtype=np.int64) -> DataFrame:
-    """Runs a numpy kernel on each block with its halo; rows (x, y, z, v) of non-zero results inside the block.
+_DENSE = {"long": np.int64, "bigint": np.int64, "int": np.int64, "double": np.float64, "float": np.float64, "boolean": np.bool_}
 
-    The kernel gets the dense padded array [x, y, z] and the coordinates of its corner, and gives an array of the same shape. A voxel goes to the
-    few blocks whose halo it is in, so one exchange brings every block what it needs; blocks without any voxel are skipped.
-    """
+
+def spread_to_blocks(rows: DataFrame, grid: Grid, halo: int) -> DataFrame:
+    """Each row once for each block (bx, by, bz) that it is in or within the halo of."""
     near = []
     for c, b, d in zip(XYZ, grid.block, grid.dim, strict=True):
         low, high = F.floor((F.col(c) - halo) / b), F.floor((F.col(c) + halo) / b)
         near.append(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(-(-d // b) - 1))))
-    spread = volume.select(*XYZ, "v", F.explode(near[0]).alias("bx"), near[1].alias("ys"), near[2].alias("zs"))
-    spread = spread.select(*XYZ, "v", "bx", F.explode("ys").alias("by"), "zs").select(*XYZ, "v", "bx", "by", F.explode("zs").alias("bz"))
+    rest = [c for c in rows.columns]
+    out = rows.select(*rest, F.explode(near[0]).alias("bx"), near[1].alias("ys"), near[2].alias("zs"))
+    return out.select(*rest, "bx", F.explode("ys").alias("by"), "zs").select(*rest, "bx", "by", F.explode("zs").alias("bz"))
+
+
+class Block:
+    """What a kernel gets: dense arrays [x, y, z] by column, with the halo; missing and null values are 0."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], corner: tuple[int, ...], dim: tuple[int, ...], halo: int):
+        self.arrays, self.corner, self.dim, self.halo = arrays, corner, dim, halo
+        self.shape = next(iter(arrays.values())).shape
+        self.core = tuple(slice(halo, n - halo) for n in self.shape)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.arrays[name]
+
+    def inside(self) -> np.ndarray:
+        """Which places are in the volume."""
+        ok = [(np.arange(n) + o >= 0) & (np.arange(n) + o < d) for n, o, d in zip(self.shape, self.corner, self.dim, strict=True)]
+        return ok[0][:, None, None] & ok[1][:, None] & ok[2]
+
+    def moved(self, a: np.ndarray, by: tuple[int, int, int], fill=0) -> np.ndarray:
+        """The array of each place's neighbour at an offset."""
+        out = np.full_like(a, fill)
+        here = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(by, a.shape, strict=True))
+        there = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(by, a.shape, strict=True))
+        out[here] = a[there]
+        return out
+
+    def rows(self, where: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
+        """Columns x, y, z and others of the places in the block itself where a condition holds."""
+        at = np.nonzero(where[self.core])
+        xyz = {c: (a + o + self.halo).astype(np.int64) for c, a, o in zip(XYZ, at, self.corner, strict=True)}
+        return xyz | {name: a[self.core][at] for name, a in columns.items()}
+
+
+def over_blocks(rows: DataFrame, grid: Grid, halo: int, kernel: Callable[[Block], dict[str, np.ndarray]], schema: str, only: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """Runs a numpy kernel on each block with its halo; the kernel's columns are the result's rows.
+
+    rows has x, y, z and value columns; several volumes may be united with nulls in each other's columns. A voxel goes to the few blocks whose halo it is
+    in, so one exchange brings every block what it needs. Blocks without any row are skipped unless every is set; only (bx, by, bz) names the blocks to run.
+    """
+    names = [c for c in rows.columns if c not in XYZ]
+    kinds = {c: _DENSE[rows.schema[c].dataType.simpleString()] for c in names}
+    spread = spread_to_blocks(rows, grid, halo)
+    if only is not None:
+        spread = spread.join(only, ["bx", "by", "bz"], "left_semi")
+    if every:
+        spread = spread.unionByName(blocks(rows.sparkSession, grid).select("bx", "by", "bz"), allowMissingColumns=True)
     block, dim = grid.block, grid.dim
 
     def run(t: pa.Table) -> pa.Table:
-        col = lambda c: np.asarray(t.column(c).combine_chunks())
-        corner = tuple(int(col(f"b{c}")[0]) * b - halo for c, b in zip(XYZ, block, strict=True))
-        size = tuple(min(b, d - (o + halo)) for b, d, o in zip(block, dim, corner, strict=True))
-        dense = np.zeros(tuple(s + 2 * halo for s in size), dtype=dtype)
-        at = tuple(col(c) - o for c, o in zip(XYZ, corner, strict=True))
-        ok = np.logical_and.reduce([(a >= 0) & (a < n) for a, n in zip(at, dense.shape, strict=True)])
-        dense[tuple(a[ok] for a in at)] = col("v")[ok]
-        done = kernel(dense, corner)[tuple(slice(halo, halo + s) for s in size)]
-        found = np.nonzero(done)
-        return pa.table({**{c: (f + o + halo).astype(np.int64) for c, f, o in zip(XYZ, found, corner, strict=True)}, "v": pa.array(done[found].astype(np.int64 if out == "long" else np.float64))})
-
-    return spread.groupBy("bx", "by", "bz").applyInArrow(run, f"x long, y long, z long, v {out}")
+        col = lambda c: t.column(c).combine_chunks()
+        corner = tuple(int(col(f"b{c}")[0].as_py()) * b - halo for c, b in zip(XYZ, block, strict=True))
+        size = tuple(min(b, d - (o + halo)) + 2 * halo for b, d, o in zip(block, dim, corner, strict=True))
+        at = [np.asarray(col(c).fill_null(-(1 << 40))) - o for c, o in zip(XYZ, corner, strict=True)]
+        ok = np.logical_and.reduce([(a >= 0) & (a < n) for a, n in zip(at, size, strict=True)])
+        arrays = {}
+        for name in names:
+            arrays[name] = np.zeros(size, kinds[name])
+            own = ok & np.asarray(col(name).is_valid())
+            arrays[name][tuple(a[own] for a in at)] = np.asarray(col(name).fill_null(0 if kinds[name] != np.bool_ else False))[own]
+        return pa.table(kernel(Block(arrays, corner, dim, halo)))
+
+    return spread.groupBy("bx", "by", "bz").applyInArrow(run, schema)
+
+
+def map_blocks(volume: DataFrame, grid: Grid, halo: int, kernel: Callable[[np.ndarray, tuple[int, int, int]], np.ndarray], out: str = "long") -> DataFrame:
+    """over_blocks for one volume and one dense result of the padded array's shape: rows (x, y, z, v) of its non-zero places."""
+
+    def run(b: Block) -> dict[str, np.ndarray]:
+        done = kernel(b["v"], b.corner)
+        return b.rows(done != 0, v=done.astype(np.int64 if out == "long" else np.float64))
+
+    return over_blocks(volume.select(*XYZ, "v"), grid, halo, run, f"x long, y long, z long, v {out}")
+
+
+def united(**volumes: DataFrame) -> DataFrame:
+    """Rows (x, y, z, name, name, ...) of several volumes (x, y, z, v), each value under its volume's name and null under the others'."""
+    out = None
+    for name, volume in volumes.items():
+        own = volume.select(*XYZ, F.col("v").alias(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

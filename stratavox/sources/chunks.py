@@ -7,9 +7,12 @@ from its path.
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import json
+import lzma
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -39,17 +42,32 @@ def to_chunks(volume: DataFrame, grid: Grid, dataset: str, dtype: str = "uint64"
     return volume.select(*XYZ, "v", *grid.block_key()).groupBy("bx", "by", "bz").applyInArrow(run, SCHEMA)
 
 
-def from_chunks(chunks: DataFrame) -> DataFrame:
-    """The non-zero voxels of chunk rows; floats keep their type, others are longs."""
+def _voxel_schema(dtype: np.dtype) -> str:
+    return "x long, y long, z long, v " + ("double" if dtype.kind == "f" else "long")
+
+
+def _voxels(dense: np.ndarray, origin: list[int]) -> pa.RecordBatch:
+    """The non-zero places of an array [z, y, x]; floats stay floats, and integers must fit a long."""
+    z, y, x = np.nonzero(dense)
+    v = dense[z, y, x]
+    if v.dtype.kind == "u" and v.dtype.itemsize == 8 and len(v) and v.max() > np.iinfo(np.int64).max:
+        raise ValueError("a value above 2**63 - 1 doesn't fit a long")
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) + o) for a, o in zip((x, y, z), origin, strict=True)] + [pa.array(v.astype(np.float64 if v.dtype.kind == "f" else np.int64))], names=[*XYZ, "v"])
+
+
+def from_chunks(chunks: DataFrame, dtype: str = "uint64") -> DataFrame:
+    """The non-zero voxels of the chunk rows of a type's kind (floats have double values, others longs)."""
+    kind = np.dtype(dtype)
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 dense = np.frombuffer(r["data"], dtype=np.dtype(r["dtype"]).newbyteorder("<")).reshape(r["dz"], r["dy"], r["dx"])
-                z, y, x = np.nonzero(dense)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) + r[f"o{c}"]) for a, c in zip((x, y, z), XYZ, strict=True)] + [pa.array(dense[z, y, x].astype(np.int64))], names=[*XYZ, "v"])
+                if (dense.dtype.kind == "f") != (kind.kind == "f"):
+                    raise ValueError(f"chunks of {r['dtype']} read as {dtype}")
+                yield _voxels(dense, [r[f"o{c}"] for c in XYZ])
 
-    return chunks.select("ox", "oy", "oz", "dx", "dy", "dz", "dtype", "data").mapInArrow(run, "x long, y long, z long, v long")
+    return chunks.select("ox", "oy", "oz", "dx", "dy", "dz", "dtype", "data").mapInArrow(run, _voxel_schema(kind))
 
 
 def write_volume(volume: DataFrame, grid: Grid, path: str, dataset: str, dtype: str = "uint64") -> None:
@@ -58,8 +76,22 @@ def write_volume(volume: DataFrame, grid: Grid, path: str, dataset: str, dtype:
 
 
 def read_volume(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """The voxels of one dataset; other datasets' files aren't read."""
-    return from_chunks(spark.read.schema(SCHEMA).parquet(path).where(F.col("dataset") == dataset))
+    """The voxels of one dataset, floats as doubles; other datasets' files aren't read."""
+    own = spark.read.schema(SCHEMA).parquet(path).where(F.col("dataset") == dataset)
+    kind = own.select("dtype").first()
+    return from_chunks(own, kind.dtype if kind else "uint64")
+
+
+def _decompress(codec: str | None, raw: bytes) -> bytes:
+    """A block's bytes; codecs that Python doesn't have are refused."""
+    known = {None: bytes, "raw": bytes, "zlib": zlib.decompress, "gzip": gzip.decompress, "bzip2": bz2.decompress, "bz2": bz2.decompress, "xz": lzma.decompress, "lzma": lzma.decompress}
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    if codec not in known:
+        raise ValueError(f"no reader for blocks of codec {codec}")
+    return known[codec](raw)
 
 
 def _attributes(spark: SparkSession, path: str, name: str) -> dict:
@@ -86,7 +118,7 @@ def grid_of(attributes: dict) -> Grid:
 
 
 def read_n5(spark: SparkSession, container: str, dataset: str) -> tuple[DataFrame, Grid]:
-    """(voxels, grid) of an n5 dataset with raw or gzip blocks; blocks that aren't there are background."""
+    """(voxels, grid) of an n5 dataset with raw, gzip, bzip2, xz or zstd blocks; blocks that aren't there are background."""
     root = f"{container.rstrip('/')}/{dataset.strip('/')}"
     attributes = _attributes(spark, root, "attributes.json")
     grid, dtype = grid_of(attributes), np.dtype(attributes["dataType"]).newbyteorder(">")
@@ -101,20 +133,52 @@ def read_n5(spark: SparkSession, container: str, dataset: str) -> tuple[DataFram
                 mode, axes = np.frombuffer(content[:4], ">u2")
                 size = np.frombuffer(content[4 : 4 + 4 * axes], ">u4").astype(int)
                 raw = content[4 + 4 * int(axes) + (4 if mode else 0) :]
-                dense = np.frombuffer(gzip.decompress(raw) if kind == "gzip" else raw, dtype)[: size.prod()].reshape(size[::-1])
-                z, y, x = np.nonzero(dense)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) + o * n) for a, o, n in zip((x, y, z), at, block, strict=True)] + [pa.array(dense[z, y, x].astype(np.int64))], names=[*XYZ, "v"])
+                dense = np.frombuffer(_decompress(kind, raw), dtype)[: size.prod()].reshape(size[::-1])
+                yield _voxels(dense.astype(dtype.newbyteorder("=")), [o * n for o, n in zip(at, block, strict=True)])
+
+    return files.mapInArrow(run, _voxel_schema(dtype)), grid
+
+
+def write_n5(volume: DataFrame, grid: Grid, container: str, dataset: str, dtype: str = "uint64") -> None:
+    """An n5 dataset with gzip blocks, in any store that pyarrow opens by its address; a block's file is replaced as a whole, so tasks may run again.
+
+    Blocks without voxels have no file; files of an earlier dataset in that place are deleted first.
+    """
+    from pyarrow import fs
+
+    root = f"{container.rstrip('/')}/{dataset.strip('/')}"
+    store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    store.create_dir(base)
+    store.delete_dir_contents(base)
+    about = {"dimensions": list(grid.dim), "blockSize": list(grid.block), "dataType": dtype, "compression": {"type": "gzip", "level": -1}, "pixelResolution": {"dimensions": list(grid.resolution), "unit": "nm"}, "offset": list(grid.offset)}
+    with store.open_output_stream(f"{base}/attributes.json", compression=None) as out:
+        out.write(json.dumps(about).encode())
+
+    def run(batches):
+        own, at = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for b in batches:
+            for r in b.to_pylist():
+                dense = np.frombuffer(r["data"], np.dtype(dtype).newbyteorder("<")).astype(np.dtype(dtype).newbyteorder(">"))
+                head = np.array([0, 3], ">u2").tobytes() + np.array([r["dx"], r["dy"], r["dz"]], ">u4").tobytes()
+                own.create_dir(f"{at}/{r['gx']}/{r['gy']}")
+                part = f"{at}/{r['gx']}/{r['gy']}/.{r['gz']}-{uuid.uuid4().hex}"
+                with own.open_output_stream(part, compression=None) as out:
+                    out.write(head + gzip.compress(dense.tobytes()))
+                own.move(part, f"{at}/{r['gx']}/{r['gy']}/{r['gz']}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
-    return files.mapInArrow(run, "x long, y long, z long, v long"), grid
+    to_chunks(volume, grid, dataset, dtype).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def read_zarr(spark: SparkSession, container: str, dataset: str) -> tuple[DataFrame, Grid]:
-    """(voxels, grid) of a zarr dataset (version 2, axes z, y, x) with raw, zlib or gzip chunks."""
+    """(voxels, grid) of a zarr dataset (version 2, axes z, y, x) with raw, zlib, gzip, bz2, lzma or zstd chunks; other codecs, filters and fill values raise an error."""
     root = f"{container.rstrip('/')}/{dataset.strip('/')}"
     meta = _attributes(spark, root, ".zarray")
     sep, kind, dtype = meta.get("dimension_separator", "."), (meta.get("compressor") or {}).get("id"), np.dtype(meta["dtype"])
     grid = Grid(tuple(meta["shape"][::-1]), tuple(meta["chunks"][::-1]))
     chunk, dim, fill = meta["chunks"], meta["shape"], meta.get("fill_value") or 0
+    if meta.get("filters") or meta.get("order", "C") != "C":
+        raise ValueError("filters and other orders than C aren't read")
     pattern = rf"/(\d+){re.escape(sep)}(\d+){re.escape(sep)}(\d+)$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(pattern)).select("path", "content")
     if fill:
@@ -124,12 +188,10 @@ def read_zarr(spark: SparkSession, container: str, dataset: str) -> tuple[DataFr
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 at = [int(s) * n for s, n in zip(re.search(pattern, path).groups(), chunk, strict=True)]
-                raw = {"zlib": zlib.decompress, "gzip": gzip.decompress}.get(kind, bytes)(content)
-                dense = np.frombuffer(raw, dtype).reshape(chunk)[tuple(slice(0, d - o) for d, o in zip(dim, at, strict=True))]
-                z, y, x = np.nonzero(dense)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64) + o) for a, o in zip((x, y, z), at[::-1], strict=True)] + [pa.array(dense[z, y, x].astype(np.int64))], names=[*XYZ, "v"])
+                dense = np.frombuffer(_decompress(kind, content), dtype).reshape(chunk)[tuple(slice(0, d - o) for d, o in zip(dim, at, strict=True))]
+                yield _voxels(dense.astype(dtype.newbyteorder("=")), at[::-1])
 
-    return files.mapInArrow(run, "x long, y long, z long, v long"), grid
+    return files.mapInArrow(run, _voxel_schema(dtype)), grid
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ import pytest
 from stratavox.operators import components as cc
 from stratavox.operators import curvature, distance, objects, pointwise, renumber, skeletons, stencils, thinning, volume
 from stratavox.operators.volume import XYZ, Grid
-from stratavox.sources import chunks
+from stratavox.sources import chunks, datasets
 
 SMALL = Grid((12, 12, 12), (5, 5, 5))
 
@@ -86,15 +86,133 @@ def test_edt_kernel_and_depth(spark, noise):
     at = np.argwhere(~inside)
     want = np.array([((at - p) ** 2).sum(1).min() for p in np.ndindex(inside.shape)]).reshape(inside.shape)
     assert np.array_equal(distance.edt_kernel(inside), want)
-    got = dense(distance.edt_bounded(sparse(spark, noise), SMALL, 8), value="d2")
-    assert np.array_equal(got, np.where(want <= 8, want, 0))
+    got = dense(distance.edt_bounded(sparse(spark, noise), SMALL, 4), value="d2")
+    assert np.array_equal(got, np.where(want <= 4, want, 0))
+
+
+def test_depth_is_exact_at_any_depth(spark):
+    """A full cube over many blocks, deeper than half a block; anisotropic voxels; and no background at all."""
+    grid = Grid((40, 40, 40), (5, 5, 5))
+    cube = sparse(spark, np.ones((40, 40, 40), int))
+    got = dense(distance.depth(cube, grid), (40, 40, 40), "d2")
+    i = np.arange(40)
+    edge = np.minimum(i + 1, 40 - i)
+    assert np.array_equal(got, np.minimum(np.minimum(edge[:, None, None], edge[:, None]), edge) ** 2) and got.max() == 400
+    a = (np.random.default_rng(8).random((12, 12, 12)) < 0.95).astype(int)
+    weights = (1.0, 2.0, 3.0)
+    hole = np.argwhere(a == 0)
+    want = np.array([(((hole - p) * weights) ** 2).sum(1).min() for p in np.ndindex(a.shape)]).reshape(a.shape) * a
+    assert np.allclose(dense(distance.depth(sparse(spark, a), SMALL, weights, False), value="d2"), want)
+    assert distance.depth(sparse(spark, np.ones((12, 12, 12), int)), SMALL, beyond_is_background=False).where("d2 < 1e300").count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 30, 400])
+def test_nearest_labels_by_force(spark, most):
+    """In blocks and over lines, with ties, and the second label."""
+    a = np.random.default_rng(5).integers(-60, 5, (12, 12, 12)).clip(0)
+    at = np.argwhere(a)
+    v = a[tuple(at.T)]
+    one = {(r.x, r.y, r.z): (r.v, r.d2) for r in distance.nearest_labels(sparse(spark, a), SMALL, most).collect()}
+    two = {(r.x, r.y, r.z): (r.v, r.d2, r.v2, r.d22) for r in distance.nearest_labels(sparse(spark, a), SMALL, most, second=True).collect()}
+    for p in np.ndindex(a.shape):
+        best = sorted((int(((at[v == k] - p) ** 2).sum(1).min()), int(k)) for k in np.unique(v))
+        near = [(k, d) for d, k in best if d <= most]
+        assert one.get(p) == (near[0] if near else None)
+        assert (two[p][:2] if p in two else None) == (near[0] if near else None)
+        if p in two:
+            assert two[p][2:] == (near[1] if len(near) > 1 else (0, most + 1))
+
+
+def test_expansion_beyond_blocks(spark):
+    """A radius of 40 over blocks of 5."""
+    a = np.zeros((60, 12, 12), int)
+    a[2, 3, 4], a[58, 1, 1] = 3, 9
+    got = dense(distance.expand(sparse(spark, a), Grid((60, 12, 12), (5, 5, 5)), 160.0), (60, 12, 12))
+    at = np.stack(np.indices(a.shape), -1)
+    d = [((at - p) ** 2).sum(-1) for p in ((2, 3, 4), (58, 1, 1))]
+    assert np.array_equal(got, np.where(np.minimum(*d) > 1600, 0, np.where(d[0] <= d[1], 3, 9)))
+
+
+def test_geodesic_by_force(spark, noise):
+    import heapq
+
+    mask = 1 - noise
+    seeds = np.zeros_like(mask)
+    seeds[0, 0, :2], seeds[11, 5, 5] = 1, 1
+    got = {(r.x, r.y, r.z): r.d for r in distance.geodesic(sparse(spark, seeds), sparse(spark, mask), SMALL).collect()}
+    want, heap = {}, [(0, *map(int, p)) for p in np.argwhere(seeds & mask)]
+    while heap:
+        d, *p = heapq.heappop(heap)
+        if tuple(p) in want:
+            continue
+        want[tuple(p)] = d
+        for q in np.ndindex(3, 3, 3):
+            q = np.array(q) - 1
+            r = tuple(int(c) for c in np.array(p) + q)
+            if q.any() and all(0 <= c < 12 for c in r) and mask[r] and r not in want:
+                heapq.heappush(heap, (d + 2 + int((q**2).sum()), *r))
+    assert got == want
+    near = {(r.x, r.y, r.z): r.d for r in distance.geodesic(sparse(spark, seeds), sparse(spark, mask), SMALL, 9).collect()}
+    assert near == {p: d for p, d in want.items() if d <= 9}
+
+
+def test_nearest_medial_voxels_by_force(spark, noise):
+    """The mean over the medial voxels that are nearest by chamfer steps within the objects; no object but the whole volume here."""
+    mask = np.ones_like(noise) * 2
+    rows = [(1, 2, 3, 0.2), (9, 2, 3, 0.8), (5, 10, 6, 0.5)]
+    medial = spark.createDataFrame(rows, "x long, y long, z long, value double")
+    got = {(r.x, r.y, r.z): r.value for r in objects.nearest_medial(sparse(spark, mask), medial, SMALL).collect()}
+
+    def chamfer(p, q):
+        c = sorted(abs(a - b) for a, b in zip(p, q))
+        return 5 * c[0] + 4 * (c[1] - c[0]) + 3 * (c[2] - c[1])
+
+    for p in np.ndindex(12, 12, 12):
+        d = [chamfer(p, r[:3]) for r in rows]
+        assert got[p] == pytest.approx(np.mean([r[3] for r, own in zip(rows, d) if own == min(d)]))
+
+
+def test_sphereness_by_force(spark, noise):
+    centres = np.zeros_like(noise)
+    centres[5, 5, 5], centres[0, 3, 11] = 1, 4
+    noisy = noise | (np.random.default_rng(1).random(noise.shape) < 0.5)
+    got = {(r.x, r.y, r.z): r for r in stencils.sphereness(sparse(spark, noisy * 200), sparse(spark, centres), SMALL, 3).collect()}
+    for p in np.argwhere(centres):
+        seen = []
+        total = 0
+        for q in np.ndindex(7, 7, 7):
+            q = np.array(q) - 3
+            if (q**2).sum() <= 9:
+                total += 1
+                line = [p + s for s in cc.line_voxels(*map(int, q))]
+                if all((c >= 0).all() and (c < 12).all() and noisy[tuple(c)] for c in line):
+                    seen.append(q)
+        r = got[tuple(map(int, p))]
+        off = np.linalg.norm(np.mean(seen, 0)) if seen else 3
+        assert r.fraction == pytest.approx(len(seen) / total) and r.offset == pytest.approx(off) and r.score == pytest.approx(len(seen) / total + 1 - off / 3)
+
+
+def test_sight_by_force(spark):
+    r = np.random.default_rng(9)
+    a, b = ((r.random((12, 12, 12)) < 0.04).astype(int) * k for k in (1, 2))
+    b[a > 0] = 0
+    most, want = 9, set()
+    for p in np.argwhere(a):
+        for q in np.argwhere(b):
+            line = [tuple(int(c) for c in p + s) for s in cc.line_voxels(*map(int, q - p))]
+            if ((p - q) ** 2).sum() <= most and not any(a[c] or b[c] for c in line[1:-1]):
+                want |= set(line)
+    assert {(x.x, x.y, x.z) for x in cc.contacts_sight(sparse(spark, a), sparse(spark, b), SMALL, 8.0).collect()} == want
+    both = cc.contact_sites({"a": sparse(spark, a), "b": sparse(spark, b)}, SMALL, 8.0, self_pairs=True)
+    assert {x.contact for x in both.select("contact").distinct().collect()} <= {"a_to_a", "a_to_b", "b_to_b"}
+    assert {(x.x, x.y, x.z) for x in both.where("contact = 'a_to_b'").collect()} == want
 
 
 def test_geodesic_goes_around_walls(spark):
     mask = np.ones((7, 7, 1), int)
     mask[3, :6] = 0
     grid_df = sparse(spark, mask)
-    d = {(r.x, r.y): r.d for r in distance.geodesic(grid_df.where("x = 0 and y = 0"), grid_df).collect()}
+    d = {(r.x, r.y): r.d for r in distance.geodesic(grid_df.where("x = 0 and y = 0"), grid_df, SMALL).collect()}
     assert d[(0, 3)] == 9 and d[(2, 2)] == 8 and d[(6, 0)] > 18 and (3, 0) not in d
 
 
@@ -135,6 +253,46 @@ def test_reads_n5_and_zarr(spark, noise, tmp_path):
     assert np.array_equal(dense(got), noise)
 
 
+def test_typed_values_and_codecs(spark, tmp_path):
+    """Floats stay floats, values that don't fit and codecs without a reader raise errors."""
+    rows = spark.createDataFrame([(0, 0, 0, 0.5), (11, 3, 4, 2.25)], "x long, y long, z long, v double")
+    chunks.write_volume(rows, SMALL, str(tmp_path / "s"), "f", "float32")
+    assert sorted(r.v for r in chunks.read_volume(spark, str(tmp_path / "s"), "f").collect()) == [0.5, 2.25]
+    root = tmp_path / "z" / "v"
+    root.mkdir(parents=True)
+    about = {"shape": [2, 2, 2], "chunks": [2, 2, 2], "dtype": "<u8", "compressor": {"id": "blosc"}, "fill_value": 0, "order": "C", "filters": None}
+    (root / ".zarray").write_text(json.dumps(about))
+    (root / "0.0.0").write_bytes(np.full(8, 2**64 - 1, "<u8").tobytes())
+    with pytest.raises(Exception, match="blosc"):
+        chunks.read_zarr(spark, str(tmp_path / "z"), "v")[0].collect()
+    (root / ".zarray").write_text(json.dumps(about | {"compressor": None}))
+    with pytest.raises(Exception, match="fit a long"):
+        chunks.read_zarr(spark, str(tmp_path / "z"), "v")[0].collect()
+
+
+def test_writes_n5(spark, noise, tmp_path):
+    for values, kind in ((noise * 7, "uint16"), (noise * 3, "uint8")):  # the second replaces the first
+        chunks.write_n5(sparse(spark, values), SMALL, str(tmp_path / "out.n5"), "vol", kind)
+        got, grid = chunks.read_n5(spark, str(tmp_path / "out.n5"), "vol")
+        assert np.array_equal(dense(got), values) and grid == SMALL
+    real = sparse(spark, noise).withColumn("v", __import__("pyspark").sql.functions.col("v") / 4)
+    chunks.write_n5(real, SMALL, str(tmp_path / "out.n5"), "real", "float32")
+    assert np.array_equal(dense(chunks.read_n5(spark, str(tmp_path / "out.n5"), "real")[0]), noise / 4)
+
+
+def test_dataset_catalogue(spark, noise, tmp_path):
+    store = datasets.Store(spark, str(tmp_path / "store"))
+    assert store.names() == []
+    store.create("a", Grid((12, 12, 12), (5, 5, 5), (8.0, 8.0, 8.0)), "uint8")
+    grid, kind = store.create("b", like="a", dtype="float32", block=(6, 6, 6))
+    assert store.names() == ["a", "b"] and grid == Grid((12, 12, 12), (6, 6, 6), (8.0, 8.0, 8.0)) and kind == "float32" and store.describe("b") == (grid, kind)
+    store.write("b", sparse(spark, noise).selectExpr("x", "y", "z", "v * 2.5D as v"))
+    store.copy("b", "c")
+    assert np.array_equal(dense(store.read("b")), noise * 2.5) and np.array_equal(dense(store.read("c")), noise * 2) and store.describe("c")[1] == "uint64"
+    with pytest.raises(KeyError):
+        store.describe("d")
+
+
 def test_csv_tables(spark, tmp_path):
     chunks.write_table(spark.createDataFrame([(1, 2.5)], "id long, area double"), str(tmp_path / "t"))
     assert chunks.read_table(spark, str(tmp_path / "t"), "a long, b double").collect() == [(1, 2.5)]
@@ -179,15 +337,49 @@ def test_curvature_tells_sheets_from_balls(spark):
     assert np.median(mean[mean != 0]) == pytest.approx(1 / 8, rel=0.35)
 
 
+def all_pairs(n, u, v, w):
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, c in zip(u, v, w):
+        d[a, b] = d[b, a] = min(d[a, b], c)
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    return d
+
+
 def test_pruning_and_longest_path():
     """A path 0..10 with a branch 8-11-12-13-14: node 8 is the branch point; a least length of 3 removes 9 and 10."""
     edges = [(k, k + 1) for k in range(10)] + [(8, 11), (11, 12), (12, 13), (13, 14)]
     u, v = (np.array(x) for x in zip(*edges))
     nodes, u, v, w = skeletons.prune(np.arange(15), u, v, np.ones(len(u)), 3)
     assert set(range(15)) - set(nodes.tolist()) == {9, 10}
-    d, hop = skeletons.shortest_paths(nodes, u, v, w)
-    a, b, length = skeletons.longest(d)
-    assert length == 12 and nodes[skeletons.path(hop, a, b)].tolist() == [14, 13, 12, 11, 8, 7, 6, 5, 4, 3, 2, 1, 0]
+    graph = skeletons.Graph(nodes, u, v, w)
+    a, b, length = graph.longest()
+    assert length == 12 and graph.nodes[skeletons.path(graph.distances([b])[1], a)].tolist() == [14, 13, 12, 11, 8, 7, 6, 5, 4, 3, 2, 1, 0]
+
+
+def test_longest_path_equals_all_pairs():
+    r = np.random.default_rng(4)
+    for _ in range(150):
+        n = int(r.integers(2, 14))
+        pairs = {(int(r.integers(k)), k) for k in range(1, n) if r.random() < 0.9} | {tuple(sorted(map(int, p))) for p in r.integers(0, n, (int(r.integers(0, 5)), 2)) if p[0] != p[1]}
+        if pairs:
+            u, v = (np.array(x) for x in zip(*sorted(pairs)))
+            w = r.choice([1.0, 2**0.5, 3**0.5], len(u))
+            low = np.tril(np.nan_to_num(all_pairs(n, u, v, w), posinf=-1))
+            start, end, length = skeletons.Graph(np.arange(n), u, v, w).longest()
+            assert length == pytest.approx(low.max()) and [start, end] == np.argwhere(low >= low.max() - 1e-9)[0].tolist()
+
+
+def test_length_and_thickness(spark):
+    """Two objects, one of a single node, and painting of what is left."""
+    vertices = [(1, k, 2.0 + k % 2) for k in range(1, 16)] + [(2, 50, 1.0)]
+    edges = [(1, k, k + 1, 1.0) for k in range(1, 11)] + [(1, 9, 12, 1.0), (1, 12, 13, 1.0), (1, 13, 14, 1.0), (1, 14, 15, 1.0)]
+    got = skeletons.length_and_thickness(spark.createDataFrame(vertices, "obj long, node long, radius double"), spark.createDataFrame(edges, "obj long, u long, v long, w double"), 4.0, 3.0)
+    rows = {r.obj: r for r in got.collect()}
+    assert rows[1].length_nm == 48.0 and rows[1].path[0] == 15 and rows[1].path[-1] == 1 and set(range(1, 16)) - set(rows[1].pruned) == {10, 11}
+    assert rows[2].length_nm == 0 and rows[2].path == [50] and rows[2].radius_mean_nm == 4.0
+    assert skeletons.paint(got, SMALL).count() == 14 and skeletons.paint(got, SMALL, "pruned").count() == 14
 
 
 def test_lines_and_sight(spark):
