@@ -39,7 +39,7 @@ from .textbatch import IS_SPACE, flat, gram_hash, mix, slices, span_hash, spans
 
 WIDTH, PERCENT = 4, 85
 #: Classes of a bucket that one task walks against each other, and about how many n-grams one range of hashes has.
-BLOCK, RANGE_GRAMS = 4000, 2_000_000
+BLOCK, RANGE_GRAMS = 1000, 2_000_000
 #: Bytes of text that the counting scan packs together.
 PACK_BYTES = 10 << 20
 
