@@ -344,7 +344,7 @@ def components_6(spark, sf_dir):
     return _segmented(spark, sf_dir).select(*XYZ, "component")
 
 
-@query("+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM l), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 BETWEEN 1 AND 3 AND greatest(abs(dx), abs(dy), abs(dz)) = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + " SELECT x, y, z, root AS component FROM b JOIN c USING (id)", recursive=True)
+@query()
 def components_26(spark, sf_dir):
     return cc.components(pointwise.binarize(labels(spark, sf_dir)), GRID, around=True).select(*XYZ, "component")
 
@@ -606,7 +606,7 @@ def cell_interior(spark, sf_dir):
     return pointwise.cell_interior(box(spark), vol, outside, scores(spark, sf_dir), 2.0)
 
 
-@query("+out AS (SELECT DISTINCT l.x + dx AS x, l.y + dy AS y, l.z + dz AS z FROM (SELECT * FROM s WHERE v >= 49) l JOIN o ON d2 <= 4), b AS (SELECT box.x, box.y, box.z, 4096 * box.z + 64 * box.y + box.x + 1 AS id FROM box ANTI JOIN l USING (x, y, z) ANTI JOIN out USING (x, y, z) SEMI JOIN s USING (x, y, z)), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON d2 = 1 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + " SELECT x, y, z, root AS v FROM b JOIN c USING (id)", recursive=True)
+@query()
 def cell_volume(spark, sf_dir):
     s = scores(spark, sf_dir)
     return cc.cell_volume(box(spark), labels(spark, sf_dir), s.where("v >= 49"), s, GRID, 2.0)

@@ -417,3 +417,27 @@ def test_nonoverlapping_equals_sequential_greedy(spark, noise):
             chosen.append(p)
     got = stencils.nonoverlapping(sparse(spark, noise), SMALL, 2.0, separation)
     assert sorted((r.x, r.y, r.z) for r in got.collect()) == sorted(chosen)
+
+
+def test_workflows(spark, noise):
+    """Cell volume, filling with a size filter, and light-microscopy contacts, against the same steps done plainly."""
+    r = np.random.default_rng(6)
+    membrane, outside, mask = ((r.random((12, 12, 12)) < p).astype(int) for p in (0.2, 0.01, 0.9))
+    every = sparse(spark, np.ones((12, 12, 12), int)).select(*XYZ)
+    got = dense(cc.cell_volume(every, sparse(spark, membrane), sparse(spark, outside), sparse(spark, mask), SMALL, 2.0, 64.0))
+    at = np.argwhere(outside)
+    far = np.array([((at - p) ** 2).sum(1).min() > 4 for p in np.ndindex(outside.shape)]).reshape(outside.shape)
+    label = flood(((membrane == 0) & (mask > 0) & far).astype(int), False)
+    size = np.bincount(label.ravel())
+    want = np.where((label > 0) & (size[label] > 1), label, 0)
+    assert ((got > 0) == (want > 0)).all() and len(set(zip(got.ravel(), want.ravel()))) == len(set(want.ravel()))
+    a = np.zeros((12, 12, 12), int)
+    a[1:6, 1:6, 1:6], a[8:10, 8:10, 8:10] = 4, 9
+    a[3, 3, 3] = 0
+    kept = dense(cc.fill_and_filter(sparse(spark, a), every, SMALL, 50 * 64.0))
+    assert kept[3, 3, 3] == 1 and (kept > 0).sum() == 125 and kept.max() == 1
+    red, green = np.zeros((12, 12, 12)), np.zeros((12, 12, 12))
+    red[2:4, 2:9, 2], green[4:6, 2:9, 2] = 0.9, 0.8
+    rows = lambda f: spark.createDataFrame([(*map(int, p), float(f[tuple(p)])) for p in np.argwhere(f)], "x long, y long, z long, v double")
+    met = cc.light_contacts({"red": rows(red), "green": rows(green)}, SMALL, {"red": 0.5, "green": 0.5})
+    assert {x.contact for x in met.collect()} == {"red_to_green"} and met.select("component").distinct().count() == 1
