@@ -11,6 +11,9 @@ run's place and a common-content value; the strings of a run are induced from it
 3. The bytes of those runs, from the texts, meet by sample; every string in them keeps its first occurrence.
 4. Removed ranges are united by document and cut from its text.
 
+A sample with very many different runs would be a large group. Such frequent samples, found in a pack or in a range, go another way with the same results: their
+runs are compared by content, and their strings meet by the strings' own hashes, after each task has kept its firsts.
+
 Copies of whole texts are found by digest; only the smallest doc_id of a digest takes part, any other is removed whole. Tasks work on packs of bounded
 size and never hold the texts of a shard at once.
 
@@ -40,13 +43,24 @@ PACK_BYTES, SLICE = 16 << 20, 3 << 20
 #: About how many bytes of text one range of sample hashes stands for.
 RANGE_BYTES = 48 << 20
 NULL_ID = -(1 << 63)
+#: A sample with more different runs than this in a range is frequent.
+FREQUENT = 1 << 14
+#: Strings that a task holds before it sends their firsts.
+HELD_STRINGS = 1 << 20
+#: Bytes of runs that are hashed at once.
+HASHED_BYTES = 4 << 20
+#: Marks runs of frequent samples, beside a number of strings.
+_HEAVY = 128
 #: Stands for the range of a whole text.
 ALL = b"*"
 _PLACE = np.uint64((1 << 28) - 1)
 
-#: at is a range of sample hashes; at -1 - k stand ranges of part k of the documents: start in sample, tie in place, end in content.
+#: at is a range of sample hashes, or from the number of ranges on one of contents; a place of 0 says that a sample is frequent.
+#: At -1 - k stand ranges of part k of the documents: start in sample, tie in place, end in content.
 RUNS = "at long, sample binary, doc binary, place binary, content binary"
-#: By part of the documents: ranges (a to b), or wanted runs (a is the start, b the number of strings), in packed columns.
+#: Bytes of runs by range of samples; from the number of ranges on packed strings (hash, sample, document, place); at -1 - k packed ranges (document, tie, start, end).
+BYTES = "at long, sample long, doc long, place long, bytes binary"
+#: By part of the documents: ranges (a to b), or wanted runs (a is the start, b the number of strings and the mark of frequent samples), in packed columns.
 PARTS = "part long, doc binary, tie binary, a binary, b binary, sample binary"
 RANGES = "doc long, tie int, ranges binary"
 
@@ -160,20 +174,40 @@ def _placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 31, (place >> 24) & 127, place & 0xFFFFFF
 
 
-def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which rows are the first of their keys by document order."""
+def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the first of their keys by document order, and which are later; a repeated row of the first place is neither."""
     order = np.lexsort((start, tie, doc, *keys))
     new = np.zeros(len(doc), dtype=bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
-    first = np.zeros(len(doc), dtype=bool)
-    first[order] = new
-    return first
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    other = np.zeros(len(doc), dtype=bool)
+    for c in (doc, tie, start):
+        other |= c[order] != c[order][lead]
+    first, late = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+    first[order], late[order] = new, other
+    return first, late
+
+
+def _edges(at: np.ndarray) -> np.ndarray:
+    """Where the values of a sorted array begin, and its end."""
+    return np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else np.zeros(1, np.int64)
+
+
+def string_hashes(data: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in its run) of each string of runs whose bytes follow each other."""
+    within = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = np.repeat(np.r_[0, np.cumsum(strings + LENGTH - 1)][:-1], strings) + within
+    p, down = prefix_hash(data)
+    return mix((p[at + LENGTH] - p[at]) * down[at]), within
+
 
+def sampled_runs(docs: DataFrame, ranges: int, most: int = FREQUENT) -> DataFrame:
+    """Packed runs by range of samples; at -1 - k stand ranges that the pack already knows to be repeats.
 
-def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
-    """Packed runs by range of samples; at -1 stand ranges that the pack already knows to be repeats."""
+    Runs of a sample that has more than ``most`` different ones in the pack stand by content instead, and a row says so where the sample's others are.
+    """
 
     def out(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(t for _, _, t in held), dtype=np.uint8)
@@ -185,17 +219,20 @@ def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
                 text, start, strings, sample, content = runs(piece, off[i : j + 1] - off[i] if j > i + 1 else np.array([0, len(piece)]))
                 found.append((doc[text + i], tie[text + i], start + at, strings, sample, content))
         d, t, start, strings, sample, content = (np.concatenate(x) for x in zip(*found, strict=True))
-        first = _firsts((content, sample), d, t, start)
-        again_doc, *again = _united(d[~first], t[~first], start[~first], (start + strings + LENGTH - 1)[~first])
+        first, late = _firsts((content, sample), d, t, start)
+        again_doc, *again = _united(d[late], t[late], start[late], (start + strings + LENGTH - 1)[late])
         part, own, tied, a, z = _by_part(ranges, again_doc, *again)
         yield pa.RecordBatch.from_arrays([pa.array([-1 - k for k in part], pa.int64()), *(pa.array(c, pa.binary()) for c in (a, own, tied, z))], names=["at", "sample", "doc", "place", "content"])
-        at = (sample[first] % np.uint64(ranges)).astype(np.int64)
+        known, which, n = np.unique(sample[first], return_inverse=True, return_counts=True)
+        told = known[n > most]
+        nothing = np.zeros(len(told), np.int64)
+        at = np.where((n > most)[which], ranges + (content[first] % np.uint64(ranges)).astype(np.int64), (sample[first] % np.uint64(ranges)).astype(np.int64))
+        at = np.r_[at, (told % np.uint64(ranges)).astype(np.int64)]
+        cols = [np.concatenate(x) for x in ((sample[first], told), (d[first], nothing), (_place(start, strings, t)[first], nothing), (content[first], nothing.astype(np.uint64)))]
         order = np.argsort(at, kind="stable")
-        cols = [x[first][order] for x in (sample, d, _place(start, strings, t), content)]
-        edge = np.searchsorted(at[order], np.arange(ranges + 1)) if ranges < len(at) else np.r_[np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]), len(at)]
-        edge = np.unique(edge)
+        edge = _edges(at[order])
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][edge[:-1]]), *(pa.array([c[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for c in cols)], names=["at", "sample", "doc", "place", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[order][edge[:-1]]), *(pa.array([c[order][i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for c in cols)], names=["at", "sample", "doc", "place", "content"])
 
     def run(batches):
         held: dict[bytes, tuple[int, int, bytes]] = {}
@@ -221,7 +258,7 @@ def sampled_runs(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, RUNS)
 
 
-def repeated_runs(packed: DataFrame, parts: int) -> DataFrame:
+def repeated_runs(packed: DataFrame, ranges: int, frequent: int = FREQUENT) -> DataFrame:
     """Packed rows by part of the documents: with an empty sample, ranges of runs that occur earlier as they are; else the runs whose bytes are wanted."""
 
     def meet(t: pa.Table) -> pa.Table:
@@ -230,17 +267,18 @@ def repeated_runs(packed: DataFrame, parts: int) -> DataFrame:
         if at < 0:  # ranges that packs knew
             out = [[-1 - at], *([c.tobytes()] for c in _united(join("doc"), join("place"), join("sample"), join("content")))]
             return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in [*out[1:], [b""]])], strict=True)))
-        sample, doc, content = join("sample", "<u8"), join("doc"), join("content", "<u8")
-        start, strings, tie = _placed(join("place"))
-        first = _firsts((content, sample), doc, tie, start)
-        again_doc, *again = _united(doc[~first], tie[~first], start[~first], (start + strings + LENGTH - 1)[~first])
-        rows = [x + [[b""] * len(x[0])] for x in [_by_part(parts, again_doc, *again)]][0]
+        place = join("place")
+        told = np.unique(join("sample", "<u8")[place == 0])
+        sample, doc, content, place = (x[place != 0] for x in (join("sample", "<u8"), join("doc"), join("content", "<u8"), place))
+        start, strings, tie = _placed(place)
+        first, late = _firsts((content, sample), doc, tie, start)
+        again_doc, *again = _united(doc[late], tie[late], start[late], (start + strings + LENGTH - 1)[late])
+        rows = [x + [[b""] * len(x[0])] for x in [_by_part(ranges, again_doc, *again)]][0]
         sample, doc, start, strings, tie = (x[first] for x in (sample, doc, start, strings, tie))
-        order = np.argsort(sample, kind="stable")
-        same = np.zeros(len(sample) + 1, dtype=bool)
-        same[1:-1] = sample[order][1:] == sample[order][:-1]
-        keep = order[same[1:] | same[:-1]]
-        wanted = _by_part(parts, doc[keep], tie[keep], start[keep], strings[keep], sample[keep].view(np.int64))
+        _, which, n = np.unique(sample, return_inverse=True, return_counts=True)
+        heavy = (n[which] > frequent) | np.isin(sample, told) | (at >= ranges)
+        keep = heavy | (n[which] > 1)
+        wanted = _by_part(ranges, doc[keep], tie[keep], start[keep], (strings + _HEAVY * heavy)[keep], sample[keep].view(np.int64))
         return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(x + y, pa.int64() if k == 0 else pa.binary()) for k, (x, y) in enumerate(zip(rows, wanted, strict=True))], strict=True)))
 
     return packed.groupBy("at").applyInArrow(meet, PARTS)
@@ -272,83 +310,133 @@ def wanted_by_document(parted: DataFrame) -> DataFrame:
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
-    """Rows (at, sample, doc, place, bytes): the bytes of wanted runs."""
+    """The bytes of wanted runs by range of samples, and packed strings of frequent samples by range of their hashes."""
     joined = docs.join(wanted, ["doc", "tie"])
+    names = ["at", "sample", "doc", "place", "bytes"]
+
+    def hashed(heavy: list[tuple]) -> list[np.ndarray]:
+        """Arrays (hash, sample, doc, start, tie) of the strings of some runs (sample, doc, start, strings, tie, bytes)."""
+        sample, doc, start, strings, tie = (np.array(x, np.int64) for x in list(zip(*heavy, strict=True))[:5])
+        h, within = string_hashes(np.frombuffer(b"".join(x[5] for x in heavy), np.uint8), strings)
+        sample, doc, start, tie = (np.repeat(x, strings) for x in (sample, doc, start, tie))
+        return [h, sample, doc, start + within, tie]
+
+    def packed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, sample, doc, start, tie = (np.concatenate(x) for x in zip(*held, strict=True))
+        first, late = _firsts((h, sample), doc, tie, start)
+        part, *known = _by_part(ranges, *_united(doc[late], tie[late], start[late], start[late] + LENGTH))
+        at = ranges + (h[first] % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        edge = _edges(at[order])
+        rows = np.stack([h.view(np.int64), sample, doc, _place(start, np.ones_like(start), tie)])[:, first][:, order].astype("<i8")
+        ats = [*(-1 - k for k in part), *at[order][edge[:-1]].tolist()]
+        blobs = [*map(b"".join, zip(*known, strict=True)), *(rows[:, i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True))]
+        none = pa.array(np.zeros(len(ats), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), none, none, none, pa.array(blobs, pa.binary())], names=names)
 
     def run(batches):
+        held: list[list[np.ndarray]] = []
         for b in batches:
             data, off = flat(b.column("text"))
             docs_, ties = b.column("doc").to_pylist(), b.column("tie").to_pylist()
             cols: list[list] = [[], [], [], []]
+            heavy: list[tuple] = []
+            size = 0
             for k, blob in enumerate(b.column("wanted").to_pylist()):
                 raw = data[off[k] : off[k + 1]].tobytes()
                 rows = np.frombuffer(blob, dtype="<i8").reshape(-1, 3)
+                for sample, s, m in rows[rows[:, 2] >= _HEAVY].tolist():
+                    m -= _HEAVY
+                    heavy.append((sample, docs_[k], s, m, ties[k], raw[s : s + m + LENGTH - 1]))
+                    size += m + LENGTH - 1
+                    if size >= HASHED_BYTES:
+                        held.append(hashed(heavy))
+                        heavy, size = [], 0
+                    if sum(len(x[0]) for x in held) >= HELD_STRINGS:
+                        yield from packed(held)
+                        held = []
+                rows = rows[rows[:, 2] < _HEAVY]
                 cols[0] += rows[:, 0].tolist()
                 cols[1] += [docs_[k]] * len(rows)
                 cols[2] += _place(rows[:, 1], rows[:, 2], np.full(len(rows), ties[k])).tolist()
                 cols[3] += [raw[s : s + m + LENGTH - 1] for s, m in rows[:, 1:].tolist()]
+            if heavy:
+                held.append(hashed(heavy))
             sample = np.array(cols[0], dtype=np.int64)
             at = (sample.view(np.uint64) // np.uint64(7) % np.uint64(ranges)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sample), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["at", "sample", "doc", "place", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sample), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=names)
+        if held:
+            yield from packed(held)
 
-    return joined.select("doc", "tie", "text", "wanted").mapInArrow(run, "at long, sample long, doc long, place long, bytes binary")
+    return joined.select("doc", "tie", "text", "wanted").mapInArrow(run, BYTES)
 
 
-def repeated_strings(contexts: DataFrame, parts: int) -> DataFrame:
+def repeated_strings(contexts: DataFrame, ranges: int) -> DataFrame:
     """Packed ranges by part of the documents: the strings in the runs' bytes that start earlier in document order."""
 
     def meet(t: pa.Table) -> pa.Table:
+        range_ = t.column("at")[0].as_py()
         data, off = flat(t.column("bytes"))
-        sample, doc = np.asarray(t.column("sample").combine_chunks()).view(np.uint64), np.asarray(t.column("doc").combine_chunks())
-        start, strings, tie = _placed(np.asarray(t.column("place").combine_chunks()))
-        order = np.argsort(sample, kind="stable")
-        out, i = [], 0
-        cost = np.cumsum(strings[order])
-        while i < len(order):  # some samples at a time
-            j = int(np.searchsorted(cost, (cost[i - 1] if i else 0) + 1_000_000, side="right"))
-            j = max(j, i + 1)
-            while j < len(order) and sample[order[j]] == sample[order[j - 1]]:
-                j += 1
-            own = order[i:j]
-            m = strings[own]
-            total = int(m.sum())
-            within = np.arange(total) - np.repeat(np.cumsum(m) - m, m)
-            own_bytes = np.concatenate([data[off[k] : off[k + 1]] for k in own])
-            base = np.r_[0, np.cumsum(m + LENGTH - 1)][:-1]
-            p, down = prefix_hash(own_bytes)
-            at = np.repeat(base, m) + within
-            h = mix((p[at + LENGTH] - p[at]) * down[at])
-            d, ti, st = np.repeat(doc[own], m), np.repeat(tie[own], m), np.repeat(start[own], m) + within
-            late = ~_firsts((h, np.repeat(sample[own], m)), d, ti, st)
-            out.append((d[late], ti[late], st[late], st[late] + LENGTH))
-            i = j
-        d, ti, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        if range_ < 0 or range_ >= ranges:
+            rows = np.concatenate([np.frombuffer(data[i:j].tobytes(), "<i8").reshape(4, -1) for i, j in zip(off[:-1], off[1:], strict=True)], axis=1)
+        if range_ < 0:  # ranges that tasks knew
+            d, ti, a, b = rows
+        elif range_ >= ranges:
+            start, _, tie = _placed(rows[3])
+            _, late = _firsts((rows[0], rows[1]), rows[2], tie, start)
+            d, ti, a, b = rows[2][late], tie[late], start[late], start[late] + LENGTH
+        else:
+            sample, doc = np.asarray(t.column("sample").combine_chunks()).view(np.uint64), np.asarray(t.column("doc").combine_chunks())
+            start, strings, tie = _placed(np.asarray(t.column("place").combine_chunks()))
+            order = np.argsort(sample, kind="stable")
+            out, i = [], 0
+            cost = np.cumsum(strings[order] + LENGTH - 1)
+            while i < len(order):  # some samples at a time
+                j = int(np.searchsorted(cost, (cost[i - 1] if i else 0) + HASHED_BYTES, side="right"))
+                j = max(j, i + 1)
+                while j < len(order) and sample[order[j]] == sample[order[j - 1]]:  # a sample here has at most FREQUENT runs
+                    j += 1
+                own = order[i:j]
+                m = strings[own]
+                h, within = string_hashes(np.concatenate([data[off[k] : off[k + 1]] for k in own]), m)
+                d, ti, st = np.repeat(doc[own], m), np.repeat(tie[own], m), np.repeat(start[own], m) + within
+                _, late = _firsts((h, np.repeat(sample[own], m)), d, ti, st)
+                out.append((d[late], ti[late], st[late], st[late] + LENGTH))
+                i = j
+            d, ti, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         again, *rest = _united(d, ti, a, b)
-        out = _by_part(parts, again, *rest)
+        out = _by_part(ranges, again, *rest)
         return pa.table(dict(zip(["part", "doc", "tie", "a", "b", "sample"], [pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in [*out[1:], [b""] * len(out[0])])], strict=True)))
 
     return contexts.groupBy("at").applyInArrow(meet, PARTS)
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """Rows (doc, tie, ranges) from docs (doc long, tie int, text): several rows a document, to be united."""
+def removed_ranges(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """Rows (doc, tie, ranges) from docs (doc long, tie int, text): several rows a document, to be united.
+
+    Packs tell a frequent sample so early that what they send of others stays near ``frequent`` runs a sample.
+    """
     digests = cut(docs.select("doc", "tie", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("bytes")))
     total = digests.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     ranges = 1 + total // RANGE_BYTES
     least = cut(digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1"))
     copies = digests.where(F.col("bytes") >= LENGTH).join(least, "digest").where(F.col("doc") > F.col("least"))
     whole = copies.select("doc", "tie", F.lit(bytearray(ALL)).alias("ranges"))
-    met = cut(repeated_runs(sampled_runs(docs, ranges), ranges))
+    most = max(min(frequent, 8), 4 * frequent // (1 + total // PACK_BYTES))
+    met = cut(repeated_runs(sampled_runs(docs, ranges, most), ranges, frequent))
     wanted = wanted_by_document(met.where(F.octet_length("sample") > 0))
     strings = repeated_strings(run_bytes(docs, wanted, ranges), ranges)
     return whole.unionByName(ranges_by_document(met.where(F.octet_length("sample") == 0).unionByName(strings)))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, n_bytes, n_removed, n_spans, kept binary, kept_sha256), one for each row of docs (doc_id, text)."""
+def remove_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), one for each row of docs (doc_id, text).
+
+    ``frequent`` says which way samples go; the results don't depend on it.
+    """
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
-    cuts = removed_ranges(rows).groupBy("doc", "tie").agg(F.collect_list("ranges").alias("ranges"))
+    cuts = removed_ranges(rows, frequent).groupBy("doc", "tie").agg(F.collect_list("ranges").alias("ranges"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -73,6 +73,29 @@ def test_suffix_dedup_nulls_and_repeats(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1, 5])
+def test_suffix_dedup_frequent_samples(spark, frequent):
+    """Samples with many different surroundings give the same results whichever way they go."""
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh") for _ in range(70))
+    letters = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    rows = [(k, letters(r.randrange(150)) + line + letters(r.randrange(150))) for k in range(60)]
+    rows += [(100 + k, letters(20) + rows[r.randrange(60)][1][10:] + letters(20)) for k in range(40)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(frame(spark, rows), frequent).collect()}
+    assert got == removed_by_force(rows)
+
+
+def test_suffix_dedup_repeated_rows_apart(spark):
+    """Rows of one document in different tasks don't count as earlier occurrences of each other."""
+    r = random.Random(11)
+    t, u = ("".join(r.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    rows = [(1, t)] * 4 + [(2, t[:250] + u)] * 4
+    want = removed_by_force([(1, t), (2, t[:250] + u)])
+    for frequent in (1, suffix_dedup.FREQUENT):
+        out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), frequent).collect()
+        assert len(out) == 8 and all((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id] for x in out)
+
+
 def test_suffix_dedup_over_slices(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     r = random.Random(4)
