@@ -6,7 +6,7 @@ bounds place the window in the document, and the words there are compared exactl
 united per document.
 
 Texts are never shuffled: two scans explode words within a task (frequencies, then candidates), and only matches and word counts move. The
-index and the vocabulary are broadcast while they have at most ``BROADCAST_ROWS`` rows; beyond that words are joined by shuffle, one
+index and the vocabulary are broadcast while they have at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes; beyond that words are joined by shuffle, one
 by one without their texts, and the candidates meet the texts afterwards.
 
 Everything is DataFrame operations. Defined results: null or empty texts have no words and no hits; null item texts have no
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from stratavox.plans.checkpoints import cut
 
 WINDOW = 10
-BROADCAST_ROWS = 200_000
+#: A table of at most so many rows and bytes is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Separators before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +48,9 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -438,4 +438,26 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {"op6_pii": op6_pii}
+def personal_data_counts(spark, sf_dir: str) -> DataFrame:
+    """How many spans of each base kind op6_pii finds."""
+    return op6_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS[:4]))
+
+
+QUERIES = {"op6_pii": op6_pii, "personal_data_counts": personal_data_counts}
+
+ORACLE_SQL = {
+    "personal_data_counts": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST(y AS BIGINT), 999) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda x: length(x) BETWEEN 13 AND 19 AND
+    list_sum(list_transform(generate_series(1, length(x)), lambda k: CASE WHEN k % 2 = 1 THEN CAST(x[length(x) - k + 1] AS INT) ELSE 2 * CAST(x[length(x) - k + 1] AS INT) - CASE WHEN CAST(x[length(x) - k + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM d
+"""
+}

@@ -145,4 +145,20 @@ def op8_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(pages, mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "learned")
 
 
-QUERIES = {"op8_url_filters": op8_url_filters}
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """Host, path and explicit rule of every page, and the verdict of that rule (null without one)."""
+    rule, verdict = explicit_rule(F.col("url"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), rule.alias("rule"), verdict.alias("said"))
+
+
+QUERIES = {"op8_url_filters": op8_url_filters, "url_rules": url_rules}
+
+ORACLE_SQL = {
+    "url_rules": r"""
+WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS m FROM pages),
+u AS (SELECT page_id, translate(m.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, m.p AS path FROM p),
+r(say, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || r.p, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS rule, arg_max(say, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS said
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id
+"""
+}

@@ -532,27 +532,35 @@ def test_url_noise_makes_no_rule(spark):
     assert url_filters.mine(spark.createDataFrame([], "url string, bad boolean")).count() == 0
 
 
-RULE_SQL = r"""
-WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS m FROM pages),
-u AS (SELECT page_id, translate(m.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, m.p AS path FROM p),
-r(say, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
-SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || r.p, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS rule, arg_max(say, length(h || r.p)) FILTER (WHERE h IS NOT NULL) AS said
-FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id
-"""
-
-
 def test_url_rules_equal_sql(spark):
     import duckdb
 
     c = duckdb.connect()
     for t in ("pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
-    want = {x[0]: x[1:] for x in c.execute(RULE_SQL).fetchall()}
+    want = {x[0]: x[1:] for x in c.execute(url_filters.ORACLE_SQL["url_rules"]).fetchall()}
     for x in url_filters.op8_url_filters(spark, "/root/testdata/sf0.01").collect():
         h, p, rule, said = want[x.page_id]
         assert (x.host, x.path, x.rule) == (h, p, rule) and x.verdict in (said, "allow" if said is None and x.learned is None else "block" if said is None else said)
 
 
+@pytest.mark.parametrize("name", ["quality_rule_counts", "personal_data_counts"])
+def test_base_columns_equal_sql(spark, texts, name, tmp_path):
+    import duckdb
+
+    from stratavox.llm import registry
+
+    more = ["a@b.c, x.y@ex-1.org. 1.2.3.4 and 1.2.3.400.5 or 0001.2.3.4.5.6.7.8", "4111 1111 1111 1111 4111-1111-1111-1112 +49 (30) 123-456.78 +1 2", "a b c d e f g h " * 6, "x\n\nx\n x\nx\ty\x0bz"]
+    frame(spark, texts + [(500 + k, t) for k, t in enumerate(more)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(registry.ORACLE_SQL[name]).df()
+    got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    key = lambda d: sorted(map(tuple, d.astype(str).to_numpy().tolist()))
+    assert key(got) == key(want)
+
+
 # op 9
 
 
