@@ -244,9 +244,11 @@ def internal_gradient(spark, sf_dir):
     return stencils.internal_gradient(labels(spark, sf_dir), GRID, 2)
 
 
-@query()
+# within two voxels, only lines along an axis pass through a voxel on their way
+@query("+p AS (SELECT a.x, a.y, a.z, a.v, dx, dy, dz, coalesce(own.v, 0) >= 20 AND coalesce(t.v, 0) >= 20 AND (d2 < 4 OR coalesce(m.v, 0) >= 20) AS seen FROM l a JOIN o ON d2 <= 4 LEFT JOIN s t ON t.x = a.x + dx AND t.y = a.y + dy AND t.z = a.z + dz LEFT JOIN s m ON m.x = a.x + dx // 2 AND m.y = a.y + dy // 2 AND m.z = a.z + dz // 2 AND d2 = 4 LEFT JOIN s own ON own.x = a.x AND own.y = a.y AND own.z = a.z), f AS (SELECT x, y, z, v, count(*) FILTER (WHERE seen) / count(*) AS fraction, coalesce(sqrt(avg(dx) FILTER (WHERE seen) ** 2 + avg(dy) FILTER (WHERE seen) ** 2 + avg(dz) FILTER (WHERE seen) ** 2), 2.0) AS far FROM p GROUP BY x, y, z, v) SELECT x, y, z, v, round(fraction, 6) AS fraction, round(far, 6) AS \"offset\", round(fraction + 1 - far / 2, 6) AS score FROM f")
 def sphereness(spark, sf_dir):
-    return stencils.sphereness(scores(spark, sf_dir), labels(spark, sf_dir), GRID, 2, 20)
+    found = stencils.sphereness(scores(spark, sf_dir), labels(spark, sf_dir), GRID, 2, 20)
+    return found.withColumns({c: F.round(c, 6) for c in ("fraction", "offset", "score")})
 
 
 # Distances. SURFACE is the 26-surface of l.
@@ -318,7 +320,7 @@ def depth(spark, sf_dir):
     return distance.depth(_filled(spark, sf_dir), GRID)
 
 
-@query()
+@query("+g AS MATERIALIZED (SELECT x AS p, y AS q, z AS r, v FROM s WHERE v >= 50), d AS (SELECT x, y, z, v, (x - p) * (x - p) + (y - q) * (y - q) + (z - r) * (z - r) AS d2 FROM box, g) SELECT x, y, z, CAST(min(d2 * 64 + v) % 64 AS BIGINT) AS v FROM d WHERE d2 <= 400 GROUP BY x, y, z")
 def expand_far(spark, sf_dir):
     """A radius of more than half a block runs over lines."""
     return distance.expand(scores(spark, sf_dir).where("v >= 50"), GRID, 80.0)
@@ -332,35 +334,37 @@ def geodesic(spark, sf_dir):
 # Components
 
 LABELS = "c(id, root) USING KEY (id) AS (SELECT id, id FROM b UNION SELECT e.w, min(r.root) FROM c r JOIN e ON e.u = r.id JOIN recurring.c k ON k.id = e.w WHERE r.root < k.root GROUP BY e.w)"
-CC = "+b AS (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 35), e AS (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + ", cc AS (SELECT id, root AS component FROM c), n AS (SELECT component, count(*) AS n FROM cc GROUP BY component) "
+CC = "+b AS MATERIALIZED (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM {1}), e AS MATERIALIZED (SELECT p.id AS u, q.id AS w FROM b p JOIN o ON {0} JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), " + LABELS + ", cc AS (SELECT id, root AS component FROM c), n AS (SELECT component, count(*) AS n FROM cc GROUP BY component) "
+
+BY_ANY = "d2 BETWEEN 1 AND 3 AND greatest(abs(dx), abs(dy), abs(dz)) = 1"
 
 
 def _segmented(spark, sf_dir, around=False):
     return cc.components(pointwise.binarize(pointwise.threshold(scores(spark, sf_dir), 35)), GRID, around)
 
 
-@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN cc USING (id)", recursive=True)
+@query(CC.format("d2 = 1", "s WHERE v >= 35") + "SELECT x, y, z, component FROM b JOIN cc USING (id)", recursive=True)
 def components_6(spark, sf_dir):
     return _segmented(spark, sf_dir).select(*XYZ, "component")
 
 
-@query()
+@query(CC.format(BY_ANY, "l") + "SELECT x, y, z, component FROM b JOIN cc USING (id)", recursive=True)
 def components_26(spark, sf_dir):
     return cc.components(pointwise.binarize(labels(spark, sf_dir)), GRID, around=True).select(*XYZ, "component")
 
 
-@query(CC.format("d2 = 1") + "SELECT x, y, z, component FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n = (SELECT max(n) FROM n)", recursive=True)
+@query(CC.format("d2 = 1", "s WHERE v >= 35") + "SELECT x, y, z, component FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n = (SELECT max(n) FROM n)", recursive=True)
 def largest_component(spark, sf_dir):
     return cc.largest(_segmented(spark, sf_dir)).select(*XYZ, "component")
 
 
-@query(CC.format("d2 = 1") + ", k AS (SELECT component, row_number() OVER (ORDER BY component) AS number FROM n WHERE n > 2 AND n <= 9) SELECT x, y, z, number AS v FROM b JOIN cc USING (id) JOIN k USING (component)", recursive=True)
+@query(CC.format("d2 = 1", "s WHERE v >= 35") + ", k AS (SELECT component, row_number() OVER (ORDER BY component) AS number FROM n WHERE n > 2 AND n <= 9) SELECT x, y, z, number AS v FROM b JOIN cc USING (id) JOIN k USING (component)", recursive=True)
 def component_renumber(spark, sf_dir):
     kept = cc.keep_sizes(_segmented(spark, sf_dir), 2, 9).select(*XYZ, F.col("component").alias("v"))
     return renumber.apply_numbers(kept, renumber.dense_numbers(kept.select("v")))
 
 
-@query(CC.format("d2 = 1") + ", k AS (SELECT x, y, z, component AS v FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n > 2), f AS (SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM k a JOIN o ON d2 = 1 LEFT JOIN k q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL) SELECT v AS id, count(*) * 64.0 AS volume, sum(faces) * 16.0 AS area, round(4.0 * sum(x) / count(*), 6) AS com_x, round(4.0 * sum(y) / count(*), 6) AS com_y, round(4.0 * sum(z) / count(*), 6) AS com_z, min(x) * 4.0 AS min_x, min(y) * 4.0 AS min_y, min(z) * 4.0 AS min_z, max(x) * 4.0 AS max_x, max(y) * 4.0 AS max_y, max(z) * 4.0 AS max_z FROM f GROUP BY v", recursive=True)
+@query(CC.format("d2 = 1", "s WHERE v >= 35") + ", k AS (SELECT x, y, z, component AS v FROM b JOIN cc USING (id) JOIN n USING (component) WHERE n > 2), f AS (SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM k a JOIN o ON d2 = 1 LEFT JOIN k q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL) SELECT v AS id, count(*) * 64.0 AS volume, sum(faces) * 16.0 AS area, round(4.0 * sum(x) / count(*), 6) AS com_x, round(4.0 * sum(y) / count(*), 6) AS com_y, round(4.0 * sum(z) / count(*), 6) AS com_z, min(x) * 4.0 AS min_x, min(y) * 4.0 AS min_y, min(z) * 4.0 AS min_z, max(x) * 4.0 AS max_x, max(y) * 4.0 AS max_y, max(z) * 4.0 AS max_z FROM f GROUP BY v", recursive=True)
 def object_info(spark, sf_dir):
     info = objects.object_info(cc.segment(scores(spark, sf_dir), GRID, 35, 2 * 64.0), GRID)
     return info.withColumns({f"com_{c}": F.round(f"com_{c}", 6) for c in XYZ})
@@ -395,7 +399,6 @@ def _two(spark, sf_dir):
     return vol.where("v <= 20"), vol.where("v > 20")
 
 
-BY_ANY = "d2 BETWEEN 1 AND 3 AND greatest(abs(dx), abs(dy), abs(dz)) = 1"
 FACES = "(SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE coalesce(q.v, 0) <> a.v AND " + INSIDE.format("a") + ") AS faces FROM {0} a JOIN o ON d2 = 1 LEFT JOIN {0} q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL)"
 CONTACTS = "+va AS (SELECT * FROM l WHERE v <= 20), vb AS (SELECT * FROM l WHERE v > 20), " + ", ".join(
     f"f{n} AS (SELECT DISTINCT a.x, a.y, a.z, a.v FROM v{n} a JOIN o ON d2 BETWEEN 1 AND 3 LEFT JOIN v{n} b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE coalesce(b.v, 0) <> a.v AND {INSIDE.format('a')}), n{n} AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, arg_min(a.v, struct_pack(d2 := d2, v := a.v)) AS v FROM f{n} a JOIN o ON d2 <= 4 WHERE {INSIDE.format('a')} GROUP BY 1, 2, 3), h{n} AS (SELECT * FROM n{n} ANTI JOIN v{n} USING (x, y, z) UNION ALL SELECT * FROM f{n})" for n in "ab"
@@ -606,7 +609,7 @@ def cell_interior(spark, sf_dir):
     return pointwise.cell_interior(box(spark), vol, outside, scores(spark, sf_dir), 2.0)
 
 
-@query()
+@query("+far AS (SELECT DISTINCT s.x + dx AS x, s.y + dy AS y, s.z + dz AS z FROM s JOIN o ON d2 <= 4 WHERE s.v >= 49), " + CC.format("d2 = 1", "(SELECT x, y, z FROM s ANTI JOIN l USING (x, y, z) ANTI JOIN far USING (x, y, z))").removeprefix("+") + "SELECT x, y, z, component AS v FROM b JOIN cc USING (id)", recursive=True)
 def cell_volume(spark, sf_dir):
     s = scores(spark, sf_dir)
     return cc.cell_volume(box(spark), labels(spark, sf_dir), s.where("v >= 49"), s, GRID, 2.0)
