@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavox.plans.checkpoints import cut, drop
+from stratavox.plans.checkpoints import cut
 
 #: The id that stands for a null one.
 LEAST = -(1 << 63)
@@ -84,46 +84,51 @@ def _same(a: str, a_id: str, b: str, b_id: str) -> Column:
     return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.{a_id}") == F.col(f"{b}.{b_id}"))
 
 
-def steps_up(nodes: DataFrame) -> list[DataFrame]:
-    """Tables of steps (conv_id, msg_id, up, score, n), cuts: the k-th has each message's ancestor 2**k above it, or null, with the score and number of the messages passed.
+def steps_up(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(steps, ends), cuts. The k-th steps (conv_id, msg_id, up, score, n) have each message's ancestor 2**k above it, with the score and number of the messages passed, where there is one.
 
-    In the last table every step has left the root, so its scores and numbers are those of whole paths. nodes: (conv_id, msg_id, parent_id, score), distinct ids.
+    ends have the messages whose root was found in a round, up being null, with the score and number of their whole path. A message that is done takes no part in later rounds but as
+    an ancestor. nodes: (conv_id, msg_id, parent_id, score), distinct ids.
     """
     known = nodes.select("conv_id", "msg_id")
     first = nodes.alias("a").join(known.alias("b"), _same("a", "parent_id", "b", "msg_id") & (F.col("a.parent_id") < F.col("a.msg_id")), "left")
-    tables = [cut(first.select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), "a.score", F.lit(1).cast("long").alias("n")))]
-    while not tables[-1].where("up is not null").isEmpty():
-        last = tables[-1]
-        both = last.alias("a").join(last.alias("b"), _same("a", "up", "b", "msg_id"), "left")
-        more = lambda c, none: F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(none))
-        tables.append(cut(both.select("a.conv_id", "a.msg_id", F.col("b.up").alias("up"), more("score", 0.0).alias("score"), more("n", 0).alias("n"))))
-    return tables
+    made = cut(first.select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), "a.score", F.lit(1).cast("long").alias("n")))
+    steps, ends = [], []
+    while True:
+        steps.append(made.where("up is not null"))
+        ends.append(made.where("up is null"))
+        if steps[-1].isEmpty():
+            return steps[:-1], ends
+        both = steps[-1].alias("a").join(_all([steps[-1], *ends]).alias("b"), _same("a", "up", "b", "msg_id"))
+        made = cut(both.select("a.conv_id", "a.msg_id", F.col("b.up").alias("up"), *((F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("score", "n"))))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """Rows (conv_id, path, rank, msg_id, above), a cut: the messages of the best paths of each conversation, named by their leaves, above counted from the leaf.
+    """Rows (conv_id, path, rank, msg_id, above), cuts: the messages of the best paths of each conversation, named by their leaves, above counted from the leaf.
 
     branches is how many paths a conversation keeps; None keeps all.
     """
     nodes = cut(messages.groupBy("conv_id", "msg_id").agg(F.min("parent_id").alias("parent_id"), F.max(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("score")))
-    tables = steps_up(nodes)
-    parents = tables[0].where("up is not null").select("conv_id", "up").distinct()
-    leaves = tables[-1].alias("a").join(parents.alias("b"), _same("a", "msg_id", "b", "up"), "left_anti")
+    steps, ends = steps_up(nodes)
+    leaves = _all(ends).alias("a")
+    if steps:
+        leaves = leaves.join(steps[0].select("conv_id", "up").distinct().alias("b"), _same("a", "msg_id", "b", "up"), "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("n"), "msg_id")
     ranked = leaves.select("conv_id", "msg_id", "n", F.round(F.col("score") / F.col("n"), 9).alias("mean")).withColumn("rank", F.row_number().over(order))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
-    on = ranked.select("conv_id", F.col("msg_id").alias("path"), "rank", "msg_id", F.lit(0).cast("long").alias("above"))
-    for k in reversed(range(len(tables) - 1)):
-        step = tables[k].where("up is not null").select("conv_id", "msg_id", "up")
-        both = on.alias("a").join(step.alias("b"), _same("a", "msg_id", "b", "msg_id"), "left")
-        here, there = F.struct("a.msg_id", "a.above"), F.struct(F.col("b.up").alias("msg_id"), (F.col("a.above") + (1 << k)).alias("above"))
-        met = F.when(F.col("b.up").isNull(), F.array(here)).otherwise(F.array(here, there))
-        on = both.select("a.conv_id", "a.path", "a.rank", F.explode(met).alias("m")).select("conv_id", "path", "rank", "m.msg_id", "m.above")
-    done = cut(on)
-    for t in [nodes, *tables]:
-        drop(t)
-    return done
+    parts = [cut(ranked.select("conv_id", F.col("msg_id").alias("path"), "rank", "msg_id", F.lit(0).cast("long").alias("above")))]
+    for k in reversed(range(len(steps))):
+        both = _all(parts).alias("a").join(steps[k].alias("b"), _same("a", "msg_id", "b", "msg_id"))
+        parts.append(cut(both.select("a.conv_id", "a.path", "a.rank", F.col("b.up").alias("msg_id"), (F.col("a.above") + (1 << k)).alias("above"))))
+    return _all(parts)
 
 
 def format_trees(messages: DataFrame, branches: int | None = 1, template: Template = Template()) -> DataFrame:
