@@ -556,6 +556,35 @@ def gaussian_curvature(spark, sf_dir):
     return curvature.surface_curvature(_solids(spark, sf_dir), GRID, kind="gaussian")
 
 
+@query()
+def curvature_forms(spark, sf_dir):
+    """Gaussian and mean curvature of the solids by fundamental forms."""
+    return curvature.curvature_forms(_solids(spark, sf_dir), GRID, 3, 7)
+
+
+GEODESIC = "+m AS (SELECT x, y, z, v, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 20), sd AS (SELECT id, l.v / 40.0 AS value FROM m JOIN l USING (x, y, z)), e AS MATERIALIZED (SELECT p.id AS u, q.id AS w, d2 + 2 AS cost FROM m p JOIN o ON d2 BETWEEN 1 AND 3 JOIN m q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), g(id, d) USING KEY (id) AS (SELECT id, 0 FROM sd UNION SELECT e.w, min(r.d + e.cost) FROM g r JOIN e ON e.u = r.id LEFT JOIN recurring.g k ON k.id = e.w WHERE k.id IS NULL OR r.d + e.cost < k.d GROUP BY e.w)"
+
+
+@query(GEODESIC + " SELECT x, y, z, CAST(d AS BIGINT) AS d FROM m JOIN g USING (id)", recursive=True)
+def geodesic_scores(spark, sf_dir):
+    """Chamfer distance from the labels' places within higher scores."""
+    return distance.geodesic(labels(spark, sf_dir), scores(spark, sf_dir).where("v >= 20"), GRID)
+
+
+@query(GEODESIC + ", exact AS (SELECT e.u, e.w FROM e JOIN g a ON a.id = e.u JOIN g b ON b.id = e.w WHERE a.d + e.cost = b.d), p AS (SELECT id, value FROM sd UNION ALL SELECT exact.w, p.value FROM p JOIN exact ON exact.u = p.id), mean AS (SELECT id, round(avg(value), 6) AS value FROM p GROUP BY id) SELECT x, y, z, v, value FROM m JOIN mean USING (id)", recursive=True)
+def path_weighted(spark, sf_dir):
+    """Values of the labels carried along all shortest paths within higher scores; the SQL lists every path."""
+    medial = labels(spark, sf_dir).select(*XYZ, (F.col("v") / 40).alias("value"))
+    return objects.path_weighted(scores(spark, sf_dir).where("v >= 20"), medial, GRID).withColumn("value", F.round("value", 6))
+
+
+@query()
+def path_planarity(spark, sf_dir):
+    """Each object voxel's planarity over all shortest paths from its medial surface, by bins with object volume and surface."""
+    solids, medial = _medial(spark, sf_dir)
+    return objects.value_histogram(objects.path_weighted(solids, medial, GRID), solids, GRID)
+
+
 EDGES = "+b AS (SELECT x, y, z, x // 16 + 1 AS v, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE v >= 40), e AS (SELECT p.v AS obj, p.id AS u, q.id AS v, round(sqrt(d2), 9) AS w FROM b p JOIN o ON d2 BETWEEN 1 AND 3 JOIN b q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.v = q.v AND p.id < q.id) "
 
 

@@ -1,4 +1,4 @@
-"""Planarity and sphereness from Hessian eigenvalues over scales, and Gaussian and mean curvature at surfaces."""
+"""Planarity and sphereness from Hessian eigenvalues over scales, and Gaussian and mean curvature at surfaces: of the smoothed level set, and by fundamental forms."""
 
 from __future__ import annotations
 
@@ -6,9 +6,16 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .stencils import gaussian_weights
-from .volume import XYZ, Block, Grid, map_blocks, over_blocks, united
+from stratavox.plans.checkpoints import cut
+
+from .lines import Bundle, gaussian_weights, smoothed
+from .stencils import surface_normals
+from .volume import XYZ, Block, Grid, map_blocks, over_blocks
+
+#: Measures up to this are rounding errors.
+LEAST = 1e-12
 
 
 def sigma_series(scales: int = 12, per_octave: int = 2) -> list[float]:
@@ -47,7 +54,10 @@ def increments(sigmas: list[float]) -> list[float]:
 
 
 def eigenvalues_at(dense: np.ndarray, sigma: float, at: np.ndarray) -> np.ndarray:
-    """Eigenvalues, by absolute value, of the scale-normalised Hessian at some places; differences are central and the edge repeats."""
+    """Eigenvalues, by absolute value, of the scale-normalised Hessian at some places; differences are central and the edge repeats.
+
+    They are rounded, and of two with the same absolute value the negative one is last, so that rounding errors don't choose between them.
+    """
     f = np.pad(dense, 2, mode="edge")
     p = at + 2
 
@@ -59,35 +69,31 @@ def eigenvalues_at(dense: np.ndarray, sigma: float, at: np.ndarray) -> np.ndarra
         for j in range(i + 1):
             ei, ej = np.eye(3, dtype=int)[[i, j]]
             h[:, i, j] = h[:, j, i] = sigma * sigma * sum(s * t * value(*(s * ei + t * ej)) for s in (-1, 1) for t in (-1, 1)) / 4
-    values = np.linalg.eigvalsh(h)
-    return np.take_along_axis(values, np.abs(values).argsort(-1), -1)
+    values = np.round(np.linalg.eigvalsh(h)[..., ::-1], 12)
+    return np.take_along_axis(values, np.abs(values).argsort(-1, kind="stable"), -1)
 
 
 def planarity(volume: DataFrame, grid: Grid, scales: int = 12, measure: str = "planarity", at: DataFrame | None = None) -> DataFrame:
     """Rows (x, y, z, v double): the greatest measure over scales at object voxels, or at those of another volume (a medial surface) only.
 
-    Smoothing accumulates from scale to scale within a window of three times the greatest scale, cut off at the volume and mirrored there. The Hessian is made
-    only where it is asked for.
+    Smoothing accumulates from scale to scale over whole lines, mirrored at the volume's edges. The Hessian is made only where it is asked for.
     """
     sigmas = sigma_series(scales)
-    halo = int(3 * sigmas[-1]) + 3
-    rows = united(v=volume.where("v > 0"), on=(volume if at is None else at).where("v > 0"))
+    objects = volume.where("v > 0").select(*XYZ)
+    places = objects if at is None else at.where("v > 0").select(*XYZ).join(objects, XYZ, "left_semi")
 
-    def kernel(b: Block) -> dict[str, np.ndarray]:
-        low = [max(0, -o) for o in b.corner]
-        high = [min(n, d - o) for n, d, o in zip(b.shape, b.dim, b.corner, strict=True)]
-        f = (b["v"] > 0)[tuple(slice(p, q) for p, q in zip(low, high, strict=True))].astype(float)
-        out = b.rows((b["on"] > 0) & (b["v"] > 0))
-        places = np.stack([out[c] - o - p for c, o, p in zip(XYZ, b.corner, low, strict=True)], 1)
-        best = np.zeros(len(places))
-        for sigma, more in zip(sigmas, increments(sigmas), strict=True):
-            if not len(places):
-                break
-            f = smooth(f, more) if more else f
-            best = np.maximum(best, shape_measures(eigenvalues_at(f, sigma, places))[measure != "planarity"])
-        return {c: a[best > 0] for c, a in (out | {"v": best}).items()}
-
-    return over_blocks(rows, grid, halo, kernel, "x long, y long, z long, v double")
+    def last(values: np.ndarray, b: Bundle) -> dict[str, np.ndarray]:
+        b.values = values
+        own, corner = b.inside()
+        best = np.zeros(len(b.places))
+        for f, sigma in zip(own, sigmas, strict=True):
+            if len(best):
+                best = np.maximum(best, shape_measures(eigenvalues_at(f, sigma, b.places - corner))[measure != "planarity"])
+        some = best > LEAST
+        return {c: b.places[some, k] for k, c in enumerate(XYZ)} | {"v": best[some]}
+
+    # a central difference of central differences reaches two places
+    return smoothed(objects.withColumn("v", F.lit(1)), grid, increments(sigmas), last, "x long, y long, z long, v double", at=places, halo=2)
 
 
 def surface_curvature(volume: DataFrame, grid: Grid, sigma: float = 2.0, kind: str = "mean") -> DataFrame:
@@ -113,3 +119,105 @@ def surface_curvature(volume: DataFrame, grid: Grid, sigma: float = 2.0, kind: s
         return np.where((dense > 0) & ~covered, np.nan_to_num(out), 0)
 
     return map_blocks(volume, grid, halo, kernel, "double")
+
+
+# Curvature by fundamental forms
+
+_AROUND = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+
+
+def tangents(normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unit vectors in the plane of each normal: the projections of the axes that lie most and second most across it; the first axis on ties."""
+    order = np.abs(normal).argsort(-1, kind="stable")
+    out = []
+    for k in (0, 1):
+        axis = order[:, k]
+        t = np.eye(3)[axis] - np.take_along_axis(normal, axis[:, None], 1) * normal
+        out.append(t / np.sqrt((t * t).sum(1))[:, None])
+    return out[0], out[1]
+
+
+def _step(n: np.ndarray, at: np.ndarray, own: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(X, N): how place and normal change from surface voxels to a step t along a tangent; NaN where no other surface voxel is near.
+
+    The step ends on the plane of the nearest surface voxel around, and the normal there is the mean of those around that one, by their nearness to the step. n: normals [x, y, z, 3], 0 elsewhere.
+    """
+    there = lambda p: n[tuple(p.T)]
+    square = lambda v: (v * v).sum(-1, keepdims=True)
+    best, o = np.full(len(at), np.inf), np.zeros((len(at), 3), np.int64)
+    for step in _AROUND:
+        if step.any():
+            d2 = np.where(square(there(at + step))[:, 0] > 0, square(step - t)[:, 0], np.inf)
+            nearer = d2 < best - 1e-9
+            best, o = np.where(nearer, d2, best), np.where(nearer[:, None], step, o)
+    plane = there(at + o)
+    x = t - ((t - o) * plane).sum(1)[:, None] * plane
+    total, exact = np.zeros_like(t), np.zeros_like(t)
+    for step in _AROUND:
+        near = there(at + o + step)
+        far = np.sqrt(square(o + step - t))
+        same = (far < 1e-9) & (square(near) > 0)
+        exact = np.where(same, near, exact)
+        total += np.where(square(near) > 0, near / np.where(far < 1e-9, 1, far), 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(square(exact) > 0, exact, total / np.sqrt(square(total)))
+    turn = own - mean
+    out = turn - (turn * plane).sum(1)[:, None] * plane
+    return x, np.where(np.isfinite(best)[:, None], out, np.nan)
+
+
+def forms(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Gaussian, mean) curvature at places of an array of normals [x, y, z, 3], from the first and second fundamental forms; NaN where they aren't defined."""
+    own = n[tuple(at.T)]
+    (xu, nu), (xv, nv) = (_step(n, at, own, t) for t in tangents(own))
+    dot = lambda a, b: (a * b).sum(1)
+    e, f, g = dot(xu, xu), dot(xu, xv), dot(xv, xv)
+    l, m1, m2, k = -dot(xu, nu), -dot(xu, nv), -dot(xv, nu), -dot(xv, nv)  # noqa: E741 - the usual names; the two mixed terms needn't be equal
+    area = e * g - f * f
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gaussian, mean = (l * k - m1 * m2) / area, 0.5 * (l * g - (m1 + m2) * f + k * e) / area
+    ok = np.isfinite(gaussian) & np.isfinite(mean) & (area > 1e-9)
+    return np.where(ok, gaussian, np.nan), np.where(ok, mean, np.nan)
+
+
+def curvature_forms(volume: DataFrame, grid: Grid, shell: int = 10, window: int = 35) -> DataFrame:
+    """Rows (x, y, z, v, gaussian, mean): curvature of objects at their surface voxels, those with another value or the volume's outside among the 26 neighbours.
+
+    A surface voxel's normal points to the centre of mass of its object's shell, the voxels with background within shell places, in a cube of half width window. Tangents, steps
+    along them and changes of the normal give the two fundamental forms. A sphere of radius r has Gaussian curvature near r ** -2 and mean curvature near -1 / r,
+    negative where the surface curves around the object. Voxels whose normal or forms aren't defined have no row: no other surface voxel around, or a shell that is
+    even on all sides.
+
+    Three exchanges: shells, with a halo of shell places; normals, of shell and surface voxels alone with a halo of the window, so that blocks should be no smaller than it; and
+    the normals themselves, with a halo of two.
+    """
+    objects = volume.where("v > 0").select(*XYZ, "v")
+
+    def skin(b: Block) -> dict[str, np.ndarray]:
+        v = b["v"]
+        low = v > 0
+        for axis in range(3):
+            least = low
+            for k in range(1, shell + 1):
+                step = tuple(k * (a == axis) for a in range(3))
+                back = tuple(-s for s in step)
+                least = least & b.moved(low, step, False) & b.moved(low, back, False)
+            low = least
+        edge = np.zeros(v.shape, bool)
+        for step in _AROUND:
+            edge |= b.moved(v, tuple(step)) != v
+        kinds = np.where(~low, 1, 0) + np.where(edge, 2, 0)
+        return b.rows((v > 0) & (kinds > 0), v=v, kind=kinds.astype(np.int64))
+
+    skins = cut(over_blocks(objects, grid, max(shell, 1), skin, "x long, y long, z long, v long, kind long"))
+    normals = surface_normals(skins.where("kind & 1 = 1"), skins.where("kind & 2 = 2"), grid, window).where("nx <> 0 or ny <> 0 or nz <> 0")
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        n = np.stack([b[f"n{c}"] for c in XYZ], -1)
+        rows = b.rows(b["v"] > 0, v=b["v"])
+        at = np.stack([rows[c] - o for c, o in zip(XYZ, b.corner, strict=True)], 1)
+        gaussian, mean = forms(n, at)
+        ok = np.isfinite(mean)
+        return {c: a[ok] for c, a in (rows | {"gaussian": gaussian, "mean": mean}).items()}
+
+    return over_blocks(cut(normals), grid, 2, kernel, "x long, y long, z long, v long, gaussian double, mean double")

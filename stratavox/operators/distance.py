@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.plans.checkpoints import drop
+
+from .blockstate import State
 from .stencils import surface_voxels
-from .volume import XYZ, Block, Grid, over_blocks, stencil
+from .volume import XYZ, Block, Grid, over_blocks
 
 _FAR = 1 << 61
 #: Lines in a bundle along each of the two other axes.
@@ -252,9 +255,14 @@ def filament_tubes(centreline: DataFrame, grid: Grid, outer_nm: float = 12.5, in
 _CHAMFER = {1: 3, 2: 4, 3: 5}
 
 
+def chamfer_steps() -> list[tuple[tuple[int, int, int], int]]:
+    """The 26 neighbours and the lengths of the steps to them."""
+    return [((x, y, z), _CHAMFER[abs(x) + abs(y) + abs(z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0)]
+
+
 def _relax(b: Block, inside: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Distances within a block and its halo of one, until no step lowers any."""
-    steps = [((x, y, z), _CHAMFER[abs(x) + abs(y) + abs(z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0)]
+    steps = chamfer_steps()
     while True:
         best = d
         for step, cost in steps:
@@ -264,44 +272,31 @@ def _relax(b: Block, inside: np.ndarray, d: np.ndarray) -> np.ndarray:
         d = best
 
 
-def geodesic(seeds: DataFrame, mask: DataFrame, grid: Grid, most: int = _FAR - 1) -> DataFrame:
-    """Rows (x, y, z, d): chamfer distance (3, 4, 5 for faces, edges and corners) from the seeds within the mask, up to most; labels of the mask don't bound it.
-
-    Each block relaxes to its own fixed point; only blocks whose neighbours' faces got nearer run again.
-    """
-    from stratavox.plans.checkpoints import cut, drop
-
-    schema = "x long, y long, z long, d long, nearer boolean"
+def geodesic_state(seeds: DataFrame, mask: DataFrame, grid: Grid, most: int = _FAR - 1) -> State:
+    """Blocks with the channels inside and after: the geodesic distance and one more, or 0 where it isn't known."""
     inside = mask.where("v <> 0").select(*XYZ, F.lit(True).alias("inside")).distinct()
     start = seeds.select(*XYZ, F.lit(1).cast("long").alias("after")).distinct()
-    known = cut(inside.join(start, XYZ, "left").withColumn("after", F.coalesce("after", F.lit(0).cast("long"))))
-    active = spread_keys(known.where("after > 0"), grid)
+    known = inside.join(start, XYZ, "left")
 
-    def kernel(b: Block) -> dict[str, np.ndarray]:
-        before = np.where(b["after"] > 0, b["after"] - 1, _FAR)  # one more, as 0 means unknown
+    def kernel(b: Block) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        before = np.where(b["after"] > 0, b["after"] - 1, _FAR)
         d = _relax(b, b["inside"], before)
         d = np.where(d <= most, d, _FAR)
-        return b.rows(b["inside"], d=np.where(d < _FAR, d + 1, 0), nearer=d < before)
+        return {"after": np.where(d < _FAR, d + 1, 0)}, d < before
 
+    state = State(known, grid, {"inside": np.bool_, "after": np.int64})
+    active = state.around(known.where("after > 0"), 1)
     while not active.isEmpty():
-        run = over_blocks(known, grid, 1, kernel, schema, only=active).withColumnRenamed("d", "after")
-        rest = known.select(*XYZ, "after", *grid.block_key()).join(active, ["bx", "by", "bz"], "left_anti")
-        new = cut(run.select(*XYZ, "after", "nearer").unionByName(rest.select(*XYZ, "after", F.lit(False).alias("nearer"))))
-        active = spread_keys(new.where("nearer"), grid)
-        drop(known)
-        known = cut_path(new, new.select(*XYZ, F.lit(True).alias("inside"), "after"))
-    return known.where("after > 0").select(*XYZ, (F.col("after") - 1).alias("d"))
-
-
-def cut_path(of: DataFrame, df: DataFrame) -> DataFrame:
-    df.cut_path = of.cut_path
-    return df
-
+        woken = state.run(1, kernel, active, again=False)
+        drop(active)
+        active = woken
+    return state
 
-def spread_keys(rows: DataFrame, grid: Grid) -> DataFrame:
-    """The blocks (bx, by, bz) that the rows are in or next to, a cut: a row for each such block."""
-    from stratavox.plans.checkpoints import cut
 
-    from .volume import spread_to_blocks
+def geodesic(seeds: DataFrame, mask: DataFrame, grid: Grid, most: int = _FAR - 1) -> DataFrame:
+    """Rows (x, y, z, d): chamfer distance (3, 4, 5 for faces, edges and corners) from the seeds within the mask, up to most; labels of the mask don't bound it.
 
-    return cut(spread_to_blocks(rows.select(*XYZ), grid, 1).select("bx", "by", "bz").distinct())
+    Each block relaxes to its own fixed point; only blocks whose neighbours' faces got nearer run again, and only they are written.
+    """
+    found = geodesic_state(seeds, mask, grid, most).rows(lambda a: a["after"] > 0, "x long, y long, z long, after long")
+    return found.select(*XYZ, (F.col("after") - 1).alias("d"))

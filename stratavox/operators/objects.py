@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.plans.checkpoints import cut
+from stratavox.plans.checkpoints import cut, drop
 
-from .distance import geodesic
+from .blockstate import State
+from .distance import chamfer_steps, geodesic
 from .stencils import exposed_faces
-from .volume import XYZ, Grid, stencil
+from .volume import XYZ, Block, Grid, stencil
 
 
 def object_info(volume: DataFrame, grid: Grid) -> DataFrame:
@@ -94,6 +96,53 @@ def nearest_medial(volume: DataFrame, medial: DataFrame, grid: Grid) -> DataFram
     return volume.where("v > 0").join(mean, XYZ).select(*XYZ, "v", "value")
 
 
+def path_weighted(volume: DataFrame, medial: DataFrame, grid: Grid) -> DataFrame:
+    """Rows (x, y, z, v, value): each object voxel's mean value over all shortest chamfer paths within the objects that lead to it from medial voxels (x, y, z, value).
+
+    A voxel takes its value from the neighbours from which an exact step leads to it, each by its number of paths; numbers are kept as logarithms. Blocks settle what they can and run again
+    when a neighbour's margin has settled, so what moves are margins, not pairs of places and sources.
+    """
+    inside = volume.where("v > 0").select(*XYZ, "v")
+    start = medial.join(inside.select(*XYZ), XYZ, "left_semi").groupBy(*XYZ).agg(F.avg("value").alias("mean"))
+    known = geodesic(start, inside, grid).select(*XYZ, (F.col("d") + 1).alias("after"))
+    rows = cut(inside.join(known, XYZ).join(start.withColumn("settled", F.lit(True)), XYZ, "left"))
+    steps = [(s, cost) for s, cost in chamfer_steps()]
+
+    def kernel(b: Block) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        after, settled, mean, paths = b["after"], b["settled"].copy(), b["mean"].copy(), b["paths"].copy()
+        core = np.zeros(after.shape, bool)
+        core[b.core] = True
+        before = settled.copy()
+        # from which neighbours an exact step leads here; seeds have none, as 0 is no voxel's distance and one more
+        exact = [(s, (b.moved(after, s) == after - cost) & (b.moved(after, s) > 0)) for s, cost in steps]
+        while True:
+            waits = ~core | settled | (after == 0)
+            for s, to in exact:
+                waits |= to & ~b.moved(settled, s, False)
+            ready = np.nonzero(~waits)
+            if not len(ready[0]):
+                break
+            logs = np.full((len(steps), len(ready[0])), -np.inf)
+            values = np.zeros_like(logs)
+            for k, (s, to) in enumerate(exact):
+                own = to[ready]
+                there = tuple(np.clip(r + d, 0, n - 1) for r, d, n in zip(ready, s, after.shape, strict=True))
+                logs[k], values[k] = np.where(own, paths[there], -np.inf), np.where(own, mean[there], 0)
+            top = logs.max(0)
+            weight = np.exp2(logs - top)
+            mean[ready], paths[ready] = (weight * values).sum(0) / weight.sum(0), top + np.log2(weight.sum(0))
+            settled[ready] = True
+        return {"settled": settled, "mean": mean, "paths": paths}, settled & ~before
+
+    state = State(rows, grid, {"v": np.int64, "after": np.int64, "settled": np.bool_, "mean": np.float64, "paths": np.float64})
+    active = cut(state.all_keys())
+    while not active.isEmpty():
+        woken = state.run(1, kernel, active, again=False)
+        drop(active)
+        active = woken
+    return state.rows(lambda a: a["settled"], "x long, y long, z long, v long, mean double").withColumnRenamed("mean", "value")
+
+
 def contact_sheetness(contacts: DataFrame, valued: DataFrame, surface: DataFrame, grid: Grid) -> DataFrame:
     """Rows (component, sheetness, area): mean bin centre of contact-site surface voxels, and their area."""
     met = contacts.select(*XYZ, "component").join(valued.select(*XYZ, "value"), XYZ).join(surface.select(*XYZ, "faces"), XYZ).where("faces > 0").withColumn("bin", unit_bin(F.col("value")))

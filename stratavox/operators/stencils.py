@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lines import gaussian, gaussian_weights  # noqa: F401 - smoothing is a neighbourhood operator as well
 from .volume import XYZ, Block, Grid, map_blocks, over_blocks, stencil, united
 
 _LEAST = -(1 << 62)
@@ -94,27 +95,6 @@ def gradient(volume: DataFrame, axis: str, sigma: float = 1.0, central: bool = T
     return moved.groupBy(*XYZ).agg(F.sum(F.col("v") * F.col("t.w")).alias("g")).where("g <> 0")
 
 
-def gaussian_weights(sigma: float) -> list[float]:
-    """A half kernel of 3 sigma, normalised."""
-    half = max(2, int(3 * sigma + 0.5) + 1)
-    w = [float(np.exp(-0.5 * (k / sigma) ** 2)) for k in range(half)]
-    total = w[0] + 2 * sum(w[1:])
-    return [x / total for x in w]
-
-
-def gaussian(volume: DataFrame, grid: Grid, sigma: float) -> DataFrame:
-    """Rows (x, y, z, v double): separable smoothing with the volume mirrored at its edges (the edge voxel isn't repeated)."""
-    w = gaussian_weights(sigma)
-    out = volume.select(*XYZ, F.col("v").cast("double").alias("v"))
-    for c, d in zip(XYZ, grid.dim, strict=True):
-        terms = F.array(*(F.struct(F.lit(k).alias("d"), F.lit(w[abs(k)]).alias("w")) for k in range(1 - len(w), len(w))))
-        # a voxel gives to the places whose kernel reaches it or one of its mirror images
-        images = F.array_distinct(F.array(F.col(c), -F.col(c), 2 * (d - 1) - F.col(c)))
-        out = out.withColumn("image", F.explode(images)).withColumn("t", F.explode(terms)).withColumn(c, F.col("image") + F.col("t.d"))
-        out = out.where(F.col(c).between(0, d - 1)).groupBy(*XYZ).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
-    return out
-
-
 def ball_max(b: Block, a: np.ndarray, radius: int, low) -> np.ndarray:
     """The greatest value in the ball around each place: running maxima along z, then a shift for each column of the ball."""
     along, out = [a], np.full_like(a, low)

@@ -10,11 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stratavox.plans.checkpoints import cut, drop
 
-from .volume import XYZ, Block, Grid, over_blocks
+from .blockstate import State, roomy
+from .volume import XYZ, Block, Grid
 
 _PLACES = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 _DIRECTIONS = [(0, 0, -1), (0, 0, 1), (0, -1, 0), (0, 1, 0), (-1, 0, 0), (1, 0, 0)]
@@ -100,31 +100,29 @@ def thin_pass(label: np.ndarray, corner: tuple[int, int, int], surface: bool) ->
     return out[1:-1, 1:-1, 1:-1]
 
 
-def thin(volume: DataFrame, grid: Grid, surface: bool = False) -> DataFrame:
-    """The skeleton, or with surface the medial surface, of each object: passes until none changes anything.
+#: A voxel depends on others up to so many places away in one pass: six directions of two parities.
+REACH = 12
 
-    A block runs again only if it or a block that it can see into changed in the last pass; blocks that are finished lie still.
-    """
-    reach = 12  # a voxel depends on others up to 12 places away in one pass: six directions of two parities
-    current = cut(volume.where("v > 0").select(*XYZ, "v"))
-    active = cut(current.select(*grid.block_key()).distinct())
 
-    def kernel(b: Block) -> dict[str, np.ndarray]:
+def thinned(volume: DataFrame, grid: Grid, surface: bool = False) -> State:
+    """The blocks after thinning; ``passes`` says how many each pass has run."""
+
+    def kernel(b: Block) -> tuple[dict[str, np.ndarray], np.ndarray]:
         done = thin_pass(b["v"], b.corner, surface)
-        return b.rows(b["v"] > 0, v=done)
+        return {"v": done}, done != b["v"]
 
+    state = State(volume.where("v > 0").select(*XYZ, "v"), roomy(grid, REACH), {"v": np.int64})
+    active = cut(state.all_keys())
     while not active.isEmpty():
-        done = over_blocks(current, grid, reach, kernel, "x long, y long, z long, v long", only=active)
-        rest = current.select(*XYZ, "v", *grid.block_key()).join(active, ["bx", "by", "bz"], "left_anti")
-        both = cut(done.unionByName(rest.select(*XYZ, "v")))
-        changed = both.where("v = 0").select(*grid.block_key()).distinct()
+        woken = state.run(REACH, kernel, active)
         drop(active)
-        for c, b in zip(XYZ, grid.block, strict=True):
-            far = -(-reach // b)
-            changed = changed.withColumn(f"b{c}", F.explode(F.sequence(F.col(f"b{c}") - far, F.col(f"b{c}") + far)))
-        active = cut(changed.distinct())
-        new = cut(both.where("v > 0"))
-        drop(both)
-        drop(current)
-        current = new
-    return current
+        active = woken
+    return state
+
+
+def thin(volume: DataFrame, grid: Grid, surface: bool = False) -> DataFrame:
+    """The skeleton, or with surface the medial surface, of each object: passes until none changes anything.
+
+    A block runs again only if it changed in the last pass or a neighbour did within its reach. Blocks that are finished, or whose neighbours' near sides are, are neither read as targets nor written.
+    """
+    return thinned(volume, grid, surface).rows(lambda a: a["v"] > 0, "x long, y long, z long, v long")
