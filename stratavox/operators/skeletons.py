@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.plans.checkpoints import cut
+
+from .chains import contract, nodes_of, solve
 from .stencils import AROUND, HALF
 from .volume import XYZ, Grid, stencil
 
@@ -29,109 +26,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("obj", "node").agg(F.count("*").alias("degree")).withColumn("kind", kind)
 
 
-class Graph:
-    """An object's skeleton graph: neighbours of each node in arrays, nodes in the order of their ids."""
-
-    def __init__(self, nodes: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        self.nodes = np.sort(nodes)
-        i, j = np.searchsorted(self.nodes, np.r_[u, v]), np.searchsorted(self.nodes, np.r_[v, u])
-        order = np.lexsort((j, i))
-        self.to, self.length = j[order].tolist(), np.r_[w, w][order].tolist()
-        self.start = np.searchsorted(i[order], np.arange(len(nodes) + 1)).tolist()
-        self.degree = np.diff(self.start)
-
-    def distances(self, sources: list[int]) -> tuple[np.ndarray, list[int]]:
-        """Distance to the nearest source, infinite beyond its part of the graph, and the node before on that path, -1 at sources."""
-        d, before, heap = [math.inf] * len(self.nodes), [-1] * len(self.nodes), [(0.0, s) for s in sources]
-        for s in sources:
-            d[s] = 0.0
-        while heap:
-            at, node = heapq.heappop(heap)
-            if at > d[node]:
-                continue
-            for k in range(self.start[node], self.start[node + 1]):
-                new = at + self.length[k]
-                if new < d[self.to[k]] - 1e-9:
-                    d[self.to[k]], before[self.to[k]] = new, node
-                    heapq.heappush(heap, (new, self.to[k]))
-        return np.array(d), before
-
-    def longest(self) -> tuple[int, int, float]:
-        """(start, end, length) of the longest shortest path, end <= start, the first pair in that order.
-
-        Bounds of each node's farthest distance shrink with every node looked at; a node is looked at only while it may still be an end of a path as long as the
-        longest one found, so most never are.
-        """
-        n = len(self.nodes)
-        most, best = np.full(n, np.inf), (0, 0, 0.0)
-        left, high = np.ones(n, bool), True
-        while left.any():
-            # in turn the node that may reach farthest, and a node near the middle, which bounds all others
-            node = int(np.where(left, most, -1).argmax()) if high else int(np.where(left, most, np.inf).argmin())
-            high = not high
-            d, _ = self.distances([node])
-            reached = np.isfinite(d)
-            far = float(d[reached].max())
-            ends = np.flatnonzero(reached & (d >= far - 1e-9))
-            start, end = min((max(node, int(e)), min(node, int(e))) for e in ends)
-            if far > best[2] + 1e-9 or (far > best[2] - 1e-9 and (start, end) < best[:2]):
-                best = (start, end, max(far, best[2]))
-            most[reached] = np.minimum(most[reached], d[reached] + far)
-            left[node] = False
-            left &= most >= best[2] - 1e-9
-        return best
-
-
-def path(before: list[int], end: int) -> list[int]:
-    """From an end back to the source of a search."""
-    out = [end]
-    while before[out[-1]] >= 0:
-        out.append(before[out[-1]])
-    return out
-
-
-def prune(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Without branches from an end to its nearest branch point of at most ``least``, while the longest path is over three times that."""
-    while True:
-        graph = Graph(nodes, u, v, w)
-        nodes = graph.nodes
-        ends, branches = np.flatnonzero(graph.degree == 1), np.flatnonzero(graph.degree >= 3)
-        if not len(branches) or not len(ends):
-            return nodes, u, v, w
-        d, before = graph.distances(branches.tolist())
-        at = int(ends[d[ends].argmin()])
-        if d[at] > least or graph.longest()[2] <= 3 * least:
-            return nodes, u, v, w
-        gone = nodes[path(before, at)[:-1]]
-        stay = ~np.isin(u, gone) & ~np.isin(v, gone)
-        nodes, u, v, w = nodes[~np.isin(nodes, gone)], u[stay], v[stay], w[stay]
+def longest_paths(vertices: DataFrame, edges: DataFrame, least: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, kept, lengths): the nodes of each object's longest shortest path in order (obj, at, along, node), the nodes that pruning leaves (obj, node), and (obj, length).
+
+    Branches of at most ``least`` go, the shortest first, while the longest path is over three times that. An object without edges has its first node as path. vertices: (obj, node).
+    """
+    own = cut(vertices.select("obj", "node").distinct())
+    chains, inner = contract(edges)
+    solved = solve(chains, inner, least)
+    single = own.join(solved.select("obj"), "obj", "left_anti")
+    alone = single.groupBy("obj").agg(F.min("node").alias("node")).select("obj", F.lit(0).alias("at"), F.lit(0.0).alias("along"), "node")
+    paths = nodes_of(solved, "way", inner).unionByName(alone)
+    kept = own.join(nodes_of(solved, "gone", inner).select("obj", "node"), ["obj", "node"], "left_anti")
+    return paths, kept, solved.select("obj", "length").unionByName(alone.select("obj", F.lit(0.0).alias("length")))
 
 
 def length_and_thickness(vertices: DataFrame, edges: DataFrame, resolution: float, least: float = 0.0) -> DataFrame:
     """Rows (obj, length_nm, radius_mean_nm, radius_sd_nm, path, pruned): along each object's longest shortest path after pruning; pruned has all nodes left.
 
-    vertices: (obj, node, radius). A task holds one object's skeleton, a few numbers a node; objects meet it by a shuffle on their ids.
+    vertices: (obj, node, radius). A task gets an object's chains; their nodes are joined to its answer.
     """
-    rows = vertices.select("obj", "node", "radius").unionByName(edges.select("obj", "u", "v", "w"), allowMissingColumns=True)
-
-    def run(t: pa.Table) -> pa.Table:
-        points, lines = t.filter(pc.is_valid(t["node"])), t.filter(pc.is_valid(t["u"]))
-        col = lambda of, c: np.asarray(of.column(c).combine_chunks())
-        node, first = np.unique(col(points, "node"), return_index=True)
-        radius = col(points, "radius")[first]
-        u, v, w = (col(lines, c) for c in ("u", "v", "w"))
-        left, length, at = node, 0.0, node[:1]
-        if len(u):
-            left, u, v, w = prune(node, u, v, w, least)
-            graph = Graph(left, u, v, w)
-            start, end, length = graph.longest()
-            at = graph.nodes[path(graph.distances([end])[1], start)]
-        r = radius[np.searchsorted(node, at)] * resolution
-        sd = float(r.std(ddof=1)) if len(r) > 1 else float("nan")
-        mean = float(r.mean()) if len(r) else float("nan")
-        return pa.table({"obj": t.column("obj")[:1], "length_nm": [length * resolution], "radius_mean_nm": [mean], "radius_sd_nm": [sd], "path": pa.array([at.tolist()], pa.list_(pa.int64())), "pruned": pa.array([left.tolist()], pa.list_(pa.int64()))})
-
-    return rows.groupBy("obj").applyInArrow(run, "obj long, length_nm double, radius_mean_nm double, radius_sd_nm double, path array<long>, pruned array<long>")
+    paths, kept, lengths = longest_paths(vertices, edges, least)
+    radius = vertices.groupBy("obj", "node").agg(F.min("radius").alias("radius"))
+    along = paths.join(radius, ["obj", "node"]).groupBy("obj").agg(
+        (F.avg("radius") * resolution).alias("radius_mean_nm"), F.coalesce(F.stddev_samp("radius") * resolution, F.lit(float("nan"))).alias("radius_sd_nm"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "along", "node"))), lambda p: p.node).alias("path"),
+    )
+    left = kept.groupBy("obj").agg(F.sort_array(F.collect_list("node")).alias("pruned"))
+    return lengths.join(along, "obj").join(left, "obj").select("obj", (F.col("length") * resolution).alias("length_nm"), "radius_mean_nm", "radius_sd_nm", "path", "pruned")
 
 
 def paint(paths: DataFrame, grid: Grid, column: str = "path") -> DataFrame:

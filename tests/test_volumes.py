@@ -11,6 +11,8 @@ from stratavox.operators import curvature, distance, objects, pointwise, renumbe
 from stratavox.operators.volume import XYZ, Grid
 from stratavox.sources import chunks, datasets
 
+from . import small_graphs
+
 SMALL = Grid((12, 12, 12), (5, 5, 5))
 
 
@@ -351,11 +353,11 @@ def test_pruning_and_longest_path():
     """A path 0..10 with a branch 8-11-12-13-14: node 8 is the branch point; a least length of 3 removes 9 and 10."""
     edges = [(k, k + 1) for k in range(10)] + [(8, 11), (11, 12), (12, 13), (13, 14)]
     u, v = (np.array(x) for x in zip(*edges))
-    nodes, u, v, w = skeletons.prune(np.arange(15), u, v, np.ones(len(u)), 3)
+    nodes, u, v, w = small_graphs.prune(np.arange(15), u, v, np.ones(len(u)), 3)
     assert set(range(15)) - set(nodes.tolist()) == {9, 10}
-    graph = skeletons.Graph(nodes, u, v, w)
+    graph = small_graphs.Graph(nodes, u, v, w)
     a, b, length = graph.longest()
-    assert length == 12 and graph.nodes[skeletons.path(graph.distances([b])[1], a)].tolist() == [14, 13, 12, 11, 8, 7, 6, 5, 4, 3, 2, 1, 0]
+    assert length == 12 and graph.nodes[small_graphs.path(graph.distances([b])[1], a)].tolist() == [14, 13, 12, 11, 8, 7, 6, 5, 4, 3, 2, 1, 0]
 
 
 def test_longest_path_equals_all_pairs():
@@ -367,7 +369,7 @@ def test_longest_path_equals_all_pairs():
             u, v = (np.array(x) for x in zip(*sorted(pairs)))
             w = r.choice([1.0, 2**0.5, 3**0.5], len(u))
             low = np.tril(np.nan_to_num(all_pairs(n, u, v, w), posinf=-1))
-            start, end, length = skeletons.Graph(np.arange(n), u, v, w).longest()
+            start, end, length = small_graphs.Graph(np.arange(n), u, v, w).longest()
             assert length == pytest.approx(low.max()) and [start, end] == np.argwhere(low >= low.max() - 1e-9)[0].tolist()
 
 
