@@ -15,7 +15,7 @@ from stratavox.operators import curvature, distance, objects, pointwise, renumbe
 from stratavox.operators.volume import XYZ
 from stratavox.plans import checkpoints
 from stratavox.plans.checkpoints import cut
-from stratavox.sources import chunks, datasets
+from stratavox.sources import chunks, datasets, voxels
 from stratavox.sources.tables import GRID, box, labels, scores
 
 QUERIES = {}
@@ -143,9 +143,10 @@ def permuted_window(spark, sf_dir):
 # Blocks and storage
 
 
-@query("SELECT i AS bx, j AS \"by\", k AS bz, i * 32 - 3 AS ox, j * 32 - 3 AS oy, k * 16 - 3 AS oz, CAST(38 AS BIGINT) AS dx, CAST(38 AS BIGINT) AS dy, CAST(22 AS BIGINT) AS dz FROM range(2) t(i), range(2) u(j), range(2) w(k)")
+@query("SELECT i AS bx, j AS \"by\", k AS bz, i * 32 - 3 AS ox, j * 32 - 3 AS oy, k * 16 - 3 AS oz, CAST(38 AS BIGINT) AS dx, CAST(38 AS BIGINT) AS dy, CAST(22 AS BIGINT) AS dz FROM (SELECT DISTINCT x // 32 AS i, y // 32 AS j, z // 16 AS k FROM s)")
 def padded_blocks(spark, sf_dir):
-    return volume.blocks(spark, GRID, 3).select("bx", "by", "bz", "ox", "oy", "oz", *(F.col(f"d{c}").cast("long").alias(f"d{c}") for c in XYZ))
+    """The blocks of a stored volume with a margin of three."""
+    return _stored(spark, sf_dir).blocks("scores", 3)
 
 
 @query("SELECT x // 32 AS bx, y // 32 AS \"by\", z // 16 AS bz, count(*) AS voxels FROM s GROUP BY 1, 2, 3")
@@ -162,6 +163,14 @@ def _store(spark) -> datasets.Store:
     return datasets.Store(spark, f"{checkpoints.folder(spark)}/store-{uuid.uuid4().hex}")
 
 
+def _stored(spark, sf_dir) -> datasets.Store:
+    """A store with the scores."""
+    store = _store(spark)
+    store.create("scores", GRID, "uint16")
+    store.write("scores", scores(spark, sf_dir))
+    return store
+
+
 @query("SELECT x, y, z, CAST(floor(v / 7.0) AS BIGINT) AS v, 'copy' AS name, 'uint64' AS dtype FROM s WHERE floor(v / 7.0) > 0")
 def dataset_copy(spark, sf_dir):
     """A float dataset made like another one, and copied as 64-bit integers."""
@@ -173,12 +182,39 @@ def dataset_copy(spark, sf_dir):
     return store.read("copy").withColumns({"name": F.lit(store.names()[0]), "dtype": F.lit(store.describe("copy")[1])})
 
 
-@query("SELECT name, '64x64x32' AS dim, dtype FROM (VALUES ('a', 'uint8'), ('b', 'float32')) t(name, dtype)")
+@query("SELECT 'scores' AS name, '64x64x32' AS dim, 'uint16' AS dtype, count(DISTINCT (x // 32, y // 32, z // 16)) AS blocks FROM s UNION ALL SELECT 'labels', '64x64x32', 'uint8', count(DISTINCT (x // 32, y // 32, z // 16)) FROM l")
 def dataset_list(spark, sf_dir):
-    store = _store(spark)
-    store.create("a", GRID, "uint8")
-    store.create("b", like="a", dtype="float32")
-    return store.datasets().select("name", F.array_join("dim", "x").alias("dim"), "dtype")
+    """A store's datasets with the number of their chunks."""
+    store = _stored(spark, sf_dir)
+    store.create("labels", like="scores", dtype="uint8")
+    store.write("labels", labels(spark, sf_dir))
+    counts = None
+    for name in store.names():
+        own = store.blocks(name).agg(F.count("*").alias("blocks")).withColumn("name", F.lit(name))
+        counts = own if counts is None else counts.unionByName(own)
+    return store.datasets().join(counts, "name").select("name", F.array_join("dim", "x").alias("dim"), "dtype", "blocks")
+
+
+@query("SELECT * FROM s WHERE x BETWEEN 3 AND 20 AND y BETWEEN 30 AND 41 AND z BETWEEN 20 AND 28")
+def stored_window(spark, sf_dir):
+    """A box of a stored volume; chunks that don't meet it aren't decoded."""
+    return _stored(spark, sf_dir).window("scores", (3, 30, 20), (18, 12, 9))
+
+
+@query("SELECT * FROM l WHERE x BETWEEN 3 AND 20 AND y > 40 AND z < 10")
+def container_window(spark, sf_dir):
+    """A box of an n5 dataset, from the chunk files that meet it."""
+    container = f"{checkpoints.folder(spark)}/n5-{uuid.uuid4().hex}"
+    chunks.write_n5(labels(spark, sf_dir), GRID, container, "labels", "uint8")
+    return voxels.read(spark, container, "labels", box=((3, 41, 0), (18, 23, 10)))[0]
+
+
+@query("SELECT DISTINCT x // 32 AS gx, y // 32 AS gy, z // 16 AS gz, x // 32 * 32 AS ox, y // 32 * 32 AS oy, z // 16 * 16 AS oz, CAST(32 AS BIGINT) AS dx, CAST(32 AS BIGINT) AS dy, CAST(16 AS BIGINT) AS dz FROM l WHERE v > 20")
+def container_chunks(spark, sf_dir):
+    """The chunk files of an n5 dataset."""
+    container = f"{checkpoints.folder(spark)}/n5-{uuid.uuid4().hex}"
+    chunks.write_n5(labels(spark, sf_dir).where("v > 20"), GRID, container, "high", "uint8")
+    return voxels.existing_chunks(spark, container, "high")
 
 
 @query("SELECT 4096 * z + 64 * y + x + 1 AS id, x * 4.0 AS x_nm, y * 4.0 AS y_nm, z * 4.0 AS z_nm FROM l")

@@ -46,7 +46,7 @@ def _voxel_schema(dtype: np.dtype) -> str:
     return "x long, y long, z long, v " + ("double" if dtype.kind == "f" else "long")
 
 
-def _voxels(dense: np.ndarray, origin: list[int]) -> pa.RecordBatch:
+def voxel_batch(dense: np.ndarray, origin: list[int]) -> pa.RecordBatch:
     """The non-zero places of an array [z, y, x]; floats stay floats, and integers must fit a long."""
     z, y, x = np.nonzero(dense)
     v = dense[z, y, x]
@@ -65,7 +65,7 @@ def from_chunks(chunks: DataFrame, dtype: str = "uint64") -> DataFrame:
                 dense = np.frombuffer(r["data"], dtype=np.dtype(r["dtype"]).newbyteorder("<")).reshape(r["dz"], r["dy"], r["dx"])
                 if (dense.dtype.kind == "f") != (kind.kind == "f"):
                     raise ValueError(f"chunks of {r['dtype']} read as {dtype}")
-                yield _voxels(dense, [r[f"o{c}"] for c in XYZ])
+                yield voxel_batch(dense, [r[f"o{c}"] for c in XYZ])
 
     return chunks.select("ox", "oy", "oz", "dx", "dy", "dz", "dtype", "data").mapInArrow(run, _voxel_schema(kind))
 
@@ -75,9 +75,21 @@ def write_volume(volume: DataFrame, grid: Grid, path: str, dataset: str, dtype:
     to_chunks(volume, grid, dataset, dtype).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
 
 
+def stored_chunks(spark: SparkSession, path: str, dataset: str, grid: Grid | None = None, offset: tuple[int, int, int] | None = None, dim: tuple[int, int, int] | None = None) -> DataFrame:
+    """The chunk rows of one dataset; with a grid and a box, those that meet the box, by conditions on the origin that reach the files' statistics.
+
+    Without its data column the table is the dataset's block plan, and no chunk is read.
+    """
+    rows = spark.read.schema(SCHEMA).parquet(path).where(F.col("dataset") == dataset)
+    if offset is not None:
+        for c, o, d, b in zip(XYZ, offset, dim, grid.block, strict=True):
+            rows = rows.where((F.col(f"o{c}") > o - b) & (F.col(f"o{c}") < o + d))
+    return rows
+
+
 def read_volume(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """The voxels of one dataset, floats as doubles; other datasets' files aren't read."""
-    own = spark.read.schema(SCHEMA).parquet(path).where(F.col("dataset") == dataset)
+    own = stored_chunks(spark, path, dataset)
     kind = own.select("dtype").first()
     return from_chunks(own, kind.dtype if kind else "uint64")
 
@@ -117,6 +129,19 @@ def grid_of(attributes: dict) -> Grid:
     return Grid(tuple(attributes["dimensions"]), tuple(attributes["blockSize"]), tuple(map(float, r)), tuple(map(float, attributes.get("offset", (0, 0, 0)))))
 
 
+def n5_block(content: bytes, dtype: np.dtype, codec: str | None) -> np.ndarray:
+    """The values [z, y, x] of an n5 block."""
+    mode, axes = np.frombuffer(content[:4], ">u2")
+    size = np.frombuffer(content[4 : 4 + 4 * int(axes)], ">u4").astype(int)
+    raw = content[4 + 4 * int(axes) + (4 if mode else 0) :]
+    return np.frombuffer(_decompress(codec, raw), dtype)[: size.prod()].reshape(size[::-1]).astype(dtype.newbyteorder("="))
+
+
+def zarr_block(content: bytes, dtype: np.dtype, codec: str | None, chunk: tuple[int, ...]) -> np.ndarray:
+    """The values [z, y, x] of a zarr chunk, which is never cropped."""
+    return np.frombuffer(_decompress(codec, content), dtype).reshape(chunk).astype(dtype.newbyteorder("="))
+
+
 def read_n5(spark: SparkSession, container: str, dataset: str) -> tuple[DataFrame, Grid]:
     """(voxels, grid) of an n5 dataset with raw, gzip, bzip2, xz or zstd blocks; blocks that aren't there are background."""
     root = f"{container.rstrip('/')}/{dataset.strip('/')}"
@@ -130,11 +155,7 @@ def read_n5(spark: SparkSession, container: str, dataset: str) -> tuple[DataFram
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 at = [int(s) for s in re.search(r"/(\d+)/(\d+)/(\d+)$", path).groups()]
-                mode, axes = np.frombuffer(content[:4], ">u2")
-                size = np.frombuffer(content[4 : 4 + 4 * axes], ">u4").astype(int)
-                raw = content[4 + 4 * int(axes) + (4 if mode else 0) :]
-                dense = np.frombuffer(_decompress(kind, raw), dtype)[: size.prod()].reshape(size[::-1])
-                yield _voxels(dense.astype(dtype.newbyteorder("=")), [o * n for o, n in zip(at, block, strict=True)])
+                yield voxel_batch(n5_block(content, dtype, kind), [o * n for o, n in zip(at, block, strict=True)])
 
     return files.mapInArrow(run, _voxel_schema(dtype)), grid
 
@@ -144,10 +165,10 @@ def write_n5(volume: DataFrame, grid: Grid, container: str, dataset: str, dtype:
 
     Blocks without voxels have no file; files of an earlier dataset in that place are deleted first.
     """
-    from pyarrow import fs
+    from .voxels import opened
 
     root = f"{container.rstrip('/')}/{dataset.strip('/')}"
-    store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    store, base = opened(root)
     store.create_dir(base)
     store.delete_dir_contents(base)
     about = {"dimensions": list(grid.dim), "blockSize": list(grid.block), "dataType": dtype, "compression": {"type": "gzip", "level": -1}, "pixelResolution": {"dimensions": list(grid.resolution), "unit": "nm"}, "offset": list(grid.offset)}
@@ -155,7 +176,7 @@ def write_n5(volume: DataFrame, grid: Grid, container: str, dataset: str, dtype:
         out.write(json.dumps(about).encode())
 
     def run(batches):
-        own, at = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        own, at = opened(root)
         for b in batches:
             for r in b.to_pylist():
                 dense = np.frombuffer(r["data"], np.dtype(dtype).newbyteorder("<")).astype(np.dtype(dtype).newbyteorder(">"))
@@ -188,8 +209,8 @@ def read_zarr(spark: SparkSession, container: str, dataset: str) -> tuple[DataFr
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 at = [int(s) * n for s, n in zip(re.search(pattern, path).groups(), chunk, strict=True)]
-                dense = np.frombuffer(_decompress(kind, content), dtype).reshape(chunk)[tuple(slice(0, d - o) for d, o in zip(dim, at, strict=True))]
-                yield _voxels(dense.astype(dtype.newbyteorder("=")), at[::-1])
+                dense = zarr_block(content, dtype, kind, chunk)[tuple(slice(0, d - o) for d, o in zip(dim, at, strict=True))]
+                yield voxel_batch(dense, at[::-1])
 
     return files.mapInArrow(run, _voxel_schema(dtype)), grid
 

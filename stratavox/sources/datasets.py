@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.operators.volume import Grid
+from stratavox.operators.volume import XYZ, Grid, window
 from stratavox.plans.checkpoints import cut
 
 from . import chunks
@@ -63,6 +63,17 @@ class Store:
         rows = self.spark.read.schema(chunks.SCHEMA).parquet(f"{self.path}/chunks").where(F.col("dataset") == name)
         return chunks.from_chunks(rows, dtype)
 
+    def window(self, name: str, offset: tuple[int, int, int], dim: tuple[int, int, int]) -> DataFrame:
+        """The voxels of a dataset in a box; only chunks that meet it are decoded."""
+        grid, dtype = self.describe(name)
+        rows = chunks.stored_chunks(self.spark, f"{self.path}/chunks", name, grid, offset, dim)
+        return window(chunks.from_chunks(rows, dtype), offset, dim)
+
+    def blocks(self, name: str, pad: int = 0) -> DataFrame:
+        """Rows (bx, by, bz, ox, oy, oz, dx, dy, dz) of the blocks that a dataset has chunks for, grown by pad on each side; no chunk is read."""
+        own = chunks.stored_chunks(self.spark, f"{self.path}/chunks", name)
+        return own.select(*(F.col(f"g{c}").cast("long").alias(f"b{c}") for c in XYZ), *((F.col(f"o{c}") - pad).alias(f"o{c}") for c in XYZ), *((F.col(f"d{c}") + 2 * pad).cast("long").alias(f"d{c}") for c in XYZ))
+
     def copy(self, name: str, to: str, dtype: str = "uint64") -> None:
         """A dataset under another name and type; floats become integers by dropping what is behind the point, and zeros are background."""
         self.create(to, like=name, dtype=dtype)
