@@ -331,7 +331,7 @@ def erode(spark, sf_dir):
     return distance.erode(_filled(spark, sf_dir), GRID, 8.0)
 
 
-@query(FILLED.format(4) + ", core AS (SELECT f.* FROM f ANTI JOIN e USING (x, y, z)), b AS (SELECT DISTINCT core.x + dx AS x, core.y + dy AS y, core.z + dz AS z FROM core JOIN o ON d2 <= 4) SELECT f.*, CASE WHEN b.x IS NULL THEN 'protrusion' ELSE 'body' END AS part FROM f LEFT JOIN b USING (x, y, z)")
+@query(FILLED.format(4) + ", core AS MATERIALIZED (SELECT f.* FROM f ANTI JOIN e USING (x, y, z)), b AS MATERIALIZED (SELECT DISTINCT core.x + dx AS x, core.y + dy AS y, core.z + dz AS z FROM core JOIN (SELECT dx, dy, dz FROM o WHERE d2 <= 4) ON true) SELECT f.*, CASE WHEN b.x IS NULL THEN 'protrusion' ELSE 'body' END AS part FROM f LEFT JOIN b USING (x, y, z)")
 def bodies_protrusions(spark, sf_dir):
     return distance.bodies_and_protrusions(_filled(spark, sf_dir), GRID, 8.0)
 
@@ -351,6 +351,22 @@ def filament_tubes(spark, sf_dir):
     return distance.filament_tubes(labels(spark, sf_dir), GRID, 12.5, 6.0)
 
 
+@query(
+    "+t AS (SELECT a.x + dx AS x, a.y + dy AS y, a.z + dz AS z, a.v, min(d2) AS d2 FROM l a JOIN o ON d2 <= 9 GROUP BY ALL), nb AS (SELECT a.x, a.y, a.z, a.v, list(struct_pack(d2 := d2, dx := dx, dy := dy, dz := dz) ORDER BY d2, dx, dy, dz) AS n FROM l a JOIN o ON d2 BETWEEN 1 AND 3 JOIN l b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND b.v = a.v GROUP BY ALL), "
+    "ep AS (SELECT x, y, z, v, -n[1].dx AS ex, -n[1].dy AS ey, -n[1].dz AS ez FROM nb WHERE len(n) = 1 OR len(n) = 2 AND (n[1].dx - n[2].dx) ** 2 + (n[1].dy - n[2].dy) ** 2 + (n[1].dz - n[2].dz) ** 2 < 2), "
+    "gone AS (SELECT DISTINCT ep.x + dx AS x, ep.y + dy AS y, ep.z + dz AS z, v FROM ep JOIN o ON d2 <= 9 AND (dx - ex) ** 2 + (dy - ey) ** 2 + (dz - ez) ** 2 <= d2) "
+    "SELECT x, y, z, arg_min(v, struct_pack(d2 := d2, v := v)) AS v FROM t ANTI JOIN gone USING (x, y, z, v) WHERE d2 > 2 AND x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 AND z BETWEEN 0 AND 31 GROUP BY x, y, z"
+)
+def trimmed_tubes(spark, sf_dir):
+    return distance.trimmed_tubes(labels(spark, sf_dir), GRID, 12.5, 6.0)
+
+
+@query(SURFACE + ", grown AS (SELECT x, y, z, arg_min(v, struct_pack(d2 := d2, v := v)) AS v FROM near ANTI JOIN l USING (x, y, z) WHERE d2 <= 9 GROUP BY x, y, z UNION ALL SELECT x, y, z, v FROM l) SELECT grown.* FROM grown SEMI JOIN (SELECT * FROM s WHERE v >= 30) p USING (x, y, z)")
+def expand_predicted(spark, sf_dir):
+    """Labels grown only where the scores predict them."""
+    return distance.expand(labels(spark, sf_dir), GRID, 12.0, prediction=scores(spark, sf_dir), at_least=30)
+
+
 @query("+f AS (SELECT x, y, z, CAST(1 AS BIGINT) AS v FROM box ANTI JOIN (SELECT * FROM s WHERE v >= 48) USING (x, y, z)), g AS MATERIALIZED (SELECT x AS p, y AS q, z AS r FROM s WHERE v >= 48), m AS (SELECT x, y, z, min((x - p) ** 2 + (y - q) ** 2 + (z - r) ** 2) AS d2 FROM f, g GROUP BY x, y, z) SELECT x, y, z, v, CAST(least(coalesce(d2, 1e9), (x + 1) ** 2, (64 - x) ** 2, (y + 1) ** 2, (64 - y) ** 2, (z + 1) ** 2, (32 - z) ** 2) AS DOUBLE) AS d2 FROM f LEFT JOIN m USING (x, y, z)")
 def depth(spark, sf_dir):
     return distance.depth(_filled(spark, sf_dir), GRID)
@@ -406,6 +422,22 @@ def object_info(spark, sf_dir):
     return info.withColumns({f"com_{c}": F.round(f"com_{c}", 6) for c in XYZ})
 
 
+SMOOTHED = "+w AS (SELECT unnest(range(" + f"{1 - len(_W)}, {len(_W)})) AS d, unnest({[_W[abs(k)] for k in range(1 - len(_W), len(_W))]}::DOUBLE[]) AS w), gx AS " + _PASS.format(keep="y, z", c="x", of="s", far=126, last=63) + ", gy AS " + _PASS.format(keep="x, z", c="y", of="gx", far=126, last=63) + ", gz AS " + _PASS.format(keep="x, y", c="z", of="gy", far=62, last=31) + ", p AS (SELECT x, y, z FROM gz WHERE round(v) >= 13 AND EXISTS (SELECT 1 FROM l WHERE l.x = gz.x // 2 AND l.y = gz.y // 2 AND l.z = gz.z // 2)), "
+
+
+@query(SMOOTHED + CC.format("d2 = 1", "p").removeprefix("+") + ", k AS (SELECT component FROM n WHERE n > 3) SELECT x, y, z, component AS v FROM b JOIN cc USING (id) SEMI JOIN k USING (component)", recursive=True)
+def segment_smoothed(spark, sf_dir):
+    """Scores smoothed, masked by the labels at half the resolution, thresholded and labelled without small components."""
+    return cc.segment(scores(spark, sf_dir), GRID, 13, 3 * 64.0, smooth_nm=4.0, mask=labels(spark, sf_dir))
+
+
+@query(CC.format("d2 = 1", "(SELECT x, y, z FROM box ANTI JOIN s USING (x, y, z) WHERE EXISTS (SELECT 1 FROM l WHERE l.x = box.x // 2 AND l.y = box.y // 2 AND l.z = box.z // 2))") + ", k AS (SELECT component FROM n WHERE n > 5) SELECT x, y, z, component AS v FROM b JOIN cc USING (id) SEMI JOIN k USING (component)", recursive=True)
+def segment_holes(spark, sf_dir):
+    """Components of the empty places of a mask at half the resolution."""
+    places = pointwise.apply_mask(box(spark).withColumn("v", F.lit(1)), labels(spark, sf_dir), keep_within=True, scale=2)
+    return cc.segment(scores(spark, sf_dir), GRID, 0, 5 * 64.0, inside=places.select(*XYZ))
+
+
 @query("SELECT 's' AS object, count(DISTINCT v) AS count FROM s UNION ALL SELECT 'l', count(DISTINCT v) FROM l")
 def object_counts(spark, sf_dir):
     return objects.object_counts({"s": scores(spark, sf_dir), "l": labels(spark, sf_dir)})
@@ -692,6 +724,20 @@ def ribosome_centres(spark, sf_dir):
     return stencils.nonoverlapping(stencils.local_maxima(scores(spark, sf_dir), GRID, 2).where("v >= 45"), GRID, 2.0, 3)
 
 
+@query(
+    CONTACTS.format("d2 = 1") + ", m AS (SELECT x, y, z, CAST(ceil(254 * (v / 50)) + 1 AS BIGINT) AS v FROM s), f AS (SELECT a.x, a.y, a.z, a.v, count(*) FILTER (WHERE q.v IS NULL AND " + INSIDE.format("a") + ") AS faces FROM m a JOIN o ON d2 = 1 LEFT JOIN m q ON q.x = a.x + dx AND q.y = a.y + dy AND q.z = a.z + dz GROUP BY ALL), "
+    "met AS (SELECT f.v AS bin, faces, coalesce(l.v, 0) AS organelle, component AS site FROM sites JOIN f USING (x, y, z) LEFT JOIN l USING (x, y, z)) "
+    "SELECT 'bin' AS kind, bin AS id, round((bin - 1) / 255 + 0.5 / 255, 9) AS sheetness, sum(faces) * 16.0 AS area FROM met GROUP BY bin HAVING sum(faces) > 0 UNION ALL SELECT 'organelle', organelle, round((avg(bin) - 1) / 255 + 0.5 / 255, 9), NULL FROM met GROUP BY organelle UNION ALL SELECT 'site', site, round((avg(bin) - 1) / 255 + 0.5 / 255, 9), NULL FROM met GROUP BY site",
+    recursive=True,
+)
+def contact_sheetness_tables(spark, sf_dir):
+    """Sheetness at contact sites by bin, organelle and site."""
+    a, b = _two(spark, sf_dir)
+    bins = scores(spark, sf_dir).withColumn("v", objects.unit_bin(F.col("v") / 50))
+    found = objects.contact_sheetness_tables(cc.contacts_overlap(a, b, GRID, 4.0), bins, labels(spark, sf_dir), GRID)
+    return found.withColumn("sheetness", F.round("sheetness", 9))
+
+
 @query(CONTACTS.format("d2 = 1") + ", f AS " + FACES.format("l") + " SELECT component, round((avg(CAST(ceil(254 * (s.v / 50)) + 1 AS BIGINT)) - 1) / 255 + 0.5 / 255, 9) AS sheetness, sum(faces) * 16.0 AS area FROM sites JOIN s USING (x, y, z) JOIN f ON f.x = s.x AND f.y = s.y AND f.z = s.z WHERE faces > 0 GROUP BY component", recursive=True)
 def contact_sheetness(spark, sf_dir):
     a, b = _two(spark, sf_dir)

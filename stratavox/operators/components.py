@@ -1,12 +1,13 @@
 """Connected components, hole filling and contact sites.
 
-Components are labelled by their least voxel id. Edges between neighbouring voxels come from a half-space stencil; blocks are contracted first
-in numpy, so only one edge per voxel inside a block and the pairs across block faces reach the distributed star contraction.
+Components are labelled by their least voxel id. Blocks are contracted first in numpy; only pairs of voxels across block faces reach the distributed star contraction, as one edge for each two
+parts that meet. Components that touch no face of their block are final there, and those of them that are too small go at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,21 @@ def label_block(dense: np.ndarray, around: bool) -> np.ndarray:
             return root.reshape(dense.shape)
 
 
-def _contracted(volume: DataFrame, grid: Grid, around: bool) -> DataFrame:
-    """Rows (x, y, z, v, root): the least voxel id of each voxel's component within its block."""
+def _contracted(volume: DataFrame, grid: Grid, around: bool, more_than: float = 0) -> DataFrame:
+    """Rows (x, y, z, v, root): the least voxel id of each voxel's component within its block. Components inside a block with no more voxels than more_than are left out."""
 
     def kernel(b: Block) -> dict[str, np.ndarray]:
         # flat order x fastest, so that the first voxel of a component has its least id
         local = label_block(b["v"].transpose(2, 1, 0), around).transpose(2, 1, 0)
         nx, ny, _ = b.shape
+        if more_than > 0:
+            n = np.bincount(local.ravel(), minlength=local.size + 1)
+            for axis, (o, d) in enumerate(zip(b.corner, b.dim, strict=True)):
+                moved = np.moveaxis(local, axis, 0)
+                for end, inner in ((0, o > 0), (-1, o + local.shape[axis] < d)):
+                    if inner:
+                        n[moved[end]] = np.iinfo(n.dtype).max
+            local = np.where(n[local] > more_than, local, 0)
         k = np.maximum(local - 1, 0)
         x, y, z = k % nx + b.corner[0], k // nx % ny + b.corner[1], k // (nx * ny) + b.corner[2]
         return b.rows(local > 0, v=b["v"], root=grid.dim[0] * grid.dim[1] * z + grid.dim[0] * y + x + 1)
@@ -55,20 +64,25 @@ def _contracted(volume: DataFrame, grid: Grid, around: bool) -> DataFrame:
     return over_blocks(volume.where("v <> 0").select(*XYZ, "v"), grid, 0, kernel, "x long, y long, z long, v long, root long")
 
 
-def components(volume: DataFrame, grid: Grid, around: bool = False) -> DataFrame:
-    """Rows (x, y, z, v, component): neighbours (6, or 26 with around) with equal values are one component.
-
-    Only voxels on block faces are joined with each other.
-    """
-    local = cut(_contracted(volume, grid, around))
+def across_faces(local: DataFrame, grid: Grid, around: bool, same: list[str]) -> DataFrame:
+    """Rows (root, to, the columns of same): parts of neighbouring blocks that meet at a face and have the same values; local: (x, y, z, root, ...)."""
     low = local.where(" or ".join(f"{c} % {b} = 0" for c, b in zip(XYZ, grid.block, strict=True)))
     high = local.where(" or ".join(f"{c} % {b} = {b - 1}" for c, b in zip(XYZ, grid.block, strict=True)))
     face = low.unionByName(high).distinct() if around else high
     near = stencil(face, f"{AROUND if around else FACES} and {HALF}")
     crossing = near.where(" or ".join(f"floor({c} / {b}) <> floor({c}0 / {b})" for c, b in zip(XYZ, grid.block, strict=True)))
-    other = (face if around else low).select(*XYZ, F.col("v").alias("other"), F.col("root").alias("to"))
-    met = crossing.join(other, XYZ).where("v = other and root <> to")
-    merged = connected_components(met.select(F.col("root").alias("u"), F.col("to").alias("v")).distinct())
+    other = (face if around else low).select(*XYZ, *same, F.col("root").alias("to"))
+    return crossing.join(other, [*XYZ, *same]).where("root <> to").select("root", "to", *same).distinct()
+
+
+def components(volume: DataFrame, grid: Grid, around: bool = False, more_than: float = 0) -> DataFrame:
+    """Rows (x, y, z, v, component): neighbours (6, or 26 with around) with equal values are one component.
+
+    Only voxels on block faces are joined with each other. Components inside a block with no more voxels than more_than may be left out already.
+    """
+    local = cut(_contracted(volume, grid, around, more_than))
+    met = across_faces(local.select(*XYZ, "v", "root"), grid, around, ["v"])
+    merged = connected_components(met.select(F.col("root").alias("u"), F.col("to").alias("v")))
     return local.join(merged, F.col("root") == F.col("node"), "left").select(*XYZ, "v", F.coalesce("component", "root").alias("component"))
 
 
@@ -90,37 +104,106 @@ def largest(labelled: DataFrame) -> DataFrame:
     return labelled.join(n.join(n.agg(F.max("n").alias("n")), "n").select("component"), "component", "left_semi")
 
 
-def segment(prediction: DataFrame, grid: Grid, at_least: float, more_than_nm3: float = 0.0, around: bool = False) -> DataFrame:
-    """Threshold, label and drop small components: rows (x, y, z, v) with v the component."""
-    from .pointwise import binarize, threshold
+def segment(
+    prediction: DataFrame, grid: Grid, at_least: float, more_than_nm3: float = 0.0, around: bool = False, smooth_nm: float = 0.0, mask: DataFrame | None = None, mask_scale: int = 2, inside: DataFrame | None = None
+) -> DataFrame:
+    """Smooth, mask, threshold, label and drop small components: rows (x, y, z, v) with v the component.
 
-    found = components(binarize(threshold(prediction, at_least)), grid, around)
-    return keep_sizes(found, float(np.ceil(grid.volume_voxels(more_than_nm3)))).select(*XYZ, F.col("component").alias("v"))
+    smooth_nm is the Gaussian's sigma; whole-number predictions stay whole numbers. Places without a set voxel of the mask, which is coarser by mask_scale, count as 0. With inside, the
+    rows (x, y, z) of all places, what is labelled are the places of value 0 instead, as for holes, and neither smoothing, mask nor threshold applies.
+    """
+    from .lines import gaussian
+    from .pointwise import apply_mask, binarize, invert, threshold
+
+    if inside is not None:
+        found = invert(prediction, inside)
+    else:
+        if smooth_nm:
+            whole = dict(prediction.dtypes)["v"] not in ("double", "float")
+            prediction = gaussian(prediction, grid, grid.voxels(smooth_nm))
+            if whole:
+                prediction = prediction.withColumn("v", F.round("v").cast("long"))
+        if mask is not None:
+            prediction = apply_mask(prediction, mask, keep_within=True, scale=mask_scale)
+        found = binarize(threshold(prediction, at_least))
+    least = float(np.ceil(grid.volume_voxels(more_than_nm3)))
+    return keep_sizes(components(found, grid, around, least), least).select(*XYZ, F.col("component").alias("v"))
 
 
 def fill_holes(volume: DataFrame, box: DataFrame, grid: Grid) -> DataFrame:
     """Background components that touch exactly one object and not the volume's edge take its id. box: rows (x, y, z) of all places."""
-    empty = box.join(volume.where("v > 0").select(*XYZ), XYZ, "left_anti").withColumn("v", F.lit(255).cast("long"))
+    objects = volume.where("v > 0").select(*XYZ, "v")
+    empty = box.join(objects.select(*XYZ), XYZ, "left_anti").withColumn("v", F.lit(255).cast("long"))
     holes = cut(components(empty, grid))
     edge = " or ".join(f"{c} = 0 or {c} = {d - 1}" for c, d in zip(XYZ, grid.dim, strict=True))
     outside = holes.where(edge).select("component").distinct()
-    met = stencil(holes.select(*XYZ, "component"), FACES).join(volume.where("v > 0").select(*XYZ, F.col("v").alias("object")), XYZ)
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        own, found = b["hole"][b.core], []
+        for axis in range(3):
+            for d in (-1, 1):
+                other = b.moved(b["v"], tuple(d * (k == axis) for k in range(3)))[b.core]
+                met = (own > 0) & (other > 0)
+                found.append(np.column_stack([own[met], other[met]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"component": pairs[:, 0], "object": pairs[:, 1]}
+
+    both = united(v=objects, hole=holes.select(*XYZ, F.col("component").alias("v")))
+    met = over_blocks(both, grid, 1, kernel, "component long, object long")
     owner = met.groupBy("component").agg(F.min("object").alias("object"), F.max("object").alias("most")).where("object = most").join(outside, "component", "left_anti")
     filled = holes.join(owner, "component").select(*XYZ, F.col("object").alias("v"))
-    return volume.where("v > 0").select(*XYZ, "v").unionByName(filled)
+    return objects.unionByName(filled)
+
+
+def label_pairs(at: np.ndarray, pair: np.ndarray, around: bool) -> np.ndarray:
+    """For rows of places [n, 3] and numbers of their pairs, the index of the first row of each row's component; rows must be sorted by pair and then by z, y, x."""
+    size = at.max(0) + 2 if len(at) else np.ones(3, int)
+    flat = ((pair * size[2] + at[:, 2]) * size[1] + at[:, 1]) * size[0] + at[:, 0]
+    ends = []
+    for z, y, x in [(0, 0, 1), (0, 1, 0), (1, 0, 0)] if not around else [(z, y, x) for z in (0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0)]:
+        # one more place on each axis than there are, so that a step beyond the end finds no row
+        to = flat + (z * size[1] + y) * size[0] + x
+        j = np.minimum(np.searchsorted(flat, to), len(flat) - 1)
+        same = (flat[j] == to) & (at[:, 0] + x >= 0) & (at[:, 1] + y >= 0)
+        ends.append(np.stack([np.flatnonzero(same), j[same]]))
+    u, v = np.concatenate(ends, 1)
+    root = np.arange(len(flat))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, u, low)
+        np.minimum.at(root, v, low)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def pair_components(both: DataFrame, grid: Grid, around: bool = False) -> DataFrame:
-    """Components within each pair of objects: rows (x, y, z, a, b, component) from rows (x, y, z, a, b)."""
-    near = stencil(both, f"{AROUND if around else FACES} and {HALF}").join(both.select(*XYZ, F.col("a").alias("a2"), F.col("b").alias("b2")), XYZ).where("a = a2 and b = b2")
-    moved = near.withColumn("to", grid.index()).select(*(F.col(f"{c}0").alias(c) for c in XYZ), "a", "b", "to").withColumn("from", grid.index())
-    # a place may be in several pairs: a node is the place and the pair
-    node = lambda i: F.xxhash64(i, "a", "b")
-    merged = connected_components(moved.select(node("from").alias("u"), node("to").alias("v")))
-    named = both.withColumn("id", grid.index()).withColumn("node_id", node("id"))
-    joined = named.join(merged, F.col("node_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "node_id"))
-    least = joined.groupBy("part", "a", "b").agg(F.min("id").alias("least"))
-    return joined.drop("component").join(least, ["part", "a", "b"]).select(*XYZ, "a", "b", F.col("least").alias("component"))
+    """Components within each pair of objects: rows (x, y, z, a, b, component) from rows (x, y, z, a, b); a place may be in several pairs.
+
+    Blocks are contracted pair by pair; what reaches the distributed contraction are the parts on block faces.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, z, a, b = (np.asarray(t.column(c).combine_chunks()) for c in (*XYZ, "a", "b"))
+        order = np.lexsort((x, y, z, b, a))
+        x, y, z, a, b = (c[order] for c in (x, y, z, a, b))
+        pair = np.cumsum(np.r_[0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        at = np.stack([x, y, z], 1)
+        root = label_pairs(at - at.min(0), pair, around)
+        ids = grid.dim[0] * grid.dim[1] * z + grid.dim[0] * y + x + 1
+        return pa.table({"x": x, "y": y, "z": z, "a": a, "b": b, "root": ids[root]})
+
+    rows = both.select(*(F.col(c).cast("long").alias(c) for c in (*XYZ, "a", "b")), *grid.block_key())
+    local = cut(rows.groupBy("bx", "by", "bz").applyInArrow(run, "x long, y long, z long, a long, b long, root long"))
+    # a part is named by its pair and its least voxel
+    met = across_faces(local, grid, around, ["a", "b"])
+    node = lambda c: F.xxhash64(c, "a", "b")
+    edges = cut(met.select(node("root").alias("u"), node("to").alias("v"), F.least("root", "to").alias("least")))
+    merged = connected_components(edges.select("u", "v"))
+    least = edges.join(merged, F.col("u") == F.col("node")).groupBy("component").agg(F.min("least").alias("least"))
+    named = cut(merged.join(least, "component").select("node", "least"))
+    return local.withColumn("node", node("root")).join(named, "node", "left").select(*XYZ, "a", "b", F.coalesce("least", "root").alias("component"))
 
 
 def contacts_overlap(a: DataFrame, b: DataFrame, grid: Grid, nm: float, around: bool = False) -> DataFrame:

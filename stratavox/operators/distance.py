@@ -211,9 +211,11 @@ def self_pairs(volume: DataFrame, grid: Grid, nm: float) -> DataFrame:
     return best.select(*XYZ, F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"))
 
 
-def expand(volume: DataFrame, grid: Grid, nm: float, value: int | None = None) -> DataFrame:
-    """Labels grown into the background by nm, or all of it as one value."""
+def expand(volume: DataFrame, grid: Grid, nm: float, value: int | None = None, prediction: DataFrame | None = None, at_least: float = 127) -> DataFrame:
+    """Labels grown into the background by nm, or all of it as one value; with a prediction, only where it reaches at_least."""
     out = nearest_labels(volume.where("v > 0"), grid, int(grid.voxels(nm) ** 2)).select(*XYZ, "v")
+    if prediction is not None:
+        out = out.join(prediction.where(F.col("v") >= at_least).select(*XYZ), XYZ, "left_semi")
     return out if value is None else out.withColumn("v", F.lit(value).cast("long"))
 
 
@@ -249,6 +251,54 @@ def filament_tubes(centreline: DataFrame, grid: Grid, outer_nm: float = 12.5, in
     return outer.where(F.col("d2") > int(grid.voxels(inner_nm) ** 2)).select(*XYZ, "v")
 
 
+def trimmed_tubes(centreline: DataFrame, grid: Grid, outer_nm: float = 12.5, inner_nm: float = 6.0) -> DataFrame:
+    """Tubes (x, y, z, v) around each object's centreline, open at its ends: within the outer radius of it, not within the inner one, and not beyond an end.
+
+    An end has one neighbour of its object, or two that are face neighbours of each other, of which the nearer counts. The centreline would go on by the step from that neighbour; places within the outer
+    radius that are no farther from there than from the end are cut off. A place in several objects' tubes goes to the nearest centreline, then to the smaller label.
+    """
+    outer, inner = grid.voxels(outer_nm), grid.voxels(inner_nm)
+    reach = int(np.ceil(outer))
+    span = range(-reach, reach + 1)
+    ball = np.array(sorted(((x, y, z) for x in span for y in span for z in span if x * x + y * y + z * z <= outer * outer), key=lambda p: sum(c * c for c in p)))
+    far2 = (ball**2).sum(1)
+    steps = np.array([s for s, _ in chamfer_steps()])
+    halo = reach + 1
+
+    def ends(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End voxels and the steps on from them."""
+        near = np.stack([line[tuple((at + s).T)] for s in steps], 1)
+        found = []
+        for p, own in zip(at, near, strict=True):
+            to = steps[own]
+            if len(to) == 2:
+                to = to[:0] if ((to[0] - to[1]) ** 2).sum() >= 2 else to[[(to**2).sum(1).argmin()]]
+            if len(to) == 1:
+                found.append((p, -to[0]))
+        return tuple(np.array(c).reshape(-1, 3) for c in zip(*found)) if found else (np.zeros((0, 3), int),) * 2
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        v = np.pad(b["v"], reach + 1)
+        best, label = np.full(v.shape, _FAR), np.zeros(v.shape, np.int64)
+        for own in np.unique(b["v"][b["v"] > 0]):
+            line = v == own
+            at = np.argwhere(line)
+            d2 = np.full(v.shape, _FAR)
+            for step, k in zip(ball[::-1], far2[::-1], strict=True):
+                # nearer steps come later and stay
+                d2[tuple((at + step).T)] = k
+            tube = (d2 <= outer * outer) & ~(d2 < inner * inner)
+            for p, on in zip(*ends(line, at), strict=True):
+                beyond = ball[((ball - on) ** 2).sum(1) <= far2]
+                tube[tuple((p + beyond).T)] = False
+            nearer = tube & (d2 < best)
+            best, label = np.where(nearer, d2, best), np.where(nearer, own, label)
+        inner_part = (slice(reach + 1, -reach - 1),) * 3
+        return b.rows((label[inner_part] > 0) & b.inside(), v=label[inner_part])
+
+    return over_blocks(centreline.where("v > 0").select(*XYZ, "v"), grid, halo, kernel, "x long, y long, z long, v long")
+
+
 # Geodesic distance
 
 #: Chamfer steps to face, edge and corner neighbours.

@@ -149,6 +149,22 @@ def contact_sheetness(contacts: DataFrame, valued: DataFrame, surface: DataFrame
     return met.groupBy("component").agg(bin_centre(F.avg("bin")).alias("sheetness"), (F.sum("faces") * grid.resolution[0] ** 2).alias("area"))
 
 
+def contact_sheetness_tables(contacts: DataFrame, bins: DataFrame, organelles: DataFrame, grid: Grid) -> DataFrame:
+    """Rows (kind, id, sheetness, area) from three volumes over the same places, in one aggregation by three keys.
+
+    kind "bin": the sheetness of each bin and the surface area that contact sites have in it, where any. "organelle" and "site": the mean sheetness of an organelle's voxels at contact sites, and
+    of a site's voxels; organelle 0 has those without one. contacts: (x, y, z, component), bins: (x, y, z, v) with v from 1 to 255, organelles: (x, y, z, v).
+    """
+    faces = exposed_faces(bins, grid, against_background=True).select(*XYZ, F.col("v").alias("bin"), "faces")
+    owner = organelles.where("v > 0").select(*XYZ, F.col("v").alias("organelle"))
+    met = contacts.where("component > 0").select(*XYZ, F.col("component").alias("site")).join(faces, XYZ).join(owner, XYZ, "left").withColumn("organelle", F.coalesce("organelle", F.lit(0)))
+    keys = {"bin": F.col("bin"), "organelle": F.col("organelle"), "site": F.col("site")}
+    each = met.select("bin", "faces", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("long").alias("id")) for k, c in keys.items()))).alias("key"))
+    sums = each.groupBy("key.kind", "key.id").agg(F.avg("bin").alias("mean"), F.sum("faces").alias("faces"))
+    area = F.when(F.col("kind") == "bin", F.col("faces") * grid.resolution[0] * grid.resolution[1])
+    return sums.where("kind <> 'bin' or faces > 0").select("kind", "id", bin_centre(F.col("mean")).alias("sheetness"), area.alias("area"))
+
+
 def thickness_histogram(medial: DataFrame, grid: Grid, bins: int = 200, width_nm: float = 0.5) -> DataFrame:
     """Rows (bin, from_nm, count), all bins: twice the radius of medial voxels (d2 in voxels)."""
     spark = medial.sparkSession
