@@ -4,12 +4,14 @@ Base spans come from fixed patterns. The field segments the stretches of words a
 each candidate segment of at most ``MOST_WORDS`` words has features of the whole span (composition, checks such as Luhn, lead words), and dynamic
 programming over bounded segments chooses boundaries and types together. Its spans are added where they don't
 overlap a base span; base spans stay. Addresses with a bracketed or spelled "at" or "dot" and access keys are found by their form, wherever they stand.
-Words with punctuation inside (minified JSON, query strings, texts without spaces) are segmented again by their pieces, at whatever length.
+Words with punctuation inside (minified JSON, query strings, texts without spaces) are segmented again by their pieces, at whatever length. Long values after a word such as
+"secret" are found by their form as well, whole, whatever base64 characters they have. A card must pass the Luhn check: segments that don't are no candidates for that kind.
 
-The field is trained here, on generated examples with distractors, from a fixed seed; the model is a small matrix. Each text is one task's work;
-nothing is shuffled. Scans are linear in the text: every pattern consumes a run once.
+The field is trained here, on generated examples with distractors, from a fixed seed, by forward and backward sums over batches of examples; the model is a small matrix. Each text is one
+task's work; nothing is shuffled. Scans are linear in the text: every pattern consumes a run once.
 
-Defined results: a null or empty text has no spans; repeated rows are judged alike; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; repeated rows are judged alike; an empty table gives an empty result. Between segmentations of equal score the one wins that is found first,
+with shorter segments and earlier kinds first.
 """
 
 from __future__ import annotations
@@ -92,14 +94,18 @@ _SPELLED = re.compile(
     r"|(?:\s+at\s+|@)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+" + _BRACKET_DOT + r"[A-Za-z0-9-]++(?:(?:\.|" + _BRACKET_DOT + r")[A-Za-z0-9-]++)*+)", re.I)
 #: Pieces of words between punctuation, and punctuation inside a word.
 _PIECE, _INNER = re.compile(r"[^\s\"'`{}\[\]()<>,;:&?|/\\#!*]+"), re.compile(r"[A-Za-z0-9_=][\"'`{}\[\]()<>,;:&?|/\\#!*]+[A-Za-z0-9_=]")
-_AKIA, _SPLIT = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), re.compile(r"[{}<>,;&?|\"]")
+#: Access keys by their form, and long values behind a secret's name.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{12,}+|sk-[A-Za-z0-9_-]{20,}+)")
+_VALUE = re.compile(rf"(?<![A-Za-z])(?i:{'|'.join(sorted(_SECRET_WORDS, key=len, reverse=True))})(?![A-Za-z])[\"']?[\x20\t]?[:=]?[\x20\t]?[\"']?([A-Za-z0-9+/_~-]{{24,}}+={{0,2}}+)[\"']?")
+_SPLIT = re.compile(r"[{}<>,;&?|\"]")
+_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
 _NON_ASCII = re.compile(r"[^\x00-\x7F]+|[\x00-\x7F]+")
 
 
 def _trim(s: str) -> tuple[int, int]:
     """Where the span stands without the punctuation around it; an opening bracket or quote that closes inside stays."""
     a, b = 0, len(s)
-    while b > a and s[b - 1] in ".,;:!?":
+    while b > a and s[b - 1] in ".,;:!?#*|":
         b -= 1
     for left, right in ("\"\"", "''", "()", "[]", "<>"):
         if b - a > 1 and s[a] == left and s[b - 1] == right:
@@ -140,6 +146,8 @@ def features(span: str, lead: str) -> np.ndarray:
 
 N_FEATURES = len(features("a", ""))
 _TYPES = ["other", *KINDS]
+#: The place among the features of the Luhn check; groups of digits.
+_LUHN, _DIGITS = 15, re.compile(r"[0-9]+\b")
 
 
 def _segments(text: str, words: list[tuple[int, int]], first: int = 0, end: int | None = None) -> np.ndarray:
@@ -152,14 +160,17 @@ def _segments(text: str, words: list[tuple[int, int]], first: int = 0, end: int
             lead = text[max(words[i - 1][0], words[i - 1][1] - 40) : words[i - 1][1]] if i else ""
             judge = features if words[j][1] - words[i][0] <= 200 else features.__wrapped__  # long spans aren't kept
             x[j - first, size - 1] = judge(text[words[i][0] : words[j][1]], lead)
+            if size > 1 and x[j - first, size - 1, _LUHN] and (i and _DIGITS.match(text, *words[i - 1]) or j + 1 < len(words) and _DIGITS.match(text, *words[j + 1])):
+                x[j - first, size - 1, _LUHN] = 0  # a part of a longer row of groups
     return x
 
 
 def _scores(model: dict, x: np.ndarray) -> np.ndarray:
-    """Scores [end, length - 1, type]; impossible segments get minus infinity, and other text is one word at a time."""
+    """Scores [..., end, length - 1, type]; impossible segments get minus infinity, cards that fail the Luhn check too, and other text is one word at a time."""
     s = x @ model["weights"].T
-    s[x[:, :, 0] == 0] = -np.inf
-    s[:, 1:, 0] = -np.inf
+    s[x[..., 0] == 0] = -np.inf
+    s[..., 1:, 0] = -np.inf
+    s[..., _TYPES.index("card")][x[..., _LUHN] == 0] = -np.inf
     return s
 
 
@@ -195,36 +206,27 @@ def segment(model: dict, text: str, words: list[tuple[int, int]]) -> list[tuple[
     return out[::-1]
 
 
-def _gradient(model: dict, x: np.ndarray, gold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the log-likelihood of the gold segments (end, length, type), by weights and moves."""
+def _expected(model: dict, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected features by type, and expected moves, over all segmentations of a batch of examples [example, end, length - 1, feature] with n words each."""
     s, move = _scores(model, x), model["moves"]
-    n, k = len(x), len(_TYPES)
-    fore, aft = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
-    fore[0, 0] = 0
-    aft[n] = 0
+    many, most, k = *x.shape[:2], len(_TYPES)
+    fore, aft = np.full((most + 1, many, k), -np.inf), np.full((most + 1, many, k), -np.inf)
+    fore[0, :, 0] = 0
     with np.errstate(invalid="ignore", divide="ignore"):
-        for j in range(1, n + 1):
-            into = [np.array([_logsum(fore[j - size] + move[:, t]) for t in range(k)]) + s[j - 1, size - 1] for size in range(1, min(MOST_WORDS, j) + 1)]
+        for j in range(1, most + 1):
+            into = [np.logaddexp.reduce(fore[j - size][:, :, None] + move, axis=1) + s[:, j - 1, size - 1] for size in range(1, min(MOST_WORDS, j) + 1)]
             fore[j] = np.logaddexp.reduce(into, axis=0)
-        for j in range(n - 1, -1, -1):
-            outs = []
-            for size in range(1, min(MOST_WORDS, n - j) + 1):
-                then = s[j + size - 1, size - 1] + aft[j + size]
-                outs.append(np.array([_logsum(move[p] + then) for p in range(k)]))
-            aft[j] = np.logaddexp.reduce(outs, axis=0)
-        total = _logsum(fore[n])
-        gw, gm = np.zeros_like(model["weights"]), np.zeros_like(move)
-        for j in range(1, n + 1):
+        for j in range(most, -1, -1):
+            outs = [np.logaddexp.reduce(move + (s[:, j + size - 1, size - 1] + aft[j + size])[:, None, :], axis=2) for size in range(1, min(MOST_WORDS, most - j) + 1)]
+            aft[j] = np.where((n == j)[:, None], 0, np.logaddexp.reduce(outs, axis=0) if outs else -np.inf)
+        total = np.logaddexp.reduce(fore[n, np.arange(many)], axis=1)
+        by_type, moves = np.zeros_like(model["weights"]), np.zeros_like(move)
+        for j in range(1, most + 1):
             for size in range(1, min(MOST_WORDS, j) + 1):
-                p = np.exp(fore[j - size][:, None] + move + (s[j - 1, size - 1] + aft[j])[None] - total)
-                gm -= p
-                gw -= p.sum(0)[:, None] * x[j - 1, size - 1][None]
-    before = 0
-    for end, size, t in gold:
-        gw[t] += x[end, size - 1]
-        gm[before, t] += 1
-        before = t
-    return gw, gm
+                p = np.exp(fore[j - size][:, :, None] + move + (s[:, j - 1, size - 1] + aft[j])[:, None, :] - total[:, None, None])
+                moves += p.sum(0)
+                by_type += p.sum(1).T @ x[:, j - 1, size - 1]
+    return by_type, moves
 
 
 def examples(seed: int = 7, n: int = 360) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -245,9 +247,16 @@ def examples(seed: int = 7, n: int = 360) -> list[tuple[str, list[tuple[str, int
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice([f"+{r.randint(1, 49)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randint(1, 49)} {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(11)}"]),
-        "secret": lambda: r.choice([f"AKIA{code(16)}", f"password={hexes(18)}", f'token = "{hexes(40)}"', f"api_key={code(24)}", f"secret = {hexes(32)}", f"pwd={word()}{digits(5)}{word()}".replace("é", "e").replace("ü", "u")]),
+        "secret": lambda: r.choice([f"AKIA{code(16)}", f"password={hexes(18)}", f'token = "{hexes(40)}"', f"api_key={code(24)}", f"secret = {hexes(32)}", f"pwd={word()}{digits(5)}{word()}".replace("é", "e").replace("ü", "u"), f"key {mixed(40)}", f"secret={mixed(30)}"]),
     }
-    noise = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{word()}={digits(2)}", lambda: f"x{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"#{digits(4)}", lambda: f"{word()}{digits(1)}", lambda: "password", lambda: "token", lambda: digits(12)]
+    mixed = lambda m: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(m))
+
+    def no_card() -> str:
+        d = digits(r.randint(13, 19))
+        d = d[:-1] + next(c for c in "0123456789" if not luhn(d[:-1] + c))
+        return r.choice([d, d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4))])
+
+    noise = [no_card, no_card, no_card, lambda: mixed(r.randint(8, 12)), lambda: f"{word()}_{word()}_{digits(2)}", lambda: digits(r.randint(1, 6)), lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{word()}={digits(2)}", lambda: f"x{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"#{digits(4)}", lambda: f"{word()}{digits(1)}", lambda: "password", lambda: "token", lambda: digits(12)]
     out = []
     for _ in range(n):
         text, gold = [], []
@@ -261,36 +270,47 @@ def examples(seed: int = 7, n: int = 360) -> list[tuple[str, list[tuple[str, int
                 gold.append((kind, len(text), len(text) + len(own)))
                 text += own
             else:
-                text.append(r.choice(noise)())
+                text += r.choice(noise)().split()
         out.append((text, gold))
     return out
 
 
 @lru_cache(maxsize=1)
-def train(seed: int = 7, rounds: int = 10, rate: float = 0.3, decay: float = 1e-4) -> dict:
-    """Adaptive gradient ascent on the generated examples; the same model each time."""
-    k = len(_TYPES)
-    model = {"weights": np.zeros((k, N_FEATURES)), "moves": np.zeros((k, k))}
-    size = {name: np.full_like(v, 1e-6) for name, v in model.items()}
-    data = []
+def train(seed: int = 7, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3, together: int = 60) -> dict:
+    """Adaptive gradient ascent on the generated examples, in batches of examples of like length; the same model each time."""
+    k, data = len(_TYPES), []
     for tokens, gold in examples(seed):
         text, words, at = " ".join(tokens), [], 0
         for w in tokens:
             words.append((at, at + len(w)))
             at += len(w) + 1
-        segments, j = [], 0
-        for kind, a, b in [*gold, ("", len(tokens), len(tokens))]:
-            segments += [(i, 1, 0) for i in range(j, a)]
-            if b > a:
-                segments.append((b - 1, b - a, _TYPES.index(kind)))
-            j = b
-        data.append((_segments(text, words), segments))
+        data.append((_segments(text, words), gold))
+    data.sort(key=lambda d: len(d[0]))
+    batches = []
+    for i in range(0, len(data), together):
+        part = data[i : i + together]
+        n = np.array([len(x) for x, _ in part])
+        x = np.zeros((len(part), n.max(), MOST_WORDS, N_FEATURES))
+        by_type, moves = np.zeros((k, N_FEATURES)), np.zeros((k, k))
+        for e, (own, gold) in enumerate(part):
+            x[e, : len(own)] = own
+            segments, j, before = [], 0, 0
+            for kind, a, b in [*gold, ("", len(own), len(own))]:
+                segments += [(q, 1, 0) for q in range(j, a)] + ([(b - 1, b - a, _TYPES.index(kind))] if b > a else [])
+                j = b
+            for end, size, t in segments:
+                by_type[t] += own[end, size - 1]
+                moves[before, t] += 1
+                before = t
+        batches.append((x, n, {"weights": by_type, "moves": moves}))
+    model = {"weights": np.zeros((k, N_FEATURES)), "moves": np.zeros((k, k))}
+    size = {name: np.full_like(v, 1e-6) for name, v in model.items()}
     order = random.Random(seed)
     for _ in range(rounds):
-        order.shuffle(data)
-        for x, gold in data:
-            for name, g in zip(("weights", "moves"), _gradient(model, x, gold)):
-                g = g - decay * model[name]
+        order.shuffle(batches)
+        for x, n, gold in batches:
+            for name, expected in zip(("weights", "moves"), _expected(model, x, n), strict=True):
+                g = (gold[name] - expected) / len(n) - decay * model[name]
                 size[name] += g * g
                 model[name] += rate * g / np.sqrt(size[name])
     return model
@@ -300,8 +320,10 @@ def _units(text: str) -> tuple[list[tuple[int, int]], dict[int, tuple[str, int]]
     """Words, with each spelled address and access key as one, and (kind, end) of those by start."""
     words = [m.span() for m in _WORD.finditer(text)]
     fixed = {m.start(): ("email", m.end()) for m in _SPELLED.finditer(text)} if _SPELLS.search(text) else {}
-    if "AKIA" in text:
-        fixed |= {m.start(): ("secret", m.end()) for m in _AKIA.finditer(text) if not any(a <= m.start() < e for a, (_, e) in fixed.items())}
+    keys = {m.start(): m.end() for m in _KEY.finditer(text)} | {m.start(): m.end() for m in _VALUE.finditer(text) if _MIXED.search(m[1])}
+    for a, e in sorted(keys.items()):
+        if not any(x < e and a < y for x, (_, y) in fixed.items()):
+            fixed[a] = ("secret", e)
     if not fixed:
         return words, fixed
     marks, out, k = sorted((a, e) for a, (_, e) in fixed.items()), [], 0
@@ -339,7 +361,17 @@ def added_spans(model: dict, text: str, base: list[tuple[str, int, int]]) -> lis
         return []
     words, fixed = _units(text)
     taken = sorted((a, b) for _, a, b in base)
-    sure = [(kind, a, e) for a, (kind, e) in fixed.items() if not any(x < e and a < y for x, y in _near(taken, a, e))]
+    sure = []
+    for a, (kind, e) in fixed.items():
+        # of a key that has a base span inside, what is left around it
+        for x, y in [*_near(taken, a, e), (e, e)]:
+            if kind != "secret" and x < e and a < y:
+                break
+            if kind == "secret" and y > a and min(x, e) > a:
+                sure.append((kind, a, min(x, e)))
+            elif kind != "secret" and x >= e:
+                sure.append((kind, a, e))
+            a = max(a, y) if kind == "secret" else a
     taken = sorted([*taken, *((a, b) for _, a, b in sure)])
     runs = list(_stretches(text, words, fixed))
     out = _free(model, text, runs, taken)
@@ -352,7 +384,7 @@ def added_spans(model: dict, text: str, base: list[tuple[str, int, int]]) -> lis
     out = [x for x in out if x not in wide]
     fine = [x for x in _free(model, text, inner, sorted([*taken, *((a, b) for _, a, b in out)])) if _TRIGGER.search(text, x[1], x[2]) and (x[0] != "email" or "@" in text[x[1] : x[2]])]
     starts, edges = sorted(a for _, a, _ in [*fine, *sure]), {x for _, a, b in sure for x in (a, b)}
-    wide = [x for x in wide if x[2] - x[1] <= 200 and bisect_left(starts, x[1]) == bisect_left(starts, x[2]) and edges.isdisjoint(x[1:])]
+    wide = [x for x in wide if bisect_left(starts, x[1]) == bisect_left(starts, x[2]) and edges.isdisjoint(x[1:])]
     out = [x for x in out if edges.isdisjoint(x[1:])]
     held = sorted((a, b) for _, a, b in wide)
     out += [*wide, *(x for x in fine if not any(a < x[2] and x[1] < b for a, b in _near(held, x[1], x[2])))]

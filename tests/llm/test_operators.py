@@ -678,3 +678,41 @@ def test_rounds_exchange_pieces(spark, monkeypatch):
     assert len(got) >= 400 and not got.duplicated(["doc_id", "piece"]).any() and got.groupby("sequence_id").length.sum().max() <= 1024
     bound = packing.lower_bound(np.bincount(got.length, minlength=1025))
     assert got.sequence_id.nunique() <= bound + 8
+
+
+def test_no_card_without_its_check():
+    """Long numbers that fail the Luhn check are no cards, alone, side by side or in groups; those that pass are found where the pattern ran on."""
+    model, r = pii.train(), random.Random(12)
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.added_spans(model, t, pii.base_spans(t))]
+    for _ in range(300):
+        d = "".join(r.choice("0123456789") for _ in range(r.randrange(13, 20)))
+        d = d[:-1] + next(c for c in "0123456789" if not pii.luhn(d[:-1] + c))
+        shown = r.choice([d, f"{d} {d}", " ".join(d[i : i + 4] for i in range(0, len(d), 4))])
+        text = f"{words_of(r, 4)} {r.choice(['', 'pay ', 'number '])}{shown} {words_of(r, 3)}"
+        assert not [x for x in found(text) if x[0] == "card"], text
+    assert found("order 7536784127813050 9807915762804490 end") == [("card", "7536784127813050")]
+
+
+def test_long_keys_are_found_whole():
+    model = pii.train()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.added_spans(model, t, pii.base_spans(t))]
+    for value in ("aB3/" * 37 + "xy", "aB3+/" * 80, "q" * 30 + "7" * 30 + "=="):
+        for lead in ("key ", "secret=", "api_key: ", 'token = "'):
+            (span,) = found(f"see {lead}{value} there")
+            assert span[0] == "secret" and span[1].endswith(value), (lead, value)
+    assert found('token = "abcdef0123456789abcdef0123456789"### x')[0][1].rstrip('"').endswith("0123456789")
+    assert found("my ghp_abcdefghijABCDEFGHIJ0123456789abcdef!") == [("secret", "ghp_abcdefghijABCDEFGHIJ0123456789abcdef")]
+    # a base span inside stays, and the rest is found around it
+    value = "Ab" * 12 + "-4111111111111111-" + "cD9" * 10
+    t = f"secret={value}"
+    assert [k for k, _, _ in pii.base_spans(t)] == ["card"] and pii.masked(t, pii.base_spans(t) + pii.added_spans(model, t, pii.base_spans(t))) == "<secret><card><secret>"
+
+
+def test_training_is_quick_and_repeats():
+    import time
+
+    began = time.time()
+    once = pii.train.__wrapped__()
+    assert time.time() - began < 15
+    again = pii.train()
+    assert all(np.array_equal(once[name], again[name]) for name in once)
