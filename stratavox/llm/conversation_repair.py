@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from stratavox.plans.checkpoints import cut, drop
 
+from .checksums import crc32_sql
+
 #: Rows of a conversation in a chunk.
 CHUNK = 8192
 BLANKS = " \t\n\x0b\x0c\r"
@@ -358,13 +360,12 @@ def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op13_conversation_repair": op13_conversation_repair}
 
-# The same in SQL: audits as strings, and the checksum bit by bit.
-_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+# The same in SQL, with audits as strings.
 ORACLE_SQL = {
     "op13_conversation_repair": r"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
 f AS (SELECT *, """
-    + _CRC.format("s")
+    + crc32_sql("s")
     + r""" % 20 AS f FROM c),
 d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) FROM f WHERE f <> 0),
 r AS (SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stem,

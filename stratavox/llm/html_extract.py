@@ -2,8 +2,9 @@
 
 A page is read tag by tag. Subtrees are hashed by tag and text, inside the article only those of containers (``PROSE`` stays there). Spark counts in how many
 different pages of its host each subtree occurs, and those in at least ``MANY`` are the host's template. Pages whose texts are equal before templates go are
-copies of each other and count once, so what recurs only in copies stays. Near copies of a page differ in some block; where templates would take all prose
-of a page and little else, it stays.
+copies of each other and count once, so what recurs only in copies stays. Near copies of a page differ in some block, so their shared paragraphs recur as a template's do: running prose
+(paragraphs and headings, and other blocks of ``RUNNING`` words or more outside of lists and tables) goes only if it is at most half of the page's, while menus and lists go whatever their
+share. Where templates would take all prose of a page, lists counted, and little else, it stays too.
 
 Templates of proven number are broadcast as 64-bit ids and pages are read again where they lie; more meet the pages by shuffles, in which subtrees and
 pages with ``HOT`` rows or more are broadcast or salted, so a frequent host, menu or copy is spread over tasks.
@@ -34,6 +35,8 @@ from stratavox.plans import checkpoints
 MANY, HOT = 5, 1000
 #: Templates that are broadcast (eight bytes each), and the part of a text that counts as nearly all of it.
 BROADCAST_TEMPLATES, NEARLY_ALL = 1_000_000, 0.9
+#: Words that make a block running prose whatever its element.
+RUNNING = 12
 
 # What HTML elements are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +46,8 @@ DROP = frozenset("nav footer aside form head button select option datalist input
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus replies reply respond related recommended recommendations widget toolbar pagination pager skip complementary contentinfo search".split())
 PLACES = frozenset("site main global top bottom left right primary secondary".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption legend summary".split())
+PARAGRAPHS = tuple("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+CELLS = tuple("li dt dd td th option".split())
 CONTAINERS = BLOCK - frozenset("h1 h2 h3 h4 h5 h6 hr html body article main".split())
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -70,13 +75,13 @@ def _never_content(tag: str, attributes: str, inside: bool) -> bool:
 class Page:
     """One reading of a page: blocks of text, and the elements that span them.
 
-    ``blocks`` has (text, dropped, prose); ``roots`` has (tag, first block, end block) of articles and mains by number, in the order of their starts; ``named`` has (first
+    ``blocks`` has (text, dropped, prose, running prose); ``roots`` has (tag, first block, end block) of articles and mains by number, in the order of their starts; ``named`` has (first
     block, end block, whether a title is in it, number of the root around it) of containers with a name of boilerplate; ``subtrees`` has (hash, first block, end block) of block elements
     outside of roots, and of containers inside.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, bool]] = []
+        self.blocks: list[tuple[str, bool, bool, bool]] = []
         self.roots: dict[int, tuple[str, int, int]] = {}
         self.named: list[tuple[int, int, bool, int]] = []
         self.subtrees: list[tuple[int, int, int]] = []
@@ -110,7 +115,9 @@ class Page:
         text = " ".join(unescape("".join(self._text)).split())
         self._text = []
         if text:
-            self.blocks.append((text, self._drops > 0, self._prose > 0))
+            within = lambda tags: any(map(self._count.get, tags))
+            running = not within(CELLS) and (within(PARAGRAPHS) or text.count(" ") + 1 >= RUNNING)
+            self.blocks.append((text, self._drops > 0, self._prose > 0, running))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
@@ -182,7 +189,7 @@ class Page:
         return [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=salt) - (1 << 63) for h, _, _ in self.subtrees]
 
     def text(self, template: frozenset[int] | set[int] = frozenset(), host: str = "") -> str:
-        keep = [not dropped for _, dropped, _ in self.blocks]
+        keep = [not block[1] for block in self.blocks]
         size = lambda a, b: sum(len(self.blocks[k][0]) for k in range(a, b) if keep[k])
         if template:
             self._without(keep, [(a, b) for h, (_, a, b) in zip(self.ids(host), self.subtrees, strict=True) if h in template])
@@ -200,10 +207,13 @@ class Page:
         return "\n".join(block[0] for block, k in zip(self.blocks, keep, strict=True) if k)
 
     def _without(self, keep: list[bool], spans: list[tuple[int, int]]) -> None:
-        """Drops template subtrees, but not all prose of a page if it is more than half of what would be dropped."""
+        """Drops template subtrees, but not more than half of a page's running prose, and not all its prose if that is more than half of what would be dropped."""
         gone = {k for a, b in spans for k in range(a, b) if keep[k]}
-        prose = {k for k in gone if self.blocks[k][2]}
         length = lambda ks: sum(len(self.blocks[k][0]) for k in ks)
+        running = {k for k, block in enumerate(self.blocks) if keep[k] and block[3]}
+        if 2 * length(gone & running) > length(running):
+            gone -= running
+        prose = {k for k in gone if self.blocks[k][2]}
         if 2 * length(prose) > length(gone) and not any(keep[k] and self.blocks[k][2] for k in range(len(keep)) if k not in gone):
             gone -= prose
         for k in gone:

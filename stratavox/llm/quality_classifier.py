@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .checksums import crc32_sql
 from .quality_rules import base_counts
 from .textbatch import IS_SPACE, flat, per_doc, slices, span_hash, spans
 
@@ -153,4 +154,11 @@ def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op7_quality_classifier": op7_quality_classifier}
+def quality_folds(spark, sf_dir: str) -> DataFrame:
+    """Which rows op7_quality_classifier holds out."""
+    return op7_quality_classifier(spark, sf_dir).select("doc_id", "held_out")
+
+
+QUERIES = {"op7_quality_classifier": op7_quality_classifier, "quality_folds": quality_folds}
+
+ORACLE_SQL = {"quality_folds": f"SELECT doc_id, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % {FOLDS} = {HELD_OUT} AS held_out FROM documents"}

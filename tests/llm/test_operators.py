@@ -239,6 +239,21 @@ def test_html_copies_are_no_template(spark):
         assert all("Far away lived a fox.\nIt was old." in got[500 + k] for k in range(7))
 
 
+def test_html_near_copies_keep_their_text(spark):
+    """Pages of a host that share most of their paragraphs and differ in one; paragraphs without elements of their own; and a menu and a notice that go beside a text that is the page's own."""
+    body = [f"<p>Paragraph {k} of a story that several pages have in common with each other.</p>" for k in range(5)]
+    rows = [(k, "http://six.example/", "<body><div>" + "".join(body[:3]) + f"</div><p>Line {k} differs.</p><div>" + "".join(body[3:]) + "</div></body>") for k in range(6)]
+    plain = "<div>A long block of words without a paragraph around it, the same on every page of the host.</div>"
+    rows += [(10 + k, "http://plain.example/", f"<body>{plain}<div>Own {k}</div></body>") for k in range(6)]
+    menu, notice = "<div><ul><li>Home</li><li>Imprint</li></ul></div>", "<div><p>We value your opinion.</p></div>"
+    rows += [(20 + k, "http://site.example/", f"<body>{menu}{notice}<p>Story {k} is told on this page alone, at some length and in its own words.</p></body>") for k in range(6)]
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == html_extract.Page(rows[k][2]).text() and got[k].count("Paragraph") == 5
+        assert got[10 + k].startswith("A long block") and got[10 + k].endswith(f"Own {k}")
+        assert got[20 + k] == f"Story {k} is told on this page alone, at some length and in its own words."
+
+
 def template_texts_by_force(rows, many=5):
     """Texts without the subtrees that occur in many different pages of a host, counted plainly; for pages without an article."""
     seen = {}
