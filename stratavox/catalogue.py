@@ -378,6 +378,12 @@ def expand_far(spark, sf_dir):
     return distance.expand(scores(spark, sf_dir).where("v >= 50"), GRID, 80.0)
 
 
+@query("+g AS MATERIALIZED (SELECT x AS p, y AS q, z AS r FROM l WHERE v = 7) SELECT DISTINCT x, y, z, CAST(255 AS BIGINT) AS v FROM box, g WHERE (x - p) * (x - p) + (y - q) * (y - q) + (z - r) * (z - r) <= 81")
+def expand_far_fixed(spark, sf_dir):
+    """One label by more than half a block, with one value: blocks that bounds settle enter no kernel."""
+    return distance.expand(labels(spark, sf_dir).where("v = 7"), GRID, 36.0, 255)
+
+
 @query()
 def geodesic(spark, sf_dir):
     return distance.geodesic(labels(spark, sf_dir), _filled(spark, sf_dir), GRID)
@@ -508,7 +514,15 @@ def contact_sites_all(spark, sf_dir):
     return cc.contact_sites({"a": a, "b": b, "high": pointwise.binarize(scores(spark, sf_dir).where("v >= 48"))}, GRID, 4.0, self_pairs=True)
 
 
-@query()
+#: Components of two channels as volumes, in place of the two halves of the labels, and halos of one voxel.
+_CHANNELS = ", ".join(
+    f"b{n} AS MATERIALIZED (SELECT x, y, z, 4096 * z + 64 * y + x + 1 AS id FROM s WHERE {where}), e{n} AS MATERIALIZED (SELECT p.id AS u, q.id AS w FROM b{n} p JOIN o ON d2 = 1 JOIN b{n} q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz), "
+    f"c{n}(id, root) USING KEY (id) AS (SELECT id, id FROM b{n} UNION SELECT e.w, min(r.root) FROM c{n} r JOIN e{n} e ON e.u = r.id JOIN recurring.c{n} k ON k.id = e.w WHERE r.root < k.root GROUP BY e.w), v{n} AS MATERIALIZED (SELECT x, y, z, root AS v FROM b{n} JOIN c{n} USING (id))"
+    for n, where in (("a", "v / 50 >= 0.9"), ("b", "1 - v / 50 >= 0.9"))
+)
+
+
+@query("+" + _CHANNELS + CONTACTS.format("d2 = 1").removeprefix("+va AS (SELECT * FROM l WHERE v <= 20), vb AS (SELECT * FROM l WHERE v > 20)").replace("d2 <= 4", "d2 <= 1") + "SELECT 'red_to_green' AS contact, * FROM sites", recursive=True)
 def light_contacts(spark, sf_dir):
     """Channels of float predictions."""
     s = scores(spark, sf_dir)
@@ -593,6 +607,12 @@ def planarity(spark, sf_dir):
     return curvature.planarity(_solids(spark, sf_dir), GRID)
 
 
+@query()
+def sphereness_scales(spark, sf_dir):
+    """The greatest sphereness over scales."""
+    return curvature.planarity(_solids(spark, sf_dir), GRID, measure="sphereness")
+
+
 def _medial(spark, sf_dir):
     """Solids, and their medial surfaces with depth and planarity."""
     solids = _solids(spark, sf_dir)

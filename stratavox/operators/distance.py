@@ -3,7 +3,7 @@
 Squared distances are exact and separable: along each axis in turn, a place takes the least of its line's values plus the squared step. Ties go to
 the smaller label, since distance and label travel in one ordered key. A bounded transform whose radius is at most half a block runs in blocks with
 a halo of that radius, one exchange. Any other runs over bundles of whole lines, one exchange an axis: no halo has to be guessed or grown, memory is a
-bundle's, and places out of reach are never made.
+bundle's, and places out of reach are never made. Where only being within a large distance matters, bounds by blocks settle most blocks before any distance is taken (``reach``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.plans.checkpoints import drop
+from stratavox.plans.checkpoints import cut, drop
 
 from .blockstate import State
 from .stencils import surface_voxels
@@ -189,6 +189,70 @@ def depth_bounded(volume: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
     return over_blocks(volume.where("v > 0").select(*XYZ, "v"), grid, radius, kernel, "x long, y long, z long, v long, d2 long")
 
 
+# Reach: which places are within a distance of any voxel, without the distance itself.
+
+
+def reached_blocks(volume: DataFrame, grid: Grid, most_d2: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, blocks): pairs (bx, by, bz, sx, sy, sz) of blocks and blocks of voxels that may reach them, and blocks (bx, by, bz, full) that may be reached at all.
+
+    Bounds come from the box that a block's voxels fill: a block is full if even its farthest corner from the farthest corner of some such box is within the distance, and isn't reached if
+    its nearest point is beyond it. Only the others need distances.
+    """
+    radius = math.isqrt(most_d2)
+    held = volume.groupBy(*(k.alias(f"s{c}") for c, k in zip(XYZ, grid.block_key(), strict=True))).agg(*(f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("low", F.min), ("high", F.max))))
+    near = held
+    for c, b, d in zip(XYZ, grid.block, grid.dim, strict=True):
+        first, last = F.greatest(F.floor((F.col(f"low{c}") - radius) / b), F.lit(0)), F.least(F.floor((F.col(f"high{c}") + radius) / b), F.lit(-(-d // b) - 1))
+        near = near.withColumn(f"b{c}", F.explode(F.sequence(first, last)))
+    square = lambda e: e * e
+    least, most = F.lit(0), F.lit(0)
+    for c, b, d in zip(XYZ, grid.block, grid.dim, strict=True):
+        low, high = F.col(f"b{c}") * b, F.least(F.col(f"b{c}") * b + b, F.lit(d)) - 1
+        least = least + square(F.greatest(F.lit(0), low - F.col(f"high{c}"), F.col(f"low{c}") - high))
+        most = most + square(F.greatest(high - F.col(f"low{c}"), F.col(f"high{c}") - low))
+    pairs = cut(near.select("bx", "by", "bz", *(f"s{c}" for c in XYZ), least.alias("near"), most.alias("far")).where(F.col("near") <= most_d2))
+    blocks = cut(pairs.groupBy("bx", "by", "bz").agg((F.min("far") <= most_d2).alias("full")))
+    return pairs.select("bx", "by", "bz", *(f"s{c}" for c in XYZ)), blocks
+
+
+def reach(volume: DataFrame, grid: Grid, most_d2: int) -> DataFrame:
+    """Rows (x, y, z): all places within the distance of a voxel of the volume, for distances beyond half a block.
+
+    Blocks that bounds settle enter no kernel; the others get the voxels within the distance of them. A task's arrays have the size of a block by its window, squared.
+    """
+    own = volume.select(*XYZ).distinct()
+    pairs, blocks = reached_blocks(own, grid, most_d2)
+    places = blocks.where("full").select("bx", "by", "bz")
+    for c, b, d in zip(XYZ, grid.block, grid.dim, strict=True):
+        places = places.withColumn(c, F.explode(F.sequence(F.col(f"b{c}") * b, F.least(F.col(f"b{c}") * b + b, F.lit(d).cast("long")) - 1)))
+    block, dim = grid.block, grid.dim
+    keyed = own.select(*XYZ, *(k.alias(f"s{c}") for c, k in zip(XYZ, grid.block_key(), strict=True)))
+    met = keyed.join(pairs.join(blocks.where("not full"), ["bx", "by", "bz"], "left_semi"), [f"s{c}" for c in XYZ])
+    beyond = sum((F.pow(F.greatest(F.lit(0), F.col(f"b{c}") * b - F.col(c), F.col(c) - F.col(f"b{c}") * b - b + 1), 2) for c, b in zip(XYZ, block, strict=True)), F.lit(0))
+    met = met.where(beyond <= most_d2).select("bx", "by", "bz", *XYZ)
+
+    def run(t: pa.Table) -> pa.Table:
+        key, at = ([np.asarray(t.column(c).combine_chunks()) for c in names] for names in (("bx", "by", "bz"), XYZ))
+        corner = [int(k[0]) * b for k, b in zip(key, block, strict=True)]
+        size = [min(b, d - o) for b, d, o in zip(block, dim, corner, strict=True)]
+        (xs, xi), (ys, yi) = (np.unique(a, return_inverse=True) for a in at[:2])
+        target = [o + np.arange(n) for o, n in zip(corner, size, strict=True)]
+        best = np.full((len(xs), len(ys), size[2]), _FAR)
+        for k, z in enumerate(target[2]):
+            np.minimum.at(best[:, :, k], (xi, yi), (at[2] - z) ** 2)
+        for values, to in ((ys, target[1]), (xs, target[0])):
+            # [x, y, z] to [x, target y, z], turned to [target y, x, z], and that to [target y, target x, z], turned
+            done = np.full((best.shape[0], len(to), best.shape[2]), _FAR)
+            for k, v in enumerate(values):
+                np.minimum(done, best[:, k][:, None] + ((to - v) ** 2)[None, :, None], out=done)
+            best = done.transpose(1, 0, 2)
+        found = np.nonzero(best <= most_d2)
+        return pa.table({c: found[i] + o for i, (c, o) in enumerate(zip(XYZ, corner, strict=True))})
+
+    partial = met.groupBy("bx", "by", "bz").applyInArrow(run, "x long, y long, z long")
+    return places.select(*XYZ).unionByName(partial)
+
+
 # Operators
 
 
@@ -213,7 +277,11 @@ def self_pairs(volume: DataFrame, grid: Grid, nm: float) -> DataFrame:
 
 def expand(volume: DataFrame, grid: Grid, nm: float, value: int | None = None, prediction: DataFrame | None = None, at_least: float = 127) -> DataFrame:
     """Labels grown into the background by nm, or all of it as one value; with a prediction, only where it reaches at_least."""
-    out = nearest_labels(volume.where("v > 0"), grid, int(grid.voxels(nm) ** 2)).select(*XYZ, "v")
+    most = int(grid.voxels(nm) ** 2)
+    if value is not None and 2 * math.isqrt(most) > min(grid.block):
+        out = reach(volume.where("v > 0"), grid, most).withColumn("v", F.lit(value))
+    else:
+        out = nearest_labels(volume.where("v > 0"), grid, most).select(*XYZ, "v")
     if prediction is not None:
         out = out.join(prediction.where(F.col("v") >= at_least).select(*XYZ), XYZ, "left_semi")
     return out if value is None else out.withColumn("v", F.lit(value).cast("long"))

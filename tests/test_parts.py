@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratavox.operators import components as cc
-from stratavox.operators import curvature, distance, objects
+from stratavox.operators import curvature, distance, objects, volume
 from stratavox.operators.volume import XYZ
 
 from .test_volumes import SMALL, dense, flood, sparse
@@ -125,3 +125,25 @@ def test_sheetness_tables(spark):
     assert set(found) == set(want)
     for k, (sheetness, area) in want.items():
         assert found[k][0] == pytest.approx(sheetness) and found[k][1] == (None if area is None else pytest.approx(area))
+
+
+@pytest.mark.parametrize("most", [49, 200, 3000])
+def test_reach_by_force(spark, most):
+    """Over blocks of five: what bounds settle is right, and some blocks are settled either way."""
+    a = np.zeros((31, 23, 18), int)
+    for p in [(2, 3, 4), (3, 3, 4), (27, 20, 17), (14, 0, 9)]:
+        a[p] = 1
+    grid = volume.Grid(a.shape, (5, 5, 5))
+    at = np.argwhere(a)
+    d2 = ((np.indices(a.shape)[:, None] - at.T[:, :, None, None, None]) ** 2).sum(0).min(0)
+    rows = distance.reach(sparse(spark, a), grid, most).collect()
+    got = np.zeros(a.shape, bool)
+    got[tuple(np.array([(r.x, r.y, r.z) for r in rows]).T)] = True
+    assert np.array_equal(got, d2 <= most) and len(rows) == got.sum()
+    _, blocks = distance.reached_blocks(sparse(spark, a), grid, most)
+    full = {(r.bx, r.by, r.bz): r.full for r in blocks.collect()}
+    assert any(full.values()) if most > 100 else not all(full.values())
+    for b in np.ndindex(7, 5, 4):
+        part = d2[tuple(slice(5 * k, 5 * k + 5) for k in b)]
+        assert part.min() > most if b not in full else (part.max() <= most if full[b] else True)
+    assert distance.reach(sparse(spark, a).where("false"), grid, most).count() == 0
