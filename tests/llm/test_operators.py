@@ -161,6 +161,59 @@ def test_license_notices_in_prose_and_wrapped():
     assert s.scan("the license " * 3000) == [] and s.scan("all rights\n" + " " * 100000) == []
 
 
+def test_license_wordings_and_expressions():
+    s = license_scan.Scanner()
+    for text, names in [
+        ("Licensed under the MIT license.", ["MIT"]), ("It is licensed under the MIT License - see the LICENSE file.", ["MIT"]), ("Licensed under the Apache 2.0 license.", ["Apache-2.0"]),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", ["BSL-1.0"]), ("BSD 3-Clause License\n\nCopyright", ["BSD-3-Clause"]), ("BSD 4-Clause License", []),
+        ("        GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", ["GPL-3.0"]), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["LGPL-3.0"]), ("Apache License\n  Version 2.0, January 2004", ["Apache-2.0"]),
+        ("// SPDX: BSL-1.0", ["BSL-1.0"]), ("SPDX: CC-BY-4.0", ["CC-BY-4.0"]), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND (ISC OR MIT) Zlib", ["GPL-2.0-only", "ISC", "MIT"]), ("SPDX-License-Identifier: LicenseRef-own", []), ("SPDX-License-Identifier:", []),
+    ]:
+        assert [x[1] for x in s.scan(text)] == names, text
+
+
+def test_license_gain_decides():
+    """Words that are all there but scattered: their wording is confirmed, their compression isn't."""
+    for text in ("Licensed people under and the old MIT building License", "Licensed shops under all the many MIT windows License"):
+        assert license_scan.Scanner().scan(text) == [] and [x[1] for x in license_scan.Scanner(gain=-9).scan(text)] == ["MIT"]
+
+
+def test_license_scan_against_every_start():
+    """All templates tried at every word of short texts, without blocks, word sets or ranking."""
+    r, s = random.Random(5), license_scan.Scanner()
+    for _ in range(15):
+        parts = []
+        for name, t in r.sample(license_scan.TEMPLATES[: license_scan.TAGS.start], 3):
+            said = t.split()
+            for _ in range(r.choice((0, 0, 1, 2, len(said) // 8))):  # words changed, dropped or added
+                i = r.randrange(len(said))
+                said[i : i + 1] = r.choice(([], ["other"], [said[i], "as"]))
+                said = said or ["other"]
+            parts += [" ".join(r.choice(("the", "public", "software", "use", "abc", "license")) for _ in range(r.randint(0, 6))), " ".join(said)]
+        text = "\n".join(parts)
+        read = license_scan.words(text)
+        have = [w for w, _, _ in read]
+        every = {said for k in range(len(license_scan.TEMPLATES)) for i in range(-len(s.words[k]), len(have)) if (said := s.confirm(have, k, i))}
+        taken, want = set(), []
+        for _, _, k, x, y, *_ in sorted(every):
+            if taken.isdisjoint(range(x, y)):
+                taken.update(range(x, y))
+                want.append((read[x][1], license_scan.TEMPLATES[k][0]))
+        assert [x[:2] for x in s.scan(text)] == sorted(want), text
+    block = "Released under the MIT License."
+    assert license_scan.TEMPLATES[s.rank(block)[0][1]] == ("MIT", block)
+
+
+def test_license_scan_repeats_ties_and_clashing_names(spark):
+    text = "Licensed under CC BY 4.0. " + "z " * 30000 + "SPDX-License-Identifier: MIT"
+    rows = spark.createDataFrame([(1, text, 9, "x"), (1, text, 9, "x"), (2, None, None, None)], "doc_id long, text string, n_blocks int, found string")
+    got = license_scan.scan_licenses(rows).collect()
+    assert len(got) == 3 and got[0].asDict().keys() == {"doc_id", "text", "n_blocks", "licenses", "found"}
+    assert sorted((r.doc_id, r.n_blocks, r.licenses) for r in got) == [(1, 2, "CC-BY-4.0,MIT"), (1, 2, "CC-BY-4.0,MIT"), (2, 0, "")]
+    assert [r.found for r in got if r.doc_id == 1] == [f"0:CC-BY-4.0:1.0:;{text.index('SPDX')}:MIT:1.0:"] * 2
+
+
 # op 3
 
 
