@@ -38,8 +38,8 @@ from stratavox.plans.skew import attach
 from .textbatch import IS_SPACE, flat, gram_hash, mix, slices, span_hash, spans
 
 WIDTH, PERCENT = 4, 85
-#: Classes of a bucket that one task walks against each other, and about how many n-grams one range of hashes has.
-BLOCK, RANGE_GRAMS = 1000, 2_000_000
+#: Classes of a block of a bucket, n-grams of a block of that many classes (a larger class is a block of its own), and about how many n-grams one range of hashes has.
+BLOCK, BLOCK_GRAMS, RANGE_GRAMS = 1000, 2_000_000, 2_000_000
 #: Bytes of text that the counting scan packs together.
 PACK_BYTES = 10 << 20
 
@@ -325,20 +325,22 @@ def candidates(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, si
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (g, n, f, ...) with their block b: ascending by size n within a bucket g, of about BLOCK rows.
+    """rows (g, n, f, ...) with their block b: ascending by size n within a bucket g, of about BLOCK rows, or fewer if they have over BLOCK_GRAMS n-grams.
 
     Places come from counts by bucket and size; rows of one size are dealt to blocks by hash, so no task sorts a bucket.
     """
+    room = max(1, BLOCK_GRAMS // BLOCK)  # of a class in a full block of small ones
+    weight = F.greatest(F.col("n").cast("long"), F.lit(room))
     before = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut(rows.groupBy("g", "n").agg(F.count("*").alias("own")).withColumn("start", F.coalesce(F.sum("own").over(before), F.lit(0))))
+    cells = cut(rows.groupBy("g", "n").agg(F.count("*").alias("own")).withColumn("start", F.coalesce(F.sum(F.col("own") * weight).over(before), F.lit(0))))
     placed = attach(rows, cells, ["g", "n"], "own")
-    return placed.withColumn("b", F.floor(F.col("start") / BLOCK) + F.pmod(F.xxhash64("f"), F.ceil(F.col("own") / BLOCK))).drop("own", "start")
+    return placed.withColumn("b", F.floor(F.col("start") / (BLOCK * room)) + F.pmod(F.xxhash64("f"), F.ceil(F.col("own") * weight / (BLOCK * room)))).drop("own", "start")
 
 
 def walk_buckets(rows: DataFrame, store: DataFrame, percent: int, all_blocks: bool) -> DataFrame:
     """Edges (u, v) between components, from rows (g, f, label, n), a cut; store has (f, bitmap, grams).
 
-    Buckets of more than BLOCK classes become pairs of blocks of sizes that can match: each with itself and the next, or all that aren't one component.
+    Buckets of more than one block become pairs of blocks of sizes that can match: each with itself and the next, or all that aren't one component.
     Bitmaps alone go to every bucket first; whole sets follow only for the classes that may have a partner there.
     """
     blocked = cut(in_blocks(rows))

@@ -653,9 +653,10 @@ def linked_by_force(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 4000), (5, 80, 4000), (4, 85, 3), (1, 60, 2)])
-def test_ngram_join(spark, texts, width, percent, block, monkeypatch):
+@pytest.mark.parametrize(("width", "percent", "block", "block_grams"), [(4, 85, 4000, 2_000_000), (5, 80, 4000, 2_000_000), (4, 85, 3, 2_000_000), (1, 60, 2, 2_000_000), (1, 60, 50, 300)])
+def test_ngram_join(spark, texts, width, percent, block, block_grams, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block_grams)
     r = random.Random(8)
     base = words_of(r, 80, 300).split()
     chain = []
@@ -669,6 +670,12 @@ def test_ngram_join(spark, texts, width, percent, block, monkeypatch):
     assert got == linked_by_force(rows, width, percent)
 
 
+def test_ngram_join_blocks_are_bounded_by_grams(spark):
+    rows = spark.range(3000).selectExpr("id % 2 as g", "cast(if(id % 3 = 0, 50, 5000 + 1000 * (id % 7)) as long) as n", "hash(id) as f")
+    for g, b, classes, grams in ngram_join.in_blocks(rows).groupBy("g", "b").agg({"*": "count", "n": "sum"}).collect():
+        assert classes <= 2.5 * ngram_join.BLOCK and grams <= 2.5 * ngram_join.BLOCK_GRAMS, (g, b, classes, grams)
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.components(frame(spark, [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (5, "A B"), (2, "a b")])).collect()
     assert sorted((x.doc_id or -1, x.component_id) for x in got) == [(-1, 3), (2, 2), (3, 3), (3, 3), (5, 2)]
