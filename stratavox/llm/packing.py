@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,7 +79,7 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32); the first piece of a longer document takes the remainder."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer() if callable(tokenizer) else tokenizer)
         for b in batches:
             own, number, start, length, crc = [], [], [], [], []
             for row, text in enumerate(b.column("text")):
@@ -195,8 +195,11 @@ def _round(left: DataFrame, parts: int, number: int, capacity: int, last: bool)
     return left.select(*names).repartition(parts, spread).mapInPandas(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one a piece."""
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one a piece.
+
+    tokenizer is a vocabulary file's path, or a function that finds it on the machine that it is called on.
+    """
     left = cut(pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     whole = left.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")}).drop("row")
     left = left.where(F.col("length") < capacity).drop("row")
@@ -222,11 +225,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     return result
 
 
-def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+def public_vocabulary() -> str:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_vocabulary)
 
 
 QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}
