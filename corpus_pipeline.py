@@ -20,8 +20,7 @@ from stratavox.plans import checkpoints
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the likelihood ratio reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    marked = docs.select("doc_id", "text").join(F.broadcast(quality_rules.trusted_ids(labels)), "doc_id", "left")
-    ratios = quality_rules.log_ratios(quality_rules.count_grams(marked))
+    ratios = quality_rules.log_ratios(quality_rules.count_grams(quality_rules.mark_trusted(docs, labels)))
     named = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"})
     kept = quality_rules.judge(named, ratios).where("kept")
     return kept.select(*(F.col("text") if c == "text" else F.col(f"own_{c}").alias(c) for c in docs.columns))

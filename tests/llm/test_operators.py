@@ -392,6 +392,19 @@ def test_quality_rules(spark, texts):
     assert quality_rules.quality_rules(frame(spark, []), labels).count() == 0
 
 
+def test_all_good_labels_count(spark):
+    """150,000 good labels more, of documents that aren't there, change no score: no good label with a text is left out. Rows without a doc_id stay."""
+    r = random.Random(5)
+    rows = [(k if k < 60 else None, words_of(r, 40, 300)) for k in range(70)]
+    docs = frame(spark, rows)
+    few = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    many = few.union(spark.range(1000, 151_000).selectExpr("id", "1", "0")).union(few)
+    want, got = (sorted((x.doc_id or -1, x.n_words, x.llr, x.kept) for x in quality_rules.quality_rules(docs, k).collect()) for k in (few, many))
+    assert got == want and any(x[2] for x in want)
+    marked = quality_rules.mark_trusted(docs, many).groupBy("trusted").count().collect()
+    assert sum(x["count"] for x in marked if x.trusted) == 40 and sum(x["count"] for x in marked) == 70
+
+
 def test_likelihood_ratio_by_force(spark):
     rows = [(1, "the cat sat"), (2, "zzzz zzzz"), (3, "abc"), (4, "the cat")]
     marked = frame(spark, rows).selectExpr("*", "doc_id in (1, 4) as trusted")
