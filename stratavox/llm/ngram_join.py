@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stratavox.plans.checkpoints import cut
 from stratavox.plans.graph import connected_components
 from stratavox.plans.skew import attach
-from .textbatch import IS_SPACE, flat, gram_hash, mix, slices, span_hash, spans
+from .textbatch import IS_SPACE, SMALL_SLICE, flat, gram_hash, mix, slices, span_hash, spans
 
 WIDTH, PERCENT = 4, 85
 #: Classes of a block of a bucket, n-grams of a block of that many classes (a larger class is a block of its own), and about how many n-grams one range of hashes has.
@@ -85,7 +85,7 @@ def class_key(grams: np.ndarray) -> tuple[int, int]:
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     data, off = flat(batch.column("text"))
-    for i, j in slices(off):
+    for i, j in slices(off, SMALL_SLICE):
         yield i, j, gram_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
 
 
@@ -139,7 +139,9 @@ def packed_grams(docs: DataFrame, width: int, ranges: int) -> DataFrame:
             n = np.array([len(x) for _, x in held])
             f = np.repeat(np.array([k for k, _ in held], dtype=np.int64).view(np.uint64), n)
             h = np.concatenate([x for _, x in held])
-            return _pack((h % np.uint64(ranges)).astype(np.int64), f, np.repeat(n, n), h, np.zeros(0 if not len(h) else len(h), np.int64)).set_column(5, "df", pa.array([b""] * len(np.unique(h % np.uint64(ranges))), pa.binary()))
+            held.clear()
+            packed = _pack((h % np.uint64(ranges)).astype(np.int64), f, np.repeat(n.astype("<u4"), n), h, np.zeros(len(h), "<u2"))
+            return packed.set_column(5, "df", pa.array([b""] * packed.num_rows, pa.binary()))
 
         for b in batches:
             for _, _, sets in _sets(b, width):
@@ -169,10 +171,10 @@ def shared_grams(packed: DataFrame, parts: int) -> DataFrame:
         once = np.r_[True, (h[1:] != h[:-1]) | (f[1:] != f[:-1])]
         f, n, h = f[once], n[once], h[once]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-        df = np.repeat(np.diff(edge), np.diff(edge))
+        df = np.repeat(np.minimum(np.diff(edge), 65535).astype("<u2"), np.diff(edge))
         keep = df > 1
         f, n, h, df = f[keep], n[keep], h[keep], df[keep]
-        return pa.Table.from_batches([_pack((f % np.uint64(parts)).astype(np.int64), f, n, h, np.minimum(df, 65535))])
+        return pa.Table.from_batches([_pack((f % np.uint64(parts)).astype(np.int64), f, n, h, df)])
 
     return packed.groupBy("at").applyInArrow(count, PACKED)
 

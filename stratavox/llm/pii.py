@@ -113,7 +113,7 @@ def _trim(s: str) -> tuple[int, int]:
     return a, b
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=4096)
 def features(span: str, lead: str) -> np.ndarray:
     """Of the whole span and the word before it."""
     a, b = _trim(span)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import IS_SPACE, flat, gram_hash, per_doc, slices, span_hash, spans
+from .textbatch import IS_SPACE, SMALL_SLICE, flat, gram_hash, per_doc, slices, span_hash, spans
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -59,7 +59,7 @@ def count_grams(docs: DataFrame, flag: str = "trusted") -> DataFrame:
         for b in batches:
             data, off = flat(b.column("text"))
             marked = np.asarray(b.column(flag).fill_null(False))
-            for i, j in slices(off):
+            for i, j in slices(off, SMALL_SLICE):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 h = _buckets(d)
                 ok = _inside(o, len(h))
@@ -150,7 +150,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
         ratio = table.value
         for b in batches:
             data, off = flat(b.column("text"))
-            for i, j in slices(off):
+            for i, j in slices(off, SMALL_SLICE):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 base = base_counts(d, o)
                 h = _buckets(d)

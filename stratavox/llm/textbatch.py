@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+#: The same where a byte of text takes many numbers.
+SMALL_SLICE = 1 << 19
 
 #: Word separators 0x20 and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -73,7 +75,7 @@ def spans(in_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, SMALL_SLICE + 1)
         inverse = pow(_BASE, -1, 2**64)
         _powers[:] = []
         for b in (_BASE, inverse):

@@ -405,6 +405,39 @@ def test_all_good_labels_count(spark):
     assert sum(x["count"] for x in marked if x.trusted) == 40 and sum(x["count"] for x in marked) == 70
 
 
+class Tasks:
+    """Stands for a DataFrame and keeps the function that tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_tasks_hold_little(spark):
+    """A task's numpy arrays stay small beside a batch of 16 MB, so two of them fit beside an executor's heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": [words_of(r, 800, 100_000) for _ in range(3000)], "trusted": [True] * 3000})
+    assert 14e6 < batch.nbytes < 24e6
+    for make, most in ((quality_rules.count_grams, 20e6), (lambda d: ngram_join.packed_grams(d, 5, 4), 110e6)):
+        task = Tasks()
+        make(task)
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in task.run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < most, (rows, peak)
+    assert pii.features.cache_info().maxsize <= 10_000
+
+
 def test_likelihood_ratio_by_force(spark):
     rows = [(1, "the cat sat"), (2, "zzzz zzzz"), (3, "abc"), (4, "the cat")]
     marked = frame(spark, rows).selectExpr("*", "doc_id in (1, 4) as trusted")
